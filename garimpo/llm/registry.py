@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bitplane import op6_token_bitplanes
+from .minhash import op10_fast_similarity_sketch
 from .packing import op1_nnls_packing
 
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op6_token_bitplanes": op6_token_bitplanes,
+    "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
 }
 
 #: Token ids, sketches, indexes and trained models aren't SQL; these queries are tested against brute force in tests/llm.
