@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bitplane import op6_token_bitplanes
 from .minhash import op10_fast_similarity_sketch
 from .packing import op1_nnls_packing
+from .superkmer import op5_superkmer_dedup
 
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
+    "op5_superkmer_dedup": op5_superkmer_dedup,
     "op6_token_bitplanes": op6_token_bitplanes,
     "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
 }
