@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .bitplane import op6_token_bitplanes
 from .fmindex import op2_fm_index_decontamination
+from .langid import op7_rank_order_language
 from .minhash import op10_fast_similarity_sketch
 from .packing import op1_nnls_packing
+from .quality import op4_compression_quality
 from .superkmer import op5_superkmer_dedup
 
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_fm_index_decontamination": op2_fm_index_decontamination,
+    "op4_compression_quality": op4_compression_quality,
     "op5_superkmer_dedup": op5_superkmer_dedup,
     "op6_token_bitplanes": op6_token_bitplanes,
+    "op7_rank_order_language": op7_rank_order_language,
     "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
 }
 
