@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bitplane import op6_token_bitplanes
+from .embeddings import op9_pca_tiles
 from .fmindex import op2_fm_index_decontamination
 from .langid import op7_rank_order_language
 from .minhash import op10_fast_similarity_sketch
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_superkmer_dedup": op5_superkmer_dedup,
     "op6_token_bitplanes": op6_token_bitplanes,
     "op7_rank_order_language": op7_rank_order_language,
+    "op9_pca_tiles": op9_pca_tiles,
     "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
 }
 
