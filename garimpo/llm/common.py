@@ -6,9 +6,11 @@ folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,71 +121,91 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-class WordEncoder:
-    """Token ids of whole texts, remembered by white-space-delimited word.
-
-    Both public tokenizers used here split a text before every single space
-    that stands between two non-space characters, so a text's ids are those of
-    its ``" word"`` pieces in turn.  Each distinct piece is encoded once by the
-    tokenizers library and its ids are kept; texts with other white space
-    patterns, or of other kinds, are encoded whole.  ``keep_space`` says whether
-    the space belongs to the following piece (byte-level vocabularies) or is
-    dropped (word vocabularies).
-    """
-
-    #: Pieces remembered at most; about 100 bytes each.
-    MOST = 250_000
+def _byte_chars() -> dict[int, str]:
+    """The public byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def __init__(self, path: str, keep_space: bool):
-        self.path, self.keep_space, self.known = path, keep_space, {}
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        tok = tokenizer(self.path)
-        for i in range(0, len(pieces), 4096):
-            some = pieces[i : i + 4096]
-            for piece, e in zip(some, tok.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in some], add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
+BYTE_CHARS = _byte_chars()
 
-    def _pieces(self, text: bytes) -> list[bytes] | None:
-        """Pieces whose ids in turn are the text's; None if the text must be encoded whole."""
-        if not self.keep_space:
-            return text.split(b" ")
-        if b"  " in text or text[:1] == b" " or text[-1:] == b" " or any(x in text for x in self.ODD):
-            return None
-        head, *rest = text.split(b" ")
-        return [head, *(b" " + x for x in rest)]
 
-    #: White space (or bytes that start wide white space) beside a space, where the split rule doesn't hold.
-    ODD = [a + b for w in (b"\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f") for a, b in ((w, b" "), (b" ", w))] + [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+class WordEncoder:
+    """Token ids of whole texts by the tokenizers library, remembered by pre-token.
+
+    Byte-pair merges never cross pre-tokens, so a text's ids are those of its
+    pre-tokens in turn, and each distinct pre-token need be encoded only once.
+    Pre-tokens are found by the vocabulary's published split pattern, written
+    below for the characters where Python's classes and the library's surely
+    agree (Latin letters, ASCII digits, common punctuation and white space);
+    a text with any other character is encoded whole by the library.
+
+    ``byte_level`` says which of the two patterns holds: that of byte-level
+    vocabularies (a space belongs to the pre-token after it) or that of word
+    vocabularies (lower-cased, white space dropped).
+    """
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    #: Pre-tokens in each of two generations that are remembered; about 200 bytes each.  A full young
+    #: generation becomes the old one; what is met again moves back to the young one.
+    MOST = 350_000
+    LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž"
+    OTHER = re.compile(f"[^\\t\\n\\r -~{LETTER}¡¢£¥§©«®°±¶·»¿×÷‐-‧‰-⁞€™]")
+    BYTE_LEVEL = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTER}]+| ?[0-9]+| ?[^\\s{LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+    WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s{LETTER}0-9]+")
+
+    def __init__(self, path: str, byte_level: bool):
+        self.path, self.byte_level, self.known, self.old = path, byte_level, {}, {}
+        self.split = (self.BYTE_LEVEL if byte_level else self.WORD_LEVEL).findall
+        self.model = tokenizer(path).model
+
+    def _learn(self, missing: Iterable[str]) -> None:
+        """Ids of pre-tokens by the library's model, which takes each byte as one printable character."""
+        tokenize, known = self.model.tokenize, self.known
+        for t in missing:
+            plain = t.replace(" ", BYTE_CHARS[32]) if t.isascii() and t.isprintable() else t.encode().decode("latin-1").translate(BYTE_CHARS)
+            known[t] = array("I", [x.id for x in tokenize(plain)]).tobytes()
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for start in range(0, len(texts), 64):
-            some = texts[start : start + 64]
-            split = [self._pieces(t) for t in some]
-            needed = set().union(*(p for p in split if p is not None))
-            missing = needed - self.known.keys()
-            if len(self.known) + len(missing) > self.MOST:
-                self.known.clear()
-                missing = needed
-            self._learn(list(missing))
-            get = self.known.__getitem__
-            for text, pieces in zip(some, split, strict=True):
-                if pieces is None:
-                    ids = tokenizer(self.path).encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-                    out.append(np.array(ids, "<u4").tobytes())
-                else:
-                    out.append(b"".join(map(get, pieces)))
-        return out
+        some: list[bytes] = []
+        held = 0
+        for t in texts:
+            some.append(t)
+            held += len(t)
+            if held >= self.GROUP_BYTES:
+                yield from self._encode(some)
+                some, held = [], 0
+        yield from self._encode(some)
+
+    #: Texts are encoded in groups of about so many bytes, each with a small table of its own.
+    GROUP_BYTES = 1_500_000
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        some = [t.decode("utf-8", "surrogatepass") for t in texts]
+        split = [None if self.OTHER.search(t) else self.split(t if self.byte_level else t.lower()) for t in some]
+        needed = set().union(*(p for p in split if p is not None))
+        missing = needed.difference(self.known)
+        if len(self.known) + len(missing) > self.MOST:
+            self.known, self.old = {}, self.known
+            missing = needed
+        new = missing.difference(self.old)
+        again = missing - new
+        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self._learn(new)
+        get = dict(zip(needed, map(self.known.__getitem__, needed), strict=True)).__getitem__  # small, stays in the CPU's cache
+        whole = lambda t: np.array(tokenizer(self.path).encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return [whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(some, split, strict=True)]
 
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str, keep_space: bool) -> WordEncoder:
+def encoder(path: str, byte_level: bool) -> WordEncoder:
     """One encoder in each Python worker, kept between tasks."""
-    return _encoders.setdefault((path, keep_space), WordEncoder(path, keep_space))
+    if (path, byte_level) not in _encoders:
+        _encoders[path, byte_level] = WordEncoder(path, byte_level)
+    return _encoders[path, byte_level]
 
 
 # ---------------------------------------------------------------- union-find

@@ -118,28 +118,35 @@ PIECES = "part int, doc_id long, start long, length int, rank long, doc_tokens l
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _cutter(path: str, keep_space: bool, end_id: int, window: int):
+def _cutter(path: str, byte_level: bool, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, end = TaskContext.get().partitionId(), common.encoder(path, keep_space), np.array([end_id], "<u4").tobytes()
+        part, enc, end = TaskContext.get().partitionId(), common.encoder(path, byte_level), np.array([end_id], "<u4").tobytes()
         seen = np.zeros(window + 1, np.int64)
+        names = ("doc_id", "start", "length", "rank", "doc_tokens", "ids")
+        cols: dict[str, list] = {k: [] for k in names}
+
+        def rows():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(cols["ids"]), pa.int32()), pa.array(cols["doc_id"], pa.int64()), pa.array(cols["start"], pa.int64()), pa.array(cols["length"], pa.int32()), pa.array(cols["rank"], pa.int64()), pa.array(cols["doc_tokens"], pa.int64()), pa.array(cols["ids"], pa.binary())],
+                ["part", *names],
+            )
+
         for b in batches:
             docs, texts = b.column(0).to_pylist(), common.byte_lists(b.column(1))
-            for at in range(0, len(texts), 64):
-                cols: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "rank", "doc_tokens", "ids")}
-                for doc, ids in zip(docs[at : at + 64], enc.encode(texts[at : at + 64]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, window):
-                        size = min(window, n - start)
-                        for k, v in (("doc_id", doc), ("start", start), ("length", size), ("rank", int(seen[size])), ("doc_tokens", n), ("ids", ids[4 * start : 4 * (start + size)])):
-                            cols[k].append(v)
-                        seen[size] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(cols["ids"]), pa.int32()), pa.array(cols["doc_id"], pa.int64()), pa.array(cols["start"], pa.int64()), pa.array(cols["length"], pa.int32()), pa.array(cols["rank"], pa.int64()), pa.array(cols["doc_tokens"], pa.int64()), pa.array(cols["ids"], pa.binary())],
-                    ["part", "doc_id", "start", "length", "rank", "doc_tokens", "ids"],
-                )
+            for doc, ids in zip(docs, enc.encode(texts), strict=True):
+                ids += end
+                n = len(ids) // 4
+                for start in range(0, n, window):
+                    size = min(window, n - start)
+                    for k, v in zip(names, (doc, start, size, int(seen[size]), n, ids[4 * start : 4 * (start + size)]), strict=True):
+                        cols[k].append(v)
+                    seen[size] += 1
+                if len(cols["ids"]) >= 1000:
+                    yield rows()
+                    cols = {k: [] for k in names}
+        yield rows()
 
     return run
 
@@ -206,7 +213,7 @@ def _placer(p: dict[str, np.ndarray], hist: np.ndarray, window: int):
     return place
 
 
-def pack(docs: DataFrame, vocabulary: str, keep_space: bool, end_id: int = 0, window: int = WINDOW, depth: int = DEPTH) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: int = 0, window: int = WINDOW, depth: int = DEPTH) -> DataFrame:
     """Pack ``docs(doc_id, text)`` into sequences; a row for each piece with its ids (little-endian uint32).
 
     Null text counts as empty, so every document has at least its end id.
@@ -216,7 +223,7 @@ def pack(docs: DataFrame, vocabulary: str, keep_space: bool, end_id: int = 0, wi
     """
     common.small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = common.staged(source.mapInArrow(_cutter(vocabulary, keep_space, end_id, window), PIECES), "pieces")
+    pieces = common.staged(source.mapInArrow(_cutter(vocabulary, byte_level, end_id, window), PIECES), "pieces")
     counts = common.staged(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     hist = np.zeros(window + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():
