@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bitplane import op6_token_bitplanes
+from .chat import op3_schema_fingerprint_chat
 from .embeddings import op9_pca_tiles
 from .fmindex import op2_fm_index_decontamination
 from .langid import op7_rank_order_language
@@ -14,6 +15,7 @@ from .superkmer import op5_superkmer_dedup
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_fm_index_decontamination": op2_fm_index_decontamination,
+    "op3_schema_fingerprint_chat": op3_schema_fingerprint_chat,
     "op4_compression_quality": op4_compression_quality,
     "op5_superkmer_dedup": op5_superkmer_dedup,
     "op6_token_bitplanes": op6_token_bitplanes,
