@@ -131,6 +131,22 @@ def _byte_chars() -> dict[int, str]:
 BYTE_CHARS = _byte_chars()
 
 
+class PreTokens(dict):
+    """Pre-token -> its ids as bytes, by the library's model (which takes each byte as one printable character)."""
+
+    def __init__(self, model, old: dict | None = None):
+        super().__init__()
+        self.model, self.old = model, dict(old or ())
+
+    def __missing__(self, t: str) -> bytes:
+        ids = self.old.get(t)
+        if ids is None:
+            plain = t.replace(" ", BYTE_CHARS[32]) if t.isascii() and t.isprintable() else t.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = array("I", [x.id for x in self.model.tokenize(plain)]).tobytes()
+        self[t] = ids
+        return ids
+
+
 class WordEncoder:
     """Token ids of whole texts by the tokenizers library, remembered by pre-token.
 
@@ -155,47 +171,21 @@ class WordEncoder:
     WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s{LETTER}0-9]+")
 
     def __init__(self, path: str, byte_level: bool):
-        self.path, self.byte_level, self.known, self.old = path, byte_level, {}, {}
+        self.path, self.byte_level = path, byte_level
+        self.known = PreTokens(tokenizer(path).model)
         self.split = (self.BYTE_LEVEL if byte_level else self.WORD_LEVEL).findall
-        self.model = tokenizer(path).model
-
-    def _learn(self, missing: Iterable[str]) -> None:
-        """Ids of pre-tokens by the library's model, which takes each byte as one printable character."""
-        tokenize, known = self.model.tokenize, self.known
-        for t in missing:
-            plain = t.replace(" ", BYTE_CHARS[32]) if t.isascii() and t.isprintable() else t.encode().decode("latin-1").translate(BYTE_CHARS)
-            known[t] = array("I", [x.id for x in tokenize(plain)]).tobytes()
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
-        some: list[bytes] = []
-        held = 0
-        for t in texts:
-            some.append(t)
-            held += len(t)
-            if held >= self.GROUP_BYTES:
-                yield from self._encode(some)
-                some, held = [], 0
-        yield from self._encode(some)
-
-    #: Texts are encoded in groups of about so many bytes, each with a small table of its own.
-    GROUP_BYTES = 1_500_000
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        some = [t.decode("utf-8", "surrogatepass") for t in texts]
-        split = [None if self.OTHER.search(t) else self.split(t if self.byte_level else t.lower()) for t in some]
-        needed = set().union(*(p for p in split if p is not None))
-        missing = needed.difference(self.known)
-        if len(self.known) + len(missing) > self.MOST:
-            self.known, self.old = {}, self.known
-            missing = needed
-        new = missing.difference(self.old)
-        again = missing - new
-        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        self._learn(new)
-        get = dict(zip(needed, map(self.known.__getitem__, needed), strict=True)).__getitem__  # small, stays in the CPU's cache
-        whole = lambda t: np.array(tokenizer(self.path).encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(some, split, strict=True)]
+        odd, split = self.OTHER.search, self.split
+        for raw in texts:
+            text = raw.decode("utf-8", "surrogatepass")
+            if odd(text):
+                yield np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield b"".join(map(self.known.__getitem__, split(text if self.byte_level else text.lower())))
+                if len(self.known) > self.MOST:
+                    self.known = PreTokens(self.known.model, self.known)
 
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
