@@ -7,6 +7,7 @@ from .chat import op3_schema_fingerprint_chat
 from .embeddings import op9_pca_tiles
 from .fmindex import op2_fm_index_decontamination
 from .langid import op7_rank_order_language
+from .license import op8_license_paragraphs
 from .minhash import op10_fast_similarity_sketch
 from .packing import op1_nnls_packing
 from .quality import op4_compression_quality
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_superkmer_dedup": op5_superkmer_dedup,
     "op6_token_bitplanes": op6_token_bitplanes,
     "op7_rank_order_language": op7_rank_order_language,
+    "op8_license_paragraphs": op8_license_paragraphs,
     "op9_pca_tiles": op9_pca_tiles,
     "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
 }
