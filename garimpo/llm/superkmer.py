@@ -13,6 +13,11 @@ batch is known to repeat, its spans are settled on the spot and one copy, marked
 as repeated, goes to the bucket.  What a bucket receives of a passage that a
 third of all documents share is therefore one string for each batch.
 
+A run of words that is very frequent in ever other surroundings (a common line)
+would gather its super-k-mers in one bucket.  A first pass counts minimisers;
+the few that hold more than a small share of all super-k-mers rank behind all
+other runs, so that a window which holds any other run takes that one.
+
 Strings of a batch that go to the same bucket are compressed together.
 """
 
@@ -49,21 +54,39 @@ def leftmost_minima(x: np.ndarray, w: int) -> np.ndarray:
     return best[:n]
 
 
-def super_kmers(words: list[bytes], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, end window, minimiser hash) of each super-k-mer of a text."""
-    grams = common.rolling(_words.of(words), m)
+HOT_BIT = np.uint64(1 << 63)
+
+
+def super_kmers(words: list[bytes], k: int, m: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, end window, minimiser hash) of each super-k-mer of a text; ``hot`` (sorted) hashes rank last."""
+    grams = common.rolling(_words.of(words), m) >> np.uint64(1)
+    if hot is not None and len(hot):
+        at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+        grams = np.where(hot[at] == grams, grams | HOT_BIT, grams)
     at = leftmost_minima(grams, k - m + 1)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     return first, np.append(first[1:], len(at)), grams[at[first]]
 
 
 SENT = "bucket int, blob binary"
+#: zstandard level of what travels.
+LEVEL = 3
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """An integer array byte by byte, all first bytes first: compresses better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def _unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).ravel().view(kind)
 
 
 def _pack(parts: list[bytes]) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(len(p).to_bytes(4, "little") + p for p in parts))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(len(p).to_bytes(4, "little") + p for p in parts))
 
 
 def _unpack(blob: bytes) -> list[bytes]:
@@ -78,18 +101,18 @@ def _unpack(blob: bytes) -> list[bytes]:
 
 
 class _Batch:
-    """Super-k-mers of some documents, equal ones merged."""
+    """Super-k-mers of some documents, equal ones merged.  A document is named by its id and its text's checksum."""
 
     def __init__(self, buckets: int):
         self.buckets, self.size = buckets, 0
-        self.docs: list[bytes] = []
+        self.docs: list[tuple[int, int]] = []
         self.first: dict[bytes, list[int]] = {}  # packed string -> minimiser, document, first window, windows, repeated
         self.settled: dict[int, list[int]] = {}
 
-    def add(self, key: bytes, words: list[bytes], k: int, m: int) -> None:
+    def add(self, key: tuple[int, int], words: list[bytes], k: int, m: int, hot: np.ndarray | None) -> None:
         doc = len(self.docs)
         self.docs.append(key)
-        starts, ends, hashes = super_kmers(words, k, m)
+        starts, ends, hashes = super_kmers(words, k, m, hot)
         ends_at = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         text = b" ".join(words)
         lo = np.append(0, ends_at)[starts]
@@ -111,49 +134,84 @@ class _Batch:
         """For each bucket one blob: strings sorted by minimiser with where each is from; settled spans go anywhere."""
         strings = list(self.first)
         facts = np.array(list(self.first.values()), np.uint64).reshape(-1, 5)
+        names, sums = np.array([d[0] for d in self.docs], np.int64), np.array([d[1] for d in self.docs], np.uint32)
         to = (facts[:, 0] % np.uint64(self.buckets)).astype(np.int64)
         order = np.lexsort((facts[:, 0], to))
         cuts = np.searchsorted(to[order], np.arange(self.buckets + 1))
         spare: dict[int, list[int]] = {}
         for doc in self.settled:
-            spare.setdefault(int.from_bytes(self.docs[doc][:4], "little") % self.buckets, []).append(doc)
+            spare.setdefault(self.docs[doc][1] % self.buckets, []).append(doc)
         for bucket in range(self.buckets):
             mine, own = order[cuts[bucket] : cuts[bucket + 1]], spare.get(bucket, [])
             if not len(mine) and not own:
                 continue
-            some = [strings[i] for i in mine.tolist()]
-            keys = b"".join(self.docs[int(i)] for i in facts[mine, 1])
-            spans = b"".join(self.docs[d] + len(self.settled[d]).to_bytes(4, "little") + np.array(self.settled[d], "<u4").tobytes() for d in own)
-            parts = [facts[mine, 0].astype("<u8").tobytes(), facts[mine, 2].astype("<u4").tobytes(), facts[mine, 3].astype("<u4").tobytes(), facts[mine, 4].astype(np.uint8).tobytes(), keys, b"\n".join(some), spans]
+            docs = facts[mine, 1].astype(np.int64)
+            short = (facts[mine, 0] >> np.uint64(32)).astype(np.uint32)  # sorted; equal minimisers stay equal
+            parts = [
+                _planes(np.diff(short, prepend=np.uint32(0))), _planes(facts[mine, 2].astype("<u4")), _planes(facts[mine, 3].astype("<u2")), facts[mine, 4].astype(np.uint8).tobytes(), _planes(names[docs]), _planes(sums[docs]),
+                b"\n".join([strings[i] for i in mine.tolist()]),
+                _planes(names[own]), _planes(sums[own]), np.array([len(self.settled[d]) for d in own], "<u4").tobytes(), b"".join(np.array(self.settled[d], "<u4").tobytes() for d in own),
+            ]
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_pack(parts)], pa.binary())], ["bucket", "blob"])
 
 
-def _key(doc_id: int | None, text: bytes) -> bytes:
-    """What names a row: its id and the 128-bit hash of its text (rows equal in both have equal results)."""
-    import xxhash
+def _sender(k: int, m: int, buckets: int, held: int, hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, last = _Batch(buckets), hot.value
+        for b in batches:
+            for name, check, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.byte_lists(b.column(2)), strict=True):
+                words = text.split()
+                if len(words) >= k:
+                    batch.add((name, check), words, k, m, last)
+                    if batch.size >= held:
+                        yield from batch.rows()
+                        batch = _Batch(buckets)
+        yield from batch.rows()
+
+    return run
 
-    return (b"\0" * 8 + b"\1" if doc_id is None else doc_id.to_bytes(8, "little", signed=True) + b"\0") + xxhash.xxh3_128_digest(text)
 
+#: Super-k-mers counted together by a worker in the first pass.
+COUNTED = 500_000
 
-KEY_BYTES = 25
 
+def _tally(k: int, m: int, shares: int):
+    """Minimisers that are frequent within a worker's batch; -1 counts all super-k-mers."""
 
-def _sender(k: int, m: int, buckets: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = _Batch(buckets)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= max(2, size // (4 * shares))
+            return pa.RecordBatch.from_arrays([pa.array(np.append(grams[often].astype(np.int64), -1)), pa.array(np.append(n[often], size).astype(np.int64))], ["gram", "n"])
+
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), common.byte_lists(b.column(1)), strict=True):
+            for text in common.byte_lists(b.column(0)):
                 words = text.split()
                 if len(words) >= k:
-                    batch.add(_key(doc_id, text), words, k, m)
-                    if batch.size >= held:
-                        yield from batch.rows()
-                        batch = _Batch(buckets)
-        yield from batch.rows()
+                    held.append(super_kmers(words, k, m)[2])
+                    size += len(held[-1])
+                    if size >= COUNTED:
+                        yield flush()
+                        held, size = [], 0
+        if size:
+            yield flush()
 
     return run
 
 
+def hot_minimisers(docs: DataFrame, k: int, m: int, shares: int) -> np.ndarray:
+    """Minimisers of at least about one in ``shares`` of all super-k-mers, sorted; so many at most."""
+    found = docs.select("text").mapInArrow(_tally(k, m, shares), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    total = found.where("gram = -1").first()
+    if total is None:
+        return np.empty(0, np.uint64)
+    often = found.where((F.col("gram") >= 0) & (F.col("n") > max(2, total.n * 3 // (4 * shares)))).collect()
+    return np.sort(np.array([r.gram for r in often], np.uint64))
+
+
 def repeated_windows(entries: list[tuple[bytes, int, int]], k: int) -> list[list[tuple[int, int]]]:
     """For super-k-mers of one minimiser, as (string, windows, repeated): which of each one's windows occur again.
 
@@ -189,10 +247,10 @@ def _runs(sorted_ints: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "row_key binary, spans binary"
+FOUND = "name long, checksum long, spans binary"
 
 
-def _settle_bucket(hashes, starts, counts, again, keys, strings, k: int, found: dict[bytes, list[int]]) -> None:
+def _settle_bucket(hashes, starts, counts, again, keys, strings, k: int, found: dict[tuple[int, int], list[int]]) -> None:
     """Add to ``found`` the repeated windows of a bucket's super-k-mers."""
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
@@ -217,44 +275,38 @@ def _settle_bucket(hashes, starts, counts, again, keys, strings, k: int, found:
 
 def _counter(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[], [], [], []]
-        keys: list[bytes] = []
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        keys: list[tuple[int, int]] = []
         strings: list[bytes] = []
-        found: dict[bytes, list[int]] = {}
-
-        def rows():
-            names = list(found)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([np.array(found[x], "<u4").tobytes() for x in names], pa.binary())], ["row_key", "spans"])
-
+        found: dict[tuple[int, int], list[int]] = {}
         for b in batches:
             for blob in b.column(1):
-                hashes, starts, counts, again, names, text, spans = _unpack(blob.as_buffer())
-                for out, data, kind in zip(columns, (hashes, starts, counts, again), ("<u8", "<u4", "<u4", np.uint8), strict=True):
-                    out.append(np.frombuffer(data, kind))
-                n = len(again)
-                keys += [names[KEY_BYTES * i : KEY_BYTES * (i + 1)] for i in range(n)]
-                strings += text.split(b"\n") if n else []
-                at = 0
-                while at < len(spans):
-                    key, size = spans[at : at + KEY_BYTES], int.from_bytes(spans[at + KEY_BYTES : at + KEY_BYTES + 4], "little")
-                    at += KEY_BYTES + 4
-                    found.setdefault(key, []).extend(np.frombuffer(spans, "<u4", size, at).tolist())
-                    at += 4 * size
+                hashes, starts, counts, again, names, sums, text, own_names, own_sums, sizes, spans = _unpack(blob.as_buffer())
+                for out, x in zip(columns, (np.cumsum(_unplanes(hashes, "<u4"), dtype=np.uint32), _unplanes(starts, "<u4"), _unplanes(counts, "<u2"), np.frombuffer(again, np.uint8)), strict=True):
+                    out.append(x)
+                keys += zip(_unplanes(names, "<i8").tolist(), _unplanes(sums, "<u4").tolist(), strict=True)
+                strings += text.split(b"\n") if again else []
+                ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+                values = np.frombuffer(spans, "<u4").tolist()
+                for key, lo, hi in zip(zip(_unplanes(own_names, "<i8").tolist(), _unplanes(own_sums, "<u4").tolist(), strict=True), [0, *ends], ends, strict=False):
+                    found.setdefault(key, []).extend(values[lo:hi])
         if keys:
             _settle_bucket(*(np.concatenate(c) for c in columns), keys, strings, k, found)
         if found:
-            yield rows()
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([np.array(v, "<u4").tobytes() for v in found.values()], pa.binary())], ["name", "checksum", "spans"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = K, m: int = M, held: int = HELD_BYTES) -> DataFrame:
-    """Rows ``(row_key, spans)``: runs of repeated windows of each row of ``docs(doc_id, text)`` that has any."""
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
-    sent = docs.mapInArrow(_sender(k, min(m, k), parts, held), SENT)
+def repeated_spans(keyed: DataFrame, k: int = K, m: int = M, held: int = HELD_BYTES) -> DataFrame:
+    """Rows ``(name, checksum, spans)``: runs of repeated windows of each of ``keyed(name, checksum, text)`` that has any."""
+    spark = keyed.sparkSession
+    m = min(m, k)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * keyed.rdd.getNumPartitions())
+    hot = spark.sparkContext.broadcast(hot_minimisers(keyed, k, m, 16 * parts))
+    sent = keyed.select("name", "checksum", "text").mapInArrow(_sender(k, m, parts, held, hot), SENT)
     found = sent.repartition(parts, "bucket").mapInArrow(_counter(k), FOUND)
-    return found.groupBy("row_key").agg(F.collect_list("spans").alias("spans"))  # at most the row's own windows
+    return found.groupBy("name", "checksum").agg(F.collect_list("spans").alias("spans"))  # at most the row's own windows
 
 
 def covered(spans: list[bytes], n_words: int, k: int) -> np.ndarray:
@@ -267,7 +319,7 @@ def covered(spans: list[bytes], n_words: int, k: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-DONE = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
+DONE = "n_words long, n_removed long, kept string, kept_sha256 string"
 
 
 def _remover(k: int, with_text: bool):
@@ -286,33 +338,29 @@ def _remover(k: int, with_text: bool):
                 left = b" ".join(words)
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append((left if spans else text) if with_text else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())], ["key", "n_words", "n_removed", "kept", "kept_sha256"])
 
     return run
 
 
-def _keyer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = [_key(d, t) for d, t in zip(b.column(0).to_pylist(), common.byte_lists(b.column(1)), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary())], ["doc_id", "text", "row_key"])
-
-
-def remove_repeats(docs: DataFrame, k: int = K, m: int = M, held: int = HELD_BYTES, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = K, m: int = M, held: int = HELD_BYTES, with_text: bool = True, key: str = "doc_id") -> DataFrame:
     """Remove each word covered by a ``k``-word window whose words also start anywhere else.
 
-    ``docs(doc_id, text)`` -> ``(doc_id, n_words, n_removed, kept, kept_sha256)``
+    ``docs(doc_id, text)`` -> ``(key, n_words, n_removed, kept, kept_sha256)``
     for every row; ``kept`` is the text as it was where nothing is removed, else
     the kept words joined by one space (null without ``with_text``).  Windows are
     judged on the input, all occurrences go.  Null text has no words (and is
     kept as empty); texts shorter than a window keep all; rows that share a
-    doc_id, or lack one, are separate texts.  Other columns are ignored; an
-    empty table gives no rows.
+    doc_id, or lack one, are separate texts.  ``key`` may be another column, of
+    any type, to be carried along.  Other columns are ignored; an empty table
+    gives no rows.
     """
     common.small_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(source, k, m, held)
-    keyed = source.mapInArrow(_keyer, "doc_id long, text string, row_key binary")
-    return keyed.join(spans, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(_remover(k, with_text), DONE)
+    # Rows with equal names and checksums hold equal texts, but for a chance of 2^-32 among rows that share a doc_id.
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.col(key).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("name"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("checksum"), text.alias("text"))
+    spans = repeated_spans(keyed, k, m, held)
+    return keyed.join(spans, ["name", "checksum"], "left").select("key", "text", "spans").mapInArrow(_remover(k, with_text), f"key {keyed.schema[0].dataType.simpleString()}, {DONE}").withColumnRenamed("key", key)
 
 
 def op5_superkmer_dedup(spark, sf_dir: str) -> DataFrame:
