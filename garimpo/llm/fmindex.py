@@ -15,6 +15,7 @@ benchmark, as long as the shortest window, is needed), the rest is indexed:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -215,13 +216,14 @@ def search(ids: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- operator
 
-HITS = "doc_id long, text string, n_words long, n_hit long, item_ids array<string>, spans array<struct<first:int,end:int>>"
+HITS = "text string, n_words long, n_hit long, item_ids array<string>, spans array<struct<first:int,end:int>>"
 
 
-def _scanner(blocks: list, with_text: bool, shard_words: int, index_words: int):
+def _scanner(blocks: list, give: str, shard_words: int, index_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single = blocks[0].value if len(blocks) == 1 else None  # kept for the task; more are loaded in turn
         names, texts, counts, shard, words, indexed = [], [], [], [], 0, 0
+        with_text, kind = give != "none", None
 
         def flush() -> pa.RecordBatch:
             ends = np.cumsum(np.array(counts, np.int64) + 1)
@@ -249,18 +251,19 @@ def _scanner(blocks: list, with_text: bool, shard_words: int, index_words: int):
             n = len(names)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(names, pa.int64()),
-                    pa.array([t.decode("utf-8", "surrogatepass") for t in texts] if with_text else [None] * n, pa.string()),
+                    pa.array(names, kind),
+                    pa.array([without_spans(t, spans[d]) if give == "clean" and d in spans else t for d, t in enumerate(texts)] if with_text else [None] * n, pa.binary()).cast(pa.string()),
                     pa.array(counts, pa.int64()),
                     pa.array([sum(s["end"] - s["first"] for s in spans.get(d, ())) for d in range(n)], pa.int64()),
                     pa.array([sorted(owners.get(d, ())) for d in range(n)], pa.list_(pa.string())),
                     pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
                 ],
-                ["doc_id", "text", "n_words", "n_hit", "item_ids", "spans"],
+                ["key", "text", "n_words", "n_hit", "item_ids", "spans"],
             )
 
         held = 0
         for b in batches:
+            kind = b.schema.field(0).type
             for name, text in zip(b.column(0).to_pylist(), common.byte_lists(b.column(1)), strict=True):
                 split = words_of(text)
                 names.append(name)
@@ -305,40 +308,41 @@ def phrase_blocks(benchmark: DataFrame, window: int, block_words: int) -> list:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = True, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, index_words: int = INDEX_WORDS) -> DataFrame:
-    """For every row of ``docs(doc_id, text)``: its words, the words inside benchmark windows, the items, merged word spans.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "whole", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, index_words: int = INDEX_WORDS, key: str = "doc_id") -> DataFrame:
+    """For every row of ``docs(key, text)``: its words, the words inside benchmark windows, the items, merged word spans.
 
-    ``-> (doc_id, text, n_words, n_hit, item_ids, spans)``.  Null texts have no
-    words; items without words give no window; items with a null item_id mark
-    words but are not listed.  Rows that share a doc_id (or lack one) are
-    separate rows.  Other columns are ignored.  Empty tables on either side
-    give no rows, or rows without hits.
+    ``-> (key, text, n_words, n_hit, item_ids, spans)``; ``text`` says what is
+    given back: the ``whole`` text, the text ``clean`` of the spans, or ``none``.
+    ``key`` may be a column of any type and is carried along.  Null texts have no
+    words (and come back empty); items without words give no window; items with
+    a null item_id mark words but are not listed.  Rows that share a key (or
+    lack one) are separate rows.  Other columns are ignored.  Empty tables on
+    either side give no rows, or rows without hits.
     """
     common.small_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_scanner(phrase_blocks(benchmark, window, block_words), with_text, shard_words, index_words), HITS)
+    source = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    found = source.mapInArrow(_scanner(phrase_blocks(benchmark, window, block_words), text, shard_words, index_words), f"key {source.schema[0].dataType.simpleString()}, {HITS}")
+    return found.withColumnRenamed("key", key)
 
 
-def without_spans(text: str | None, spans: list) -> str | None:
-    """A text without the words of its spans; what stands between other words stays."""
-    if not spans or text is None:
-        return text
-    import re
+_run = re.compile(rb"[^\x20]+")
+
 
-    raw = text.encode("utf-8", "surrogatepass")
-    places = [m.span() for m in re.finditer(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", raw.translate(WORD_BYTES))]
+def without_spans(raw: bytes, spans: list) -> bytes:
+    """A text without the words of its spans; what stands between other words stays."""
+    places = [m.span() for m in _run.finditer(raw.translate(WORD_BYTES))]
     out, at = [], 0
     for s in spans:
         first, end = s["first"], s["end"]
         out.append(raw[at : places[first][0]])
         at = places[end][0] if end < len(places) else len(raw)
     out.append(raw[at:])
-    return b"".join(out).decode("utf-8", "surrogatepass").strip()
+    return b"".join(out).strip()
 
 
 def op2_fm_index_decontamination(spark, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items, windows of ten words."""
-    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_text=False)
+    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="none")
     listed = F.array_sort("item_ids")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")

@@ -56,10 +56,12 @@ def frames(spark, rows, items):
 def test_equals_every_window(spark, window, block, shard):
     rows, items = corpus(window)
     docs, bench = frames(spark, rows, items)
-    got = fmindex.contamination(docs.repartition(3), bench, window, True, block, shard)
+    got = fmindex.contamination(docs.repartition(3), bench, window, "whole", block, shard)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got.collect()), key=str) == sorted(((d, n, h, sorted(i)) for d, n, h, i in brute(rows, items, window)), key=str)
     for r in got.collect():
-        assert len(split(fmindex.without_spans(r.text, r.spans))) == r.n_words - r.n_hit
+        assert len(split(fmindex.without_spans(r.text.encode(), r.spans).decode())) == r.n_words - r.n_hit
+    for r in fmindex.contamination(docs, bench, window, "clean").collect():
+        assert len(split(r.text)) == r.n_words - r.n_hit
 
 
 def test_nothing(spark):
