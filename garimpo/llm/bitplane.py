@@ -117,7 +117,7 @@ def _writer(path: str, byte_level: bool, end_id: int, bits: int, chunk_ids: int)
         if docs:
             yield flush()
 
-    return run
+    return common.tidied(run)
 
 
 #: Stands for a null document id inside a chunk; ascending order puts nulls first.
@@ -139,6 +139,7 @@ def write_token_chunks(docs: DataFrame, vocabulary: str, byte_level: bool, end_i
     return common.staged(ordered.mapInArrow(_writer(vocabulary, byte_level, end_id, bits, chunk_ids), CHUNKS), "token-chunks", "none")
 
 
+@common.tidied
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for first, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):

@@ -72,7 +72,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered; emptied when it has grown to ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -102,6 +102,30 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+#: Shared by the operators of a worker.
+word_hashes = WordHashes()
+
+
+def tidied(run):
+    """A batch function that gives its memory back when its task ends: idle workers keep none of it."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            word_hashes.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # not every C library has it
+                pass
+
+    return wrapped
+
+
 # ---------------------------------------------------------------- tokenisers
 
 _tokenizers: dict[str, object] = {}

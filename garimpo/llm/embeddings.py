@@ -81,7 +81,7 @@ def _cells(basis):
             x = b.turn(unit(_matrix(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(x @ b.centres.T, 1).astype(np.int32))], ["rep", "cell"])
 
-    return run
+    return common.tidied(run)
 
 
 def tile_pair(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +181,7 @@ def _compare(basis, threshold: float):
         if name is not None and (out := done()) is not None:
             yield out
 
-    return run
+    return common.tidied(run)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, fit_rows: int = FIT_ROWS) -> DataFrame:

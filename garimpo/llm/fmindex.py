@@ -281,7 +281,7 @@ def _scanner(blocks: list, give: str, shard_words: int, index_words: int):
         if names:
             yield flush()
 
-    return run
+    return common.tidied(run)
 
 
 ZERO = np.zeros(1, np.int64)

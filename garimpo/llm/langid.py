@@ -26,13 +26,13 @@ from . import common
 
 PROFILE = 400
 NONE = "und"
-#: N-grams held by a worker before they are counted and sent off.
-HELD_GRAMS = 6_000_000
+#: N-grams of a language that a worker sorts at a time, and distinct ones that it holds before they are sent off.
+HELD_GRAMS, HELD_COUNTS = 1_500_000, 1_000_000
 
 
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter (itself if it has no single one), 0 for what isn't a letter."""
-    table = np.zeros(0x110000, np.int64)
+    table = np.zeros(0x110000, np.int32)
     for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
@@ -48,7 +48,7 @@ def letters(text: str) -> np.ndarray:
     """Letters of a text as code points, runs of anything else as one 0, with a 0 at either end; empty if it has none."""
     if not _table:
         _table.append(_letters())
-    x = _table[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    x = _table[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
     x = np.concatenate([[0], x, [0]])
     x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))]
     return x if len(x) > 1 else np.empty(0, np.int64)
@@ -77,25 +77,46 @@ def order(grams: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     return grams[np.lexsort((grams, -counts))[:most]]
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[np.ndarray]] = {}
-    size = 0
+class _Counts:
+    """Running n-gram counts of a language."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+        self.grams, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, grams: np.ndarray) -> None:
+        self.parts.append(grams)
+        self.size += len(grams)
+        if self.size >= HELD_GRAMS:
+            self.merge()
 
-    def flush():
-        for lang, parts in held.items():
-            grams, counts = counted(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
+    def merge(self) -> None:
+        if self.parts:
+            grams, n = counted(np.concatenate(self.parts))
+            both, weights = np.concatenate([self.grams, grams]), np.concatenate([self.n, n])
+            order_ = np.argsort(both, kind="stable")
+            both, weights = both[order_], weights[order_]
+            first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+            self.grams, self.n = both[first], np.add.reduceat(weights, first)
+            self.parts, self.size = [], 0
 
+    def row_batch(self, lang: str) -> pa.RecordBatch:
+        self.merge()
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(self.grams), pa.string()), pa.array(self.grams), pa.array(self.n)], ["lang", "gram", "n"])
+
+
+@common.tidied
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, _Counts] = {}
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             x = letters(text)
             if len(x):
-                held.setdefault(lang, []).append(ngrams(x))
-                size += 3 * len(x)
-                if size > HELD_GRAMS:
-                    yield from flush()
-                    held, size = {}, 0
-    yield from flush()
+                held.setdefault(lang, _Counts()).add(ngrams(x))
+        if sum(len(c.grams) for c in held.values()) > HELD_COUNTS:
+            yield from (c.row_batch(lang) for lang, c in held.items())
+            held = {}
+    yield from (c.row_batch(lang) for lang, c in held.items())
 
 
 class Profiles:
@@ -145,7 +166,7 @@ def _predictor(profiles):
             out = [p.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    return run
+    return common.tidied(run)
 
 
 def predict(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None) -> DataFrame:

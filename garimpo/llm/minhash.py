@@ -42,15 +42,12 @@ def shape(percent: int, miss: float = MISS) -> tuple[int, int]:
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)), rows
 
 
-_words = common.WordHashes()
-
-
 def shingle_set(text: bytes, k: int) -> tuple[np.ndarray, list[bytes]]:
     """Sorted distinct 64-bit hashes of a text's k-word shingles (all its words as one if it has fewer), and its words."""
     words = text.translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64), words
-    return np.unique(common.rolling(_words.of(words), min(k, len(words)))), words
+    return np.unique(common.rolling(common.word_hashes.of(words), min(k, len(words)))), words
 
 
 def sketch(elements: np.ndarray, t: int) -> np.ndarray:
@@ -104,7 +101,7 @@ def _sketcher(k: int, bands: int, rows: int):
                 keys.append(known[twin])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(twins, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "twin", "bands"])
 
-    return run
+    return common.tidied(run)
 
 
 def _sets(k: int):
@@ -113,7 +110,7 @@ def _sets(k: int):
             sets = [shingle_set(t, k)[0].tobytes() for t in common.byte_lists(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
-    return run
+    return common.tidied(run)
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -168,7 +165,7 @@ def _linker(percent: int):
         if tile is not None:
             yield done()
 
-    return run
+    return common.tidied(run)
 
 
 def _tiled(members: DataFrame, percent: int) -> DataFrame:

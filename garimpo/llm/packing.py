@@ -148,7 +148,7 @@ def _cutter(path: str, byte_level: bool, end_id: int, window: int):
                     cols = {k: [] for k in names}
         yield rows()
 
-    return run
+    return common.tidied(run)
 
 
 def _tail_cuts(total: int, window: int) -> np.ndarray:
@@ -210,7 +210,7 @@ def _placer(p: dict[str, np.ndarray], hist: np.ndarray, window: int):
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-    return place
+    return common.tidied(place)
 
 
 def pack(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: int = 0, window: int = WINDOW, depth: int = DEPTH) -> DataFrame:

@@ -133,7 +133,7 @@ def _scorer(model):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in common.byte_lists(b.column(1))], pa.float64())], ["doc_id", "score"])
 
-    return run
+    return common.tidied(run)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -36,9 +36,7 @@ from . import common
 K = 35
 M = 6
 #: Bytes of packed strings held by a worker before they are sent off.
-HELD_BYTES = 24_000_000
-
-_words = common.WordHashes()
+HELD_BYTES = 12_000_000
 
 
 def leftmost_minima(x: np.ndarray, w: int) -> np.ndarray:
@@ -59,7 +57,7 @@ HOT_BIT = np.uint64(1 << 63)
 
 def super_kmers(words: list[bytes], k: int, m: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, end window, minimiser hash) of each super-k-mer of a text; ``hot`` (sorted) hashes rank last."""
-    grams = common.rolling(_words.of(words), m) >> np.uint64(1)
+    grams = common.rolling(common.word_hashes.of(words), m) >> np.uint64(1)
     if hot is not None and len(hot):
         at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
         grams = np.where(hot[at] == grams, grams | HOT_BIT, grams)
@@ -168,7 +166,7 @@ def _sender(k: int, m: int, buckets: int, held: int, hot):
                         batch = _Batch(buckets)
         yield from batch.rows()
 
-    return run
+    return common.tidied(run)
 
 
 #: Super-k-mers counted together by a worker in the first pass.
@@ -199,12 +197,13 @@ def _tally(k: int, m: int, shares: int):
         if size:
             yield flush()
 
-    return run
+    return common.tidied(run)
 
 
 def hot_minimisers(docs: DataFrame, k: int, m: int, shares: int) -> np.ndarray:
     """Minimisers of at least about one in ``shares`` of all super-k-mers, sorted; so many at most."""
     found = docs.select("text").mapInArrow(_tally(k, m, shares), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = common.staged(found, "minimisers")  # one pass over the text
     total = found.where("gram = -1").first()
     if total is None:
         return np.empty(0, np.uint64)
@@ -295,7 +294,7 @@ def _counter(k: int):
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([np.array(v, "<u4").tobytes() for v in found.values()], pa.binary())], ["name", "checksum", "spans"])
 
-    return run
+    return common.tidied(run)
 
 
 def repeated_spans(keyed: DataFrame, k: int = K, m: int = M, held: int = HELD_BYTES) -> DataFrame:
@@ -340,7 +339,7 @@ def _remover(k: int, with_text: bool):
                 kept.append((left if spans else text) if with_text else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())], ["key", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    return run
+    return common.tidied(run)
 
 
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, held: int = HELD_BYTES, with_text: bool = True, key: str = "doc_id") -> DataFrame:
