@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..options import Options
-from . import dense, sparse
+from . import classify, dense, sparse
 
 # Defaults of a hit's fields.
 HIT_DEFAULTS = {"documento": "desconhecido", "area": "geral", "content_type": "text"}
@@ -70,6 +70,21 @@ def rerank(ranked: DataFrame, scorer: Callable[[Column, Column], Column] | None,
     return scored.withColumn(rank, F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank_score"), rank)))
 
 
+def plans_of(queries: DataFrame, areas=(), subjects=()) -> DataFrame:
+    """(query_id, filtro_area, filtro_assunto) read from each query; given filters are never overridden."""
+    p = queries.select("query_id", classify.plan_query("query").alias("p"))
+    none = F.lit(None).cast("string")
+    return p.select("query_id", (none if areas else F.col("p.filtro_area")).alias("filtro_area"), (none if subjects else F.col("p.filtro_assunto")).alias("filtro_assunto"))
+
+
+def restricted(scored: DataFrame, chunks: DataFrame, plans: DataFrame) -> DataFrame:
+    """Scored pairs whose chunk has the area and the subject that its query's plan names."""
+    norm = lambda c: F.lower(F.trim(c))
+    j = scored.join(chunks.select("id", norm("area").alias("_a"), F.transform("assuntos", norm).alias("_s")), "id").join(plans, "query_id")
+    ok = (F.col("filtro_area").isNull() | (F.col("_a") == F.col("filtro_area"))) & (F.col("filtro_assunto").isNull() | F.array_contains("_s", F.col("filtro_assunto")))
+    return j.where(ok).select(*scored.columns)
+
+
 def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, options: Options = Options(), areas=(), subjects=(), scorer=None) -> DataFrame:
     """Hybrid search of ``queries(query_id, query, vector)`` over ``chunks(id, texto, area, assuntos, parent_id, ...)``.
 
@@ -80,8 +95,14 @@ def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, options: O
     k = options.top_k
     live = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
     allowed = eligible(chunks, areas, subjects).select("id") if areas or subjects else None
-    d = dense.dense_top(vectors, live.select("query_id", "vector"), max(4 * k, options.dense_candidates), allowed)
-    s = sparse.bm25_top(chunks.select("id", "texto"), live.select("query_id", "query"), max(6 * k, options.sparse_candidates), k1=options.k1, b=options.b, allowed=allowed)
+    n_dense, n_sparse = max(4 * k, options.dense_candidates), max(6 * k, options.sparse_candidates)
+    near = vectors.join(allowed, "id", "left_semi") if allowed is not None else vectors
+    by_vector = dense.scores(near, live.select("query_id", "vector"))
+    by_term = sparse.scores(chunks.select("id", "texto"), live.select("query_id", "query"), options.k1, options.b, allowed).where("sparse_score > 0")
+    if options.query_planning:
+        plans = plans_of(live, areas, subjects)
+        by_vector, by_term = restricted(by_vector, chunks, plans), restricted(by_term, chunks, plans)
+    d, s = sparse.top(by_vector, "dense_score", n_dense, "dense_rank"), sparse.top(by_term, "sparse_score", n_sparse, "sparse_rank")
     pool = max(3 * k, options.reranker_candidates if scorer else k)
     fused = fuse(d, s, options.rrf_k).where(F.col("fused_rank") <= pool)
     held = fused.join(chunks.select("id", "parent_id", *(["texto"] if scorer else [])), "id")
@@ -100,6 +121,20 @@ def merge_collections(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("merged_rank", F.row_number().over(w)).where(F.col("merged_rank") <= max(1, int(k)))
 
 
+def retrieve_for_answer(questions: DataFrame, documents: DataFrame, solutions: DataFrame, options: Options = Options(), rank: str = "final_rank") -> DataFrame:
+    """What an answer is built from: hits of either domain (``query_id, final_rank, ...``), tagged and in order.
+
+    A diagnostic question gets solutions first, then documents, each up to the
+    context's size; any other gets documents only.
+    """
+    most = min(options.top_k + 1, options.max_context_chunks, options.reranker_top_n)
+    asked = questions.select("query_id", classify.is_diagnostic("query").alias("diagnostic"))
+    part = lambda hits, domain, place: hits.where(F.col(rank) <= most).join(asked, "query_id").withColumn("retrieval_domain", F.lit(domain)).withColumn("_place", F.lit(place))
+    both = part(solutions, "solucoes", 0).where("diagnostic").unionByName(part(documents, "documentos", 1), allowMissingColumns=True)
+    w = W.partitionBy("query_id").orderBy("_place", rank)
+    return both.withColumn("_r", F.row_number().over(w)).drop(rank, "_place").withColumnRenamed("_r", rank)
+
+
 def hits(best: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ranked ids with their chunks' fields, defaults for what is missing."""
     given = set(chunks.columns)

@@ -600,3 +600,51 @@ def q57(spark, d):
         F.struct(*[F.lit("v").alias(n) for n in ("base_legal_lgpd", "modelo", "licenca_modelo", "dados_pessoais", "hospedagem")], one("dependencias_open_source")).alias("conformidade"),
     )
     return validation.catalog_chunks(c).select("solution_id", "documento", joined("assuntos"), "doc_titulo")
+
+
+@query(
+    "q58_planned_search",
+    f"""WITH {CHUNKS_SQL.replace("lang AS area", "CASE doc_id % 3 WHEN 0 THEN 'ia' WHEN 1 THEN 'infraestrutura' ELSE 'saude' END AS area").replace("text AS texto", "text || ' cluster paciente rag' AS texto")},
+tok AS (SELECT id, unnest(regexp_extract_all(lower(texto), '{TOKEN_SQL}')) AS token FROM chunks),
+post AS (SELECT id, token, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT id, len(regexp_extract_all(lower(texto), '{TOKEN_SQL}')) AS dl FROM chunks),
+st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
+df AS (SELECT token, count(*) AS df FROM post GROUP BY 1),
+q AS (SELECT unnest([1, 2, 3]) AS query_id, unnest(['cluster docker', 'paciente clinico', 'rag rag']) AS query, unnest(['infraestrutura', 'saude', 'ia']) AS area),
+qt AS (SELECT query_id, area, token, count(*) AS qtf FROM (SELECT query_id, area, unnest(regexp_extract_all(lower(query), '{TOKEN_SQL}')) AS token FROM q) GROUP BY ALL),
+bm AS (SELECT query_id, id, sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(a, 1e-6)))) AS s
+       FROM qt JOIN post USING (token) JOIN df USING (token) JOIN dl USING (id) JOIN chunks c USING (id), st WHERE c.area = qt.area GROUP BY ALL)
+SELECT CAST(query_id AS BIGINT) AS query_id, id, round(s, 6) AS score, r AS sparse_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS r FROM bm WHERE s > 0) WHERE r <= 5""",
+)
+def q58(spark, d):
+    k = F.col("id") % 3
+    c = T.chunks(spark, d).withColumn("area", F.when(k == 0, "ia").when(k == 1, "infraestrutura").otherwise("saude")).withColumn("texto", F.concat("texto", F.lit(" cluster paciente rag"))).withColumn("assuntos", F.array(F.lit("kubernetes"), F.lit("rag")))
+    q = spark.createDataFrame([(1, "cluster docker"), (2, "paciente clinico"), (3, "rag rag")], "query_id long, query string")
+    scored = search.restricted(sparse.scores(c, q).where("sparse_score > 0"), c, search.plans_of(q))
+    return sparse.top(scored, "sparse_score", 5, "sparse_rank").select("query_id", "id", F.round("sparse_score", 6).alias("score"), F.col("sparse_rank").cast("long").alias("sparse_rank"))
+
+
+@query(
+    "q59_retrieve_for_answer",
+    f"""WITH {SPEECH_SQL}, x AS (SELECT query_id, strip_accents(lower(query)) AS x FROM speech), y AS (SELECT query_id, {" OR ".join(f"contains(x, '{t}')" for t in classify.DIAGNOSTIC_TERMS)} AS diagnostic FROM x),
+r AS (SELECT unnest(range(1, 6)) AS r), h AS (SELECT query_id, 0 AS p, 'solucoes' AS retrieval_domain, r, query_id * 10 + r AS id FROM y, r WHERE diagnostic AND r <= 3 AND r <= query_id % 5 UNION ALL SELECT query_id, 1, 'documentos', r, query_id * 10 + r + 5 FROM y, r WHERE r <= 3)
+SELECT query_id, retrieval_domain, id, row_number() OVER (PARTITION BY query_id ORDER BY p, r) AS final_rank FROM h""",
+)
+def q59(spark, d):
+    q = T.speech(spark, d)
+    ranks = q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("final_rank"))
+    solutions = ranks.where("final_rank <= query_id % 5").withColumn("id", F.col("query_id") * 10 + F.col("final_rank"))
+    documents = ranks.withColumn("id", F.col("query_id") * 10 + F.col("final_rank") + 5)
+    return search.retrieve_for_answer(q, documents, solutions).select("query_id", "retrieval_domain", "id", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query("q60_document_metadata")
+def q60(spark, d):
+    m = structure.document_metadata(T.lines(spark, d))
+    return m.select("id", "documento_original", "titulo", joined("autores"), "ano", F.md5(F.coalesce("resumo", F.lit("")).cast("binary")).alias("resumo_md5"), joined("secoes_detectadas"), "tipo", "area", joined("assuntos"))
+
+
+@query("q61_line_elements")
+def q61(spark, d):
+    e = structure.elements_of_lines(T.lines(spark, d))
+    return structure.carry_sections(e).select("documento", "pagina", "pos", "tipo", "section_heading")

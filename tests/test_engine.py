@@ -345,3 +345,29 @@ def test_inventory_facets_and_sample(spark):
     assert (r.chunks, r.pages, r.first_page, r.last_page, r.title, r.year, r.areas, r.subjects) == (5, 3, 0, 2, "T1", 2002, ["ia", "saude"], ["a", "b"])
     assert {x.id for x in library.useful_chunks(c, 10).collect()} == {3, 4} and library.useful_chunks(c, 1).count() == 1
     assert X.TOKEN
+
+
+def test_planned_search_never_overrides_given_filters(spark):
+    c = spark.createDataFrame([(0, "kubernetes aa", "infraestrutura", ["kubernetes"], "p0"), (1, "kubernetes bb", "juridico", ["kubernetes"], "p1")], "id long, texto string, area string, assuntos array<string>, parent_id string")
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1])], "id long, vector array<double>")
+    q = spark.createDataFrame([(0, "deploy kubernetes cluster", [1.0, 0.0])], "query_id long, query string, vector array<double>")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(search.search(c, v, q)) == [0, 1]
+    assert ids(search.search(c, v, q, Options(query_planning=True))) == [0]
+    assert ids(search.search(c, v, q, Options(query_planning=True), areas="juridico")) == [1]
+
+
+def test_metadata_of_documents(spark):
+    rows = [
+        ("2021-x.pdf", 1, 0, "Chatbot e RAG no governo", 18.0, True), ("2021-x.pdf", 1, 1, "Brasília, 2021", 10.0, False), ("2021-x.pdf", 1, 2, "Resumo", 12.0, True), ("2021-x.pdf", 1, 3, "Texto do resumo", 10.0, False), ("2021-x.pdf", 1, 4, "em duas linhas", 10.0, False), ("2021-x.pdf", 1, 5, "Metodologia", 12.0, True), ("2021-x.pdf", 2, 0, "Resultados", 12.0, True), ("2021-x.pdf", 2, 1, "corpo", 10.0, False),
+    ]
+    m = structure.document_metadata(spark.createDataFrame(rows, LINES)).first()
+    assert (m.titulo, m.ano, m.resumo, m.tipo, m.area) == ("Chatbot e RAG no governo", 2021, "Texto do resumo em duas linhas", "artigo_cientifico", "ia")
+    assert m.secoes_detectadas == ["Chatbot e RAG no governo", "Resumo", "Metodologia", "Resultados"] and m.id == "2021-x"
+
+
+def test_lines_and_elements(spark):
+    lines = spark.createDataFrame([("d", 1, 0, "TITULO", 10.0, False), ("d", 1, 1, "um texto comum de uma página qualquer que tem mais de dez palavras", 10.0, False), ("d", 1, 2, " ", 10.0, False)], LINES)
+    e = structure.elements_of_lines(lines)
+    assert [r.tipo for r in e.orderBy("pos").collect()] == ["section", "text"]
+    assert [(r.font_size, r.is_bold) for r in structure.lines_of_elements(e).orderBy("pos").collect()] == [(14.0, True), (12.0, False)]
