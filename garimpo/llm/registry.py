@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle
 from .bitplane import op6_token_bitplanes
 from .chat import op3_schema_fingerprint_chat
 from .embeddings import op9_pca_tiles
@@ -26,5 +27,10 @@ QUERIES = {
     "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
 }
 
-#: Token ids, sketches, indexes and trained models aren't SQL; these queries are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_fm_index_decontamination": oracle.OP2,
+    "op3_schema_fingerprint_chat": oracle.OP3,
+    "op5_superkmer_dedup": oracle.OP5,
+    "op9_pca_tiles": oracle.OP9,
+    "op10_fast_similarity_sketch": oracle.OP10,
+}
