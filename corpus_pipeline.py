@@ -42,7 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the least doc_id stays, once."""
     classes = common.staged(minhash.near_duplicates(docs.select("doc_id", "text"), 5, 80), "near")
-    dropped = classes.where(~F.col("kept")).select("doc_id").distinct()
+    dropped = common.checked_broadcast(common.staged(classes.where(~F.col("kept")).select("doc_id").distinct(), "dropped"))
     left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     again = classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
