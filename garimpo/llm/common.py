@@ -40,6 +40,15 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers up to which a side of a join is broadcast; beyond, both sides shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` (staged, narrow) marked for broadcast if it is small enough: wide rows then needn't shuffle to meet it."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches that go to Python by rows; keeps a lower setting."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -265,7 +274,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         # Large star: every larger neighbour of u goes to u's least neighbour (or u itself).
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # Written, so that the join shuffles both sides anew and adaptive execution can split a hub's rows.
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every smaller neighbour of u, and u, go to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))

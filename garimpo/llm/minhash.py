@@ -32,7 +32,7 @@ from . import common
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Probability that banding misses a pair right at the threshold.
 MISS = 1e-6
-TILE_DOCS = 96
+TILE_DOCS = 192
 TILE_SHINGLES = 1_000_000
 
 
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     stars = banded.join(hubs, "bucket").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     families = common.components(stars)
     members = common.staged(families.join(classes.groupBy("rep").agg(F.max("n").alias("n")), F.col("node") == F.col("rep")).select(F.col("component").alias("family"), "rep", "n"), "families")
-    wanted = source.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    wanted = source.join(common.checked_broadcast(members.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
     sets = wanted.mapInArrow(_sets(shingle), "rep long, shingles binary")
     tiles = _tiled(members, percent).join(sets, "rep").select("tile", "rep", "shingles")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
