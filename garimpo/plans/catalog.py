@@ -450,7 +450,15 @@ def q40(spark, d):
     return answer.build_context(_ranked_by_area(spark, d).where("final_rank <= 6")).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
-@query("q41_grounded_answer")
+ONE_LINE_SQL = "trim(replace(trim(texto), chr(10), ' '))"
+
+
+@query(
+    "q41_grounded_answer",
+    RANKED_SQL
+    + f""", b AS (SELECT query_id, string_agg('- ' || CASE WHEN length({ONE_LINE_SQL}) > 320 THEN rtrim(left({ONE_LINE_SQL}, 320), ' ') || '...' ELSE {ONE_LINE_SQL} END || ' (' || {CITE_SQL} || ')', chr(10) ORDER BY r) AS b FROM rk WHERE r <= 6 AND trim(texto) <> '' GROUP BY 1)
+SELECT query_id, md5('{answer.GROUNDED}' || chr(10) || chr(10) || 'Trechos mais relevantes recuperados:' || chr(10) || b || chr(10) || chr(10) || 'Pergunta original: Q ' || query_id) AS answer_md5 FROM b""",
+)
 def q41(spark, d):
     hits = _ranked_by_area(spark, d)
     questions = hits.select("query_id").distinct().withColumn("query", F.concat(F.lit("Q "), "query_id"))
@@ -582,7 +590,7 @@ def q55(spark, d):
     return o.select("o_orderkey", X.document_key("name").alias("key"), F.when(F.col("o_orderkey") % 4 == 3, "").otherwise(X.document_id("name", F.col("y"))).alias("id"))
 
 
-@query("q56_chat_remembered")
+@query("q56_chat_remembered", "SELECT conv_id, count(*) + CASE WHEN conv_id % 2 = 0 THEN 2 ELSE 0 END AS n, max(turn) + CASE WHEN conv_id % 2 = 0 THEN 2 ELSE 0 END AS last_turn FROM conversations GROUP BY 1")
 def q56(spark, d):
     from ..streaming.conversations import remembered
 
@@ -644,7 +652,13 @@ def q60(spark, d):
     return m.select("id", "documento_original", "titulo", joined("autores"), "ano", F.md5(F.coalesce("resumo", F.lit("")).cast("binary")).alias("resumo_md5"), joined("secoes_detectadas"), "tipo", "area", joined("assuntos"))
 
 
-@query("q61_line_elements")
+@query(
+    "q61_line_elements",
+    rf"""WITH {LINES_SQL}, md AS (SELECT documento, page, median(font_size) AS m FROM lines GROUP BY ALL),
+x AS (SELECT l.*, m, trim(texto) AS t, len(list_filter(regexp_split_to_array(texto, '\s+'), lambda x: x <> '')) AS n FROM lines l JOIN md USING (documento, page) WHERE trim(texto) <> ''),
+e AS (SELECT documento, page AS pagina, pos, texto, CASE WHEN {HEADING_SQL.replace("font_size >= 11.0", "font_size >= m + 1.0")} THEN 'section' ELSE 'text' END AS tipo FROM x)
+SELECT documento, pagina, pos, tipo, last_value(CASE WHEN tipo = 'section' THEN texto END IGNORE NULLS) OVER (PARTITION BY documento, pagina ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_heading FROM e""",
+)
 def q61(spark, d):
     e = structure.elements_of_lines(T.lines(spark, d))
     return structure.carry_sections(e).select("documento", "pagina", "pos", "tipo", "section_heading")
