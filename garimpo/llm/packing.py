@@ -6,7 +6,8 @@
    window) are enumerated; their repeat counts solve
    ``min |A x - h|, x >= 0`` against the histogram ``h`` of remainders
    (accelerated projected gradient on the sparse incidence matrix).
-3. Counts are rounded down and clipped to what the histogram offers.
+3. Counts are rounded (to one at least where the solution has a share), largest
+   first, as far as the histogram offers the lengths.
 4. What the plan leaves over is packed greedily: residual pieces are laid end
    to end, longest first, and cut at window ends; the last, part-filled window
    is cut at powers of two, which need no padding.
@@ -68,12 +69,12 @@ def solve_counts(hist: np.ndarray, combos: np.ndarray, rounds: int = 1500) -> np
     v = np.random.default_rng(0).random(len(c))
     for _ in range(30):
         v = back(times(v))
-        norm = np.linalg.norm(v)
+        norm = float((v * v).sum()) ** 0.5  # elementwise: no BLAS threads for small vectors
         v /= norm
     step, y, z, t = 1 / (1.02 * norm), np.zeros(len(c)), np.zeros(len(c)), 1.0
     for _ in range(rounds):
         new = np.maximum(0, z - step * back(times(z) - h))
-        if np.dot(z - new, new - y) > 0:
+        if ((z - new) * (new - y)).sum() > 0:
             t = 1.0
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z, moved = new + (t - 1) / t2 * (new - y), np.abs(new - y).max()
@@ -92,11 +93,12 @@ def plan(hist: np.ndarray, window: int = WINDOW, depth: int = DEPTH) -> dict[str
     that the plan doesn't place; ``sequences``: how many it fills.
     """
     combos = combinations(window, depth)
-    want = np.floor(solve_counts(hist.astype(float), combos) + 1e-9).astype(np.int64)
+    counts = solve_counts(hist.astype(float), combos)
+    want = np.where(counts > 1e-3, np.maximum(1, np.rint(counts)), 0).astype(np.int64)
     free = hist.astype(np.int64).copy()
     taken = np.zeros(window, np.int64)
     rows, sequence = [], 0
-    for k in np.lexsort((np.arange(len(want)), -want)):
+    for k in np.lexsort((np.arange(len(want)), -counts)):
         if want[k] < 1:
             break
         lengths = [int(v) for v in combos[k] if v]
