@@ -22,12 +22,21 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset: the session's checkpoint folder, else the warehouse on
+    a cluster, else (one machine only, as in tests) a temporary folder.
+    """
+    context = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="garimpo-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if context.getCheckpointDir().isDefined():
+            found = context.getCheckpointDir().get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            found = tempfile.mkdtemp(prefix="garimpo-")
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/garimpo-staged"
+    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -81,7 +90,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered; emptied when it has grown to ``most`` words."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -98,6 +98,11 @@ def _unpack(blob: bytes) -> list[bytes]:
     return out
 
 
+def _short(hashes: bytes) -> np.ndarray:
+    """The sorted 32-bit minimiser hashes of a blob."""
+    return np.cumsum(_unplanes(hashes, "<u4"), dtype=np.uint32)
+
+
 class _Batch:
     """Super-k-mers of some documents, equal ones merged.  A document is named by its id and its text's checksum."""
 
@@ -274,21 +279,28 @@ def _settle_bucket(hashes, starts, counts, again, keys, strings, k: int, found:
 
 def _counter(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Blobs are held as they came; only super-k-mers whose minimiser occurs again are unpacked for good.
+        blobs = [blob.as_py() for b in batches for blob in b.column(1)]
+        short = np.sort(np.concatenate([_short(_unpack(b)[0]) for b in blobs])) if blobs else np.empty(0, np.uint32)
+        again_short = np.unique(short[1:][short[1:] == short[:-1]])
         columns: list[list[np.ndarray]] = [[], [], [], []]
         keys: list[tuple[int, int]] = []
         strings: list[bytes] = []
         found: dict[tuple[int, int], list[int]] = {}
-        for b in batches:
-            for blob in b.column(1):
-                hashes, starts, counts, again, names, sums, text, own_names, own_sums, sizes, spans = _unpack(blob.as_buffer())
-                for out, x in zip(columns, (np.cumsum(_unplanes(hashes, "<u4"), dtype=np.uint32), _unplanes(starts, "<u4"), _unplanes(counts, "<u2"), np.frombuffer(again, np.uint8)), strict=True):
-                    out.append(x)
-                keys += zip(_unplanes(names, "<i8").tolist(), _unplanes(sums, "<u4").tolist(), strict=True)
-                strings += text.split(b"\n") if again else []
-                ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
-                values = np.frombuffer(spans, "<u4").tolist()
-                for key, lo, hi in zip(zip(_unplanes(own_names, "<i8").tolist(), _unplanes(own_sums, "<u4").tolist(), strict=True), [0, *ends], ends, strict=False):
-                    found.setdefault(key, []).extend(values[lo:hi])
+        for blob in blobs:
+            hashes, starts, counts, again, names, sums, text, own_names, own_sums, sizes, spans = _unpack(blob)
+            h = _short(hashes)
+            pick = np.flatnonzero(np.isin(h, again_short))
+            if len(pick):
+                for out, x in zip(columns, (h, _unplanes(starts, "<u4"), _unplanes(counts, "<u2"), np.frombuffer(again, np.uint8)), strict=True):
+                    out.append(x[pick])
+                keys += zip(_unplanes(names, "<i8")[pick].tolist(), _unplanes(sums, "<u4")[pick].tolist(), strict=True)
+                some = text.split(b"\n")
+                strings += [some[i] for i in pick.tolist()]
+            ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+            values = np.frombuffer(spans, "<u4").tolist()
+            for key, lo, hi in zip(zip(_unplanes(own_names, "<i8").tolist(), _unplanes(own_sums, "<u4").tolist(), strict=True), [0, *ends], ends, strict=False):
+                found.setdefault(key, []).extend(values[lo:hi])
         if keys:
             _settle_bucket(*(np.concatenate(c) for c in columns), keys, strings, k, found)
         if found:
