@@ -87,24 +87,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, remembered; emptied when it has grown to ``most`` words."""
+#: Bytes hashed together; the table of powers is as long.
+HASH_BLOCK = 1 << 18
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def __init__(self, most: int = 150_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64, and their inverses."""
+    if n > HASH_BLOCK or not _powers:
+        size = max(n, HASH_BLOCK)
+        both = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)])) for base in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))))
+        if size > HASH_BLOCK:
+            return both
+        _powers.append(both)
+    return _powers[0]
+
 
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value
-        return value
+def hash_words(normal: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hashes, first bytes, end bytes) of the words of a text with one space between words.
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    A word's hash is the sum over its bytes of a random value of the byte times
+    a power of the base, got for all words at once from running sums.
+    """
+    data = np.frombuffer(normal, np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(data))
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + HASH_BLOCK, "right")))  # whole words; one at least
+        lo, hi = int(starts[first]), int(ends[last - 1])
+        power, inverse = _power_tables(hi - lo)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTE[data[lo:hi]] * power[: hi - lo], out=sums[1:])
+        a, b = starts[first:last] - lo, ends[first:last] - lo
+        out[first:last] = (sums[b] - sums[a]) * inverse[a]
+        first = last
+    return mix64(out), starts, ends
 
 
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -120,10 +141,6 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
-#: Shared by the operators of a worker.
-word_hashes = WordHashes()
-
-
 def tidied(run):
     """A batch function that gives its memory back when its task ends: idle workers keep none of it."""
 
@@ -134,7 +151,6 @@ def tidied(run):
             import ctypes
             import gc
 
-            word_hashes.clear()
             gc.collect()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)

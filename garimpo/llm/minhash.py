@@ -42,12 +42,13 @@ def shape(percent: int, miss: float = MISS) -> tuple[int, int]:
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)), rows
 
 
-def shingle_set(text: bytes, k: int) -> tuple[np.ndarray, list[bytes]]:
-    """Sorted distinct 64-bit hashes of a text's k-word shingles (all its words as one if it has fewer), and its words."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64), words
-    return np.unique(common.rolling(common.word_hashes.of(words), min(k, len(words)))), words
+def shingle_set(text: bytes, k: int) -> tuple[np.ndarray, bytes]:
+    """Sorted distinct 64-bit hashes of a text's k-word shingles (all its words as one if it has fewer), and its words joined by spaces."""
+    normal = b" ".join(text.translate(LOWER).split())
+    if not normal:
+        return np.empty(0, np.uint64), normal
+    hashes = common.hash_words(normal)[0]
+    return np.unique(common.rolling(hashes, min(k, len(hashes)))), normal
 
 
 def sketch(elements: np.ndarray, t: int) -> np.ndarray:
@@ -88,13 +89,13 @@ def _sketcher(k: int, bands: int, rows: int):
         for b in batches:
             sizes, twins, keys, known = [], [], [], {}
             for text in common.byte_lists(b.column(1)):
-                elements, words = shingle_set(text, k)
+                elements, normal = shingle_set(text, k)
                 sizes.append(len(elements))
-                if not words:
+                if not normal:
                     twins.append(None)
                     keys.append(None)
                     continue
-                twin = xxhash.xxh3_128_digest(b" ".join(words))
+                twin = xxhash.xxh3_128_digest(normal)
                 twins.append(twin)
                 if twin not in known:
                     known[twin] = band_keys(sketch(elements, bands * rows), bands, rows)

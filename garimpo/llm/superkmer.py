@@ -55,9 +55,9 @@ def leftmost_minima(x: np.ndarray, w: int) -> np.ndarray:
 HOT_BIT = np.uint64(1 << 63)
 
 
-def super_kmers(words: list[bytes], k: int, m: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, end window, minimiser hash) of each super-k-mer of a text; ``hot`` (sorted) hashes rank last."""
-    grams = common.rolling(common.word_hashes.of(words), m) >> np.uint64(1)
+def super_kmers(hashes: np.ndarray, k: int, m: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, end window, minimiser hash) of each super-k-mer of a text's word hashes; ``hot`` (sorted) hashes rank last."""
+    grams = common.rolling(hashes, m) >> np.uint64(1)
     if hot is not None and len(hot):
         at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
         grams = np.where(hot[at] == grams, grams | HOT_BIT, grams)
@@ -115,11 +115,10 @@ class _Batch:
     def add(self, key: tuple[int, int], words: list[bytes], k: int, m: int, hot: np.ndarray | None) -> None:
         doc = len(self.docs)
         self.docs.append(key)
-        starts, ends, hashes = super_kmers(words, k, m, hot)
-        ends_at = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         text = b" ".join(words)
-        lo = np.append(0, ends_at)[starts]
-        hi = ends_at[ends + k - 2] - 1
+        word_hashes, from_, to = common.hash_words(text)
+        starts, ends, hashes = super_kmers(word_hashes, k, m, hot)
+        lo, hi = from_[starts], to[ends + k - 2]
         known = self.first
         for s, e, a, b, h in zip(starts.tolist(), ends.tolist(), lo.tolist(), hi.tolist(), hashes.tolist(), strict=True):
             string = text[a:b]
@@ -194,7 +193,7 @@ def _tally(k: int, m: int, shares: int):
             for text in common.byte_lists(b.column(0)):
                 words = text.split()
                 if len(words) >= k:
-                    held.append(super_kmers(words, k, m)[2])
+                    held.append(super_kmers(common.hash_words(b" ".join(words))[0], k, m)[2])
                     size += len(held[-1])
                     if size >= COUNTED:
                         yield flush()

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from garimpo.llm import superkmer
+from garimpo.llm import common, superkmer
 
 
 def brute(rows, k):
@@ -74,7 +74,21 @@ def test_hot_minimisers_rank_last(spark, monkeypatch):
     df = frame(spark, rows).selectExpr("doc_id", "text")
     hot = superkmer.hot_minimisers(df, 35, 6, 100)
     assert 1 <= len(hot) <= 3
-    grams = [superkmer.super_kmers(t.encode().split(), 35, 6, hot)[2] for _, t in rows]
+    grams = [superkmer.super_kmers(common.hash_words(t.encode())[0], 35, 6, hot)[2] for _, t in rows]
     assert not any((g & superkmer.HOT_BIT).any() for g in grams)
     got = superkmer.remove_repeats(df, 35, 6).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 35)
+
+
+def test_word_hashes_depend_on_the_word_alone(monkeypatch):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 40))).encode() for _ in range(3000)] + [b"x" * 500]
+    want = {w: int(common.hash_words(w)[0][0]) for w in words}
+    assert len(set(want.values())) == len(want)
+    for block in (common.HASH_BLOCK, 64):
+        monkeypatch.setattr(common, "HASH_BLOCK", block)
+        common._powers.clear()
+        text = b" ".join(words)
+        hashes, starts, ends = common.hash_words(text)
+        assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == words and hashes.tolist() == [want[w] for w in words]
+    common._powers.clear()
