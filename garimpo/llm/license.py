@@ -126,8 +126,27 @@ NEGATIVES = (
     "Which license should I choose, the lawyer asked.",
     "The license plate was found in the forest.",
 )
-#: A paragraph without any of these is no licence notice.
-ANCHOR = r"(?i)licen[cs]|copyright|rights reserved|spdx|public domain|permission|redistribut|reproduced|unauthori[sz]ed|\bcc0|\bcc by|creative commons|gpl|free software"
+#: What names a licence or belongs to the wording of one; whole words (any characters but letters and digits between them).
+MARKS = (
+    "affero", "apache", "attribution", "binary", "bsd", "by sa", "by nc", "cc by", "code form", "conditions are met", "confidential", "copy of this", "copying of",
+    "creative", "deal in the software", "dedicated to the", "documentation files", "except in compliance", "extent possible", "following conditions", "free of charge",
+    "gnu", "in all copies", "included in all", "under mit", "under the mit", "modification", "modify it", "mozilla", "mpl", "non commercial", "noncommercial", "part of this", "person obtaining",
+    "prior written", "prohibited", "proprietary", "related rights", "share alike", "sharealike", "software and associated", "source code", "strictly",
+    "substantial portions", "terms of", "the terms", "unencumbered", "under law", "use this file", "waived", "without restriction",
+)
+
+
+def _anchor() -> str:
+    """One pattern for Python and Java; marks are tried at the start of a word only, by first letter."""
+    gap, by_letter = "[^a-z0-9]{1,3}", {}
+    for mark in MARKS:
+        by_letter.setdefault(mark[0], []).append(mark[1:].replace(" ", gap))
+    marks = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items())
+    return rf"(?i)licen[cs]|copyright|rights reserved|spdx|public domain|permission|redistribut|reproduced|unauthori[sz]ed|\bcc0|gpl|free software|(?<![a-z0-9])(?:{marks})(?![a-z0-9])"
+
+
+#: A paragraph without any of these is no licence notice: ordinary words and numbers of a notice ("this work", "version 2.0") and "mit" alone, a German word, name none.
+ANCHOR = _anchor()
 #: The least probability of a family, and the least share of n-grams that a template must confirm.
 SURE, SHARED = 0.5, 0.5
 GRAMS = 3
@@ -211,9 +230,9 @@ def train(folds: int = 3) -> Model:
     return Model(classes, vocabulary, np.round(w, 6), np.round(b, 6), temperature)
 
 
-def classify(text: str, model: Model) -> tuple[str, float]:
-    """(family, probability) by hand, for tests; ``scan`` computes the same in Spark."""
-    if not re.search(ANCHOR, text):
+def classify(text: str, model: Model, anchored: bool = True) -> tuple[str, float]:
+    """(family, probability) by hand, for tests; ``scan`` computes the same in Spark.  Without ``anchored`` the model alone decides."""
+    if anchored and not re.search(ANCHOR, text):
         return NONE, 1.0
     grams = ngrams(text)
     z = model.bias + sum((model.weights[model.vocabulary[g]] for g in grams if g in model.vocabulary), np.zeros(len(model.bias))) / math.sqrt(max(1, len(grams)))

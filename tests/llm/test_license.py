@@ -37,6 +37,31 @@ def test_no_notices(model, text):
     assert lic.classify(text, model)[0] in (lic.NONE, "unknown")
 
 
+@pytest.mark.parametrize(
+    "text,family",
+    [
+        ("Available under CC-BY-SA 4.0.", "CC-BY-SA"),
+        ("Available under CC-BY 4.0.", "CC-BY"),
+        ("Dataset published under CC-BY-NC 4.0.", "CC-BY-NC"),
+        ("Distributed under Apache 2.0.", "Apache"),
+        ("Released under MIT.", "MIT"),
+    ],
+)
+def test_notices_by_name_alone(spark, model, text, family):
+    assert lic.classify(text, model)[0] == family
+    assert [r.families for r in lic.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()] == [[family]]
+
+
+def test_prefilter_skips_no_notice(model):
+    examples = {t for c, t in lic._examples() if c != lic.NONE}
+    examples |= {re.sub(r"(?i)\bcc by", "CC-BY", t) for t in examples} | {re.sub(r"(?i) (licen[cs]e|version),?(?= |\.)", "", t) for t in examples if len(t) < 80}
+    runs = {" ".join(w[i:j]) for w in map(str.split, examples) for i in range(len(w)) for j in {len(w), *range(i + 7, min(i + 14, len(w)))} if j - i >= min(7, len(w))}
+    assert len(runs) > 1000
+    assert [t for t in sorted(runs) if lic.classify(t, model, False)[0] not in (lic.NONE, "unknown", lic.classify(t, model)[0])] == []
+    for text in ("3.", "1.0", "Version 2.0", "This work is", "All"):  # the model alone would take these for notices
+        assert lic.classify(text, model) == (lic.NONE, 1.0)
+
+
 def by_hand(rows, model):
     out = []
     for d, t in rows:
