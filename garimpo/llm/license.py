@@ -1,8 +1,9 @@
 """Licence scans: a trained paragraph classifier, native Spark on the main path.
 
-Paragraphs (lines) that hold an anchor word are scored by a multinomial
-logistic regression over sparse word n-grams (one to three words), with a class
-for "no licence".  Its temperature is calibrated on folds left out of training.
+Paragraphs (sentences of a line) that hold an anchor word are scored by a
+multinomial logistic regression over sparse word n-grams (one to three words),
+with a class for "no licence".  Where that doesn't settle a paragraph, or it is
+longer than any template, overlapping windows of its words are scored too.  Its temperature is calibrated on folds left out of training.
 A predicted family is confirmed when the paragraph shares enough of its n-grams
 with one of the family's templates; a prediction that is unsure or not
 confirmed is ``unknown``.
@@ -10,7 +11,7 @@ confirmed is ``unknown``.
 The model is trained on the templates below, on the driver: a bounded set that
 doesn't depend on the data.  Its weights and the templates' n-grams are small
 tables (bounded by the templates) that are broadcast.  The scan itself is
-DataFrame expressions only, and each distinct paragraph is scored once.
+DataFrame expressions only, and each distinct paragraph or window is scored once.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import common
+
 # Notices of each family as licence authors publish them, in short forms that documents carry.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
@@ -150,6 +154,12 @@ ANCHOR = _anchor()
 #: The least probability of a family, and the least share of n-grams that a template must confirm.
 SURE, SHARED = 0.5, 0.5
 GRAMS = 3
+#: Where paragraphs end; a window's words as they stand in the text (anchors may depend on case).
+ENDS, CASED = r"\n|(?<=[.!?])[ \t]+", "[A-Za-z0-9]+"
+#: Windows as (words, words from one to the next): some window holds any run of words and few more.
+WINDOWS = tuple((n, max(1, n // 4)) for n in (4, 6, 8, 12, 16, 24, 32))
+#: Windows of so many words that are unsure or unconfirmed make a long paragraph ``unknown``.
+UNSURE_WORDS = 16
 
 _word = "[a-z0-9]+"
 
@@ -158,6 +168,10 @@ def words(text: str) -> list[str]:
     return re.findall(_word, re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
+#: Words of the longest template; a confirmed paragraph of no more words is one notice.
+LONGEST = max(len(words(t)) for ts in TEMPLATES.values() for t in ts)
+
+
 def ngrams(text: str) -> set[str]:
     w = words(text)
     return {" ".join(w[i : i + n]) for n in range(1, GRAMS + 1) for i in range(len(w) - n + 1)}
@@ -230,19 +244,54 @@ def train(folds: int = 3) -> Model:
     return Model(classes, vocabulary, np.round(w, 6), np.round(b, 6), temperature)
 
 
-def classify(text: str, model: Model, anchored: bool = True) -> tuple[str, float]:
-    """(family, probability) by hand, for tests; ``scan`` computes the same in Spark.  Without ``anchored`` the model alone decides."""
-    if anchored and not re.search(ANCHOR, text):
-        return NONE, 1.0
+def score(text: str, model: Model) -> tuple[str, float, float, float]:
+    """(class, probability, shared, likeness) by hand: see ``score_paragraphs``."""
     grams = ngrams(text)
     z = model.bias + sum((model.weights[model.vocabulary[g]] for g in grams if g in model.vocabulary), np.zeros(len(model.bias))) / math.sqrt(max(1, len(grams)))
     p = np.exp((z - z.max()) / model.temperature)
     p /= p.sum()
     k = int(np.argmax(p))
-    if model.classes[k] == NONE:
-        return NONE, float(p[k])
-    shared = max(len(grams & ngrams(t)) / min(len(grams), len(ngrams(t))) for t in TEMPLATES[model.classes[k]])
-    return (model.classes[k] if p[k] >= SURE and shared >= SHARED else "unknown"), float(p[k])
+    both = [(len(grams & t), len(t)) for t in map(ngrams, TEMPLATES.get(model.classes[k], ()))]
+    shared, alike = max((c / max(1, min(len(grams), t)) for c, t in both), default=0.0), max((2 * c / (len(grams) + t) for c, t in both), default=0.0)
+    return model.classes[k], float(p[k]), shared, alike
+
+
+def judge(paragraph: str, model: Model, anchored: bool = True) -> tuple[dict[str, float], bool, float]:
+    """(probability of each confirmed family, whether the paragraph is unknown, the whole's probability) by hand."""
+    if anchored and not re.search(ANCHOR, paragraph):
+        return {}, False, 1.0
+    w = re.findall(CASED, paragraph)
+    family, p, shared, alike = score(paragraph, model)
+    sure = family != NONE and p >= SURE and shared >= SHARED
+    if sure and len(w) <= LONGEST:
+        return {family: p}, False, p
+    found, unsure = [(-alike, -len(w), 0, family, p)] if sure else [], family != NONE
+    for size, step in WINDOWS:
+        for i in sorted({*range(0, len(w) - size + 1, step), len(w) - size}) if size < len(w) else ():
+            text = " ".join(w[i : i + size])
+            if re.search(ANCHOR, text):
+                f, q, shared, alike = score(text, model)
+                if f != NONE and q >= SURE and min(shared, alike) >= SHARED:
+                    found.append((-alike, -size, i, f, q))
+                elif f != NONE and size >= UNSURE_WORDS and len(w) > LONGEST:
+                    unsure = True
+    kept = []
+    for x in sorted(found):
+        if all(x[2] >= y[2] - y[1] or y[2] >= x[2] - x[1] for y in kept):
+            kept.append(x)
+    out = {}
+    for *_, f, q in kept:
+        out[f] = max(q, out.get(f, 0.0))
+    return out, unsure and not out, p
+
+
+def classify(text: str, model: Model, anchored: bool = True) -> tuple[str, float]:
+    """(the most probable family of a line, probability) by hand, for tests; ``scan`` computes the same in Spark.  Without ``anchored`` the model alone decides."""
+    judged = [judge(t.strip(" "), model, anchored) for t in re.split(ENDS, text)]
+    best = max(((p, f) for found, _, _ in judged for f, p in found.items()), default=None)
+    if best:
+        return best[1], best[0]
+    return next((("unknown", p) for _, unknown, p in judged if unknown), (NONE, min(p for *_, p in judged)))
 
 
 _models: list[Model] = []
@@ -274,7 +323,12 @@ def _tables(spark: SparkSession, m: Model) -> tuple[DataFrame, DataFrame]:
 
 
 def score_paragraphs(paragraphs: DataFrame, model: Model) -> DataFrame:
-    """Distinct ``paragraphs(paragraph)`` -> ``(paragraph, family, probability, shared)``."""
+    """Distinct ``paragraphs(paragraph)`` -> ``(paragraph, family, probability, shared, alike)``.
+
+    ``shared`` is the greatest share of n-grams, of the shorter of paragraph and
+    template, that a template of the family has in common with the paragraph;
+    ``alike`` is the greatest such share of the n-grams of both.
+    """
     weights, templates = (F.broadcast(t) for t in _tables(paragraphs.sparkSession, model))
     grams = paragraphs.distinct().withColumn("grams", _gram_array(F.col("paragraph"))).withColumn("n", F.size("grams"))
     each = grams.select("paragraph", "n", F.explode_outer("grams").alias("gram"))
@@ -284,34 +338,80 @@ def score_paragraphs(paragraphs: DataFrame, model: Model) -> DataFrame:
     p = sums.select("paragraph", z.alias("z")).withColumn("top", F.array_max("z"))
     p = p.select("paragraph", F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))).alias("probability"))
     shared = each.join(templates, "gram").groupBy("paragraph", "n", "template", "family", "template_grams").agg(F.count("*").alias("c"))
-    shared = shared.groupBy("paragraph", "family").agg(F.max(F.col("c") / F.least("n", "template_grams")).alias("shared"))
-    return p.join(shared, ["paragraph", "family"], "left").select("paragraph", "family", "probability", F.coalesce("shared", F.lit(0.0)).alias("shared"))
+    shared = shared.groupBy("paragraph", "family").agg(F.max(F.col("c") / F.least("n", "template_grams")).alias("shared"), F.max(2 * F.col("c") / (F.col("n") + F.col("template_grams"))).alias("alike"))
+    return p.join(shared, ["paragraph", "family"], "left").select("paragraph", "family", "probability", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("shared", "alike")])
+
+
+def _windows(n):
+    """(start, size) of a paragraph's windows, from its number of words."""
+
+    def of(size: int, step: int):
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), n - size, F.lit(step)), F.array(n - size)))
+        return F.when(n > size, F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(size).alias("size")))).otherwise(F.array().cast("array<struct<start:int,size:int>>"))
+
+    return F.concat(*[of(*w) for w in WINDOWS])
+
+
+def judge_paragraphs(paragraphs: DataFrame, model: Model) -> DataFrame:
+    """Distinct ``paragraphs(paragraph)`` -> ``(paragraph, notices, unknown)``; notices are ``(probability, family)``, one of each family.
+
+    Confirmed windows are taken from the one most like a template down; those
+    that overlap one already taken are parts of it, not notices.
+    """
+    n = F.size(F.regexp_extract_all("paragraph", F.lit(CASED), F.lit(0)))
+    sure = (F.col("family") != NONE) & (F.col("probability") >= SURE) & (F.col("shared") >= SHARED)
+    whole = common.staged(score_paragraphs(paragraphs, model).withColumn("n", n).withColumn("sure", sure), "licence-paragraphs")
+    settled = F.col("sure") & (F.col("n") <= LONGEST)
+    w = F.regexp_extract_all("paragraph", F.lit(CASED), F.lit(0))
+    spans = whole.where(~settled).select("paragraph", "n", w.alias("w")).select("paragraph", "n", "w", F.explode(_windows(F.col("n"))).alias("s"))
+    spans = spans.select("paragraph", "n", "s.start", "s.size", F.array_join(F.slice("w", F.col("s.start") + 1, F.col("s.size")), " ").alias("window")).where(F.col("window").rlike(ANCHOR))
+    spans = common.staged(spans, "licence-windows")
+    scored = score_paragraphs(spans.select(F.col("window").alias("paragraph")), model).withColumnRenamed("paragraph", "window")
+    judged = spans.join(scored, "window").where(F.col("family") != NONE).withColumn("sure", sure & (F.col("alike") >= SHARED))
+    judged = judged.select("paragraph", "n", "start", "size", "family", "probability", "alike", "sure")
+    judged = common.staged(judged.unionByName(whole.where(F.col("sure") & ~settled).select("paragraph", "n", F.lit(0).alias("start"), F.col("n").alias("size"), "family", "probability", "alike", "sure")), "licence-windows")
+    # Windows that overlap, directly or through others, are an island; only within one do they compete.
+    by_start = W.partitionBy("paragraph").orderBy("start", "size")
+    before = F.max(F.col("start") + F.col("size")).over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    islands = judged.where("sure").withColumn("first", F.when(F.col("start") < before, 0).otherwise(1))
+    islands = islands.withColumn("island", F.sum("first").over(by_start.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    item = F.struct((-F.col("alike")).alias("a"), (-F.col("size")).alias("b"), F.col("start").alias("start"), F.col("family").alias("family"), F.col("probability").alias("probability"))
+    sorted_ = islands.groupBy("paragraph", "island").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    none = F.slice(F.col("items"), 1, 0)
+    apart = lambda x, y: (x["start"] >= y["start"] - y["b"]) | (y["start"] >= x["start"] - x["b"])
+    kept = F.aggregate("items", none, lambda kept, x: F.when(F.forall(kept, lambda y: apart(x, y)), F.concat(kept, F.array(x))).otherwise(kept))
+    parts = sorted_.select("paragraph", F.explode(kept).alias("k")).select("paragraph", "k.family", "k.probability")
+    parts = parts.unionByName(whole.where(settled).select("paragraph", "family", "probability"))
+    notices = parts.groupBy("paragraph", "family").agg(F.max("probability").alias("probability")).groupBy("paragraph").agg(F.collect_list(F.struct("probability", "family")).alias("notices"))
+    unsure = judged.where(~F.col("sure") & (F.col("size") >= UNSURE_WORDS) & (F.col("n") > LONGEST)).select("paragraph")
+    unsure = unsure.unionByName(whole.where(F.col("family") != NONE).select("paragraph")).distinct().withColumn("unsure", F.lit(True))
+    return notices.join(unsure, "paragraph", "full").select("paragraph", "notices", F.col("notices").isNull().alias("unknown"))
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Licence notices of every row of ``docs(doc_id, text)``.
 
     ``-> (doc_id, n_notices, families, n_unknown, best_family, best_probability)``:
-    paragraphs with a confirmed family, the sorted distinct families, paragraphs
-    that look like a notice but are unsure or unconfirmed, and the most probable
-    confirmed family (ties: the greatest name; null if none).  Null texts have no
-    paragraphs; rows that share a doc_id, or lack one, are separate rows.
-    Other columns are ignored; an empty table gives no rows.
+    confirmed families of each paragraph (a sentence of a line), the sorted
+    distinct families, paragraphs without one that look like a notice but are
+    unsure or unconfirmed, and the most probable confirmed family (ties: the
+    greatest name; null if none).  Null texts have no paragraphs; rows that
+    share a doc_id, or lack one, are separate rows.  Other columns are ignored;
+    an empty table gives no rows.
     """
     m = model or _model()
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda p: p.rlike(ANCHOR))
+    paragraphs = F.filter(F.split(F.col("text"), ENDS), lambda p: p.rlike(ANCHOR))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.when(F.col("text").rlike(ANCHOR), F.transform(lines, lambda p: F.trim(p))).alias("lines"))
-    each = rows.select("doc_id", "row", F.explode_outer("lines").alias("paragraph"))
-    scored = score_paragraphs(each.where("paragraph is not null").select("paragraph"), m)
-    named = F.when((F.col("family") != NONE) & (F.col("probability") >= SURE) & (F.col("shared") >= SHARED), F.col("family"))
-    judged = each.join(scored, "paragraph", "left").select("doc_id", "row", "family", "probability", named.alias("named"))
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.when(F.col("text").rlike(ANCHOR), F.transform(paragraphs, lambda p: F.trim(p))).alias("paragraphs"))
+    each = common.staged(rows.select("doc_id", "row", F.explode_outer("paragraphs").alias("paragraph")), "licence-rows")
+    judged = judge_paragraphs(each.where("paragraph is not null").select("paragraph"), m)
+    judged = each.join(judged, "paragraph", "left").select("doc_id", "row", "unknown", F.explode_outer("notices").alias("notice"))
     return judged.groupBy("row", "doc_id").agg(
-        F.count("named").alias("n_notices"),
-        F.array_sort(F.collect_set("named")).alias("families"),
-        F.count(F.when((F.col("family") != NONE) & F.col("named").isNull(), 1)).alias("n_unknown"),
-        F.max(F.when(F.col("named").isNotNull(), F.struct("probability", "named"))).alias("best"),
-    ).select("doc_id", "n_notices", "families", "n_unknown", F.col("best.named").alias("best_family"), F.col("best.probability").alias("best_probability"))
+        F.count("notice").alias("n_notices"),
+        F.array_sort(F.collect_set("notice.family")).alias("families"),
+        F.count(F.when(F.col("unknown"), 1)).alias("n_unknown"),
+        F.max("notice").alias("best"),
+    ).select("doc_id", "n_notices", "families", "n_unknown", F.col("best.family").alias("best_family"), F.col("best.probability").alias("best_probability"))
 
 
 def op8_license_paragraphs(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Licence scans (8): Spark against the classifier by hand, held-out notices, odd rows."""
 
+import random
 import re
 
 import pytest
@@ -101,3 +102,23 @@ def test_whole_table(spark, model):
 def test_native_plan(spark):
     plan = lic.op8_license_paragraphs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_notices_inside_long_lines(spark, model):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abdefilmnorstu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    notices = {"MIT": "Released under the MIT License", "Apache": "Licensed under the Apache License, Version 2.0", "GPL": "This work is licensed under the GNU General Public License, version 3", "CC-BY-NC": "Licensed under CC BY-NC 4.0", "CC-BY-SA": "Text is available under CC-BY-SA 4.0", "LGPL": "Licensed under the GNU Lesser General Public License, version 3", "Proprietary": "All rights reserved"}
+    rows = [(i, f"{prose(before)} {text}{end} {prose(after)}", {family}) for i, (family, text, before, after, end) in enumerate((f, t, b, a, e) for f, t in notices.items() for b, a in ((20, 0), (300, 0), (200, 300), (0, 100)) for e in ("", "."))]
+    rows += [
+        (900, "c 2019 Example Media Group Ltd, registered in England and Wales under company number 12345678 with its office in the old town of London. All rights reserved.", {"Proprietary"}),
+        (901, f"{prose(100)} Released under the MIT License. {prose(150)} Licensed under CC BY-NC 4.0 {prose(90)}", {"MIT", "CC-BY-NC"}),
+        (902, " ".join(lic.NEGATIVES), set()),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in lic.scan(df, model).collect()}
+    assert {d: set(r.families) for d, r in got.items()} == {d: f for d, _, f in rows}
+    assert all(r.n_notices == len(r.families) for r in got.values())
+    for d, text, _ in rows:
+        judged = [lic.judge(t, model) for t in re.split(lic.ENDS, text)]
+        assert got[d].n_unknown == sum(j[1] for j in judged)
+        assert got[d].best_probability == pytest.approx(max((p for j in judged for p in j[0].values()), default=None))
