@@ -33,10 +33,15 @@ def _unpacked(done: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go.
 
-    Profiles are learnt from the labelled languages of all documents.
+    Profiles are learnt from the labelled languages of all documents.  A text
+    with letters stays, whatever its language is called and even where there
+    was none to learn: only ``und`` for want of a letter has score 0.
     """
-    found = langid.predict(_packed(docs), langid.train(docs), [REST])
-    return _unpacked(found.where(F.col("lang_pred") != langid.NONE), docs)
+    profiles = langid.train(docs)
+    if not profiles.languages:
+        profiles = langid.Profiles([(langid.NONE, 0, 0)], langid.PROFILE)
+    found = langid.predict(_packed(docs), profiles, [REST])
+    return _unpacked(found.where((F.col("lang_pred") != langid.NONE) | (F.col("score") > 0)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,3 +99,10 @@ def test_stages_with_odd_columns_and_repeated_rows(spark, tmp_path):
     assert len(ids) == len(set(ids))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_language_without_labels_or_with_und(spark):
+    texts = [(1, "the house"), (2, "Straße am Fluss"), (3, "12 .."), (4, ""), (5, None)]
+    for label in (None, "und"):
+        docs = spark.createDataFrame([(d, t, label) for d, t in texts], "doc_id long, text string, lang string")
+        assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 2]
