@@ -90,11 +90,11 @@ def decode_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 CHUNKS = "part int, ids_before long, n_docs int, n_ids long, payload binary"
 
 
-def _writer(path: str, byte_level: bool, end_id: int, bits: int, chunk_ids: int):
+def _writer(path: str, byte_level: bool, end_id: int, bits: int, chunk_ids: int, literal: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, end = TaskContext.get().partitionId(), common.encoder(path, byte_level), np.array([end_id], "<u4").tobytes()
+        part, enc, end = TaskContext.get().partitionId(), common.encoder(path, byte_level, literal), np.array([end_id], "<u4").tobytes()
         ids, docs, lengths, held, before = [], [], [], 0, 0
 
         def flush():
@@ -124,7 +124,7 @@ def _writer(path: str, byte_level: bool, end_id: int, bits: int, chunk_ids: int)
 NULL_ID = -(2**63)
 
 
-def write_token_chunks(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: int, bits: int = 8, chunk_ids: int = CHUNK_IDS) -> DataFrame:
+def write_token_chunks(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: int, bits: int = 8, chunk_ids: int = CHUNK_IDS, literal: bool = False) -> DataFrame:
     """Write the token ids of ``docs(doc_id, text)`` in ascending doc_id order; returns the table of chunks.
 
     Rows are ranged by doc_id before they are encoded (text shuffles smaller
@@ -136,7 +136,7 @@ def write_token_chunks(docs: DataFrame, vocabulary: str, byte_level: bool, end_i
     common.small_batches(docs.sparkSession)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return common.staged(ordered.mapInArrow(_writer(vocabulary, byte_level, end_id, bits, chunk_ids), CHUNKS), "token-chunks", "none")
+    return common.staged(ordered.mapInArrow(_writer(vocabulary, byte_level, end_id, bits, chunk_ids, literal), CHUNKS), "token-chunks", "none")
 
 
 @common.tidied

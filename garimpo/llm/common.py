@@ -87,45 +87,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Bytes hashed together; the table of powers is as long.
-HASH_BLOCK = 1 << 18
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64, and their inverses."""
-    if n > HASH_BLOCK or not _powers:
-        size = max(n, HASH_BLOCK)
-        both = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)])) for base in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))))
-        if size > HASH_BLOCK:
-            return both
-        _powers.append(both)
-    return _powers[0]
+#: Bytes of a word that are hashed eight at a time; longer words go to a library digest.
+LONG_WORD = 256
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def hash_words(normal: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hashes, first bytes, end bytes) of the words of a text with one space between words.
 
-    A word's hash is the sum over its bytes of a random value of the byte times
-    a power of the base, got for all words at once from running sums.
+    Eight bytes at a time are added to a word's state, which a bijective mixer
+    then scatters: words of up to eight bytes never clash with ones as long, and
+    longer ones only by chance (2^-64 for a pair), whatever pattern they have.
+    Words of more than ``LONG_WORD`` bytes take the xxh3 digest of all of them.
     """
-    data = np.frombuffer(normal, np.uint8)
-    gaps = np.flatnonzero(data == 32)
-    starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(data))
-    out = np.empty(len(starts), np.uint64)
-    first = 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + HASH_BLOCK, "right")))  # whole words; one at least
-        lo, hi = int(starts[first]), int(ends[last - 1])
-        power, inverse = _power_tables(hi - lo)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * power[: hi - lo], out=sums[1:])
-        a, b = starts[first:last] - lo, ends[first:last] - lo
-        out[first:last] = (sums[b] - sums[a]) * inverse[a]
-        first = last
-    return mix64(out), starts, ends
+    data = np.frombuffer(normal + bytes(8), np.uint8)
+    gaps = np.flatnonzero(data[: len(normal)] == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(normal))
+    eights = np.ndarray((len(normal) + 1,), "<u8", data.tobytes(), strides=(1,))
+    left, at = ends - starts, starts
+    out = left.astype(np.uint64) * _SPREAD
+    long = np.flatnonzero(left > LONG_WORD)
+    live = None if not len(long) else np.flatnonzero(left <= LONG_WORD)
+    if live is not None:
+        left, at = left[live], at[live]
+    while len(left):
+        state = mix64((out if live is None else out[live]) + (eights[at] & _KEEP[np.minimum(left, 8)]))
+        if live is None:
+            out = state
+        else:
+            out[live] = state
+        more = np.flatnonzero(left > 8)
+        live, left, at = more if live is None else live[more], left[more] - 8, at[more] + 8
+    if len(long):
+        import xxhash
+
+        for i in long.tolist():
+            out[i] = xxhash.xxh3_64_intdigest(normal[starts[i] : ends[i]])
+    return out, starts, ends
 
 
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -162,21 +161,22 @@ def tidied(run):
 
 # ---------------------------------------------------------------- tokenisers
 
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[tuple[str, bool], object] = {}
 
 
-def tokenizer(path: str):
-    """The tokenizer of a vocabulary file, once in each process, on one thread."""
-    if path not in _tokenizers:
+def tokenizer(path: str, literal: bool = False):
+    """The tokenizer of a vocabulary file, once in each process, on one thread; ``literal``: control strings are ordinary text."""
+    if (path, literal) not in _tokenizers:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # such strings in a text are ordinary text
-        _tokenizers[path] = t
-    return _tokenizers[path]
+        if literal:
+            t.encode_special_tokens = True
+        _tokenizers[path, literal] = t
+    return _tokenizers[path, literal]
 
 
 def _byte_chars() -> dict[int, str]:
@@ -213,7 +213,9 @@ class WordEncoder:
     Pre-tokens are found by the vocabulary's published split pattern, written
     below for the characters where Python's classes and the library's surely
     agree (Latin letters, ASCII digits, common punctuation and white space);
-    a text with any other character is encoded whole by the library.
+    a text with any other character, or with one of the vocabulary's added
+    tokens (in any case), is encoded whole by the library.  With ``literal``
+    control strings are split like ordinary text instead of becoming one id.
 
     ``byte_level`` says which of the two patterns holds: that of byte-level
     vocabularies (a space belongs to the pre-token after it) or that of word
@@ -224,36 +226,39 @@ class WordEncoder:
     #: generation becomes the old one; what is met again moves back to the young one.
     MOST = 350_000
     LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž"
-    OTHER = re.compile(f"[^\\t\\n\\r -~{LETTER}¡¢£¥§©«®°±¶·»¿×÷‐-‧‰-⁞€™]")
+    OTHER = f"[^\\t\\n\\r -~{LETTER}¡¢£¥§©«®°±¶·»¿×÷‐-‧‰-⁞€™]"
     BYTE_LEVEL = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTER}]+| ?[0-9]+| ?[^\\s{LETTER}0-9]+|\\s+(?!\\S)|\\s+")
     WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s{LETTER}0-9]+")
 
-    def __init__(self, path: str, byte_level: bool):
-        self.path, self.byte_level = path, byte_level
-        self.known = PreTokens(tokenizer(path).model)
+    def __init__(self, path: str, byte_level: bool, literal: bool = False):
+        self.whole, self.byte_level = tokenizer(path, literal), byte_level
+        self.known = PreTokens(self.whole.model)
+        added = [] if literal else [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([self.OTHER, *(f"(?i:{t})" for t in added)])).search
         self.split = (self.BYTE_LEVEL if byte_level else self.WORD_LEVEL).findall
 
     def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
-        odd, split = self.OTHER.search, self.split
+        odd, split = self.odd, self.split
         for raw in texts:
             text = raw.decode("utf-8", "surrogatepass")
             if odd(text):
-                yield np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 yield b"".join(map(self.known.__getitem__, split(text if self.byte_level else text.lower())))
                 if len(self.known) > self.MOST:
                     self.known = PreTokens(self.known.model, self.known)
 
 
-_encoders: dict[tuple[str, bool], WordEncoder] = {}
+_encoders: dict[tuple[str, bool, bool], WordEncoder] = {}
 
 
-def encoder(path: str, byte_level: bool) -> WordEncoder:
+def encoder(path: str, byte_level: bool, literal: bool = False) -> WordEncoder:
     """One encoder in each Python worker, kept between tasks."""
-    if (path, byte_level) not in _encoders:
-        _encoders[path, byte_level] = WordEncoder(path, byte_level)
-    return _encoders[path, byte_level]
+    key = path, byte_level, literal
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
 
 
 # ---------------------------------------------------------------- union-find

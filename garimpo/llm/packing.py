@@ -120,11 +120,11 @@ PIECES = "part int, doc_id long, start long, length int, rank long, doc_tokens l
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _cutter(path: str, byte_level: bool, end_id: int, window: int):
+def _cutter(path: str, byte_level: bool, end_id: int, window: int, literal: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, end = TaskContext.get().partitionId(), common.encoder(path, byte_level), np.array([end_id], "<u4").tobytes()
+        part, enc, end = TaskContext.get().partitionId(), common.encoder(path, byte_level, literal), np.array([end_id], "<u4").tobytes()
         seen = np.zeros(window + 1, np.int64)
         names = ("doc_id", "start", "length", "rank", "doc_tokens", "ids")
         cols: dict[str, list] = {k: [] for k in names}
@@ -215,17 +215,19 @@ def _placer(p: dict[str, np.ndarray], hist: np.ndarray, window: int):
     return common.tidied(place)
 
 
-def pack(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: int = 0, window: int = WINDOW, depth: int = DEPTH) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: int = 0, window: int = WINDOW, depth: int = DEPTH, literal: bool = False) -> DataFrame:
     """Pack ``docs(doc_id, text)`` into sequences; a row for each piece with its ids (little-endian uint32).
 
     Null text counts as empty, so every document has at least its end id.
     Rows that share a doc_id are separate documents; a null doc_id stays null.
     Other columns are ignored; an empty table gives no pieces.  Documents are
-    encoded once; the pieces are staged in the shared folder.
+    encoded once; the pieces are staged in the shared folder.  The ids are the
+    library's: a control string of the vocabulary is one id wherever it stands,
+    unless ``literal`` says that such strings are ordinary text.
     """
     common.small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = common.staged(source.mapInArrow(_cutter(vocabulary, byte_level, end_id, window), PIECES), "pieces")
+    pieces = common.staged(source.mapInArrow(_cutter(vocabulary, byte_level, end_id, window, literal), PIECES), "pieces")
     counts = common.staged(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     hist = np.zeros(window + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():

@@ -77,3 +77,9 @@ def test_components_of_paths_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 202), (202, 200), (9, 9), (None, 3)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 200: 200, 201: 200, 202: 200}
+
+
+def test_long_words_that_power_sums_confuse(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))]
+    assert sorted(tuple(r) for r in minhash.near_duplicates(frame(spark, rows), 3, 85).collect()) == [(1, 1, 1, True), (2, 1, 2, True)]

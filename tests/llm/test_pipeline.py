@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from garimpo.llm import common, langid
 
@@ -79,7 +80,7 @@ def test_pipeline(spark, tmp_path):
     pieces = {}
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         pieces.setdefault(r.doc_id, []).append(r)
-    tok = common.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert pieces.keys() == got.keys()
     for d, r in got.items():
         ids = [*tok.encode(r.text, add_special_tokens=False).ids, 0]

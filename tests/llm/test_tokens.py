@@ -1,5 +1,6 @@
 """Packing (1) and bit-plane output (6) against brute force and exact round trips."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -7,30 +8,47 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from garimpo.llm import bitplane, common, packing
 
+@functools.cache
+def fresh(path):
+    """The library's own tokenizer, untouched."""
+    return Tokenizer.from_file(path)
+
+
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", " ", "a", "a b", " a  b ", "x\n y", "x \ny's it'll 'S", "É ñandú x", "a  b", "tab\t b", "<|endoftext|> b", "ﬁ Å ́x ́", "İ ß ΑΣ ΑΣ.", "word " * 700, "中文 字 1234 5.6", "a\r\n\r\n b", "　 a", "é" * 3000]
+TEXTS = ["", " ", "a", "a b", " a  b ", "x\n y", "x \ny's it'll 'S", "É ñandú x", "a  b", "tab\t b", "<|endoftext|> b", "a <|endoftext|> b", "a<|endoftext|>", "<|startoftext|>", "x <|startoftext|>y <|endoftext|>", "A <|ENDOFTEXT|> b", "<|StartOfText|> a", "<|endoftext|", "<|endoftext|><|endoftext|>", "ﬁ <|endoftext|> é", "ﬁ Å ́x ́", "İ ß ΑΣ ΑΣ.", "word " * 700, "中文 字 1234 5.6", "a\r\n\r\n b", "　 a", "é" * 3000]
 
 
 @pytest.mark.parametrize("path,keep", [(BYTE, True), (WORD, False)])
 def test_encoder_matches_library(path, keep):
     enc = common.WordEncoder(path, keep)
-    want = [np.array(common.tokenizer(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS]
+    want = [np.array(fresh(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS]
     assert list(enc.encode([t.encode() for t in TEXTS])) == want
     enc.MOST = 2
     assert list(enc.encode([t.encode() for t in TEXTS])) == want
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab'sÉ́ \n\t  　.1<|>ß​\x1c\x85"), max_size=30))
-def test_encoder_on_odd_white_space(text):
+@given(st.text(alphabet=st.sampled_from("ab'sÉ́ \n\t  　.1<|>ß​\x1c\x85"), max_size=30), st.sampled_from(("", "<|endoftext|>", "<|STARTOFTEXT|>")))
+def test_encoder_on_odd_white_space(text, control):
+    text = text[: len(text) // 2] + control + text[len(text) // 2 :]
     for path, keep in ((BYTE, True), (WORD, False)):
-        want = np.array(common.tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        want = np.array(fresh(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert list(common.encoder(path, keep).encode([text.encode()])) == [want]
 
 
+def test_control_strings_may_be_literal():
+    for path, keep in ((BYTE, True), (WORD, False)):
+        plain = Tokenizer.from_file(path)
+        plain.encode_special_tokens = True
+        for text in TEXTS:
+            assert list(common.WordEncoder(path, keep, True).encode([text.encode()])) == [np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert fresh(BYTE).encode("a <|endoftext|> b", add_special_tokens=False).ids.count(50256) == 1
+
+
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=40), max_size=8), st.sampled_from([1, 8]), st.integers(1, 50))
 @settings(max_examples=100, deadline=None)
 def test_chunk_round_trip(docs, bits, block):
@@ -39,7 +57,7 @@ def test_chunk_round_trip(docs, bits, block):
     assert names.tolist() == list(range(len(docs))) and lengths.tolist() == list(map(len, docs)) and back.tolist() == ids.tolist()
 
 
-ROWS = [(3, "b c d", 1), (1, None, 2), (2, "", 3), (None, "null id", 4), (7, "word " * 3000, 5), (7, "word " * 3000, 6), (9, "tie", 7), (9, "also", 8)] + [(100 + i, "w " * (i % 37 + 400), 9) for i in range(300)]
+ROWS = [(3, "b c d", 1), (1, None, 2), (2, "", 3), (None, "null id", 4), (7, "word " * 3000, 5), (7, "word " * 3000, 6), (9, "tie", 7), (9, "also", 8), (10, "a <|endoftext|> b", 9), (11, "<|startoftext|>", 9)] + [(100 + i, "w " * (i % 37 + 400), 9) for i in range(300)]
 
 
 def frame(spark, rows):
@@ -47,7 +65,7 @@ def frame(spark, rows):
 
 
 def ids_of(path, text, end):
-    return [*common.tokenizer(path).encode(text or "", add_special_tokens=False).ids, end]
+    return [*fresh(path).encode(text or "", add_special_tokens=False).ids, end]
 
 
 @pytest.mark.parametrize("bits", [1, 8])
