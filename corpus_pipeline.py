@@ -45,15 +45,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the least doc_id stays, once."""
-    classes = common.staged(minhash.near_duplicates(docs.select("doc_id", "text"), 5, 80), "near")
-    dropped = common.checked_broadcast(common.staged(classes.where(~F.col("kept")).select("doc_id").distinct(), "dropped"))
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    again = classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the least doc_id stays, once.
+
+    Rows go by their own text: different texts under one doc_id are different
+    documents, and so are rows with a null doc_id.
+    """
+    return minhash.one_of_each(docs, 5, 80)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -286,39 +286,34 @@ class Forest:
         return True
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: rows ``(node, component)``, the least node of each.
 
     Alternating large-star and small-star rounds on distributed edge tables;
     minima are aggregated (never collected) and joined back, so that a hub with
-    many neighbours is split by adaptive skew joins.  Each round is written to
-    the shared folder.  Nodes without an edge do not appear; null ends and
-    self-loops are ignored.
+    many neighbours is split by adaptive skew joins.  Each half round is written
+    to the shared folder once.  Every round brings edges nearer to the least
+    nodes, so the rounds end (about log n of them).  Nodes without an edge do
+    not appear; null ends and self-loops are ignored.
     """
     spark = edges.sparkSession
     shared_dir(spark)
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     now = staged(edges.where("a is not null and b is not null and a <> b").select(hi.alias("u"), lo.alias("v")).distinct(), "edges")
-    for _ in range(most_rounds):
-        if now.isEmpty():
-            break
+    settled = now.isEmpty()
+    while not settled:
         # Large star: every larger neighbour of u goes to u's least neighbour (or u itself).
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written, so that the join shuffles both sides anew and adaptive execution can split a hub's rows.
         least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         # Small star: every smaller neighbour of u, and u, go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        nxt = staged(small, "edges")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        now = staged(large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
         # A fixed point is a set of stars: no centre of one is a leaf of another, every leaf has one centre.
-        now = nxt
-        if now.groupBy("u").count().where("count > 1").isEmpty() and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            break
-    else:
-        raise RuntimeError("connected components did not settle")
+        settled = now.groupBy("u").count().where("count > 1").isEmpty() and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return pairs.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return pairs.unionByName(now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))
 
 
 def tables(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:

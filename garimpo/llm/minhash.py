@@ -79,7 +79,7 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCHED = "doc_id long, n_shingles long, twin binary, bands array<long>"
+SKETCHED = "doc_id long, mark binary, n_shingles long, twin binary, bands array<long>"
 
 
 def _sketcher(k: int, bands: int, rows: int):
@@ -88,7 +88,7 @@ def _sketcher(k: int, bands: int, rows: int):
 
         for b in batches:
             sizes, twins, keys, known = [], [], [], {}
-            for text in common.byte_lists(b.column(1)):
+            for text in common.byte_lists(b.column(2)):
                 elements, normal = shingle_set(text, k)
                 sizes.append(len(elements))
                 if not normal:
@@ -100,16 +100,32 @@ def _sketcher(k: int, bands: int, rows: int):
                 if twin not in known:
                     known[twin] = band_keys(sketch(elements, bands * rows), bands, rows)
                 keys.append(known[twin])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(twins, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "twin", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(twins, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "n_shingles", "twin", "bands"])
 
     return common.tidied(run)
 
 
 def _sets(k: int):
+    """Full shingle sets, of equal texts once in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            marks, sets = [], []
+            for mark, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if mark not in seen:
+                    seen.add(mark)
+                    marks.append(mark)
+                    sets.append(shingle_set(text.as_py().encode(), k)[0].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(sets, pa.binary())], ["mark", "shingles"])
+
+    return common.tidied(run)
+
+
+def _sizes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, k)[0].tobytes() for t in common.byte_lists(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(shingle_set(t, k)[0]) for t in common.byte_lists(b.column(1))], pa.int64())], ["doc_id", "n_shingles"])
 
     return common.tidied(run)
 
@@ -149,7 +165,7 @@ def tile_links(names: list[int], sets: list[np.ndarray], percent: int) -> list[t
 
 def _linker(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, names, sets = None, [], []
+        tile, names, sets, held = None, [], [], set()
 
         def done():
             links = tile_links(names, sets, percent) if len(names) > 1 else []
@@ -160,9 +176,11 @@ def _linker(percent: int):
                 if key != tile:
                     if tile is not None:
                         yield done()
-                    tile, names, sets = key, [], []
-                names.append(name)
-                sets.append(np.frombuffer(data.as_buffer(), np.uint64).copy())
+                    tile, names, sets, held = key, [], [], set()
+                if name not in held:  # a text that several tasks held
+                    held.add(name)
+                    names.append(name)
+                    sets.append(np.frombuffer(data.as_buffer(), np.uint64).copy())
         if tile is not None:
             yield done()
 
@@ -170,7 +188,7 @@ def _linker(percent: int):
 
 
 def _tiled(members: DataFrame, percent: int) -> DataFrame:
-    """``members(family, rep, n)`` with the tiles each takes part in: rows ``(rep, tile)``.
+    """``members(family, rep, mark, n)`` with the tiles each takes part in: rows ``(rep, mark, tile)``.
 
     A small family is one tile.  A large one is split into size classes so
     narrow that linked sets are in the same or neighbouring classes, and each
@@ -192,43 +210,99 @@ def _tiled(members: DataFrame, percent: int) -> DataFrame:
         F.when(below > 0, F.transform(up(below), lambda o: name(F.col("s") - 1, o, F.col("s"), F.col("here")))).otherwise(F.array().cast("array<string>")),
     )
     one = (F.col("docs") <= TILE_DOCS) & (F.col("weight") <= TILE_SHINGLES)
-    return j.withColumn("here", here).select("rep", F.explode(F.when(one, F.array(F.col("family").cast("string"))).otherwise(many)).alias("tile"))
+    return j.withColumn("here", here).select("rep", "mark", F.explode(F.when(one, F.array(F.col("family").cast("string"))).otherwise(many)).alias("tile"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: ``(doc_id, n_shingles, component_id, kept)``.
+def mark(text="text"):
+    """128 bits that name a text (null for a null text)."""
+    return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
 
-    Links: ``100 * intersection >= percent * union`` on full sets of
-    ``shingle``-word shingles (64-bit hashes); ``component_id`` is the smallest
-    doc_id reachable.  A text of fewer words is one shingle; null texts and
-    texts without words have an empty set and link with nothing.  Rows that
-    share a doc_id are one node; rows with a null doc_id are never linked (null
-    component, kept).  Other columns are ignored; an empty table gives no rows.
+
+def text_groups(docs: DataFrame, shingle: int, percent: int, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, mark, n_shingles, twin, bands)`` of ``docs(doc_id, text)``, and classes ``(twin, rep, least, group)``.
+
+    Rows with equal word sequences share their twin (128 bits; null without
+    words) and are one class; ``least`` is its smallest doc_id.  Classes of a
+    component of links have one group, the smallest of their numbers (``rep``).
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     bands, rows = shape(percent, miss)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark().alias("mark"), F.col("text").cast("string").alias("text"))
     sketched = common.staged(source.mapInArrow(_sketcher(shingle, bands, rows), SKETCHED), "sketches", "lz4")
-    named = sketched.where("doc_id is not null and twin is not null")
-    classes = common.staged(named.groupBy("twin").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes", "lz4")
+    first = [F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")]
+    classes = common.staged(sketched.where("twin is not null").groupBy("twin").agg(*first).withColumn("rep", F.monotonically_increasing_id()), "classes", "lz4")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("bucket", "hub")
     stars = banded.join(hubs, "bucket").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     families = common.components(stars)
-    members = common.staged(families.join(classes.groupBy("rep").agg(F.max("n").alias("n")), F.col("node") == F.col("rep")).select(F.col("component").alias("family"), "rep", "n"), "families")
-    wanted = source.join(common.checked_broadcast(members.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-    sets = wanted.mapInArrow(_sets(shingle), "rep long, shingles binary")
-    tiles = _tiled(members, percent).join(sets, "rep").select("tile", "rep", "shingles")
+    members = common.staged(families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(classes.select("rep", "mark", "n"), "rep").select("family", "rep", "mark", "n"), "families")
+    # The text of a class is found by its mark, whatever its rows are called; copies of it are dropped by the tasks that meet them.
+    wanted = source.select("mark", "text").join(common.checked_broadcast(members.select("mark")), "mark", "left_semi")
+    sets = wanted.mapInArrow(_sets(shingle), "mark binary, shingles binary")
+    tiles = _tiled(members, percent).join(sets, "mark").select("tile", "rep", "shingles")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = tiles.repartition(max(n, 64), "tile").sortWithinPartitions("tile").mapInArrow(_linker(percent), "a long, b long")
-    joined = common.components(links)
-    of = joined.select(F.col("node").alias("rep"), "component")
-    found = classes.select("twin", "rep").join(of, "rep", "left").select("twin", F.coalesce("component", "rep").alias("component"))
-    # Rows that share a doc_id are one node: their classes' least component stands for it.
-    out = sketched.select("doc_id", "n_shingles", "twin").join(found, "twin", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of = common.components(links).select(F.col("node").alias("rep"), "component")
+    return sketched, classes.select("twin", "rep", "least").join(of, "rep", "left").select("twin", "rep", "least", F.coalesce("component", "rep").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: ``(doc_id, n_shingles, component_id, kept)``.
+
+    Links: ``100 * intersection >= percent * union`` on full sets of
+    ``shingle``-word shingles (64-bit hashes); ``component_id`` is the smallest
+    doc_id reachable.  A text of fewer words is one shingle; null texts and
+    texts without words have an empty set and link with nothing.  Rows that
+    share a doc_id are one node, whatever their texts: what is linked to one is
+    reached from all.  Rows with a null doc_id are never linked (null component,
+    kept).  Other columns are ignored; an empty table gives no rows.
+    """
+    named = docs.where("doc_id is not null").select("doc_id", "text")
+    sketched, groups = text_groups(named, shingle, percent, miss)
+    groups = common.staged(groups, "groups")
+    # Ids with several word sequences, or with and without words, tie what they hold together.
+    several = sketched.groupBy("doc_id").agg(F.min("twin").alias("lo"), F.max("twin").alias("hi"), F.count("twin").alias("c"), F.count("*").alias("n")).where("lo < hi or (c > 0 and c < n)")
+    several = common.checked_broadcast(common.staged(several.select("doc_id"), "shared-ids"))
+    held = common.staged(sketched.select("doc_id", "twin").join(several, "doc_id", "left_semi").join(groups.select("twin", "group"), "twin").groupBy("doc_id", "group").agg(F.min("group").alias("b")).select("doc_id", "b"), "shared-groups")
+    ties = held.join(held.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id")
+    tied = common.components(ties.select("a", "b")).select(F.col("node").alias("group"), "component")
+    whole = groups.join(tied, "group", "left").select("twin", "least", F.coalesce("component", "group").alias("group"))
+    found = whole.join(whole.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("twin", "component_id")
+    found = common.staged(found, "components")
+    # The same for a row without words whose doc_id has words elsewhere.
+    empty = sketched.select("doc_id", "twin").join(several, "doc_id", "left_semi").join(found, "twin").groupBy("doc_id").agg(F.min("component_id").alias("other"))
+    empty = common.checked_broadcast(common.staged(empty, "shared-components"))
+    out = sketched.select("doc_id", "n_shingles", "twin").join(found, "twin", "left").join(empty, "doc_id", "left")
+    component = F.coalesce("component_id", "other", "doc_id")
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    nameless = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(_sizes(shingle), "doc_id long, n_shingles long")
+    return out.unionByName(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """The rows of ``docs`` (all its columns) without near duplicates: of each group of linked texts one row stays.
+
+    Texts are linked as in ``near_duplicates``, but rows are told apart by doc_id
+    and text: sharing a doc_id ties nothing, so different texts under one id all
+    stay, and a row with a null doc_id is a document like any other.  The row
+    with the least doc_id stays (null last; then the least digest of the text);
+    a row repeated with that id and text stays once.  Rows without words stay.
+    """
+    sketched, groups = text_groups(docs.select("doc_id", "text"), shingle, percent, miss)
+    rows = sketched.where("twin is not null").groupBy("doc_id", "mark").agg(F.first("twin").alias("twin"), F.count("*").alias("n"))
+    rows = common.staged(rows.join(groups.select("twin", "group"), "twin"), "near-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")
+    judged = rows.join(rows.groupBy("group").agg(F.min(place).alias("best")), "group").withColumn("stays", place == F.col("best"))
+    judged = common.staged(judged.select("doc_id", "mark", "stays", "n").where("not stays or n > 1"), "near-judged")
+    key = lambda other: F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (mark("d.text") == F.col(f"{other}.mark"))
+    left = docs.alias("d").join(common.checked_broadcast(judged.where("not stays")).alias("x"), key("x"), "left_anti")
+    again = judged.where("stays").select("doc_id", "mark")
+    if again.isEmpty():
+        return left
+    again = common.checked_broadcast(again).alias("x")
+    once = left.alias("d").join(again, key("x"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.alias("d").join(again, key("x"), "left_anti").unionByName(once)
 
 
 def op10_fast_similarity_sketch(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ def brute(rows, k, percent):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
-    sets = {d: shingles(t) for d, t in rows}
+    sets = {d: shingles(t) for d, t in rows}  # the rows' ids are distinct
     names = sorted(sets)
     root = {d: d for d in names}
 
@@ -83,3 +83,39 @@ def test_long_words_that_power_sums_confuse(spark):
     bits = [bin(i).count("1") % 2 for i in range(1024)]
     rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))]
     assert sorted(tuple(r) for r in minhash.near_duplicates(frame(spark, rows), 3, 85).collect()) == [(1, 1, 1, True), (2, 1, 2, True)]
+
+
+def brute_rows(rows, k, percent):
+    """Components of documents where rows that share a doc_id are one node; null ids apart."""
+    single = [(i, t) for i, (d, t) in enumerate(rows) if d is not None]
+    by_row = {i: (n, c) for i, n, c, _ in brute(single, k, percent)}
+    links = [(rows[i][0], rows[c][0]) for i, (_, c) in by_row.items()]
+    component = {d: d for d, _ in rows if d is not None}
+    for _ in rows:
+        for a, b in links:
+            component[a] = component[b] = min(component[a], component[b])
+    sizes = brute([(i, t) for i, (_, t) in enumerate(rows)], k, percent)
+    return sorted(((d, sizes[i][1], component.get(d), d is None or component[d] == d) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def test_different_texts_under_one_id(spark):
+    x, z, q = (" ".join(f"{c}{i}" for i in range(30)) for c in "xzq")
+    rows = [(3, x), (5, x), (5, z), (4, z)]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), 3, 85).collect())
+    assert got == [(3, 3), (4, 3), (5, 3), (5, 3)]
+    rng = random.Random(4)
+    bases = [[f"{c}{i}" for i in range(40)] for c in "abcdef"]
+    rows = [(rng.choice([None, *range(20)]), " ".join(rng.choice(bases) + [f"n{rng.randrange(3)}"])) for _ in range(24)]
+    rows += [(6, ""), (6, q), (2, q), (30, None), (30, q), (31, None), (31, ""), (None, ""), (None, q), (8, z), (8, z)]
+    got = sorted((tuple(r) for r in minhash.near_duplicates(frame(spark, rows).repartition(3), 3, 85).collect()), key=str)
+    assert got == brute_rows(rows, 3, 85)
+
+
+def test_one_of_each_goes_by_text(spark):
+    x, z, q = (" ".join(f"{c}{i}" for i in range(30)) for c in "xzq")
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, mark int, best int"), 5, 80).collect()), key=str)
+    assert kept([(3, x, 1, 1), (5, x, 1, 1), (5, z, 1, 1)]) == [(3, x), (5, z)]
+    assert kept([(3, x, 1, 1), (5, x, 1, 1), (5, z, 1, 1), (4, z, 1, 1)]) == [(3, x), (4, z)]
+    rows = [(None, q, 1, 1), (None, q + " end", 1, 1), (None, x, 1, 1), (7, x, 1, 2), (7, x, 1, 3), (7, x.upper(), 1, 1), (1, None, 1, 1), (None, "", 1, 1), (2, "", 1, 1)]
+    assert kept(rows) in ([(1, None), (2, ""), (7, t), (None, ""), (None, u)] for t in (x, x.upper()) for u in (q, q + " end"))
+    assert len(kept(rows * 40)) == 3 * 40 + 2
