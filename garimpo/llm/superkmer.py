@@ -104,17 +104,20 @@ def _short(hashes: bytes) -> np.ndarray:
 
 
 class _Batch:
-    """Super-k-mers of some documents, equal ones merged.  A document is named by its id and its text's checksum."""
+    """Super-k-mers of some documents, equal ones merged.  Each document has a name of ``NAME`` bytes."""
 
     def __init__(self, buckets: int):
         self.buckets, self.size = buckets, 0
-        self.docs: list[tuple[int, int]] = []
+        self.docs: dict[bytes, int] = {}
         self.first: dict[bytes, list[int]] = {}  # packed string -> minimiser, document, first window, windows, repeated
         self.settled: dict[int, list[int]] = {}
 
-    def add(self, key: tuple[int, int], words: list[bytes], k: int, m: int, hot: np.ndarray | None) -> None:
-        doc = len(self.docs)
-        self.docs.append(key)
+    def add(self, key: bytes, words: list[bytes], k: int, m: int, hot: np.ndarray | None) -> None:
+        doc = self.docs.get(key)
+        if doc is not None:  # the same row once more: all of it repeats
+            self.settled[doc] = [0, len(words) - k + 1]
+            return
+        doc = self.docs[key] = len(self.docs)
         text = b" ".join(words)
         word_hashes, from_, to = common.hash_words(text)
         starts, ends, hashes = super_kmers(word_hashes, k, m, hot)
@@ -136,23 +139,23 @@ class _Batch:
         """For each bucket one blob: strings sorted by minimiser with where each is from; settled spans go anywhere."""
         strings = list(self.first)
         facts = np.array(list(self.first.values()), np.uint64).reshape(-1, 5)
-        names, sums = np.array([d[0] for d in self.docs], np.int64), np.array([d[1] for d in self.docs], np.uint32)
+        names = list(self.docs)
         to = (facts[:, 0] % np.uint64(self.buckets)).astype(np.int64)
         order = np.lexsort((facts[:, 0], to))
         cuts = np.searchsorted(to[order], np.arange(self.buckets + 1))
         spare: dict[int, list[int]] = {}
         for doc in self.settled:
-            spare.setdefault(self.docs[doc][1] % self.buckets, []).append(doc)
+            spare.setdefault(int.from_bytes(names[doc][:4], "little") % self.buckets, []).append(doc)
         for bucket in range(self.buckets):
             mine, own = order[cuts[bucket] : cuts[bucket + 1]], spare.get(bucket, [])
             if not len(mine) and not own:
                 continue
-            docs = facts[mine, 1].astype(np.int64)
+            docs, place = np.unique(facts[mine, 1].astype(np.int64), return_inverse=True)
             short = (facts[mine, 0] >> np.uint64(32)).astype(np.uint32)  # sorted; equal minimisers stay equal
             parts = [
-                _planes(np.diff(short, prepend=np.uint32(0))), _planes(facts[mine, 2].astype("<u4")), _planes(facts[mine, 3].astype("<u2")), facts[mine, 4].astype(np.uint8).tobytes(), _planes(names[docs]), _planes(sums[docs]),
+                _planes(np.diff(short, prepend=np.uint32(0))), _planes(facts[mine, 2].astype("<u4")), _planes(facts[mine, 3].astype("<u2")), facts[mine, 4].astype(np.uint8).tobytes(), _planes(place.astype("<u4")), b"".join([names[i] for i in docs.tolist()]),
                 b"\n".join([strings[i] for i in mine.tolist()]),
-                _planes(names[own]), _planes(sums[own]), np.array([len(self.settled[d]) for d in own], "<u4").tobytes(), b"".join(np.array(self.settled[d], "<u4").tobytes() for d in own),
+                b"".join([names[i] for i in own]), np.array([len(self.settled[d]) for d in own], "<u4").tobytes(), b"".join(np.array(self.settled[d], "<u4").tobytes() for d in own),
             ]
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_pack(parts)], pa.binary())], ["bucket", "blob"])
 
@@ -161,10 +164,10 @@ def _sender(k: int, m: int, buckets: int, held: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, last = _Batch(buckets), hot.value
         for b in batches:
-            for name, check, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.byte_lists(b.column(2)), strict=True):
+            for name, text in zip(b.column(0).to_pylist(), common.byte_lists(b.column(1)), strict=True):
                 words = text.split()
                 if len(words) >= k:
-                    batch.add((name, check), words, k, m, last)
+                    batch.add(name, words, k, m, last)
                     if batch.size >= held:
                         yield from batch.rows()
                         batch = _Batch(buckets)
@@ -205,7 +208,7 @@ def _tally(k: int, m: int, shares: int):
 
 
 def hot_minimisers(docs: DataFrame, k: int, m: int, shares: int) -> np.ndarray:
-    """Minimisers of at least about one in ``shares`` of all super-k-mers, sorted; so many at most."""
+    """Minimisers of at least about one in ``shares`` of all super-k-mers, sorted; 4/3 times so many (8 bytes each) at most."""
     found = docs.select("text").mapInArrow(_tally(k, m, shares), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = common.staged(found, "minimisers")  # one pass over the text
     total = found.where("gram = -1").first()
@@ -250,10 +253,25 @@ def _runs(sorted_ints: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "name long, checksum long, spans binary"
+#: Bytes of a row's name: a digest of its doc_id and text.
+NAME = 16
+FOUND = "name binary, spans binary"
 
 
-def _settle_bucket(hashes, starts, counts, again, keys, strings, k: int, found: dict[tuple[int, int], list[int]]) -> None:
+def _cut(names: bytes) -> list[bytes]:
+    return [names[i : i + NAME] for i in range(0, len(names), NAME)]
+
+
+def _united(flat: list[int]) -> bytes:
+    """Spans (first, end, first, end, ...) as uint32, those that meet as one: never more than the text has windows."""
+    pairs = np.array(flat, np.int64).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(pairs[:, 1])
+    new = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
+    return np.stack([pairs[new, 0], reach[np.append(new[1:], len(pairs)) - 1]], 1).astype("<u4").tobytes()
+
+
+def _settle_bucket(hashes, starts, counts, again, keys, strings, k: int, found: dict[bytes, list[int]]) -> None:
     """Add to ``found`` the repeated windows of a bucket's super-k-mers."""
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
@@ -283,40 +301,41 @@ def _counter(k: int):
         short = np.sort(np.concatenate([_short(_unpack(b)[0]) for b in blobs])) if blobs else np.empty(0, np.uint32)
         again_short = np.unique(short[1:][short[1:] == short[:-1]])
         columns: list[list[np.ndarray]] = [[], [], [], []]
-        keys: list[tuple[int, int]] = []
+        keys: list[bytes] = []
         strings: list[bytes] = []
-        found: dict[tuple[int, int], list[int]] = {}
+        found: dict[bytes, list[int]] = {}
         for blob in blobs:
-            hashes, starts, counts, again, names, sums, text, own_names, own_sums, sizes, spans = _unpack(blob)
+            hashes, starts, counts, again, place, names, text, own, sizes, spans = _unpack(blob)
             h = _short(hashes)
             pick = np.flatnonzero(np.isin(h, again_short))
             if len(pick):
                 for out, x in zip(columns, (h, _unplanes(starts, "<u4"), _unplanes(counts, "<u2"), np.frombuffer(again, np.uint8)), strict=True):
                     out.append(x[pick])
-                keys += zip(_unplanes(names, "<i8")[pick].tolist(), _unplanes(sums, "<u4")[pick].tolist(), strict=True)
+                names = _cut(names)
+                keys += [names[i] for i in _unplanes(place, "<u4")[pick].tolist()]
                 some = text.split(b"\n")
                 strings += [some[i] for i in pick.tolist()]
             ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
             values = np.frombuffer(spans, "<u4").tolist()
-            for key, lo, hi in zip(zip(_unplanes(own_names, "<i8").tolist(), _unplanes(own_sums, "<u4").tolist(), strict=True), [0, *ends], ends, strict=False):
+            for key, lo, hi in zip(_cut(own), [0, *ends], ends, strict=False):
                 found.setdefault(key, []).extend(values[lo:hi])
         if keys:
             _settle_bucket(*(np.concatenate(c) for c in columns), keys, strings, k, found)
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([np.array(v, "<u4").tobytes() for v in found.values()], pa.binary())], ["name", "checksum", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([_united(v) for v in found.values()], pa.binary())], ["name", "spans"])
 
     return common.tidied(run)
 
 
 def repeated_spans(keyed: DataFrame, k: int = K, m: int = M, held: int = HELD_BYTES) -> DataFrame:
-    """Rows ``(name, checksum, spans)``: runs of repeated windows of each of ``keyed(name, checksum, text)`` that has any."""
+    """Rows ``(name, spans)``: runs of repeated windows of each of ``keyed(name, text)`` that has any."""
     spark = keyed.sparkSession
     m = min(m, k)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * keyed.rdd.getNumPartitions())
-    hot = spark.sparkContext.broadcast(hot_minimisers(keyed, k, m, 16 * parts))
-    sent = keyed.select("name", "checksum", "text").mapInArrow(_sender(k, m, parts, held, hot), SENT)
-    found = sent.repartition(parts, "bucket").mapInArrow(_counter(k), FOUND)
-    return found.groupBy("name", "checksum").agg(F.collect_list("spans").alias("spans"))  # at most the row's own windows
+    hot = spark.sparkContext.broadcast(hot_minimisers(keyed, k, m, min(16 * parts, 1 << 18)))
+    sent = keyed.select("name", "text").mapInArrow(_sender(k, m, parts, held, hot), SENT)
+    found = sent.repartitionById(parts, F.col("bucket")).mapInArrow(_counter(k), FOUND)
+    return found.groupBy("name").agg(F.collect_list("spans").alias("spans"))  # one for each bucket, none longer than the row's windows
 
 
 def covered(spans: list[bytes], n_words: int, k: int) -> np.ndarray:
@@ -361,16 +380,17 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, held: int = HELD_BYT
     the kept words joined by one space (null without ``with_text``).  Windows are
     judged on the input, all occurrences go.  Null text has no words (and is
     kept as empty); texts shorter than a window keep all; rows that share a
-    doc_id, or lack one, are separate texts.  ``key`` may be another column, of
+    doc_id, or lack one, are separate texts, named by a 128-bit digest of id and
+    text (rows equal in both have equal results).  ``key`` may be another column, of
     any type, to be carried along.  Other columns are ignored; an empty table
     gives no rows.
     """
     common.small_batches(docs.sparkSession)
-    # Rows with equal names and checksums hold equal texts, but for a chance of 2^-32 among rows that share a doc_id.
     text = F.col("text").cast("string")
-    keyed = docs.select(F.col(key).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("name"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("checksum"), text.alias("text"))
+    name = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary")))
+    keyed = docs.select(F.col(key).alias("key"), name.alias("name"), text.alias("text"))
     spans = repeated_spans(keyed, k, m, held)
-    return keyed.join(spans, ["name", "checksum"], "left").select("key", "text", "spans").mapInArrow(_remover(k, with_text), f"key {keyed.schema[0].dataType.simpleString()}, {DONE}").withColumnRenamed("key", key)
+    return keyed.join(spans, "name", "left").select("key", "text", "spans").mapInArrow(_remover(k, with_text), f"key {keyed.schema[0].dataType.simpleString()}, {DONE}").withColumnRenamed("key", key)
 
 
 def op5_superkmer_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -59,6 +60,36 @@ def test_nothing_and_one_hot_text(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 35)
 
 
+def test_texts_with_one_checksum_under_one_id(spark):
+    """Different texts with equal crc32 and equal or no ids are told apart; rows equal in both repeat all over."""
+    passage = " ".join(f"p{i}" for i in range(8))
+    seen, twins = {}, []
+    i = 0
+    while len(twins) < 2:  # a birthday search: two texts, one with the passage, with one crc32
+        for text in (f"{passage} a{i} b{i} c{i}", f"x{i} y{i} z{i}"):
+            other = seen.setdefault(zlib.crc32(text.encode()), text)
+            if other != text and len(other.split()) != len(text.split()):
+                twins.append((other, text))
+        i += 1
+    for name in (None, 7):
+        rows = [(name, t) for pair in twins for t in pair] + [(1, passage + " end"), (name, twins[0][1])]
+        got = superkmer.remove_repeats(frame(spark, rows).repartition(3), 5, 2, 10**6)
+        assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str) == brute(rows, 5)
+    rows = [(None, f"{passage} tail{i % 2}") for i in range(200)] + [(4, "q " * 3 + passage)]
+    for held in (10**6, 1):
+        got = superkmer.remove_repeats(frame(spark, rows).repartition(3), 5, 2, held)
+        assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str) == brute(rows, 5)
+
+
+def test_spans_unite():
+    rng = random.Random(2)
+    for _ in range(200):
+        flat = [x for _ in range(rng.randrange(1, 9)) for a in [rng.randrange(50)] for x in (a, a + rng.randrange(1, 9))]
+        want = sorted({y for a, b in zip(flat[::2], flat[1::2], strict=True) for y in range(a, b)})
+        pairs = np.frombuffer(superkmer._united(flat), "<u4").reshape(-1, 2).tolist()
+        assert [y for a, b in pairs for y in range(a, b)] == want and all(p[1] < q[0] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
 def test_leftmost_minima():
     x = np.random.default_rng(0).integers(0, 9, 200).astype(np.uint64)
     for w in (1, 2, 5, 30):
