@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from garimpo.llm import common, fmindex, langid, minhash, packing, superkmer
 
 REST = "_rest"
+#: The least score of a prediction that overrules a document's language label.
+CONTRADICTED = 0.9
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -31,17 +33,24 @@ def _unpacked(done: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go.
-
-    Profiles are learnt from the labelled languages of all documents.  A text
-    with letters stays, whatever its language is called and even where there
-    was none to learn: only ``und`` for want of a letter has score 0.
+    """Documents go that have no language, or surely another one than they are labelled with.
+
+    Profiles are learnt from the labelled languages of all documents.  Rejected:
+    a text without a letter (or no text), and a text that is predicted to be in
+    another language than its non-null ``lang`` with a score of ``CONTRADICTED``
+    or more (mislabelled, or for the larger part in another language).  All
+    else stays: any language, texts without a label, and texts with letters
+    where there was no label to learn from.  Rows are judged one by one, so
+    repeated rows and rows without a doc_id fare as their texts do.
     """
     profiles = langid.train(docs)
     if not profiles.languages:
         profiles = langid.Profiles([(langid.NONE, 0, 0)], langid.PROFILE)
     found = langid.predict(_packed(docs), profiles, [REST])
-    return _unpacked(found.where((F.col("lang_pred") != langid.NONE) | (F.col("score") > 0)), docs)
+    lang = F.col(f"{REST}.lang").cast("string")
+    wordless = (F.col("lang_pred") == langid.NONE) & (F.col("score") <= 0)
+    contradicted = F.coalesce(lang != F.col("lang_pred"), F.lit(False)) & (F.col("score") >= CONTRADICTED)
+    return _unpacked(found.where(~wordless & ~contradicted), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,20 +63,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside windows of 35 words that occur again are cut out; a document of which nothing is left goes."""
+    """Words inside windows of 35 words that occur again are cut out; a document of which nothing is left goes.
+
+    Rows that share a doc_id, or lack one, are separate texts.
+    """
     done = superkmer.remove_repeats(_packed(docs), key=REST)
     return _unpacked(done.where("n_removed = 0 or n_removed < n_words"), docs, "kept")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside windows of ten words of a benchmark item are cut out; a document of which nothing is left goes."""
+    """Words inside windows of ten words of a benchmark item are cut out; a document of which nothing is left goes.
+
+    Rows are judged one by one, whatever their doc_id.
+    """
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     done = fmindex.contamination(_packed(docs), bench, text="clean", key=REST)
     return _unpacked(done.where("n_hit = 0 or n_hit < n_words"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 ids, a row for each piece."""
+    """Sequences of at most 1024 ids, a row for each piece; rows that share a doc_id, or lack one, are separate documents."""
     return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), True))
 
 

@@ -24,19 +24,29 @@ from .langid import held_out
 PIECE = 512
 DICTIONARY_BYTES = 32_768
 LEVEL = 3
-#: The fitting sample: rows of each label at most (those with the least hash of doc_id), and bytes of a sampled text at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16_384
+#: The fitting sample: rows of each label at most (those with the least hash of doc_id), and pieces of a sampled
+#: text at most, spread evenly over the whole of it.  Texts of any length take part.
+SAMPLE_ROWS, SAMPLE_PIECES = 3000, 32
 
 
 def pieces(text: bytes, size: int = PIECE) -> list[bytes]:
     return [text[i : i + size] for i in range(0, max(1, len(text)), size)]
 
 
-def dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A trained zstandard dictionary; the texts themselves where there are too few to train on."""
+def spread(text: bytes, most: int = SAMPLE_PIECES) -> list[bytes]:
+    """At most so many pieces of a text, from its first to its last."""
+    n = -(-len(text) // PIECE) or 1
+    if n <= most:
+        return pieces(text)
+    at = [i * (n - 1) // max(1, most - 1) for i in range(most)]
+    return [text[i * PIECE : (i + 1) * PIECE] for i in at]
+
+
+def dictionary(texts: list[list[bytes]], size: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary trained on texts' pieces; the pieces themselves where there are too few to train on."""
     import zstandard
 
-    samples = [p for t in texts for p in pieces(t)]
+    samples = [p for t in texts for p in t]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
@@ -68,14 +78,13 @@ class Model:
             self._c = of(self.good), of(self.bad)
         return self._c
 
-    def difference(self, text: bytes) -> float:
+    def difference(self, some: list[bytes]) -> float:
         good, bad = self._compressors()
-        some = pieces(text)
         g, b = sum(len(good.compress(p)) for p in some), sum(len(bad.compress(p)) for p in some)
         return (b - g) / (b + g)
 
     def score(self, text: bytes) -> float:
-        z = self.slope * self.difference(text) + self.intercept
+        z = self.slope * self.difference(pieces(text)) + self.intercept
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -94,8 +103,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def fit(rows: list[tuple[int, bytes]], share: float) -> Model:
-    """From ``(label, text)`` rows in a fixed order and the share of label 1 among all training labels."""
+def fit(rows: list[tuple[int, list[bytes]]], share: float) -> Model:
+    """From ``(label, a text's pieces)`` rows in a fixed order and the share of label 1 among all training labels."""
     kinds = [[t for y, t in rows if y == k] for k in (1, 0)]
     if not kinds[0] or not kinds[1]:
         share = min(max(share, 0.01), 0.99)
@@ -113,17 +122,28 @@ def fit(rows: list[tuple[int, bytes]], share: float) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fit on a bounded sample of labelled rows: ``rows`` of each quality, texts up to ``most_bytes`` bytes.
+def _spreader(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [spread(t, most) for t in common.byte_lists(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(some, pa.list_(pa.binary()))], ["doc_id", "quality", "pieces"])
+
+    return common.tidied(run)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_pieces: int = SAMPLE_PIECES) -> Model:
+    """Fit on a bounded sample of labelled rows: ``rows`` of each quality, ``most_pieces`` pieces of each text.
 
     Labels other than 0 and 1, and rows with a null doc_id or text, are left out.
+    The driver receives ``2 * rows * most_pieces * PIECE`` bytes at most.
     """
+    common.small_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
     n, good = known.agg(F.count("*"), F.sum("quality")).first()
     parts = [known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id")
-    got = sorted((r.doc_id, r.quality, r.text.encode()) for r in found.collect())
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    got = sorted((r.doc_id, r.quality, [bytes(p) for p in r.pieces]) for r in found.mapInArrow(_spreader(most_pieces), "doc_id long, quality int, pieces array<binary>").collect())
     return fit([(q, t) for _, q, t in got], (good or 0) / n if n else 0.5)
 
 

@@ -389,8 +389,14 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, held: int = HELD_BYT
     text = F.col("text").cast("string")
     name = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary")))
     keyed = docs.select(F.col(key).alias("key"), name.alias("name"), text.alias("text"))
-    spans = repeated_spans(keyed, k, m, held)
-    return keyed.join(spans, "name", "left").select("key", "text", "spans").mapInArrow(_remover(k, with_text), f"key {keyed.schema[0].dataType.simpleString()}, {DONE}").withColumnRenamed("key", key)
+    spans = common.staged(repeated_spans(keyed, k, m, held), "repeats")
+    if spans.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:  # only texts with repeats need travel to their spans
+        names = F.broadcast(spans.select("name"))
+        touched = keyed.join(names, "name", "left_semi").join(spans, "name").select("key", "text", "spans")
+        both = touched.unionByName(keyed.join(names, "name", "left_anti").select("key", "text", F.lit(None).cast("array<binary>").alias("spans")))
+    else:
+        both = keyed.join(spans, "name", "left").select("key", "text", "spans")
+    return both.mapInArrow(_remover(k, with_text), f"key {keyed.schema[0].dataType.simpleString()}, {DONE}").withColumnRenamed("key", key)
 
 
 def op5_superkmer_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from garimpo.llm import langid, quality
 
@@ -70,3 +71,77 @@ def test_quality_of_few_labels(spark, kinds):
     got = quality.score(docs, model).collect()
     assert len(got) == 14 and all(0 <= r.score <= 1 for r in got)
     assert quality.score(docs.limit(0), model).collect() == []
+
+
+def test_quality_equals_scores_by_hand(spark):
+    """Dictionaries, sizes, weights and the fitted curve recomputed with zstandard alone; texts of any length take part."""
+    rng = random.Random(3)
+    words = {1: [f"good{i}" for i in range(60)], 0: [f"bad{i}" for i in range(60)]}
+    rows = [(i, " ".join(rng.choice(words[i % 2] + ["and", "the"]) for _ in range(9000 if i < 2 else rng.choice((3, 40, 200)))), i % 2) for i in range(160)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+
+    def parts(data):
+        return [data[i : i + 512] for i in range(0, len(data), 512)]
+
+    def sampled(data):
+        all_ = parts(data)
+        return all_ if len(all_) <= 32 else [all_[i * (len(all_) - 1) // 31] for i in range(32)]
+
+    def compressor(texts):
+        trained = zstandard.train_dictionary(32_768, [p for t in texts for p in sampled(t)]).as_bytes()
+        return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(trained), level=3, write_content_size=False)
+
+    def measure(some, pair):
+        good, bad = (sum(len(c.compress(p)) for p in some) for c in pair)
+        return (bad - good) / (bad + good)
+
+    texts = {y: [t.encode() for i, t, z in sorted(rows) if z == y] for y in (1, 0)}
+    assert max(map(len, texts[1] + texts[0])) > 40_000
+    halves = [[compressor(texts[y][k::2]) for y in (1, 0)] for k in (0, 1)]
+    x, y = zip(*[(measure(sampled(t), halves[1 - k]), label) for k in (0, 1) for label in (1, 0) for t in texts[label][k::2]], strict=True)
+    x, y = np.array(x), np.array(y)
+    w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())  # half of all labels are good
+    z = (x - (w * x).sum()) / x.std()
+
+    def loss(a, b):
+        return (w * np.logaddexp(0, np.where(y == 1, -1, 1) * (a * z + b))).sum() + 1e-3 / 2 * (a * a)
+
+    slope, intercept = model.slope * x.std(), model.intercept + model.slope * (w * x).sum()
+    best = loss(slope, intercept)
+    assert all(loss(slope + da, intercept + db) >= best - 1e-9 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
+    final = [compressor(texts[k]) for k in (1, 0)]
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, t, _ in rows:
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.slope * measure(parts(t.encode()), final) + model.intercept)))) < 1e-12
+
+
+def test_spread_takes_whole_texts():
+    data = bytes(range(256)) * 400
+    some = quality.spread(data, 32)
+    assert len(some) == 32 and some[0] == data[:512] and some[-1] == data[-512 * (len(data) % 512 == 0) or -(len(data) % 512) :]
+    assert quality.spread(b"") == [b""] and quality.spread(b"abc") == [b"abc"]
+
+
+def test_language_by_an_independent_count(spark):
+    """Profiles, ranks and distances recomputed from strings and counters."""
+    rng = random.Random(8)
+    rows = [(lang, " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(40)) + ", 7É!") for lang, letters in (("a", "abcdeé"), ("b", "cdefgß"), ("c", "XYZabc")) for _ in range(8)]
+    p = langid.train(spark.createDataFrame(rows, "lang string, text string").repartition(3), 30)
+
+    def grams(texts):
+        c = Counter()
+        for t in texts:
+            line = " " + " ".join("".join(x.lower() if x.isalpha() else " " for x in t).split()) + " "
+            if line.strip():
+                c.update(line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1) if line[i : i + n] != " ")
+        return c
+
+    def ranking(c):  # by count, then shorter ones first, then by characters (a blank before any letter)
+        return sorted(c, key=lambda g: (-c[g], len(g), [0 if x == " " else ord(x) for x in g]))[:30]
+
+    profiles = {lang: ranking(grams([t for k, t in rows if k == lang])) for lang in "abc"}
+    for text in [t for _, t in rows] + ["abc", "zzz", "É", "ß d", "a-b-c 12", "cde cde cde"]:
+        mine = ranking(grams([text]))
+        cost = {lang: sum(abs(own.index(g) - i) if g in own else 30 for i, g in enumerate(mine)) for lang, own in profiles.items()}
+        assert p.predict(text)[0] == min("abc", key=cost.get)

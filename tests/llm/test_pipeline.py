@@ -35,12 +35,16 @@ def corpus():
     rows += [(100 + i, rows[i * 3][1], "en", "s", 1) for i in range(6)]
     rows += [(120 + i, rows[i * 3][1] + " one", "en", "s", 1) for i in range(6)]
     rows += [(150, None, "en", "s", 0), (151, "", "en", "s", 0), (152, "12 ..", "en", "s", 5), (153, passage, "en", "s", 1), (154, item.upper(), "en", None, 1)]
+    german = " ".join(rng.choice(vocabulary["de"]) for _ in range(90))
+    rows += [(160, german, "en", "s", 1), (161, german + " und wasser nicht", None, "s", 1)]
     return rows, [(1, item), (2, "ab cd")]
 
 
 def by_hand(spark, rows, items):
     p = langid.train(spark.createDataFrame([(r[2], r[1]) for r in rows], "lang string, text string"))
-    docs = {r[0]: r[1] for r in rows if p.predict(r[1])[0] != "und"}
+    judged = [(r, *p.predict(r[1])) for r in rows]
+    docs = {r[0]: r[1] for r, lang, score in judged if lang != "und" and not (r[2] is not None and lang != r[2] and score >= 0.9)}
+    assert 160 not in docs and 161 in docs
     kept = {d for d, _, _, k in test_minhash.brute(list(docs.items()), 5, 80) if k}
     docs = {d: t for d, t in docs.items() if d in kept}
     split = {d: re.findall(r"[^\x20\x09-\x0D]+", t) for d, t in docs.items()}
@@ -92,12 +96,12 @@ def test_stages_with_odd_columns_and_repeated_rows(spark, tmp_path):
     rows, items = corpus()
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     schema = "doc_id long, text string, lang string, score double, lang_pred string, kept string, spans int, key int, n_words int"
-    docs = spark.createDataFrame([(r[0], r[1], r[2], 0.5, "x", "y", 1, 2, 3) for r in [*rows[:9], *rows[:3], (None, rows[5][1] + " null id", "en")]], schema)
+    docs = spark.createDataFrame([(r[0], r[1], r[2], 0.5, "x", "y", 1, 2, 3) for r in [*rows[:9], *rows[:3], (None, rows[5][1] + " null id", None)]], schema)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = common.staged(stage(spark, docs, str(tmp_path)), "odd")
         assert docs.dtypes == spark.createDataFrame([], schema).dtypes
-    ids = [r.doc_id for r in docs.collect()]
-    assert len(ids) == len(set(ids))
+    rows_left = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(rows_left) == len(set(rows_left)) and None in {d for d, _ in rows_left}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
 
@@ -107,3 +111,10 @@ def test_language_without_labels_or_with_und(spark):
     for label in (None, "und"):
         docs = spark.createDataFrame([(d, t, label) for d, t in texts], "doc_id long, text string, lang string")
         assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 2]
+
+
+def test_different_texts_under_one_id_all_stay(spark):
+    x, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xz")
+    docs = spark.createDataFrame([(3, x, "en"), (5, x, "en"), (5, z, "en"), (None, z + " end", "en"), (None, "other words here", "en")], "doc_id long, text string, lang string")
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert left == [(3, x), (5, z), (None, "other words here")]
