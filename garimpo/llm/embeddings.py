@@ -4,10 +4,14 @@ Vectors are scaled to length one and turned into the coordinates of their
 principal components, which puts most of their length into leading dimensions.
 Pairs of tiles accumulate inner products a block of dimensions at a time; what
 the remaining dimensions can add is bounded by the product of the suffix norms,
-and a pair stops as soon as its cosine can't reach the threshold any more.
-Whole pairs of tiles are skipped when the angle between their centres, less
-their radii, is too wide.  What is left is confirmed in double precision on the
-vectors as given.
+and a pair stops as soon as its cosine can't reach the threshold any more.  What
+is left is confirmed in double precision on the vectors as given.
+
+Vectors lie in the cells of pivots; cells are put together to tiles of bounded
+size.  Each cell's radius is known before anything travels: where the angle
+between two pivots, less both radii, is too wide, neither cell is sent to meet
+the other.  How often a vector travels is thus the number of tiles that hold a
+cell within its reach.
 
 Equal vectors are one class from the start.  A tile pair emits the number of
 links of each of its classes and a spanning forest of the links, never pairs.
@@ -27,11 +31,14 @@ from pyspark.sql import types as T
 from . import common
 
 THRESHOLD = 0.9
-#: Vectors of a tile, and rows of one that are multiplied at a time.
-TILE, STRIP = 4096, 512
+#: Numbers (vectors times dimensions) and vectors of a tile at most: what a task holds is two tiles.  Rows and partners multiplied at a time.
+TILE_VALUES, TILE, STRIP, CHUNK = 1 << 21, 32_768, 512, 8192
 #: Rows whose vectors fit the principal components and the pivots, those with the least hash: a bounded sample.
 FIT_ROWS = 20_000
-PIVOTS = 64
+#: Pivots: at least so many, four for each tile, and at most so many.
+PIVOTS, MOST_PIVOTS = 64, 1024
+#: Entries of the table of routes (pivots times tiles) up to which it is broadcast; beyond, a shuffle join.
+ROUTES = 1_000_000
 #: Widths of the blocks of dimensions, as shares of all.
 BLOCKS = (0.125, 0.125, 0.25, 0.5)
 #: Slack for single precision; pairs this near the threshold go on to double precision.
@@ -73,17 +80,41 @@ class Basis:
 
 
 def _cells(basis):
+    """Each vector's nearest pivot, and the angle to it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = basis.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = b.turn(unit(_matrix(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(x @ b.centres.T, 1).astype(np.int32))], ["rep", "cell"])
+            near = b.turn(unit(_matrix(batch.column(2)))) @ b.centres.T
+            cell = np.argmax(near, 1)
+            angle = np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], [*batch.schema.names, "cell", "angle"])
 
     return common.tidied(run)
 
 
+def reachable(centres: np.ndarray, radius: np.ndarray, threshold: float) -> np.ndarray:
+    """Which cells may hold vectors that link: the angle of their pivots less both radii isn't too wide."""
+    between = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    near = between - radius[:, None] - radius[None, :] <= math.acos(threshold) + 1e-3
+    np.fill_diagonal(near, True)
+    return near
+
+
+def tiles_of(counts: dict[int, int], tile: int) -> list[tuple[int, int, int, int]]:
+    """(cell, its first tile, tiles it is dealt over, vectors): small neighbouring cells share a tile, large ones are split."""
+    out, at, room = [], -1, 0
+    for cell, n in sorted(counts.items()):
+        parts = max(1, -(-n // tile))
+        if parts > 1 or n > room:
+            at, room = at + 1, tile
+        out.append((cell, at, parts, n))
+        at, room = at + parts - 1, room - n if parts == 1 else 0
+    return out
+
+
 def tile_pair(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of two tiles (unit vectors, PCA order) whose cosine may reach the threshold."""
     dims, need = a.shape[1], np.float32(threshold - SLACK)
@@ -112,50 +143,51 @@ def tile_pair(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarra
     return np.nonzero(dots >= need)
 
 
-def _compare(basis, threshold: float):
-    """Tile pairs, sorted by name, each with the side of its members -> link counts and a forest of links."""
+def _compare(basis, near, threshold: float):
+    """Tile pairs, sorted by number, each with the side of its members -> link counts and a forest of links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = basis.value
+        base, meets = basis.value, near.value
         name, parts = None, []
 
         def done():
-            rep, copies = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            second, raw = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-            one = unit(raw)
+            rep, copies, second, cell = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            one = unit(np.concatenate([p[4] for p in parts]))
             x = base.turn(one)
-            left, right = np.flatnonzero(~second), np.flatnonzero(second)
-            own = len(set(name.split("/"))) == 1  # a tile with itself
+            order = np.argsort(cell, kind="stable")
+            left, right = order[~second[order]], order[second[order]]
+            own = not len(right) and name[0] == name[1]  # a tile with itself
             if own:
                 right = left
             if not len(left) or not len(right):
                 return None
-            if not own:
-                ca, cb = (unit(x[s].sum(0, keepdims=True) + 1e-300) for s in (left, right))
-                angle = lambda u, v: np.arccos(np.clip(u @ v.T, -1, 1))
-                if angle(ca, cb)[0, 0] - angle(x[left], ca).max() - angle(x[right], cb).max() > math.acos(threshold) + 1e-3:
-                    return None
             n, forest = np.zeros(len(rep)), common.Forest(len(rep))
             label = np.arange(len(rep))
+            place = np.empty(len(rep), np.int64)
+            place[order] = np.arange(len(order))
             for at in range(0, len(left), STRIP):
                 strip, side = left[at : at + STRIP], right[at:] if own else right
-                i, j = tile_pair(x[strip], x[side], threshold)
-                i, j = strip[i], side[j]
-                if own:
-                    i, j = i[i < j], j[i < j]
-                if not len(i):
-                    continue
-                sure = np.concatenate([np.einsum("ij,ij->i", one[i[k : k + 50_000]], one[j[k : k + 50_000]]) >= threshold for k in range(0, len(i), 50_000)])
-                i, j = i[sure], j[sure]
-                n += np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
-                # Join each row with one partner first: few pairs are then left between different trees.
-                for pick in (np.unique(j, return_index=True)[1], np.unique(i, return_index=True)[1], slice(None)):
-                    p, q = i[pick], j[pick]
-                    apart = label[p] != label[q]
-                    for u, v in zip(p[apart].tolist(), q[apart].tolist(), strict=True):
-                        forest.join(u, v)
-                    if apart.any():
-                        label = np.array([forest.root(k) for k in range(len(rep))])
+                side = side[meets[np.unique(cell[strip])].any(0)[cell[side]]]
+                for first in range(0, len(side), CHUNK):
+                    some = side[first : first + CHUNK]
+                    i, j = tile_pair(x[strip], x[some], threshold)
+                    i, j = strip[i], some[j]
+                    if own:  # in the order of cells, so that a pair within a strip counts once
+                        later = place[i] < place[j]
+                        i, j = i[later], j[later]
+                    if not len(i):
+                        continue
+                    sure = np.concatenate([np.einsum("ij,ij->i", one[i[k : k + 50_000]], one[j[k : k + 50_000]]) >= threshold for k in range(0, len(i), 50_000)])
+                    i, j = i[sure], j[sure]
+                    n += np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
+                    # Join each row with one partner first: few pairs are then left between different trees.
+                    for pick in (np.unique(j, return_index=True)[1], np.unique(i, return_index=True)[1], slice(None)):
+                        p, q = i[pick], j[pick]
+                        apart = label[p] != label[q]
+                        for u, v in zip(p[apart].tolist(), q[apart].tolist(), strict=True):
+                            forest.join(u, v)
+                        if apart.any():
+                            label = np.array([forest.root(k) for k in range(len(rep))])
             if not n.any():
                 return None
             seen = np.flatnonzero(n)
@@ -166,17 +198,18 @@ def _compare(basis, threshold: float):
             )
 
         for b in batches:
-            keys = np.array(b.column("pair").to_pylist(), object)
-            if not len(keys):
+            if not b.num_rows:
                 continue
-            cut = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            keys = np.stack([b.column(c).to_numpy() for c in ("low", "high")], 1)
+            cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             m = _matrix(b.column("embedding"))
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "copies", "second")]
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "copies", "second", "cell")]
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if keys[lo] != name:
+                key = tuple(keys[lo].tolist())
+                if key != name:
                     if name is not None and (out := done()) is not None:
                         yield out
-                    name, parts = keys[lo], []
+                    name, parts = key, []
                 parts.append((*(c[lo:hi] for c in cols), m[lo:hi]))
         if name is not None and (out := done()) is not None:
             yield out
@@ -192,8 +225,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     with nothing.  Vectors of different lengths link with nothing (each length
     is compared by itself).  Rows that share a vec_id count as separate vectors
     and one node; rows with a null vec_id link with nothing (null component,
-    kept).  Equal vectors are named by a 64-bit hash.  Other columns are
-    ignored; an empty table gives no rows.
+    kept).  Equal vectors (a negative zero is a zero) are one class, found again
+    by a 128-bit hash.  Other columns are ignored; an empty table gives no rows.
 
     The basis is fitted on ``fit_rows`` vectors; all rows are compared.
     """
@@ -201,30 +234,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     common.small_batches(spark)
     kind = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull) else "array<double>"
     all_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
-    good = all_rows.where(usable() & F.col("vec_id").isNotNull())
-    keyed = good.select("vec_id", F.xxhash64(F.lit(7), "embedding").alias("node"), "embedding")
-    classes = common.staged(keyed.groupBy("embedding").agg(F.first("node").alias("node"), F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dims", F.size("embedding")), "vector-classes")
+    good = all_rows.where(usable() & F.col("vec_id").isNotNull()).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast(kind[6:-1])))
+    keyed = good.select("vec_id", F.xxhash64(F.lit(7), "embedding").alias("h1"), F.xxhash64(F.lit(11), "embedding").alias("h2"), "embedding")
+    facts = [F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.min("vec_id").alias("least"), F.count("*").alias("copies")]
+    classes = common.staged(keyed.groupBy("embedding").agg(*facts).withColumn("node", F.monotonically_increasing_id()).withColumn("dims", F.size("embedding")), "vector-classes")
     counts, forests = [], []
-    for (dims,) in classes.select("dims").distinct().collect():
-        some = classes.where(F.col("dims") == dims)
-        sample = some.orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("embedding").toArrow()["embedding"].combine_chunks()
-        basis = spark.sparkContext.broadcast(Basis(unit(_matrix(sample)), PIVOTS))
-        cells = some.select("node", "embedding").mapInArrow(_cells(basis), "rep long, cell int")
-        placed = common.staged(some.select("node", "copies", "embedding").join(cells.withColumnRenamed("rep", "node"), "node"), "cells")
-        sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()  # PIVOTS rows
-        first, at, room = {}, -1, 0
-        for r in sizes:  # small neighbouring cells share a tile, large ones are split by hash
-            parts = max(1, -(-r.n // tile))
-            if parts > 1 or r.n > room:
-                at, room = at + 1, tile
-            first[r.cell] = (at, parts)
-            at, room = at + parts - 1, room - r.n if parts == 1 else 0
-        at += 1
-        start = F.create_map(*[F.lit(v) for c, (s, _) in first.items() for v in (c, s)])
-        width = F.create_map(*[F.lit(v) for c, (_, n) in first.items() for v in (c, n)])
-        tiled = placed.withColumn("tile", (F.element_at(start, F.col("cell")) + F.pmod(F.xxhash64("node", F.lit(2)), F.element_at(width, F.col("cell")))).cast("int"))
-        links = _pairs_of_tiles(tiled, at).mapInArrow(_compare(basis, threshold), "rep long, other long, n long")
-        links = common.staged(links, "vector-links")
+    for dims, n in sorted(tuple(r) for r in classes.groupBy("dims").count().collect()):
+        links = common.staged(_links(classes.where(F.col("dims") == dims), dims, n, threshold, tile, fit_rows), "vector-links")
         counts.append(links.where("other is null").groupBy("rep").agg(F.sum("n").alias("n")))
         forests.append(links.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     if not counts:
@@ -233,23 +249,53 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     for c, e in zip(counts[1:], forests[1:], strict=True):
         linked, edges = linked.unionByName(c), edges.unionByName(e)
     # Rows that share a vec_id hang together.
-    shared = keyed.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last")
-    edges = edges.unionByName(keyed.join(shared, "vec_id").select("a", F.col("node").alias("b")))
+    named = common.staged(keyed.select("vec_id", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("vec_id", "node"), "vector-names")
+    shared = named.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last")
+    edges = edges.unionByName(named.join(shared, "vec_id").select("a", F.col("node").alias("b")))
     found = common.components(edges)
-    group = classes.select("node", "rep", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = group.groupBy("component").agg(F.min("rep").alias("component_id"))
+    group = classes.select("node", "least", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = group.groupBy("component").agg(F.min("least").alias("component_id"))
     per_class = group.join(least, "component").join(linked.withColumnRenamed("rep", "node"), "node", "left").select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = keyed.select("vec_id", "node").join(per_class, "node").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    rows = named.join(per_class, "node").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     rest = all_rows.where(~usable() | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return rows.unionByName(rest)
 
 
-def _pairs_of_tiles(tiled: DataFrame, n: int) -> DataFrame:
-    """Each tile's rows once for every tile it is compared with, sorted by the pair's name."""
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    pair = F.explode(F.transform(others, lambda o: F.struct(F.concat_ws("/", F.least("tile", o), F.greatest("tile", o)).alias("pair"), (F.col("tile") > o).alias("second"))))
-    many = tiled.select(F.col("node").alias("rep"), "copies", "embedding", pair.alias("p")).select("p.pair", "p.second", "rep", "copies", "embedding")
-    return many.repartition(max(int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions")), n), "pair").sortWithinPartitions("pair")
+def _links(classes: DataFrame, dims: int, n: int, threshold: float, tile: int, fit_rows: int) -> DataFrame:
+    """``(rep, other, n)``: link counts (null other) and a forest of links of ``classes(node, copies, embedding)`` of one length."""
+    spark = classes.sparkSession
+    # Tiles so small that there are more pairs of them than cores, if there are vectors enough.
+    spread = math.isqrt(4 * spark.sparkContext.defaultParallelism) + 1
+    tile = max(1, min(tile, TILE_VALUES // dims, max(1024, -(-n // spread))))
+    pivots = min(MOST_PIVOTS, max(PIVOTS, 4 * -(-n // tile)))
+    sample = classes.orderBy(F.xxhash64("h1"), "h2").limit(fit_rows).select("embedding").toArrow()["embedding"].combine_chunks()
+    base = Basis(unit(_matrix(sample)), pivots)
+    basis = spark.sparkContext.broadcast(base)
+    schema = f"node long, copies long, embedding {classes.schema['embedding'].dataType.simpleString()}, cell int, angle double"
+    placed = common.staged(classes.select("node", "copies", "embedding").mapInArrow(_cells(basis), schema), "cells")
+    sizes = {r.cell: (r.n, r.radius) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # a row a pivot
+    radius = np.zeros(len(base.centres))
+    for cell, (_, r) in sizes.items():
+        radius[cell] = r
+    meets = reachable(base.centres, radius, threshold)
+    dealt = tiles_of({c: k for c, (k, _) in sizes.items()}, tile)
+    held: dict[int, list[int]] = {}  # tile -> its cells
+    for cell, first, parts, _ in dealt:
+        for t in range(first, first + parts):
+            held.setdefault(t, []).append(cell)
+    routes = [(cell, first + p, [t for t, cells in held.items() if t == first + p or meets[cell, cells].any()]) for cell, first, parts, _ in dealt for p in range(parts)]
+    small = sum(len(r[2]) for r in routes) <= ROUTES
+    table = spark.createDataFrame(routes, "cell int, tile int, others array<int>")
+    starts = spark.createDataFrame([(c, f, p) for c, f, p, _ in dealt], "cell int, first int, parts int")
+    tiled = placed.join(F.broadcast(starts), "cell").withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))).cast("int"))
+    sent = tiled.join(F.broadcast(table) if small else table, ["cell", "tile"]).select(F.col("node").alias("rep"), "copies", "cell", "embedding", "tile", F.explode("others").alias("other"))
+    sent = sent.select(F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).alias("second"), "rep", "copies", "cell", "embedding")
+    tiles = max(held) + 1
+    # Pairs of tiles by number, each its own partition while there are few.
+    tasks = min(tiles * (tiles + 1) // 2, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 10_000))
+    number = (F.col("high").cast("long") * (F.col("high") + 1) / 2).cast("long") + F.col("low")
+    near = spark.sparkContext.broadcast(meets)
+    return sent.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).sortWithinPartitions("low", "high").mapInArrow(_compare(basis, near, threshold), "rep long, other long, n long")
 
 
 def op9_pca_tiles(spark, sf_dir: str) -> DataFrame:
