@@ -1,17 +1,26 @@
 """Licence scans: a trained paragraph classifier, native Spark on the main path.
 
-Paragraphs (sentences of a line) that hold an anchor word are scored by a
-multinomial logistic regression over sparse word n-grams (one to three words),
-with a class for "no licence".  Where that doesn't settle a paragraph, or it is
-longer than any template, overlapping windows of its words are scored too.  Its temperature is calibrated on folds left out of training.
-A predicted family is confirmed when the paragraph shares enough of its n-grams
-with one of the family's templates; a prediction that is unsure or not
-confirmed is ``unknown``.
-
-The model is trained on the templates below, on the driver: a bounded set that
+A multinomial logistic regression over sparse word n-grams (one to three words)
+tells licence families apart, with a class for other licences and one for text
+that is none.  Paragraphs are sentences, across line breaks, up to blank lines.
+Where the whole doesn't settle a paragraph, or it is longer than any template,
+overlapping windows of its words are scored too.
+
+Only n-grams that hold a ``marker`` are features: any word of a known notice that
+isn't a common one.  A text without markers has no feature, and its class is
+``none`` by the biases alone; leaving such texts out of the scan changes nothing.
+
+A predicted family is confirmed when the n-grams of the text and of one of the
+family's templates agree, counted on both sides.  The least probability of a
+family is calibrated on families left out of training: notices of a family that
+the model has never seen must not pass for another one.  What looks like a
+notice but is unsure, unconfirmed or of another licence is ``unknown``.
+
+The model is trained on the notices below, on the driver: a bounded set that
 doesn't depend on the data.  Its weights and the templates' n-grams are small
 tables (bounded by the templates) that are broadcast.  The scan itself is
-DataFrame expressions only, and each distinct paragraph or window is scored once.
+DataFrame expressions only, reads the text once, and scores each distinct
+paragraph or window once.
 """
 
 from __future__ import annotations
@@ -31,6 +40,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT license.",
+        "Released under MIT.",
+        "MIT License",
+        "The MIT License (MIT)",
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
@@ -39,6 +51,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Released under the Apache License 2.0.",
+        "Licensed under Apache 2.0.",
+        "Apache License, Version 2.0",
+        "Apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
         "This project is licensed under the Apache 2.0 license.",
@@ -50,22 +65,31 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Licensed under the GPL, version 3.",
         "Released under the GPLv2 license.",
+        "Released under GPL 3.",
+        "GNU General Public License, version 3",
+        "GPL-3.0",
     ),
     "LGPL": (
         "Licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software under the terms of the GNU Lesser General Public License.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
         "Released under the LGPL, version 2.1.",
+        "GNU Lesser General Public License, version 3",
+        "LGPL-3.0",
     ),
     "AGPL": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "This program is distributed under the terms of the GNU Affero General Public License.",
         "SPDX-License-Identifier: AGPL-3.0-only",
         "Released under the AGPL, version 3.",
+        "GNU Affero General Public License, version 3",
+        "AGPL-3.0",
     ),
     "BSD": (
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD license.",
+        "BSD 3-Clause License",
+        "BSD-2-Clause",
         "SPDX-License-Identifier: BSD-2-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Use of this source code is governed by a BSD-style license.",
@@ -74,25 +98,31 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License, version 2.0",
+        "Released under MPL 2.0.",
     ),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Released under the Creative Commons Attribution license, CC BY 3.0.",
+        "CC BY 4.0",
     ),
     "CC-BY-SA": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Text is available under the Creative Commons Attribution-ShareAlike License.",
+        "CC BY-SA 4.0",
     ),
     "CC-BY-NC": (
         "Licensed under CC BY-NC 4.0.",
         "Licensed under CC BY-NC-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Released under CC BY-NC-ND 3.0, for non-commercial use only.",
+        "CC BY-NC 4.0",
     ),
     "CC0": (
         "Released under CC0 1.0.",
+        "CC0 1.0 Universal",
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0.",
         "This work is dedicated to the public domain under the CC0 1.0 Universal license.",
         "This is free and unencumbered software released into the public domain.",
@@ -104,7 +134,60 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Unauthorised copying of this file is strictly prohibited; proprietary and confidential, all rights reserved.",
     ),
 }
-NONE = "none"
+NONE, OTHER = "none", "other"
+# Notices of other licences, and in other languages; no family's templates.
+OTHERS = (
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "This program is made available under the terms of the Eclipse Public License 2.0.",
+    "Released under the ISC License.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the zlib license.",
+    "This library is licensed under the Artistic License 2.0.",
+    "Licensed under the EUPL, version 1.2.",
+    "Available under the Common Development and Distribution License.",
+    "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "Released under the WTFPL.",
+    "Licensed under the Microsoft Public License.",
+    "Use of this data is subject to the Open Database License.",
+    "SPDX-License-Identifier: ISC",
+    "SPDX-License-Identifier: EPL-2.0",
+    "This software is provided as is, without warranty of any kind, express or implied.",
+    "The software is provided as is, without any express or implied warranty.",
+    "This software is licensed under its own terms; see the file LICENSE for details.",
+    "Use is subject to license terms.",
+    "You may obtain a copy of the license at the following address.",
+    "Licensed material; see the license agreement for the conditions of use.",
+    "ISC License",
+    "Eclipse Public License, version 2.0",
+    "Boost Software License 1.0",
+    "Diese Datei steht unter der Lizenz, die in der Datei beschrieben ist.",
+    "Der Quelltext steht unter der MIT-Lizenz.",
+    "Dieses Projekt steht unter der MIT-Lizenz.",
+    "Die Software steht unter der BSD-Lizenz.",
+    "Der Code ist lizenziert unter der GPL.",
+    "Diese Bibliothek steht unter der GPL.",
+    "Lizenziert unter der Apache-Lizenz, Version 2.0.",
+    "Dieses Werk ist lizenziert unter einer freien Lizenz.",
+    "Veröffentlicht unter der GNU General Public Lizenz, Version 3.",
+    "Diese Software steht unter der Apache-Lizenz.",
+    "Alle Rechte vorbehalten.",
+    "Ce programme est distribué sous licence libre.",
+    "Ce logiciel est un logiciel libre ; vous pouvez le redistribuer suivant les termes de la Licence Publique Générale GNU.",
+    "Cette œuvre est mise à disposition selon les termes de la licence Creative Commons.",
+    "Sous licence MIT.",
+    "Distribué sous licence Apache 2.0.",
+    "Tous droits réservés.",
+    "Este programa se distribuye bajo la licencia Apache.",
+    "Esta obra está bajo una licencia de Creative Commons.",
+    "Publicado bajo la licencia MIT.",
+    "Esta biblioteca está licenciada bajo la licencia GPL.",
+    "El código se publica bajo la licencia BSD.",
+    "Este programa está bajo la licencia Apache.",
+    "Todos los derechos reservados.",
+    "Este software está licenciado sob a licença MIT.",
+    "Todos os direitos reservados.",
+)
 # Paragraphs that hold anchor words but grant nothing.
 NEGATIVES = (
     "The driver showed a license at the gate.",
@@ -129,43 +212,45 @@ NEGATIVES = (
     "Redistribution of wealth was the subject of the debate.",
     "Which license should I choose, the lawyer asked.",
     "The license plate was found in the forest.",
+    "The license of the old bar was not renewed.",
+    "The software company hired ten people.",
+    "She wrote software for the weather office.",
+    "Food was provided without a fee.",
+    "The newspaper published its last edition in June.",
+    "The prisoner was released in May, the film in June.",
+    "The notice on the door was written by hand.",
+    "The bank is licensed by the state.",
+    "MIT is a university; Apache is a town.",
+    "The creative commons of the village lie by the river.",
+    "Copyright law was changed by parliament.",
+    "The gnu is an antelope.",
+    "Dogs are prohibited in the garden.",
+)
+# Words that say nothing of licences by themselves.
+COMMON = frozenset(
+    "a above alle an and any all are as available at bajo beschrieben ce cette commercial common deal development diese dieses disposition except express fee forms granted included later law met non obra only open package portions possible pouvez prior programa programme provided publication related se sob strictly style substantial suivant todos tous una universal use v à œuvre be by can da das de der des die du e ein einer el en er es est est esta está este et for form free from has have in into is ist it its kind la le les los may must no not o of of on one or os os out own part par "
+    "selon sein shall should so sous steht sur that the their these they this those to un und une unter upon und vous which who will with without work works works you your "
+    "address author code copies copy conditions data date details die file files following for general green international library made mise name new other own person persons program project public purpose section see source subject text version where written wird".split()
 )
-#: What names a licence or belongs to the wording of one; whole words (any characters but letters and digits between them).
-MARKS = (
-    "affero", "apache", "attribution", "binary", "bsd", "by sa", "by nc", "cc by", "code form", "conditions are met", "confidential", "copy of this", "copying of",
-    "creative", "deal in the software", "dedicated to the", "documentation files", "except in compliance", "extent possible", "following conditions", "free of charge",
-    "gnu", "in all copies", "included in all", "under mit", "under the mit", "modification", "modify it", "mozilla", "mpl", "non commercial", "noncommercial", "part of this", "person obtaining",
-    "prior written", "prohibited", "proprietary", "related rights", "share alike", "sharealike", "software and associated", "source code", "strictly",
-    "substantial portions", "terms of", "the terms", "unencumbered", "under law", "use this file", "waived", "without restriction",
-)
-
-
-def _anchor() -> str:
-    """One pattern for Python and Java; marks are tried at the start of a word only, by first letter."""
-    gap, by_letter = "[^a-z0-9]{1,3}", {}
-    for mark in MARKS:
-        by_letter.setdefault(mark[0], []).append(mark[1:].replace(" ", gap))
-    marks = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items())
-    return rf"(?i)licen[cs]|copyright|rights reserved|spdx|public domain|permission|redistribut|reproduced|unauthori[sz]ed|\bcc0|gpl|free software|(?<![a-z0-9])(?:{marks})(?![a-z0-9])"
-
-
-#: A paragraph without any of these is no licence notice: ordinary words and numbers of a notice ("this work", "version 2.0") and "mit" alone, a German word, name none.
-ANCHOR = _anchor()
-#: The least probability of a family, and the least share of n-grams that a template must confirm.
-SURE, SHARED = 0.5, 0.5
+#: The least share of n-grams that a text and a template must have in common, of those of both.
+SHARED = 0.55
+#: Of the notices of left-out families, the share that may pass for another family; bounds of the calibrated probability.
+PASS, LEAST, MOST = 0.05, 0.5, 0.95
 GRAMS = 3
-#: Where paragraphs end; a window's words as they stand in the text (anchors may depend on case).
-ENDS, CASED = r"\n|(?<=[.!?])[ \t]+", "[A-Za-z0-9]+"
+#: What a training text of a single known n-gram (a marker alone) weighs.
+SINGLE = 0.2
+#: Where paragraphs end: blank lines, and sentence ends before white space.
+ENDS = r"\n[ \t\r]*\n\s*|(?<=[.!?])\s+"
 #: Windows as (words, words from one to the next): some window holds any run of words and few more.
 WINDOWS = tuple((n, max(1, n // 4)) for n in (4, 6, 8, 12, 16, 24, 32))
 #: Windows of so many words that are unsure or unconfirmed make a long paragraph ``unknown``.
 UNSURE_WORDS = 16
 
-_word = "[a-z0-9]+"
+_word = r"[\p{L}\p{N}]+"
 
 
 def words(text: str) -> list[str]:
-    return re.findall(_word, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return re.findall(r"[^\W_]+", text.lower())
 
 
 #: Words of the longest template; a confirmed paragraph of no more words is one notice.
@@ -178,36 +263,42 @@ def ngrams(text: str) -> set[str]:
 
 
 class Model:
-    """Weights by n-gram, a bias for each class and the calibrated temperature."""
+    """Weights by n-gram, a bias for each class, the calibrated temperature and least probability, and the markers."""
 
-    def __init__(self, classes: list[str], vocabulary: dict[str, int], weights: np.ndarray, bias: np.ndarray, temperature: float):
-        self.classes, self.vocabulary, self.weights, self.bias, self.temperature = classes, vocabulary, weights, bias, temperature
+    def __init__(self, classes: list[str], vocabulary: dict[str, int], weights: np.ndarray, bias: np.ndarray, temperature: float, markers: list[str], sure: float = 1.0):
+        self.classes, self.vocabulary, self.weights, self.bias, self.temperature, self.markers, self.sure = classes, vocabulary, weights, bias, temperature, markers, sure
 
 
 # Ways to open a short notice.
 OPENINGS = ("Licensed under", "Released under", "Distributed under", "Available under", "Published under", "This work is licensed under", "This package is released under", "The code is distributed under the terms of")
 
 
-def _examples() -> list[tuple[str, str]]:
-    """(class, paragraph): each template, short ones with other openings, halves of long ones; each negative."""
-    out = []
-    for family, texts in TEMPLATES.items():
+def _examples() -> list[tuple[str, str, int]]:
+    """(class, paragraph, its notice's number): each notice, short ones with other openings, halves of long ones; each negative."""
+    out, number = [], 0
+    for family, texts in [*TEMPLATES.items(), (OTHER, OTHERS)]:
         for t in texts:
-            out.append((family, t))
+            number += 1
+            out.append((family, t, number))
             w = t.split()
             if t.startswith(OPENINGS[:2]):
-                out += [(family, f"{o} {t.split(' under ', 1)[1]}") for o in OPENINGS]
+                out += [(family, f"{o} {t.split(' under ', 1)[1]}", number) for o in OPENINGS]
             if len(w) > 12:
-                out += [(family, " ".join(w[: len(w) // 2 + 2])), (family, " ".join(w[len(w) // 2 - 2 :]))]
-    return out + [(NONE, t) for t in NEGATIVES]
+                out += [(family, " ".join(w[: len(w) // 2 + 2]), number), (family, " ".join(w[len(w) // 2 - 2 :]), number)]
+    return out + [(NONE, t, number + 1 + i) for i, t in enumerate(NEGATIVES)]
+
+
+def _marked(examples) -> list[str]:
+    return sorted({w for c, t, _ in examples if c != NONE for w in words(t)} - COMMON - {w for c, t, _ in examples if c != NONE for w in words(t) if w.isdigit()})
 
 
 def _fit(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 150, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and biases of a softmax regression (gradient descent with momentum; classes weigh alike)."""
-    w, b = np.zeros((x.shape[1], k)), np.zeros(k)
+    """Weights and biases of a softmax regression (gradient descent with momentum; classes weigh alike, texts of one n-gram less)."""
+    w, b = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
-    hot = np.eye(k)[y]
-    weight = (1 / np.maximum(1, hot.sum(0)))[y][:, None] / k
+    hot = np.eye(k, dtype=np.float32)[y]
+    share = np.where((x > 0).sum(1) <= 1, np.float32(SINGLE), np.float32(1))
+    weight = (share / np.maximum(1, (hot * share[:, None]).sum(0))[y])[:, None] / np.float32(k)
     for _ in range(rounds):
         z = x @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
@@ -215,23 +306,41 @@ def _fit(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 150, ridge: float =
         g = weight * (p - hot)
         vw, vb = 0.9 * vw - 2.0 * (x.T @ g + ridge * w / k), 0.9 * vb - 2.0 * g.sum(0)
         w, b = w + vw, b + vb
-    return w, b
+    return w.astype(np.float64), b.astype(np.float64)
+
+
+def _features(texts: list[str], vocabulary: dict[str, int]) -> np.ndarray:
+    """Known n-grams of each text as rows of length one."""
+    x = np.zeros((len(texts), len(vocabulary)), np.float32)
+    for i, t in enumerate(texts):
+        for g in ngrams(t):
+            if g in vocabulary:
+                x[i, vocabulary[g]] = 1
+    return x / np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
 
 
 def train(folds: int = 3) -> Model:
-    """Fit on the templates; the temperature is the one with the best likelihood on left-out folds."""
+    """Fit on the notices; temperature and least probability come from notices and families left out.
+
+    A word by itself is no notice: every marker is a negative, alone.  Folds are
+    dealt by notice, so that no variant of one is on both sides.  The
+    temperature has the best likelihood there; the least probability is the
+    smallest with which at most ``PASS`` of the notices of left-out families
+    pass as another family, confirmed by its templates.
+    """
     examples = _examples()
-    classes = [*TEMPLATES, NONE]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for _, t in examples for g in ngrams(t)}))}
-    x = np.zeros((len(examples), len(vocabulary)), np.float32)
-    for i, (_, t) in enumerate(examples):
-        for g in ngrams(t):
-            x[i, vocabulary[g]] = 1
-    x /= np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
-    y = np.array([classes.index(c) for c, _ in examples])
+    markers = _marked(examples)
+    held = set(markers)
+    last = examples[-1][2]
+    examples += [(NONE, m, last + 1 + i) for i, m in enumerate(markers)] + [(NONE, "", 0)]
+    classes = [*TEMPLATES, OTHER, NONE]
+    vocabulary = {g: i for i, g in enumerate(sorted({g for _, t, _ in examples for g in ngrams(t) if not held.isdisjoint(g.split(" "))}))}
+    x = _features([t for _, t, _ in examples], vocabulary)
+    y = np.array([classes.index(c) for c, _, _ in examples])
+    group = np.array([g for _, _, g in examples])
     logits = np.zeros((len(examples), len(classes)))
     for f in range(folds):
-        out = np.arange(len(examples)) % folds == f
+        out = group % folds == f
         w, b = _fit(x[~out], y[~out], len(classes))
         logits[out] = x[out] @ w + b
 
@@ -240,41 +349,61 @@ def train(folds: int = 3) -> Model:
         return float(-(z[np.arange(len(y)), y] - z.max(1) - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1))).mean())
 
     temperature = min((t / 10 for t in range(3, 41)), key=loss)
+    passing = []
+    for k, family in enumerate(classes[:-2]):
+        out = y == k
+        w, b = _fit(x[~out], y[~out], len(classes), 80)
+        z = (x[out] @ w + b) / temperature
+        z[:, k] = -np.inf  # the family doesn't exist for this model
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        for (_, text, _), q in zip([e for e, o in zip(examples, out, strict=True) if o], p, strict=True):
+            best = int(q.argmax())
+            taken = best < len(classes) - 2 and likeness(ngrams(text), classes[best]) >= SHARED
+            passing.append(float(q[best]) if taken else 0.0)
+    passing.sort()
+    sure = min(MOST, max(LEAST, passing[min(len(passing) - 1, math.ceil(len(passing) * (1 - PASS)))] + 1e-6))
     w, b = _fit(x, y, len(classes))
-    return Model(classes, vocabulary, np.round(w, 6), np.round(b, 6), temperature)
+    return Model(classes, vocabulary, np.round(w, 6), np.round(b, 6), temperature, markers, round(sure, 6))
+
+
+_template_grams: dict[str, list[set[str]]] = {}
+
+
+def likeness(grams: set[str], family: str) -> float:
+    """The greatest share of n-grams, of a text's and a template's together, that a template of the family has in common with it."""
+    if family not in _template_grams:
+        _template_grams[family] = [ngrams(t) for t in TEMPLATES.get(family, ())]
+    return max((2 * len(grams & t) / (len(grams) + len(t)) for t in _template_grams[family]), default=0.0)
 
 
-def score(text: str, model: Model) -> tuple[str, float, float, float]:
-    """(class, probability, shared, likeness) by hand: see ``score_paragraphs``."""
+def score(text: str, model: Model) -> tuple[str, float, float]:
+    """(class, probability, likeness) by hand: see ``score_paragraphs``."""
     grams = ngrams(text)
-    z = model.bias + sum((model.weights[model.vocabulary[g]] for g in grams if g in model.vocabulary), np.zeros(len(model.bias))) / math.sqrt(max(1, len(grams)))
+    known = [model.weights[model.vocabulary[g]] for g in grams if g in model.vocabulary]
+    z = model.bias + sum(known, np.zeros(len(model.bias))) / math.sqrt(max(1, len(known)))
     p = np.exp((z - z.max()) / model.temperature)
     p /= p.sum()
     k = int(np.argmax(p))
-    both = [(len(grams & t), len(t)) for t in map(ngrams, TEMPLATES.get(model.classes[k], ()))]
-    shared, alike = max((c / max(1, min(len(grams), t)) for c, t in both), default=0.0), max((2 * c / (len(grams) + t) for c, t in both), default=0.0)
-    return model.classes[k], float(p[k]), shared, alike
+    return model.classes[k], float(p[k]), likeness(grams, model.classes[k])
 
 
-def judge(paragraph: str, model: Model, anchored: bool = True) -> tuple[dict[str, float], bool, float]:
+def judge(paragraph: str, model: Model) -> tuple[dict[str, float], bool, float]:
     """(probability of each confirmed family, whether the paragraph is unknown, the whole's probability) by hand."""
-    if anchored and not re.search(ANCHOR, paragraph):
-        return {}, False, 1.0
-    w = re.findall(CASED, paragraph)
-    family, p, shared, alike = score(paragraph, model)
-    sure = family != NONE and p >= SURE and shared >= SHARED
+    w = words(paragraph)
+    family, p, alike = score(paragraph, model)
+    known = lambda f: f not in (NONE, OTHER)
+    sure = known(family) and p >= model.sure and alike >= SHARED
     if sure and len(w) <= LONGEST:
         return {family: p}, False, p
     found, unsure = [(-alike, -len(w), 0, family, p)] if sure else [], family != NONE
     for size, step in WINDOWS:
         for i in sorted({*range(0, len(w) - size + 1, step), len(w) - size}) if size < len(w) else ():
-            text = " ".join(w[i : i + size])
-            if re.search(ANCHOR, text):
-                f, q, shared, alike = score(text, model)
-                if f != NONE and q >= SURE and min(shared, alike) >= SHARED:
-                    found.append((-alike, -size, i, f, q))
-                elif f != NONE and size >= UNSURE_WORDS and len(w) > LONGEST:
-                    unsure = True
+            f, q, alike = score(" ".join(w[i : i + size]), model)
+            if known(f) and q >= model.sure and alike >= SHARED:
+                found.append((-alike, -size, i, f, q))
+            elif f != NONE and size >= UNSURE_WORDS and len(w) > LONGEST:
+                unsure = True
     kept = []
     for x in sorted(found):
         if all(x[2] >= y[2] - y[1] or y[2] >= x[2] - x[1] for y in kept):
@@ -285,9 +414,9 @@ def judge(paragraph: str, model: Model, anchored: bool = True) -> tuple[dict[str
     return out, unsure and not out, p
 
 
-def classify(text: str, model: Model, anchored: bool = True) -> tuple[str, float]:
-    """(the most probable family of a line, probability) by hand, for tests; ``scan`` computes the same in Spark.  Without ``anchored`` the model alone decides."""
-    judged = [judge(t.strip(" "), model, anchored) for t in re.split(ENDS, text)]
+def classify(text: str, model: Model) -> tuple[str, float]:
+    """(the most probable family of a text, probability) by hand, for tests; ``scan`` computes the same in Spark."""
+    judged = [judge(t.strip(), model) for t in re.split(ENDS, text)]
     best = max(((p, f) for found, _, _ in judged for f, p in found.items()), default=None)
     if best:
         return best[1], best[0]
@@ -303,16 +432,22 @@ def _model() -> Model:
     return _models[0]
 
 
+def _words(text):
+    """Lower-case words of a column."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_word), F.lit(0))
+
+
 def _gram_array(text):
     """Distinct word n-grams of a column, as arrays of strings."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    w = F.regexp_extract_all(lower, F.lit(_word), F.lit(0))
 
-    def runs(n: int):
-        spot = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(spot, lambda i: F.array_join(F.slice(w, i, n), " "))
+    def grams(w):
+        def runs(n: int):
+            spot = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+            return F.transform(spot, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+        return F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAMS + 1)]))
 
-    return F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAMS + 1)]))
+    return F.element_at(F.transform(F.array(_words(text)), grams), 1)
 
 
 def _tables(spark: SparkSession, m: Model) -> tuple[DataFrame, DataFrame]:
@@ -323,23 +458,26 @@ def _tables(spark: SparkSession, m: Model) -> tuple[DataFrame, DataFrame]:
 
 
 def score_paragraphs(paragraphs: DataFrame, model: Model) -> DataFrame:
-    """Distinct ``paragraphs(paragraph)`` -> ``(paragraph, family, probability, shared, alike)``.
+    """Distinct ``paragraphs(paragraph)`` -> ``(paragraph, family, probability, alike)``.
 
-    ``shared`` is the greatest share of n-grams, of the shorter of paragraph and
-    template, that a template of the family has in common with the paragraph;
-    ``alike`` is the greatest such share of the n-grams of both.
+    ``alike`` is the greatest share of n-grams, of those of the paragraph and of
+    a template of the family together, that both have.
     """
     weights, templates = (F.broadcast(t) for t in _tables(paragraphs.sparkSession, model))
     grams = paragraphs.distinct().withColumn("grams", _gram_array(F.col("paragraph"))).withColumn("n", F.size("grams"))
     each = grams.select("paragraph", "n", F.explode_outer("grams").alias("gram"))
     k = len(model.classes)
-    sums = each.join(weights, "gram", "left").groupBy("paragraph", "n").agg(*[F.coalesce(F.sum(F.col("weights")[i]), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
-    z = F.array(*[(F.col(f"z{i}") / F.sqrt(F.greatest("n", F.lit(1)).cast("double")) + F.lit(float(model.bias[i]))) / F.lit(model.temperature) for i in range(k)])
+    sums = each.join(weights, "gram", "left").groupBy("paragraph").agg(F.count("weights").alias("known"), *[F.coalesce(F.sum(F.col("weights")[i]), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
+    z = F.array(*[(F.col(f"z{i}") / F.sqrt(F.greatest("known", F.lit(1)).cast("double")) + F.lit(float(model.bias[i]))) / F.lit(model.temperature) for i in range(k)])
     p = sums.select("paragraph", z.alias("z")).withColumn("top", F.array_max("z"))
     p = p.select("paragraph", F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))).alias("probability"))
-    shared = each.join(templates, "gram").groupBy("paragraph", "n", "template", "family", "template_grams").agg(F.count("*").alias("c"))
-    shared = shared.groupBy("paragraph", "family").agg(F.max(F.col("c") / F.least("n", "template_grams")).alias("shared"), F.max(2 * F.col("c") / (F.col("n") + F.col("template_grams"))).alias("alike"))
-    return p.join(shared, ["paragraph", "family"], "left").select("paragraph", "family", "probability", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("shared", "alike")])
+    both = each.join(templates, "gram").groupBy("paragraph", "n", "template", "family", "template_grams").agg(F.count("*").alias("c"))
+    alike = both.groupBy("paragraph", "family").agg(F.max(2 * F.col("c") / (F.col("n") + F.col("template_grams"))).alias("alike"))
+    return p.join(alike, ["paragraph", "family"], "left").select("paragraph", "family", "probability", F.coalesce("alike", F.lit(0.0)).alias("alike"))
+
+
+def _holds_marker(w, model: Model):
+    return F.arrays_overlap(w, F.array(*map(F.lit, model.markers)))
 
 
 def _windows(n):
@@ -358,16 +496,16 @@ def judge_paragraphs(paragraphs: DataFrame, model: Model) -> DataFrame:
     Confirmed windows are taken from the one most like a template down; those
     that overlap one already taken are parts of it, not notices.
     """
-    n = F.size(F.regexp_extract_all("paragraph", F.lit(CASED), F.lit(0)))
-    sure = (F.col("family") != NONE) & (F.col("probability") >= SURE) & (F.col("shared") >= SHARED)
-    whole = common.staged(score_paragraphs(paragraphs, model).withColumn("n", n).withColumn("sure", sure), "licence-paragraphs")
+    sure = ~F.col("family").isin(NONE, OTHER) & (F.col("probability") >= model.sure) & (F.col("alike") >= SHARED)
+    w = _words(F.col("paragraph"))
+    whole = common.staged(score_paragraphs(paragraphs, model).withColumn("n", F.size(w)).withColumn("sure", sure), "licence-paragraphs")
     settled = F.col("sure") & (F.col("n") <= LONGEST)
-    w = F.regexp_extract_all("paragraph", F.lit(CASED), F.lit(0))
     spans = whole.where(~settled).select("paragraph", "n", w.alias("w")).select("paragraph", "n", "w", F.explode(_windows(F.col("n"))).alias("s"))
-    spans = spans.select("paragraph", "n", "s.start", "s.size", F.array_join(F.slice("w", F.col("s.start") + 1, F.col("s.size")), " ").alias("window")).where(F.col("window").rlike(ANCHOR))
+    spans = spans.select("paragraph", "n", "s.start", "s.size", F.slice("w", F.col("s.start") + 1, F.col("s.size")).alias("window")).where(_holds_marker(F.col("window"), model))
+    spans = spans.withColumn("window", F.array_join("window", " "))
     spans = common.staged(spans, "licence-windows")
     scored = score_paragraphs(spans.select(F.col("window").alias("paragraph")), model).withColumnRenamed("paragraph", "window")
-    judged = spans.join(scored, "window").where(F.col("family") != NONE).withColumn("sure", sure & (F.col("alike") >= SHARED))
+    judged = spans.join(scored, "window").where(F.col("family") != NONE).withColumn("sure", sure)
     judged = judged.select("paragraph", "n", "start", "size", "family", "probability", "alike", "sure")
     judged = common.staged(judged.unionByName(whole.where(F.col("sure") & ~settled).select("paragraph", "n", F.lit(0).alias("start"), F.col("n").alias("size"), "family", "probability", "alike", "sure")), "licence-windows")
     # Windows that overlap, directly or through others, are an island; only within one do they compete.
@@ -392,26 +530,27 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Licence notices of every row of ``docs(doc_id, text)``.
 
     ``-> (doc_id, n_notices, families, n_unknown, best_family, best_probability)``:
-    confirmed families of each paragraph (a sentence of a line), the sorted
-    distinct families, paragraphs without one that look like a notice but are
-    unsure or unconfirmed, and the most probable confirmed family (ties: the
-    greatest name; null if none).  Null texts have no paragraphs; rows that
-    share a doc_id, or lack one, are separate rows.  Other columns are ignored;
-    an empty table gives no rows.
+    confirmed families of each paragraph (a sentence, over line breaks), the
+    sorted distinct families, paragraphs without one that look like a notice but
+    are unsure, unconfirmed or of another licence, and the most probable
+    confirmed family (ties: the greatest name; null if none).  Null texts have no
+    paragraphs; rows that share a doc_id, or lack one, are separate rows.  Other
+    columns are ignored; an empty table gives no rows.
     """
     m = model or _model()
-    paragraphs = F.filter(F.split(F.col("text"), ENDS), lambda p: p.rlike(ANCHOR))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.when(F.col("text").rlike(ANCHOR), F.transform(paragraphs, lambda p: F.trim(p))).alias("paragraphs"))
-    each = common.staged(rows.select("doc_id", "row", F.explode_outer("paragraphs").alias("paragraph")), "licence-rows")
-    judged = judge_paragraphs(each.where("paragraph is not null").select("paragraph"), m)
-    judged = each.join(judged, "paragraph", "left").select("doc_id", "row", "unknown", F.explode_outer("notices").alias("notice"))
-    return judged.groupBy("row", "doc_id").agg(
-        F.count("notice").alias("n_notices"),
-        F.array_sort(F.collect_set("notice.family")).alias("families"),
-        F.count(F.when(F.col("unknown"), 1)).alias("n_unknown"),
-        F.max("notice").alias("best"),
-    ).select("doc_id", "n_notices", "families", "n_unknown", F.col("best.family").alias("best_family"), F.col("best.probability").alias("best_probability"))
+    text = F.col("text")
+    paragraphs = F.filter(F.transform(F.split(text, ENDS), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: _holds_marker(_words(p), m))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("string").alias("text"))
+    rows = rows.select("doc_id", F.when(_holds_marker(_words(text), m), paragraphs).alias("paragraphs"))
+    rows = common.staged(rows.withColumn("row", F.monotonically_increasing_id()), "licence-rows")  # the only scan of the text
+    each = rows.where("size(paragraphs) > 0").select("row", F.explode("paragraphs").alias("paragraph"))
+    judged = common.staged(judge_paragraphs(each.select("paragraph"), m), "licence-judged")
+    judged = each.join(judged, "paragraph").select("row", "unknown", F.explode_outer("notices").alias("notice"))
+    found = judged.groupBy("row").agg(F.count("notice").alias("n_notices"), F.array_sort(F.collect_set("notice.family")).alias("families"), F.count(F.when(F.col("unknown"), 1)).alias("n_unknown"), F.max("notice").alias("best"))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+    return rows.select("doc_id", "row").join(found, "row", "left").select(
+        "doc_id", F.coalesce("n_notices", zero).alias("n_notices"), F.coalesce("families", none).alias("families"), F.coalesce("n_unknown", zero).alias("n_unknown"), F.col("best.family").alias("best_family"), F.col("best.probability").alias("best_probability")
+    )
 
 
 def op8_license_paragraphs(spark, sf_dir: str) -> DataFrame:

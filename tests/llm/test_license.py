@@ -27,6 +27,8 @@ def model():
         ("Distributed under the terms of the GNU General Public License, version 2.", "GPL"),
         ("Licensed under the GNU Affero General Public License", "AGPL"),
         ("This text is licensed under CC BY-SA 3.0.", "CC-BY-SA"),
+        ("Apache-2.0", "Apache"),
+        ("This program is licensed under the\nterms of the GNU General Public License as\npublished by the Free Software Foundation", "GPL"),
     ],
 )
 def test_notices(model, text, family):
@@ -53,28 +55,57 @@ def test_notices_by_name_alone(spark, model, text, family):
     assert [r.families for r in lic.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()] == [[family]]
 
 
-def test_prefilter_skips_no_notice(model):
-    examples = {t for c, t in lic._examples() if c != lic.NONE}
-    examples |= {re.sub(r"(?i)\bcc by", "CC-BY", t) for t in examples} | {re.sub(r"(?i) (licen[cs]e|version),?(?= |\.)", "", t) for t in examples if len(t) < 80}
-    runs = {" ".join(w[i:j]) for w in map(str.split, examples) for i in range(len(w)) for j in {len(w), *range(i + 7, min(i + 14, len(w)))} if j - i >= min(7, len(w))}
-    assert len(runs) > 1000
-    assert [t for t in sorted(runs) if lic.classify(t, model, False)[0] not in (lic.NONE, "unknown", lic.classify(t, model)[0])] == []
-    for text in ("3.", "1.0", "Version 2.0", "This work is", "All"):  # the model alone would take these for notices
-        assert lic.classify(text, model) == (lic.NONE, 1.0)
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Eclipse Public License v 2.0", "ISC License", "Licensed under the OpenSSL license.", "Licensed under the Python Software Foundation License", "Released under the PostgreSQL License.", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND",
+        "Ce programme est un logiciel libre ; vous pouvez le redistribuer suivant les termes de la Licence Publique Générale GNU", "Diese Datei steht unter der MIT-Lizenz", "La biblioteca está bajo la licencia Mozilla", "Die Bibliothek ist unter der BSD-Lizenz veröffentlicht", "Ce code est distribué sous licence BSD", "Licensed under the Universal Permissive License v 1.0",
+    ],
+)
+def test_other_licences_and_languages_are_unknown(spark, model, text):
+    assert lic.classify(text, model)[0] == "unknown"
+    assert [(r.n_notices, r.n_unknown) for r in lic.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()] == [(0, 1)]
+
+
+def test_left_out_families_rarely_pass(model):
+    """The calibration by itself: a model that has never seen a family takes few of its notices for another's."""
+    assert lic.LEAST <= model.sure <= lic.MOST
+    examples, passed, total = lic._examples(), 0, 0
+    x = lic._features([t for _, t, _ in examples], model.vocabulary)
+    y = [model.classes.index(c) for c, _, _ in examples]
+    for family in ("MPL", "AGPL", "BSD", "CC0"):
+        out = lic.np.array([c == family for c, _, _ in examples])
+        w, b = lic._fit(x[~out], lic.np.array(y)[~out], len(model.classes), 80)
+        for (_, text, _), row in zip([e for e, o in zip(examples, out, strict=True) if o], x[out], strict=True):
+            z = (row @ w + b) / model.temperature
+            z[model.classes.index(family)] = -lic.np.inf
+            p = lic.np.exp(z - z.max())
+            p /= p.sum()
+            best = model.classes[int(p.argmax())]
+            passed += best not in (lic.NONE, lic.OTHER) and p.max() >= model.sure and lic.likeness(lic.ngrams(text), best) >= lic.SHARED
+            total += 1
+    assert passed <= 0.15 * total
+
+
+def test_texts_without_markers_are_none(model):
+    """Every feature holds a marker, so leaving out texts without one changes nothing."""
+    held = set(model.markers)
+    assert all(held & set(g.split(" ")) for g in model.vocabulary) and not held & lic.COMMON
+    rng = random.Random(5)
+    pool = sorted({w for t in lic.NEGATIVES for w in lic.words(t)} | lic.COMMON | {"3", "2", "0", "1"})
+    plain = [w for w in pool if w not in held]
+    for _ in range(300):
+        text = " ".join(rng.choice(plain) for _ in range(rng.randrange(0, 30)))
+        assert lic.judge(text, model) == ({}, False, lic.score("", model)[1])
 
 
 def by_hand(rows, model):
     out = []
     for d, t in rows:
-        found, unknown = [], 0
-        for line in (t or "").split("\n"):
-            family, p = lic.classify(line, model)
-            if family == "unknown":
-                unknown += 1
-            elif family != lic.NONE:
-                found.append((round(p, 9), family))
+        judged = [lic.judge(p.strip(), model) for p in re.split(lic.ENDS, t or "")]
+        found = [(round(p, 9), f) for notices, _, _ in judged for f, p in notices.items()]
         best = max(found, default=(None, None))
-        out.append((d, len(found), sorted({f for _, f in found}), unknown, best[1], best[0]))
+        out.append((d, len(found), sorted({f for _, f in found}), sum(u for _, u, _ in judged), best[1], best[0]))
     return sorted(out, key=str)
 
 
@@ -83,11 +114,14 @@ def spark_rows(df):
 
 
 def test_scan_equals_hand(spark, model):
-    rows = [(i, t) for i, t in enumerate([*[t for ts in lic.TEMPLATES.values() for t in ts], *lic.NEGATIVES])]
+    rows = [(i, t) for i, t in enumerate([*[t for ts in lic.TEMPLATES.values() for t in ts], *lic.NEGATIVES, *lic.OTHERS])]
     rows += [(100, None), (101, ""), (102, "x\n\n Released under the MIT License. \nAll rights reserved.\nlicense"), (102, "x"), (None, "Licensed under CC BY-NC 4.0."), (103, "All rights reserved.\n" * 30), (104, "pad " * 50000 + "\nReleased under the MIT License.")]
+    rows += [(999, "This work is licensed under\nthe GNU General Public\nLicense, version 3.\n\nMozilla Public License,\nversion 2.0\n \t\nEclipse Public License\nv 2.0")]
     rows += rows[:3]
     df = spark.createDataFrame([(a, b, 1.0) for a, b in rows], "doc_id long, text string, probability double")
-    assert spark_rows(lic.scan(df.repartition(4), model)) == by_hand(rows, model)
+    got = spark_rows(lic.scan(df.repartition(4), model))
+    assert got == by_hand(rows, model)
+    assert [(r[1], r[2], r[3]) for r in got if r[0] == 999] == [(2, ["GPL", "MPL"], 1)]
     assert lic.scan(df.limit(0), model).collect() == []
 
 
@@ -102,6 +136,7 @@ def test_whole_table(spark, model):
 def test_native_plan(spark):
     plan = lic.op8_license_paragraphs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+    assert "documents.parquet" not in plan  # the text was read once, into a staged table
 
 
 def test_notices_inside_long_lines(spark, model):
@@ -119,6 +154,6 @@ def test_notices_inside_long_lines(spark, model):
     assert {d: set(r.families) for d, r in got.items()} == {d: f for d, _, f in rows}
     assert all(r.n_notices == len(r.families) for r in got.values())
     for d, text, _ in rows:
-        judged = [lic.judge(t, model) for t in re.split(lic.ENDS, text)]
+        judged = [lic.judge(t.strip(), model) for t in re.split(lic.ENDS, text)]
         assert got[d].n_unknown == sum(j[1] for j in judged)
         assert got[d].best_probability == pytest.approx(max((p for j in judged for p in j[0].values()), default=None))
