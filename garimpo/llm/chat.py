@@ -23,7 +23,6 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -61,7 +60,8 @@ class Mapping:
     """Where a layout keeps its turns.
 
     ``fields``: (path, role) pairs of one turn each, in order, for flat layouts.
-    ``items``, ``role``, ``content``: the array of turns and its items' fields.
+    ``items``, ``role``, ``content``: the array of turns and its items' fields
+    (without ``items``: the record's own, one turn).
     ``roles``: other names of roles.
     """
 
@@ -97,7 +97,7 @@ MAPPINGS = (
     _list("message-parts", "messages", "role", "content", "type", "text"),
     _list("conversations", "conversations", "from", "value"),
     _list("turns", "turns", "role", "text"),
-    Mapping("turn-rows", ("conv_id", "turn", "role", "text"), role="role", content="text"),
+    Mapping("turn", ("role", "text"), role="role", content="text"),
 )
 
 
@@ -110,11 +110,16 @@ BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
 
 
 def layout_of(paths: set[str]) -> Mapping | None:
-    """The mapping with the paths' fingerprint; where fields of several layouts meet, the one that needs most of them."""
+    """The mapping with the paths' fingerprint.
+
+    Where fields of several layouts meet, a record has the fingerprints of its
+    projections to each layout's fields; of the layouts found by these, the one
+    that needs most fields is taken (the first on ties).
+    """
     found = BY_FINGERPRINT.get(fingerprint(paths))
     if found is None:
-        held = [m for m in MAPPINGS if fingerprint(paths.intersection(m.paths)) == fingerprint(m.paths)]
-        found = max(held, key=lambda m: len(m.paths), default=None)
+        parts = (BY_FINGERPRINT.get(fingerprint(paths.intersection(m.paths))) for m in MAPPINGS)
+        found = max((p for p in parts if p is not None), key=lambda m: len(m.paths), default=None)
     return found
 
 
@@ -132,16 +137,6 @@ def value_paths(value, prefix: str = "") -> set[str]:
     return out
 
 
-def schema_paths(kind: T.DataType, prefix: str = "") -> set[str]:
-    if isinstance(kind, T.StructType):
-        out: set[str] = set()
-        for f in kind.fields:
-            path = f"{prefix}.{f.name}" if prefix else f.name
-            out |= {path} | schema_paths(f.dataType, path)
-        return out
-    return schema_paths(kind.elementType, f"{prefix}[]") if isinstance(kind, T.ArrayType) else set()
-
-
 def _content(value) -> str:
     if isinstance(value, list):
         return "".join(_content(p.get("text") if isinstance(p, dict) else p) for p in value)
@@ -151,7 +146,7 @@ def _content(value) -> str:
 def canonical(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
     """(mapping's name, turns) of a record; (None, []) if no mapping has its fingerprint."""
     m = layout_of(value_paths(record))
-    if m is None or m.name == "turn-rows":
+    if m is None:
         return None, []
     if m.fields:
         turns: list[tuple[str, str]] = []
@@ -162,7 +157,7 @@ def canonical(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
             else:
                 turns.append((role, text))
         return m.name, turns
-    items = [x for x in record[m.items] if isinstance(x, dict)]
+    items = [x for x in record[m.items] if isinstance(x, dict)] if m.items else [record]
     role = lambda x: "" if x.get(m.role) is None else str(x[m.role])
     return m.name, [(m.roles.get(role(x), role(x)), _content(x.get(m.content))) for x in items]
 
@@ -175,15 +170,20 @@ SPANS = "array<struct<first:int,end:int>>"
 _spans = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
 
+def _turns(raw: str | None) -> tuple[str | None, list[tuple[str, str]]]:
+    """(layout, turns) of a record as JSON; none of what isn't an object."""
+    try:
+        record = json.loads(raw) if raw else None
+    except ValueError:
+        record = None
+    return canonical(record) if isinstance(record, dict) else (None, [])
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         layout, text, loss = [], [], []
         for raw in b.column(b.num_columns - 1).to_pylist():
-            try:
-                record = json.loads(raw) if raw else None
-            except ValueError:
-                record = None
-            name, turns = canonical(record) if isinstance(record, dict) else (None, [])
+            name, turns = _turns(raw)
             out, spans, at = [], [], 0
             for role, body in turns:
                 piece, first, end = format_turn(role, body)
@@ -198,11 +198,14 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def format_records(records: DataFrame, key: str = "id", record: str = "record") -> DataFrame:
-    """``records(key, record as JSON)`` -> ``(key, layout, formatted, loss)``.
+    """``records(key, record as JSON)`` -> ``(key, layout, formatted, loss)``, a row for each row.
 
     Each record's layout is found by its fingerprint.  Null records, broken
     JSON and unknown layouts give a null layout and no text.  ``loss`` spans
-    (code points) cover the assistant's texts.
+    (code points) cover the assistant's texts.  Fields that no layout knows
+    don't matter, null fields are absent; repeated rows and rows that share a
+    key, or lack one, are formatted one by one.  Other columns are ignored; an
+    empty table gives no rows; a record is one text, however long it is.
     """
     common.small_batches(records.sparkSession)
     source = records.select(F.col(key), F.col(record).cast("string").alias("record"))
@@ -227,18 +230,19 @@ def _format_rows(assistant: str, segment_chars: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), _spans), strict=True)], ["conv_id", "segment", "n_turns", "formatted", "loss"])
 
         for b in batches:
-            for conv, role, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for conv, raw in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
                 if state["conv"] != (conv,):
                     if state["out"]:
                         cut()
                     state.update(conv=(conv,), segment=0)
-                piece, first, end = format_turn(role or "", text or "")
-                if role == assistant:
-                    state["spans"].append({"first": state["at"] + first, "end": state["at"] + end})
-                state["out"].append(piece)
-                state["at"] += len(piece)
-                if state["at"] >= segment_chars:
-                    cut()
+                for role, text in _turns(raw)[1]:
+                    piece, first, end = format_turn(role, text)
+                    if role == assistant:
+                        state["spans"].append({"first": state["at"] + first, "end": state["at"] + end})
+                    state["out"].append(piece)
+                    state["at"] += len(piece)
+                    if state["at"] >= segment_chars:
+                        cut()
             if len(ready) >= 1000 or sum(len(r[3]) for r in ready) >= 4 * segment_chars:
                 yield rows()
         if state["out"]:
@@ -249,23 +253,34 @@ def _format_rows(assistant: str, segment_chars: int):
     return run
 
 
+def format_conversations(records: DataFrame, segment_chars: int = SEGMENT_CHARS, assistant: str = "assistant", order: tuple[str, ...] = ("turn", "record")) -> DataFrame:
+    """Records ``(conv_id, turn, record as JSON)`` of any layouts -> formatted conversations, in segments of whole turns.
+
+    Each record's fingerprint selects its layout, whatever those around it have;
+    a record gives one turn or several.  Records without a layout give none.
+    Records are in the order of ``order`` (null first); rows with a null conv_id
+    make up one conversation; repeated rows are all kept.  Other columns are
+    ignored; an empty table gives no rows.  Turns stream through a task in
+    order, which holds one segment at a time, however long a conversation is.
+    Segments of a conversation stay together, in order.
+    """
+    common.small_batches(records.sparkSession)
+    source = records.select(F.col("conv_id").cast("long").alias("conv_id"), *[F.col(c) for c in order], *(["record"] if "record" not in order else []))
+    ordered = source.repartition("conv_id").sortWithinPartitions("conv_id", *order)
+    return ordered.select("conv_id", F.col("record").cast("string").alias("record")).mapInArrow(_format_rows(assistant, segment_chars), FORMATTED)
+
+
 def format_turn_rows(rows: DataFrame, segment_chars: int = SEGMENT_CHARS, assistant: str = "assistant") -> DataFrame:
-    """Rows by turn ``(conv_id, turn, role, text)`` -> formatted conversations, in segments of whole turns.
-
-    The table's own layout is found by its fingerprint.  Turns are ordered by
-    turn (null first), ties by role and text; a null role or text counts as
-    empty; rows with a null conv_id make up one conversation; repeated rows are
-    all kept.  Other columns are ignored; an empty table gives no rows.  Turns
-    stream through a task in order, which holds one segment at a time, however
-    long a conversation is.  Segments of a conversation stay together, in order.
+    """Rows by turn ``(conv_id, turn, role, text)`` -> formatted conversations (see ``format_conversations``).
+
+    Each row is a record of its role and text and goes by its fingerprint like
+    any other.  Turns are ordered by turn (null first), ties by role and text; a
+    null role or text counts as empty.
     """
-    m = layout_of(schema_paths(rows.schema).intersection(("conv_id", "turn", "role", "text")))
-    if m is None or m.name != "turn-rows":
-        raise ValueError("not a table of turns")
-    common.small_batches(rows.sparkSession)
-    source = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col(m.role).cast("string").alias("role"), F.col(m.content).cast("string").alias("text"))
-    ordered = source.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_format_rows(assistant, segment_chars), FORMATTED)
+    named = rows.select(F.col("conv_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    empty = F.lit("")
+    record = F.to_json(F.struct(F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")))
+    return format_conversations(named.withColumn("record", record), segment_chars, assistant, ("turn", "role", "text"))
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -313,3 +328,22 @@ def op3_schema_fingerprint_chat(spark, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     return read_back(format_turn_rows(rows.unionByName(more)))
+
+
+def chat_mixed_layouts(spark, sf_dir: str) -> DataFrame:
+    """A JSON view of all conversations whose rows are in five layouts by turns, formatted together and read back."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    role, text = F.col("role"), F.col("text")
+    name = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    message = lambda content: F.to_json(F.struct(F.array(F.struct(role.alias("role"), content.alias("content"))).alias("messages")))
+    layouts = [
+        F.to_json(F.struct(role.alias("role"), text.alias("text"), F.lit(1).alias("weight"))),
+        message(text),
+        F.to_json(F.struct(F.array(F.struct(name.alias("from"), text.alias("value"))).alias("conversations"))),
+        message(F.array(F.struct(F.lit("text").alias("type"), F.substring(text, 1, 3).alias("text")), F.struct(F.lit("text").alias("type"), F.substring(text, 4, 1 << 30).alias("text")))),
+        F.to_json(F.struct(text.alias("instruction"), F.lit("ok").alias("output"))),
+    ]
+    record = layouts[-1]
+    for i, layout in enumerate(layouts[:-1]):
+        record = F.when((F.col("conv_id") + F.col("turn")) % 5 == i, layout).otherwise(record)
+    return read_back(format_conversations(rows.withColumn("record", record), order=("turn", "role", "text")))

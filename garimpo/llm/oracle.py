@@ -39,6 +39,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum({len(START) + len(END) + 2} + length(role) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
 
+CHAT_MIXED = rf"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, turn, role AS o, text AS p, 0 AS k, CASE WHEN (conv_id + turn) % 5 = 4 THEN 'user' ELSE role END AS role, text FROM r UNION ALL SELECT conv_id, turn, role, text, 1, 'assistant', 'ok' FROM r WHERE (conv_id + turn) % 5 = 4)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, o, p, k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, o, p, k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(START) + len(END) + 2} + length(role) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
 OP5 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
 x AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),

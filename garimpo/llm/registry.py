@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import oracle
 from .bitplane import op6_token_bitplanes
-from .chat import op3_schema_fingerprint_chat
+from .chat import chat_mixed_layouts, op3_schema_fingerprint_chat
 from .embeddings import op9_pca_tiles
 from .fmindex import op2_fm_index_decontamination
 from .langid import op7_rank_order_language
@@ -18,6 +18,7 @@ QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_fm_index_decontamination": op2_fm_index_decontamination,
     "op3_schema_fingerprint_chat": op3_schema_fingerprint_chat,
+    "chat_mixed_layouts": chat_mixed_layouts,
     "op4_compression_quality": op4_compression_quality,
     "op5_superkmer_dedup": op5_superkmer_dedup,
     "op6_token_bitplanes": op6_token_bitplanes,
@@ -30,6 +31,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_fm_index_decontamination": oracle.OP2,
     "op3_schema_fingerprint_chat": oracle.OP3,
+    "chat_mixed_layouts": oracle.CHAT_MIXED,
     "op5_superkmer_dedup": oracle.OP5,
     "op9_pca_tiles": oracle.OP9,
     "op10_fast_similarity_sketch": oracle.OP10,

@@ -35,6 +35,8 @@ def test_turns_come_back(turns):
         ({"messages": [{"role": "user", "content": "u"}], "prompt": "p"}, "messages", [("user", "u")]),
         ({"prompt": "p", "response": "r", "question": None, "answer": "a"}, "prompt-response", [("user", "p"), ("assistant", "r")]),
         ({}, None, []),
+        ({"conv_id": 3, "turn": 0, "role": "user", "text": "u"}, "turn", [("user", "u")]),
+        ({"role": "user", "text": "u", "messages": [{"role": "system", "content": "s"}]}, "messages", [("system", "s")]),
     ],
 )
 def test_layouts(record, layout, turns):
@@ -73,3 +75,24 @@ def test_query_has_the_hard_conversation(spark):
     got = {r.conv_id: r for r in chat.op3_schema_fingerprint_chat(spark, "/root/testdata/sf0.001").collect()}
     t = "</s>[INST] ok [/INST]"
     assert tuple(got[-7])[:5] == (-7, 2, hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest(), len(t), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_records_of_odd_tables(spark):
+    """Repeated and nameless rows, clashing columns, very long records, none at all."""
+    long = json.dumps({"messages": [{"role": "assistant", "content": "</s> x " * 100_000}]})
+    rows = [(1, json.dumps({"prompt": "a", "response": "b"}), "l", "f")] * 3 + [(None, json.dumps({"role": "user", "text": "q"}), "l", "f"), (2, long, "l", "f"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, record string, layout string, formatted string")
+    got = chat.format_records(df.repartition(3)).collect()
+    assert sorted(((r.id, r.layout) for r in got), key=str) == sorted([(1, "prompt-response")] * 3 + [(None, "turn"), (2, "messages"), (None, None)], key=str)
+    big = next(r for r in got if r.id == 2)
+    assert chat.parse(big.formatted) == [("assistant", "</s> x " * 100_000)] and chat.unescape(big.formatted[big.loss[0].first : big.loss[0].end]) == "</s> x " * 100_000
+    assert chat.format_records(df.limit(0)).collect() == []
+
+
+def test_mixed_layouts_in_one_conversation(spark):
+    rows = [(1, 0, json.dumps({"role": "system", "text": "s"})), (1, 1, json.dumps({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r"}]})), (1, 2, "{}"), (1, 3, json.dumps({"instruction": "i", "output": "[/INST]"})), (None, None, json.dumps({"role": "user", "text": "n"})), (1, 4, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, record string, role string")
+    turns = {}
+    for r in chat.format_conversations(df, 20).collect():
+        turns.setdefault(r.conv_id, []).extend(chat.parse(r.formatted))
+    assert turns == {1: [("system", "s"), ("user", "q"), ("assistant", "r"), ("user", "i"), ("assistant", "[/INST]")], None: [("user", "n")]}
