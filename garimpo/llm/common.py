@@ -41,10 +41,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of this process's staged tables, by application.
+_staged: dict[str, list[str]] = {}
+
+
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``clear`` will delete."""
+    path = f"{shared_dir(spark)}/garimpo-{name}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the staged tables of this application and put its Arrow batch size back; how many tables went.
+
+    Results that were not written or collected yet can't be read afterwards.
+    """
+    jvm, paths = spark.sparkContext._jvm, _staged.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if _batches:
+        spark.conf.set(_BATCH_KEY, _batches.pop())
+        _batches.clear()
+    return len(paths)
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/garimpo-{name}-{uuid.uuid4().hex}"
+    path = staged_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,12 +84,20 @@ def checked_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: The session's own setting, once it was lowered.
+_batches: list[str] = []
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that go to Python by rows; keeps a lower setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Bound the Arrow batches that go to Python by rows; keeps a lower setting.
+
+    It holds until ``clear``: results are computed after the call that made them.
+    """
+    now = spark.conf.get(_BATCH_KEY, "10000")
+    if int(now) <= 0 or int(now) > rows:
+        _batches.append(now)
+        spark.conf.set(_BATCH_KEY, str(rows))
 
 
 def byte_lists(column: pa.Array) -> list[bytes]:
@@ -314,16 +348,3 @@ def components(edges: DataFrame) -> DataFrame:
         settled = now.groupBy("u").count().where("count > 1").isEmpty() and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))
-
-
-def tables(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
-    """Batches gathered until they hold so many rows."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -69,18 +70,56 @@ def ids_of(path, text, end):
 
 
 @pytest.mark.parametrize("bits", [1, 8])
-def test_token_chunks(spark, bits):
-    got = [tuple(r) for r in bitplane.read_token_chunks(bitplane.write_token_chunks(frame(spark, ROWS).repartition(5), WORD, False, 2, bits, chunk_ids=500)).collect()]
+def test_token_files(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(bitplane, "FILE_CHUNKS", 3)
+    path = str(tmp_path / "files")
+    rows = ROWS + [(None, f"nameless {i % 3}", 1) for i in range(40)]
+    bitplane.write_token_files(frame(spark, rows).repartition(5), path, WORD, False, 2, bits, chunk_ids=500)
+    got = [tuple(r) for r in bitplane.read_token_files(spark, path).collect()]
     at, want = 0, []
-    for name, text, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    signed = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64).item() if t is not None else 42  # noqa: E731  Spark's hash of a string, and of null
+    for name, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]))):
         ids = ids_of(WORD, text, 2)
         want.append((name, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(got, key=lambda r: r[1]) == want
+    # The same from the files' bytes alone.
+    chunks = sorted((part, before, bytes(c)) for f in (tmp_path / "files").glob("part-*") for part, before, _, c in bitplane.chunks_of(f.read_bytes()))
+    plain = [(None if d == bitplane.NULL_ID else d, n) for _, _, c in chunks for d, n in zip(*(x.tolist() for x in bitplane.decode_chunk(c)[:2]), strict=True)]
+    assert plain == [(name, n) for name, _, n, _ in want] and len(chunks) > 20
 
 
-def test_token_chunks_of_nothing(spark):
-    assert bitplane.read_token_chunks(bitplane.write_token_chunks(frame(spark, []), WORD, False, 2)).collect() == []
+def test_rows_that_share_an_id_are_spread(spark, tmp_path):
+    """A third of all rows without an id, and one row many times over, don't meet in one part."""
+    path = str(tmp_path / "files")
+    rows = [(None, f"nameless {i}", 1) for i in range(300)] + [(5, "the same row", 1)] * 300
+    bitplane.write_token_files(frame(spark, rows).repartition(4), path, WORD, False, 2)
+    per = {}
+    for f in (tmp_path / "files").glob("part-*"):
+        for part, _, _, c in bitplane.chunks_of(f.read_bytes()):
+            per[part] = per.get(part, 0) + len(bitplane.decode_chunk(c)[0])
+    assert sum(per.values()) == 600 and max(per.values()) < 200
+
+
+def test_token_files_of_nothing(spark, tmp_path):
+    path = str(tmp_path / "files")
+    bitplane.write_token_files(frame(spark, []), path, WORD, False, 2)
+    assert bitplane.read_token_files(spark, path).collect() == []
+
+
+def test_files_of_something_else_are_refused():
+    with pytest.raises(ValueError):
+        list(bitplane.chunks_of(b"GBP1" + bytes(200)))
+
+
+def test_staged_tables_are_cleared(spark):
+    import os
+
+    table = common.staged(spark.range(3), "test")
+    folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    common.small_batches(spark)
+    assert os.path.isdir(folder) and common.clear(spark) >= 1 and not os.path.exists(folder)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000" and common.clear(spark) == 0
 
 
 def check_packing(rows, got, window):
