@@ -180,14 +180,30 @@ def table_markdown(rows: Column) -> Column:
 
 def json_object_in(answer: Column, schema: str) -> Column:
     """The object between the first and the last brace of a model's answer, parsed."""
-    return F.from_json(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), schema)
+    return F.from_json(F.nullif(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), F.lit("")), schema)
 
 
-def one_of(value: Column, allowed, default: str) -> Column:
+def json_fenced_in(answer: Column, schema: str) -> Column:
+    """The JSON of a model's answer, between code fences (marked ``json`` or not) or bare."""
+    fenced = lambda mark: F.nullif(F.regexp_extract(answer, rf"(?s)```{mark}(.*?)(?:```|$)", 1), F.lit(""))
+    return F.from_json(F.trim(F.coalesce(fenced("json"), fenced(""), answer)), schema)
+
+
+def one_of(value: Column, allowed, default: Column | str) -> Column:
     v = F.lower(F.trim(value))
     return F.when(v.isin(*allowed), v).otherwise(default)
 
 
+def argmax(scores: Column) -> Column:
+    """Where the greatest of an array is, from 0; the first on ties."""
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
+def sha256(content: Column) -> Column:
+    """Lower-case hex digest of bytes, or of a string's UTF-8 bytes."""
+    return F.sha2(content.cast("binary"), 256)
+
+
 def clean_list(values: Column, most: int | None = None, default: str = "geral") -> Column:
     """Trimmed, blanks out; the default alone where nothing is left."""
     kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")

@@ -150,8 +150,44 @@ def faithful(answers: DataFrame, scorer) -> DataFrame:
     return each.groupBy("query_id").agg(F.bool_and(ok).alias("faithful"))
 
 
-def events(answered: DataFrame) -> DataFrame:
-    """Answers as a stream of JSON lines: one of metadata, then a token for each word."""
-    meta = answered.select("query_id", F.lit(0).alias("seq"), F.to_json(F.struct(F.lit("metadata").alias("type"), "outcome")).alias("event"))
-    token = answered.select("query_id", F.posexplode(F.split("answer", "(?<= )")).alias("i", "t"))
-    return meta.unionByName(token.select("query_id", (F.col("i") + 1).alias("seq"), F.to_json(F.struct(F.lit("token").alias("type"), F.col("t").alias("text"))).alias("event")))
+def entailed(logits: Column, entailment: int = 1) -> Column:
+    """Whether a classifier's logits (contradiction, entailment, neutral) say that a claim is entailed."""
+    return X.argmax(logits) == entailment
+
+
+def events(answered: DataFrame, check: bool = False) -> DataFrame:
+    """Answers as streams of JSON lines ``(query_id, seq, event)``.
+
+    ``answered(query_id, outcome, diagnostic, sources, prompt, answer, error,
+    faithful, reason, fallback)``; columns that are absent count as null.  First
+    the metadata; then the answer token by token (a canned one for outcomes
+    without a prompt); then, with ``check``, whether it is faithful and the
+    answer to show instead if it isn't; an error ends the stream instead.
+    """
+    have = lambda c, kind: F.col(c).cast(kind) if c in answered.columns else F.lit(None).cast(kind)
+    a = answered.select("query_id", have("outcome", "string").alias("outcome"), F.coalesce(have("diagnostic", "boolean"), F.lit(False)).alias("diagnostic"), F.coalesce(have("sources", "array<string>"), F.array().cast("array<string>")).alias("sources"), *[have(c, "string").alias(c) for c in ("prompt", "answer", "error", "reason", "fallback")], have("faithful", "boolean").alias("faithful"))
+    canned = F.when(F.col("outcome") == "no_solution", NO_SOLUTION).when(F.col("outcome").isin("no_evidence", "no_evidence_with_sources"), NO_EVIDENCE)
+    a = a.withColumn("canned", canned).withColumn("tokens", F.filter(F.split(F.coalesce("canned", "answer", F.lit("")), "(?<= )"), lambda t: t != ""))
+    line = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    kind = lambda t: F.lit(t).alias("type")
+    meta = a.select("query_id", F.lit(0).alias("seq"), line(kind("metadata"), F.col("sources").alias("fontes"), F.when(F.col("canned").isNull(), F.col("prompt")).alias("prompt"), F.col("diagnostic").alias("diagnostic_mode")).alias("event"))
+    token = a.select("query_id", F.posexplode("tokens").alias("i", "t")).select("query_id", (F.col("i") + 1).alias("seq"), line(kind("token"), F.col("t").alias("token")).alias("event"))
+    last = (F.size("tokens") + 1).alias("seq")
+    out = meta.unionByName(token)
+    generated = a.where("canned is null")
+    if check:
+        shown = F.when(~F.col("faithful"), F.col("fallback")).alias("fallback_response")
+        out = out.unionByName(generated.where("error is null and faithful is not null").select("query_id", last, line(kind("faithfulness"), F.lit(True).alias("faithfulness_checked"), "faithful", "reason", shown).alias("event")))
+    return out.unionByName(generated.where("error is not null").select("query_id", last, line(kind("error"), F.col("error").alias("message")).alias("event")))
+
+
+# How failures are told to clients.
+ERROR_CODES = (("index", 503), ("llm", 502))
+
+
+def error_code(kind: Column) -> Column:
+    """The status of a failure: 503 without an index, 502 without the model's server, else 500."""
+    out = F.when(F.lit(False), 0)
+    for name, code in ERROR_CODES:
+        out = out.when(kind == name, code)
+    return out.otherwise(500)

@@ -110,6 +110,40 @@ def classify_area(title: Column, abstract: Column, sections: Column, area: Colum
     return F.struct(F.coalesce(new, area, F.lit("geral")).alias("area"), F.when(new.isNotNull() & plain, F.try_element_at(defaults, new)).otherwise(subjects).alias("assuntos"))
 
 
+# What a model may answer.
+AREAS = ("ia", "saude", "infraestrutura", "juridico", "tecnologia", "geral")
+TYPES = ("artigo_cientifico", "relatorio_tecnico", "manual", "apresentacao", "outro")
+METHODS = ("estudo de caso", "revisao-sistematica", "pesquisa-quantitativa", "relatorio", "manual", "outro")
+ANSWER = "area_tematica string, tipo_documento string, metodologia string, assuntos array<string>, palavras_chave array<string>"
+
+
+def enriched(metadata: DataFrame, answers: DataFrame, most_subjects: int = 6, most_keywords: int = 8) -> DataFrame:
+    """Document metadata with a model's answers ``(id, answer)`` merged in.
+
+    ``metadata(id, area_tematica, tipo_documento, metodologia, assuntos,
+    palavras_chave, ...)``.  An answer's object counts only with values that are
+    allowed; a specific area is never replaced by ``geral``, nor are its subjects
+    by ``geral`` alone.  ``qualidade_extracao`` is ``alta`` with an answer that
+    could be read, else ``baixa`` and nothing changes.
+    """
+    a = F.col("_a")
+    j = metadata.join(answers.select("id", X.json_object_in(F.col("answer"), ANSWER).alias("_a"), X.json_object_in(F.col("answer"), "map<string,string>").alias("_any")), "id", "left")
+    read = F.col("_any").isNotNull()
+    area = X.one_of(F.coalesce(a["area_tematica"], F.lit("")), AREAS, F.col("area_tematica"))
+    keeps = (F.col("area_tematica") != "geral") & (area == "geral")
+    listed = lambda c, lower: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.trim(F.lower(v) if lower else v)), lambda v: v != "")
+    subjects, words = listed(a["assuntos"], True), listed(a["palavras_chave"], False)
+    new = {
+        "area_tematica": F.when(read & ~keeps, area).otherwise(F.col("area_tematica")),
+        "tipo_documento": F.when(read, X.one_of(F.coalesce(a["tipo_documento"], F.lit("")), TYPES, F.col("tipo_documento"))).otherwise(F.col("tipo_documento")),
+        "metodologia": F.when(read, X.one_of(F.coalesce(a["metodologia"], F.lit("")), METHODS, F.col("metodologia"))).otherwise(F.col("metodologia")),
+        "assuntos": F.when(read & (F.size(subjects) > 0) & ~(keeps & (subjects == F.array(F.lit("geral")))), F.slice(subjects, 1, most_subjects)).otherwise(F.col("assuntos")),
+        "palavras_chave": F.when(read & (F.size(words) > 0), F.slice(words, 1, most_keywords)).otherwise(F.col("palavras_chave")),
+    }
+    kept = [new.get(c, F.col(c)).alias(c) for c in metadata.columns if c != "qualidade_extracao"]
+    return j.select(*kept, F.when(read, "alta").otherwise("baixa").alias("qualidade_extracao"))
+
+
 def is_diagnostic(question: Column | str) -> Column:
     return X.holds_any(X.squeezed(X.fold(question)), DIAGNOSTIC_TERMS)
 

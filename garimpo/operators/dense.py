@@ -2,36 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .sparse import top
 
-#: Query vectors compared in one pass; more are taken in further blocks.
+#: Query vectors compared in one pass (a bounded broadcast); more are taken in further passes.
 BLOCK = 2000
 
 
+def _units(rows: DataFrame, id: str) -> DataFrame:
+    """(id, v): vectors of length one; null and zero vectors drop out."""
+    return rows.where("vector is not null").select(id, V.unit(F.col("vector")).alias("v")).where("v is not null")
+
+
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[int, DataFrame]]:
+    """(dimensions, query vectors): at most about ``block`` queries at a time, of one length."""
+    q = _units(queries, "query_id").withColumn("dims", F.size("v"))
+    for dims, n in sorted(tuple(r) for r in q.groupBy("dims").count().collect()):
+        parts = -(-n // block)
+        for i in range(parts):
+            yield dims, q.where((F.col("dims") == dims) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)).select("query_id", "v")
+
+
 def scores(vectors: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
     """(query_id, id, dense_score) for every pair; ``vectors(id, vector)``, ``queries(query_id, vector)``.
 
-    The queries are a stated set, held against all vectors.  Their number is
-    checked: up to ``block`` they travel to the vectors as one array column; a
-    larger set is dealt into numbered blocks of about that size, each vector
-    meeting one block's array at a time.
+    The queries are a stated set, held against all vectors: up to ``block`` of
+    them travel to the vectors as one array; a larger set takes several passes.
+    """
+    unit, parts = _units(vectors, "id"), []
+    for dims, some in _blocks(queries, block):
+        packed = some.agg(F.collect_list(F.struct("query_id", F.col("v").alias("q"))).alias("qs"))
+        each = unit.where(F.size("v") == dims).join(F.broadcast(packed)).select("id", "v", F.explode("qs").alias("x"))
+        parts.append(each.select(F.col("x.query_id").alias("query_id"), "id", V.dot(F.col("v"), F.col("x.q")).alias("dense_score")))
+    if not parts:
+        return queries.limit(0).select("query_id").join(vectors.limit(0).select("id")).withColumn("dense_score", F.lit(0.0))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(held, k: int):
+    """The k best of each query within a batch of vectors, by one matrix product."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            dots = v @ q.T
+            order_of = np.argsort(np.array(b.column(0).to_pylist(), object), kind="stable")  # ties go by id
+            rank = np.empty(len(order_of), np.int64)
+            rank[order_of] = np.arange(len(order_of))
+            picked = []
+            for j in range(len(ids)):
+                s = np.round(dots[:, j], 9)
+                if len(s) > k:
+                    near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                    near = near[np.lexsort((rank[near], -s[near]))[:k]]
+                else:
+                    near = np.arange(len(s))
+                picked.append(near)
+            rows, which = np.concatenate(picked), np.repeat(np.arange(len(ids)), [len(p) for p in picked])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), b.column(0).take(pa.array(rows)), pa.array(dots[rows, which])], ["query_id", "id", "dense_score"])
+
+    return run
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 40, allowed: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """The k nearest of each query; filtered before anything is multiplied.
+
+    Batches of vectors meet the queries in a matrix product and give k rows for
+    each query, never all pairs; those are ranked (ties by id).
     """
-    q = queries.where("vector is not null").select("query_id", V.unit(F.col("vector")).alias("q")).where("q is not null")
-    blocks = max(1, -(-q.count() // block))
-    packed = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    unit = vectors.where("vector is not null").select("id", V.unit(F.col("vector")).alias("v")).where("v is not null")
-    dealt = unit.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = dealt.join(F.broadcast(packed) if blocks == 1 else packed, "block")
-    each = pairs.select("id", "v", F.explode("qs").alias("x")).where(F.size("v") == F.size("x.q"))
-    return each.select(F.col("x.query_id").alias("query_id"), "id", V.dot(F.col("v"), F.col("x.q")).alias("dense_score"))
-
-
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 40, allowed: DataFrame | None = None) -> DataFrame:
-    """The k nearest of each query; filtered before anything is multiplied."""
     if allowed is not None:
         vectors = vectors.join(allowed.select("id"), "id", "left_semi")
-    return top(scores(vectors, queries), "dense_score", k, "dense_rank")
+    unit, context, parts = _units(vectors, "id"), vectors.sparkSession.sparkContext, []
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(queries, 'query_id')}, id {kind(vectors, 'id')}, dense_score double"
+    for dims, some in _blocks(queries, block):
+        table = some.toArrow().combine_chunks()
+        held = context.broadcast((table.column(0).combine_chunks(), table.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, dims)))
+        parts.append(unit.where(F.size("v") == dims).mapInArrow(_nearest(held, k), schema))
+    found = reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
+    return top(found, "dense_score", k, "dense_rank")

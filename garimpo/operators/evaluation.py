@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
 
@@ -29,6 +31,55 @@ def calibration(cases: DataFrame) -> DataFrame:
     return a.withColumn("suggested_percent", F.least(F.lit(100), F.greatest(F.lit(1), F.bround(between * 100).cast("int")))).withColumn("actionable", F.col("dense_max") > 0)
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, ps: tuple[float, ...], bins: int = 1024, most: int = 100_000) -> DataFrame:
+    """Exact percentiles with linear interpolation of each group: ``by``, ``p0``, ``p1``, ... and ``n``.
+
+    No task ever holds a group's values: equal values are counted first, the
+    counts fall into ``bins`` of the group's range, and only the bins that hold
+    the ranks asked for are looked at more closely, again and again where one
+    holds more than ``most`` distinct values.
+    """
+    v = F.col(value).cast("double")
+    counts = rows.where(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count("*").alias("c"))
+    ends = counts.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    want = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(*[f((F.col("n") - 1) * p).cast("long") for f in (F.floor, F.ceil)]) for p in ps]))))
+    asked = ends.select(*by, "lo", "hi", "n", want.alias("rank"), F.lit(0).cast("long").alias("before"))
+    keys = [*by, "rank"]
+    while True:
+        # Values of each asked rank's range, with how many lie before it.
+        span = F.greatest(F.col("hi") - F.col("lo"), F.lit(0.0))
+        bin_ = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span * bins), F.lit(bins - 1))).otherwise(0)
+        near = counts.join(F.broadcast(asked), by) if by else counts.join(F.broadcast(asked))
+        near = near.where(F.col("v").between(F.col("lo"), F.col("hi"))).withColumn("bin", bin_)
+        filled = near.groupBy(*keys, "before", "bin").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("d"))
+        w = W.partitionBy(*keys).orderBy("bin")
+        placed = filled.withColumn("upto", F.col("before") + F.sum("c").over(w)).withColumn("first", F.col("upto") - F.col("c"))
+        asked = placed.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("upto"))).select(*keys, "lo", "hi", F.col("first").alias("before"), "d")
+        held = asked.collect()  # a row for each group and rank
+        if not held or max(r.d for r in held) <= most:
+            break
+        asked = rows.sparkSession.createDataFrame(held, asked.schema).drop("d")
+    asked = rows.sparkSession.createDataFrame(held, asked.schema).drop("d")
+    near = (counts.join(F.broadcast(asked), by) if by else counts.join(F.broadcast(asked))).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    w = W.partitionBy(*keys).orderBy("v")
+    at = near.withColumn("upto", F.col("before") + F.sum("c").over(w)).where(F.col("rank") < F.col("upto")).groupBy(*keys).agg(F.min("v").alias("v"))
+    per = at.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    j = ends.join(per, by) if by else ends.join(per)
+    value_at = lambda r: F.element_at("at", r.cast("long"))
+    out = []
+    for i, p in enumerate(ps):
+        rank = (F.col("n") - 1) * F.lit(float(p))
+        low, part = value_at(F.floor(rank)), rank - F.floor(rank)
+        out.append((low + (value_at(F.ceil(rank)) - low) * part).alias(f"p{i}"))
+    return j.select(*by, *out, "n")
+
+
+def numeric_means(rows: DataFrame) -> DataFrame:
+    """One row: the mean of every numeric column."""
+    names = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.NumericType)]
+    return rows.agg(*[F.avg(F.col(f"`{n}`").cast("double")).alias(n) for n in names])
+
+
 def either_contains(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 

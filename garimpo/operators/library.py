@@ -75,6 +75,38 @@ def document_inventory(chunks: DataFrame) -> DataFrame:
     return base.join(_top_values(chunks, F.col("area"), 3, "areas"), "documento", "left").join(_top_values(chunks, F.explode("assuntos"), 5, "subjects"), "documento", "left")
 
 
+def solution_inventory(chunks: DataFrame, unnamed: str = "solucoes_piloto.json") -> DataFrame:
+    """Per document of the catalog: chunks and the first title that isn't empty."""
+    name = F.coalesce(F.when(F.col("documento") != "", F.col("documento")), F.lit(unnamed))
+    title = F.min_by("doc_titulo", F.when(F.col("doc_titulo") != "", F.col("id")))
+    return chunks.groupBy(name.alias("documento")).agg(F.count("*").alias("chunks"), F.coalesce(title, F.lit("")).alias("titulo"))
+
+
+def listed(inventory: DataFrame, limit: int = 50) -> DataFrame:
+    """The first documents by lower-cased name, numbered, each with how many more there are behind the limit."""
+    order = F.struct(F.lower("documento").alias("l"), F.col("documento").alias("d"))
+    hidden = F.greatest(inventory.agg(F.count("*")).scalar() - limit, F.lit(0))
+    first = inventory.orderBy(F.lower("documento"), "documento").limit(limit)
+    return first.withColumn("number", F.row_number().over(W.orderBy(order))).withColumn("hidden", hidden)
+
+
+# The fields of a library row in lists, with their defaults.
+SUMMARY = {"id": "", "titulo": "", "autores": (), "ano": None, "area": "geral", "assuntos": (), "tipo": "outro", "paginas_total": 0}
+
+
+def library_summary(library: DataFrame) -> DataFrame:
+    """The few fields that lists show, defaults for what is missing."""
+
+    def field(c: str):
+        empty = F.array().cast("array<string>")
+        default = SUMMARY[c]
+        kind = "int" if c in ("ano", "paginas_total") else "array<string>" if default == () else "string"
+        value = F.col(c).cast(kind) if c in library.columns else F.lit(None).cast(kind)
+        return (value if default is None else F.coalesce(value, empty if default == () else F.lit(default))).alias(c)
+
+    return library.select(*map(field, SUMMARY))
+
+
 def specific(area, subjects_):
     """Metadata that says more than the defaults."""
     return F.coalesce((F.trim(area) != "") & (F.lower(F.trim(area)) != "geral"), F.lit(False)) | F.coalesce(F.exists(subjects_, lambda s: (F.trim(s) != "") & (F.lower(F.trim(s)) != "geral")), F.lit(False))
@@ -130,6 +162,48 @@ def quarantine(uploads: DataFrame) -> DataFrame:
     return uploads.where(F.col("status").startswith("quarantined_")).orderBy(F.desc("uploaded_at"), "key")
 
 
+def stored_key(uploads: DataFrame, filename: str) -> DataFrame:
+    """The first entry (by ``ordinal``) that was stored under a file name, or whose key ends with it."""
+    return uploads.where((F.col("stored_filename") == filename) | (X.base_name("key") == filename)).orderBy("ordinal", "key").limit(1)
+
+
+def quarantine_list(uploads: DataFrame, files: DataFrame) -> DataFrame:
+    """Quarantined uploads as administrators see them, the latest first; ``files(stored_filename)`` are those that are there."""
+    own = F.coalesce("stored_filename", X.base_name("key"))
+    q = uploads.where(F.trim("status").startswith("quarantined_")).withColumn("stored_filename", own)
+    there = files.select("stored_filename", F.lit(True).alias("_there")).distinct()
+    path = F.coalesce(F.nullif(F.col("quarantine_path"), F.lit("")), F.concat(F.lit("uploads/quarantine/"), "stored_filename"))
+    shown = q.join(there, "stored_filename", "left").select(F.col("key").alias("documento"), "stored_filename", F.trim("status").alias("status"), F.coalesce("area", F.lit("geral")).alias("area"), "uploaded_at", path.alias("quarantine_path"), F.coalesce("_there", F.lit(False)).alias("file_exists"))
+    return shown.orderBy(F.desc_nulls_last("uploaded_at"), "documento")
+
+
+def approval(uploads: DataFrame, files: DataFrame, names: DataFrame, root: str = "uploads/quarantine/") -> DataFrame:
+    """What becomes of requests ``names(filename)`` to approve uploads: (filename, code, key, approved_path).
+
+    422 for a blank name, 404 for one that isn't known or whose file is gone, 409 for one that
+    isn't quarantined, 400 for a path outside ``root``; else 200 and the new place.
+    """
+    clean = X.base_name(F.trim(F.coalesce("filename", F.lit(""))))
+    asked = names.select("filename", clean.alias("_name"))
+    known = uploads.select("key", "status", "quarantine_path", "ordinal", F.explode(F.array_distinct(F.array_compact(F.array("stored_filename", X.base_name("key"))))).alias("_name"))
+    first = known.groupBy("_name").agg(F.min_by(F.struct("key", "status", "quarantine_path"), F.struct("ordinal", "key")).alias("u"))
+    there = files.select(F.col("stored_filename").alias("_name"), F.lit(True).alias("there")).distinct()
+    j = asked.join(first, "_name", "left").join(there, "_name", "left")
+    path = F.coalesce(F.nullif(F.col("u.quarantine_path"), F.lit("")), F.concat(F.lit(root), "_name"))
+    outside = ~path.startswith(root) | path.rlike(r"(^|/)\.\.(/|$)")
+    code = F.when(F.col("_name") == "", 422).when(F.col("u").isNull(), 404).when(~F.coalesce(F.trim("u.status"), F.lit("")).startswith("quarantined_"), 409).when(outside, 400).when(F.col("there").isNull(), 404).otherwise(200)
+    return j.select("filename", code.alias("code"), F.col("u.key").alias("key"), F.when(code == 200, F.concat(F.lit("uploads/approved/"), "_name")).alias("approved_path"))
+
+
+def approved(uploads: DataFrame, decided: DataFrame) -> DataFrame:
+    """Upload metadata after approvals: moved entries have their new key and status, and no quarantine path."""
+    ok = decided.where("code = 200").select("key", F.col("approved_path").alias("_to"))
+    j = uploads.join(ok, "key", "left")
+    moved = F.col("_to").isNotNull()
+    new = {"key": F.coalesce("_to", "key"), "status": F.when(moved, "approved_pending_index").otherwise(F.col("status")), "quarantine_path": F.when(~moved, F.col("quarantine_path"))}
+    return j.select(*[new.get(c, F.col(c)).alias(c) for c in uploads.columns])
+
+
 def chunk_summary(chunks: DataFrame) -> DataFrame:
     return chunks.agg(
         F.count("*").alias("chunks"), F.count_distinct("documento").alias("documents"), F.count_distinct("parent_id").alias("parents"), F.coalesce(F.sum(X.word_count("texto")), F.lit(0)).alias("words"), F.array_sort(F.collect_set("area")).alias("areas"), F.array_sort(F.collect_set("content_type")).alias("content_types")

@@ -96,13 +96,16 @@ def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, options: O
     live = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
     allowed = eligible(chunks, areas, subjects).select("id") if areas or subjects else None
     n_dense, n_sparse = max(4 * k, options.dense_candidates), max(6 * k, options.sparse_candidates)
-    near = vectors.join(allowed, "id", "left_semi") if allowed is not None else vectors
-    by_vector = dense.scores(near, live.select("query_id", "vector"))
+    asked = live.select("query_id", "vector")
     by_term = sparse.scores(chunks.select("id", "texto"), live.select("query_id", "query"), options.k1, options.b, allowed).where("sparse_score > 0")
     if options.query_planning:
         plans = plans_of(live, areas, subjects)
-        by_vector, by_term = restricted(by_vector, chunks, plans), restricted(by_term, chunks, plans)
-    d, s = sparse.top(by_vector, "dense_score", n_dense, "dense_rank"), sparse.top(by_term, "sparse_score", n_sparse, "sparse_rank")
+        near = vectors.join(allowed, "id", "left_semi") if allowed is not None else vectors
+        by_term = restricted(by_term, chunks, plans)
+        d = sparse.top(restricted(dense.scores(near, asked), chunks, plans), "dense_score", n_dense, "dense_rank")
+    else:
+        d = dense.dense_top(vectors, asked, n_dense, allowed)
+    s = sparse.top(by_term, "sparse_score", n_sparse, "sparse_rank")
     pool = max(3 * k, options.reranker_candidates if scorer else k)
     fused = fuse(d, s, options.rrf_k).where(F.col("fused_rank") <= pool)
     held = fused.join(chunks.select("id", "parent_id", *(["texto"] if scorer else [])), "id")
@@ -146,9 +149,22 @@ def hits(best: DataFrame, chunks: DataFrame) -> DataFrame:
 API_FIELDS = ("score", "id", "documento", "pagina", "area", "assuntos", "doc_titulo", "doc_autores", "doc_ano", "section_heading", "content_type", "parent_id", "ocr_usado", "table_index", "texto", "chunk_index")
 
 
+# Types and defaults of the public fields.
+API_TYPES = {
+    "score": ("double", 0.0), "id": ("long", 0), "documento": ("string", "desconhecido"), "pagina": ("int", None), "area": ("string", "geral"), "assuntos": ("array<string>", ()), "doc_titulo": ("string", ""), "doc_autores": ("array<string>", ()),
+    "doc_ano": ("int", None), "section_heading": ("string", None), "content_type": ("string", "text"), "parent_id": ("string", None), "ocr_usado": ("boolean", False), "table_index": ("int", None), "texto": ("string", ""), "chunk_index": ("int", None),
+}
+
+
 def api_hits(found: DataFrame) -> DataFrame:
-    """The public fields; component scores and parent texts stay inside."""
-    return found.select("query_id", "final_rank", *[F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in API_FIELDS])
+    """The public fields, always of the same types, defaults where they are absent or null; component scores and parent texts stay inside."""
+
+    def field(c: str) -> Column:
+        kind, default = API_TYPES[c]
+        value = F.col(c).cast(kind) if c in found.columns else F.lit(None).cast(kind)
+        return (value if default is None else F.coalesce(value, (F.array() if default == () else F.lit(default)).cast(kind))).alias(c)
+
+    return found.select("query_id", "final_rank", *map(field, API_FIELDS))
 
 
 def attach_parents(chunks: DataFrame, parents: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def q01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q02_document_frequency", f"WITH {BM25_SQL} SELECT token, df FROM df")
 def q02(spark, d):
-    return sparse.document_frequency(sparse.postings(T.chunks(spark, d)))
+    return sparse.document_frequency(T.chunks(spark, d))
 
 
 @query("q03_bm25_topk", f"WITH {BM25_SQL} SELECT query_id, id, round(s, 6) AS score, r AS sparse_rank FROM sp WHERE r <= 5")
@@ -149,10 +149,12 @@ def q09(spark, d):
     return search.merge_collections(each, 5).select("query_id", "id", "collection", "score", F.col("merged_rank").cast("long").alias("merged_rank"))
 
 
-@query("q10_dedupe_by_parent", f"WITH {CHUNKS_SQL}, r AS (SELECT area AS query_id, id, parent_id, row_number() OVER (PARTITION BY area ORDER BY length(texto) DESC, id) AS rank FROM chunks), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM r) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final_rank FROM k WHERE n = 1")
+@query("q10_dedupe_by_parent", f"SELECT * FROM (WITH {CHUNKS_SQL}, r AS (SELECT area AS query_id, id, parent_id, row_number() OVER (PARTITION BY area ORDER BY length(texto) DESC, id) AS rank FROM chunks), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM r WHERE rank <= 500) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final_rank FROM k WHERE n = 1) WHERE final_rank <= 50")
 def q10(spark, d):
-    r = T.chunks(spark, d).withColumn("query_id", F.col("area")).withColumn("rank", F.row_number().over(W.partitionBy("area").orderBy(F.length("texto").desc(), "id")))
-    return search.dedupe_by_parent(r, 2**31 - 1, "rank").select("query_id", "id", F.col("final_rank").cast("long").alias("final_rank"))
+    """The pool of a query (its 500 best, by length here), then its 50 best of different parents."""
+    r = T.chunks(spark, d).select(F.col("area").alias("query_id"), "id", "parent_id", F.length("texto").alias("n"))
+    r = r.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("n"), "id"))).where("rank <= 500")
+    return search.dedupe_by_parent(r, 50, "rank").select("query_id", "id", F.col("final_rank").cast("long").alias("final_rank"))
 
 
 # ---------------------------------------------------------------- facets, library, metadata
@@ -254,20 +256,59 @@ def q21(spark, d):
     return T.read(spark, d, "documents").select("doc_id", F.posexplode(structure.stride_chunks("text", 50, 10)).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.md5(F.col("c").cast("binary")).alias("chunk_md5"))
 
 
-@query("q22_period_chunks")
+def chunker_sql(source: str, key: str, size: int, overlap: int) -> str:
+    """Windows ending at periods, one recursion step a window, over ``source(key..., w)`` of word arrays: ``kids(key..., chunk_index, c)``."""
+    return f"""kids0 AS (
+  SELECT {key}, w, -1 AS i, '' AS c, 0 AS nxt FROM {source} WHERE len(w) > 0
+  UNION ALL
+  SELECT {key}, w, i + 1, kept, CASE WHEN fin THEN len(w) WHEN cut AND len(string_split(kept, ' ')) > {overlap} THEN nxt + len(string_split(kept, ' ')) - {overlap} ELSE nxt + {max(1, size - overlap)} END
+  FROM (SELECT *, CASE WHEN cut THEN left(p, dot + 1) ELSE p END AS kept FROM (SELECT *, NOT fin AND contains(p, '.') AND dot * 2 > length(p) AS cut
+    FROM (SELECT *, nxt + {size} >= len(w) AS fin, length(p) - strpos(reverse(p), '.') AS dot FROM (SELECT *, array_to_string(w[nxt + 1 : nxt + {size}], ' ') AS p FROM kids0 WHERE nxt < len(w)))))),
+kids AS (SELECT {key}, i AS chunk_index, c FROM kids0 WHERE i >= 0)"""
+
+
+@query(
+    "q22_period_chunks",
+    rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), {chunker_sql("w", "doc_id", 60, 8)}
+SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(len(string_split(c, ' ')) AS INTEGER) AS n_words, md5(c) AS chunk_md5 FROM kids""",
+)
 def q22(spark, d):
-    c = T.read(spark, d, "documents").select("doc_id", F.posexplode(structure.chunker(60, 8)("text")).alias("chunk_index", "c"))
+    c = T.read(spark, d, "documents").select("doc_id", F.posexplode(structure.period_chunks("text", 60, 8)).alias("chunk_index", "c"))
     return c.select("doc_id", "chunk_index", X.word_count("c").alias("n_words"), F.md5(F.col("c").cast("binary")).alias("chunk_md5"))
 
 
-@query("q23_parent_blocks")
+CLEAN_SQL = r"trim(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split({0}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '### SECAO:')), ' '), '\s+[0-9]{{1,2}}\s+', ' ', 'g'), '\s{{2,}}', ' ', 'g'))"
+RUNS_SQL = f"""{LINES_SQL}, c AS (SELECT *, last_value(CASE WHEN tipo = 'section' THEN texto END IGNORE NULLS) OVER (PARTITION BY documento, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM lines),
+b AS (SELECT *, CASE WHEN tipo = 'table' OR lag(pos) OVER w IS NULL OR lag(tipo) OVER w <> tipo OR lag(h) OVER w IS DISTINCT FROM h OR lag(tipo) OVER w = 'table' THEN 1 ELSE 0 END AS brk FROM c WINDOW w AS (PARTITION BY documento, page ORDER BY pos)),
+r AS (SELECT *, sum(brk) OVER (PARTITION BY documento, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b)"""
+
+
+@query(
+    "q23_parent_blocks",
+    rf"""WITH RECURSIVE {RUNS_SQL}, g AS (SELECT documento, page, run, arg_min(tipo, pos) AS kind, string_agg(texto, chr(10) ORDER BY pos) AS raw FROM r WHERE tipo <> 'section' GROUP BY documento, page, run),
+t AS (SELECT documento, page, run, kind, CASE WHEN kind = 'table' THEN trim(raw) ELSE {CLEAN_SQL.format("raw")} END AS texto FROM g),
+w AS (SELECT documento, page, run, list_filter(regexp_split_to_array(texto, '\s+'), lambda x: x <> '') AS w, kind FROM t), p AS (SELECT * FROM w WHERE len(w) >= CASE WHEN kind = 'table' THEN 3 ELSE 20 END),
+{chunker_sql("p", "documento, page, run", 60, 8)},
+n AS (SELECT documento, page, run, count(*) AS children, sum(len(string_split(c, ' '))) AS words FROM kids WHERE len(string_split(c, ' ')) >= 3 GROUP BY ALL)
+SELECT documento, page AS pagina, CAST(run AS BIGINT) AS run, md5(CASE WHEN len(w) > 900 THEN array_to_string(w[1:900], ' ') || ' ...' ELSE array_to_string(w, ' ') END) AS parent_md5, children, CAST(words AS BIGINT) AS words FROM p LEFT JOIN n USING (documento, page, run)""",
+)
 def q23(spark, d):
-    chunks, parents = structure.materialise(structure.parents(T.elements(spark, d)), Options(child_words=60, child_overlap=8))
-    per = chunks.groupBy("parent_id").agg(F.count("*").alias("children"), F.sum("num_palavras").alias("words"))
-    return parents.join(per, "parent_id", "left").select("parent_id", F.md5(F.col("parent_text").cast("binary")).alias("parent_md5"), "children", "words")
+    blocks = structure.parents(T.elements(spark, d))
+    chunks, parents = structure.materialise(blocks, Options(child_words=60, child_overlap=8))
+    per = chunks.groupBy("documento", "pagina", "run", "parent_id").agg(F.count("*").alias("children"), F.sum("num_palavras").alias("words"))
+    places = blocks.select("documento", "pagina", "run", structure.parent_id().alias("parent_id"))
+    found = places.join(parents, "parent_id").join(per.drop("documento", "pagina", "run"), "parent_id", "left")
+    return found.select("documento", "pagina", F.col("run").cast("long").alias("run"), F.md5(F.col("parent_text").cast("binary")).alias("parent_md5"), "children", "words")
+
+
+PAGE_PARTS_SQL = r"""plain AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+marked AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<h[1-6]\b[^>]*>', chr(10) || chr(1), 'g'), '(?i)</?(p|div|li|tr|br|h[1-6]|title|table|ul|ol|body|head|html|section|article)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM plain),
+shown AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM marked),
+parts AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: trim(replace(x, chr(1), ''), ' ') <> '') AS l FROM shown),
+e AS (SELECT CAST(page_id AS VARCHAR) AS documento, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN starts_with(l[i], chr(1)) THEN 'section' ELSE 'text' END AS tipo, trim(replace(l[i], chr(1), ''), ' ') AS texto FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM parts))"""
 
 
-@query("q24_page_elements")
+@query("q24_page_elements", f"WITH {PAGE_PARTS_SQL} SELECT documento, pos, tipo, last_value(CASE WHEN tipo = 'section' THEN texto END IGNORE NULLS) OVER (PARTITION BY documento ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_heading, md5(texto) AS texto_md5 FROM e")
 def q24(spark, d):
     e = readers.pages_of_html(T.read(spark, d, "pages"))
     return structure.carry_sections(e).select("documento", "pos", "tipo", "section_heading", F.md5(F.col("texto").cast("binary")).alias("texto_md5"))
@@ -281,7 +322,20 @@ def q25(spark, d):
     return T.lines(spark, d).select("documento", "pos", structure.looks_like_heading(F.col("texto"), F.col("font_size"), F.lit(10.0), F.col("is_bold")).alias("heading"))
 
 
-@query("q26_titles")
+CANDIDATE_SQL = f"""length(t) >= 5 AND NOT regexp_matches(t, '^\\d+$') AND NOT regexp_matches(t, '{structure.INSTITUTIONS.replace("(?iu)", "(?i)")}') AND NOT regexp_matches(t, '{structure.PLACES.replace("(?iu)", "(?i)")}') AND NOT regexp_matches(t, '^[_\\-=]{{3,}}$')"""
+NOISE_SQL = f"""t = '' OR regexp_matches(t, '{structure.INSTITUTIONS.replace("(?iu)", "(?i)")}') OR regexp_matches(t, '{structure.PLACES.replace("(?iu)", "(?i)")}') OR regexp_matches(t, '^[_\\-=]{{3,}}$')"""
+
+
+@query(
+    "q26_titles",
+    f"""WITH {LINES_SQL}, p AS (SELECT documento, page, pos, font_size, is_bold, trim(texto, ' ') AS t FROM lines WHERE page <= 2), o AS (SELECT *, {CANDIDATE_SQL} AS ok, {NOISE_SQL} AS noise FROM p),
+m AS (SELECT documento, count(DISTINCT font_size) > 1 AS mixed FROM p GROUP BY 1),
+big AS (SELECT documento, arg_min(t, {{'s': -font_size, 'page': page, 'pos': pos}}) AS big_title FROM o JOIN m USING (documento) WHERE ok AND mixed GROUP BY 1),
+h AS (SELECT *, is_bold AND ok AS good, max(CAST(is_bold AND ok AS INTEGER)) OVER w AS started FROM o WHERE NOT noise WINDOW w AS (PARTITION BY documento ORDER BY page, pos ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, sum(CAST(started = 1 AND NOT good AS INTEGER)) OVER (PARTITION BY documento ORDER BY page, pos ROWS UNBOUNDED PRECEDING) AS stops FROM h),
+bold AS (SELECT documento, string_agg(t, ' ' ORDER BY page, pos) AS bold_title FROM k WHERE started = 1 AND stops = 0 GROUP BY 1)
+SELECT documento, coalesce(big_title, bold_title, '') AS titulo FROM (SELECT DISTINCT documento FROM lines) LEFT JOIN big USING (documento) LEFT JOIN bold USING (documento)""",
+)
 def q26(spark, d):
     return structure.titles(T.lines(spark, d))
 
@@ -424,13 +478,20 @@ def q38(spark, d):
     return T.chunks(spark, d).select("id", X.source_label(c("doc_autores"), c("doc_ano"), c("doc_titulo"), c("documento")).alias("source_label"), X.citation_label(c("doc_autores"), c("doc_ano"), c("documento")).alias("citation_label"))
 
 
-def _ranked_by_area(spark, d):
-    w = W.partitionBy("query_id").orderBy(F.length("texto").desc(), "id")
-    c = T.chunks(spark, d).withColumn("query_id", F.element_at("assuntos", 1)).withColumn("parent_text", F.lit(None).cast("string"))
-    return c.withColumn("final_rank", F.row_number().over(w))
+#: Hits of a query at most.
+MOST_HITS = 50
+
 
+def _ranked_by_area(spark, d, most: int = MOST_HITS):
+    """Each source's longest chunks as hits: ranked by ids and lengths alone, texts joined to the few that are left."""
+    chunks = T.chunks(spark, d)
+    w = W.partitionBy("query_id").orderBy(F.desc("n"), "id")
+    sized = chunks.select(F.element_at("assuntos", 1).alias("query_id"), "id", F.length("texto").alias("n"))
+    first = sized.withColumn("final_rank", F.row_number().over(w)).where(F.col("final_rank") <= most).drop("n")
+    return chunks.join(first, "id").withColumn("parent_text", F.lit(None).cast("string"))
 
-RANKED_SQL = f"WITH {CHUNKS_SQL}, rk AS (SELECT *, assuntos[1] AS query_id, row_number() OVER (PARTITION BY assuntos[1] ORDER BY length(texto) DESC, id) AS r FROM chunks)"
+
+RANKED_SQL = f"WITH {CHUNKS_SQL}, rk AS (SELECT * FROM (SELECT *, assuntos[1] AS query_id, row_number() OVER (PARTITION BY assuntos[1] ORDER BY length(texto) DESC, id) AS r FROM chunks) WHERE r <= {MOST_HITS})"
 
 
 @query("q39_unique_sources", RANKED_SQL + f", l AS (SELECT query_id, {LABEL_SQL} || ' (p. ' || pagina || ')' AS label, min(r) AS r FROM rk GROUP BY ALL) SELECT query_id, string_agg(label, '|' ORDER BY r, label) AS sources FROM l GROUP BY 1")
@@ -447,7 +508,7 @@ CUT_SQL = "CASE WHEN length(texto) > {n} THEN rtrim(left(texto, {n}), ' ') || '.
     + f""" SELECT query_id, md5(string_agg('Fonte ' || r || ': ' || {LABEL_SQL} || ' (p. ' || pagina || ')' || chr(10) || 'Citacao obrigatoria: (' || {CITE_SQL} || ')' || chr(10) || 'Documento: ' || documento || chr(10) || 'Pagina: ' || pagina || chr(10) || 'Secao: ' || coalesce(section_heading, 'nao informado') || chr(10) || 'Tipo: ' || content_type || chr(10) || 'Area: ' || area || chr(10) || 'Assuntos: ' || array_to_string(assuntos, ', ') || chr(10) || 'Trecho: ' || {CUT_SQL.format(n=700)}, chr(10) || chr(10) ORDER BY r)) AS context_md5 FROM rk WHERE r <= 6 GROUP BY 1""",
 )
 def q40(spark, d):
-    return answer.build_context(_ranked_by_area(spark, d).where("final_rank <= 6")).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+    return answer.build_context(_ranked_by_area(spark, d, 6)).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
 ONE_LINE_SQL = "trim(replace(trim(texto), chr(10), ' '))"
@@ -500,7 +561,8 @@ def q44(spark, d):
 
 @query("q45_percentiles", "SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, count(*) AS n FROM lineitem GROUP BY ALL")
 def q45(spark, d):
-    return T.read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*[F.round(evaluation.percentile("l_extendedprice", p / 100), 6).alias(f"p{p}") for p in (10, 50, 90)], F.count("*").alias("n"))
+    p = evaluation.percentiles(T.read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", (0.1, 0.5, 0.9))
+    return p.select("l_returnflag", "l_linestatus", *[F.round(f"p{i}", 6).alias(name) for i, name in enumerate(("p10", "p50", "p90"))], "n")
 
 
 PAIR_SQL = f"""WITH a AS (SELECT conv_id, turn, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS question, role FROM conversations),
@@ -563,7 +625,13 @@ def q51(spark, d):
     return search.lean_split(c, given)[1]
 
 
-@query("q52_rate_limit")
+@query(
+    "q52_rate_limit",
+    """WITH RECURSIVE e AS (SELECT event_type AS client, event_id AS request_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT client, request_id, n, TRUE AS accepted, [t] AS held FROM e WHERE n = 1
+ UNION ALL SELECT e.client, e.request_id, e.n, len(list_filter(s.held, lambda x: e.t - x <= 60)) < 3, CASE WHEN len(list_filter(s.held, lambda x: e.t - x <= 60)) < 3 THEN list_append(list_filter(s.held, lambda x: e.t - x <= 60), e.t) ELSE list_filter(s.held, lambda x: e.t - x <= 60) END FROM s JOIN e ON e.client = s.client AND e.n = s.n + 1)
+SELECT client, request_id, accepted FROM s""",
+)
 def q52(spark, d):
     e = T.read(spark, d, "events").select(F.col("event_type").alias("client"), "ts", F.col("event_id").alias("request_id"))
     return limits.rate_limit(e, 60.0, 3).select("client", "request_id", "accepted")
@@ -662,3 +730,6 @@ SELECT documento, pagina, pos, tipo, last_value(CASE WHEN tipo = 'section' THEN
 def q61(spark, d):
     e = structure.elements_of_lines(T.lines(spark, d))
     return structure.carry_sections(e).select("documento", "pagina", "pos", "tipo", "section_heading")
+
+
+from . import service  # noqa: E402, F401  registers its queries

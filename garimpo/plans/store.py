@@ -19,6 +19,20 @@ def collection_of(domain: str) -> str:
     return DOMAINS[domain]
 
 
+class MissingIndex(LookupError):
+    """A collection's tables aren't there."""
+
+
+def metadata_path(root: str, collection: str, exists: Callable[[str], bool], legacy: str = "index/metadata.json") -> str:
+    """Where a collection's index is described: its own folder, or (for the documents' alone) the old place."""
+    own = f"{root}/{collection}/metadata.json"
+    if exists(own):
+        return own
+    if collection == DOMAINS["documentos"] and exists(f"{root}/{legacy}"):
+        return f"{root}/{legacy}"
+    raise MissingIndex(f"no index of {collection} below {root}")
+
+
 class Store:
     """Loads a collection's tables on first use; ``reload`` builds anew, then swaps."""
 
@@ -48,6 +62,27 @@ class Store:
             return {"status": "degraded", "loaded": False, "error": str(e)}
 
 
+def service_status(health: dict, chunks: DataFrame | None, models: Callable[[], list[str]], worker: dict, version: str = "") -> dict:
+    """The service at a glance: the index's counts (0 where it isn't loaded), the model's server, the rebuild queue."""
+    loaded = bool(health.get("loaded")) and chunks is not None
+    total = areas = subjects = 0
+    if loaded:
+        from ..operators import library
+
+        total, areas, subjects = chunks.count(), library.areas(chunks).count(), library.subjects(chunks).count()
+    try:
+        names, online = sorted(models()), True
+    except Exception:  # a server that doesn't answer is offline
+        names, online = [], False
+    return {"status": "ok", "indice_carregado": loaded, "total_chunks": total, "areas_disponiveis": areas, "assuntos_disponiveis": subjects, "llm_online": online, "modelos_disponiveis": names, "versao_api": version, "rag_cache": health, "reprocessamento": worker}
+
+
+def error_of(error: Exception) -> tuple[int, str]:
+    """(status, message) of a failure: 503 for a missing index, 502 where a server can't be reached, else 500."""
+    code = 503 if isinstance(error, (MissingIndex, FileNotFoundError)) else 502 if isinstance(error, (ConnectionError, TimeoutError)) else 500
+    return code, str(error)
+
+
 class Rebuilds:
     """One worker, first in first out; a failing run is recorded and the worker goes on."""
 
@@ -89,6 +124,10 @@ class Rebuilds:
             except Exception:  # reported by its event
                 self.failed += 1
 
+    def snapshot(self) -> dict:
+        with self._lock:
+            return {"running": self._thread is not None, "queued": len(self._queue), "completed": self.completed, "failed": self.failed}
+
     def wait(self, timeout: float = 60) -> bool:
         with self._lock:
             return self._lock.wait_for(lambda: self._thread is None, timeout)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -71,12 +72,16 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list or JSON lines; both spellings of expected ids merged; missing ids by position in a hash order."""
+    """A JSON list or JSON lines; both spellings of expected ids merged; a row without an id is ``row-N`` by its place (from 1).
+
+    An evaluation set is one file of a bounded number of questions: its rows are numbered in one task.
+    """
     first = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
     rows = _json(spark, path, EVALUATION, multi=first is not None and first[0].lstrip().startswith("["))
     one = F.when(F.col("expected_solution_id").isNotNull(), F.array("expected_solution_id")).otherwise(F.array().cast("array<string>"))
     ids = F.array_distinct(F.concat(F.coalesce("expected_solution_ids", F.array().cast("array<string>")), one))
-    return rows.withColumn("expected_solution_ids", ids).drop("expected_solution_id").withColumn("id", F.coalesce("id", F.concat(F.lit("row-"), F.hex(F.xxhash64("question")))))
+    place = F.row_number().over(W.orderBy(F.monotonically_increasing_id()))
+    return rows.withColumn("expected_solution_ids", ids).drop("expected_solution_id").withColumn("id", F.coalesce("id", F.concat(F.lit("row-"), place.cast("string"))))
 
 
 def categories(spark: SparkSession, text: str) -> DataFrame:

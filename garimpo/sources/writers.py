@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chunk_tables(chunks: DataFrame, parents: DataFrame, path: str) -> None:
@@ -25,6 +26,17 @@ def index_tables(chunks: DataFrame, vectors: DataFrame, parents: DataFrame, path
     return spark.read.json(f"{path}/manifest")
 
 
+def structured_documents(documents: DataFrame, path: str) -> None:
+    """``(documento, paginas)`` as structured payload files, one object with its version a file."""
+    payload = documents.select(F.struct(F.lit(2).alias("versao"), F.array(F.struct("documento", "paginas")).alias("documentos")).alias("p"))
+    payload.select("p.*").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
+def catalog_chunks(chunks: DataFrame, path: str) -> None:
+    """The catalog's chunks as JSON lines."""
+    chunks.write.mode("overwrite").json(path)
+
+
 def audit_append(events: DataFrame, path: str) -> None:
     """Audit events as appended JSON lines."""
     events.write.mode("append").json(path)
@@ -35,6 +47,12 @@ def json_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
 
 
+def result_table(rows: DataFrame, path: str) -> None:
+    """Per-question results (few rows) as one CSV file with a header, nested values as JSON."""
+    flat = [F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"`{f.name}`") for f in rows.schema.fields]
+    rows.select(*flat).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def result_file(row: dict, path: str) -> None:
     """A small result (metrics) as one JSON file on the driver."""
     with open(path, "w", encoding="utf-8") as f:

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,20 +121,28 @@ def test_upserts_and_transitions(spark):
     assert moved == {"uploads/a.pdf": "approved_pending_index", "uploads/b.pdf": "approved"}
 
 
-def test_chunk_windows():
+def windows(spark, text, size, overlap):
+    return spark.createDataFrame([(text,)], "t string").select(structure.period_chunks("t", size, overlap).alias("c")).first().c
+
+
+def test_chunk_windows(spark):
     words = [f"w{i}" for i in range(30)]
-    got = structure.period_chunks(" ".join(words), 10, 2)
-    assert len(got) >= 3 and got[0].split()[-2:] == got[1].split()[:2] and structure.period_chunks(None, 5, 1) == []
-    assert structure.period_chunks("aa bb cc dd. ee ff gg", 5, 1) == ["aa bb cc dd.", "dd. ee ff gg"]
-    # A cut that keeps no more words than the overlap doesn't move the next window.
-    assert structure.period_chunks("loooooooong. b c d e f", 4, 3)[:2] == ["loooooooong.", "b c d e"]
+    got = windows(spark, " ".join(words), 10, 2)
+    assert len(got) >= 3 and got[0].split()[-2:] == got[1].split()[:2] and windows(spark, None, 5, 1) == [] and windows(spark, "  ", 5, 1) == []
+    assert windows(spark, "aa bb cc dd. ee ff gg", 5, 1) == ["aa bb cc dd.", "dd. ee ff gg"]
+    # A cut that keeps no more words than the overlap: the next window starts where it would have without.
+    assert windows(spark, "loooooooong. b c d e f", 4, 3)[:2] == ["loooooooong.", "b c d e"]
+    # The last window isn't cut; a period in the first half doesn't cut; the period may stand within a word.
+    assert windows(spark, "a b c. d", 9, 1) == ["a b c. d"]
+    assert windows(spark, "a. bbb ccc ddd eee fff", 4, 1) == ["a. bbb ccc ddd", "ddd eee fff"]
+    assert windows(spark, "aaa bbb ccc.x ddd eee fff ggg", 4, 1) == ["aaa bbb ccc.", "ccc.x ddd eee fff", "fff ggg"]
+    assert windows(spark, "a b c", 2, 5) == ["a b", "b c"]
 
 
 def test_stride_equals_period_chunks_without_periods(spark):
-    texts = [" ".join(f"w{i}" for i in range(n)) for n in (0, 1, 9, 10, 11, 18, 27, 55)]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", structure.stride_chunks("t", 10, 2).alias("c"))
-    for r in df.collect():
-        assert r.c == structure.period_chunks(r.t, 10, 2)
+    rows = [(" ".join(f"w{i}" for i in range(n)),) for n in (0, 1, 9, 10, 11, 18, 19, 50)]
+    for r in spark.createDataFrame(rows, "t string").select(structure.stride_chunks("t", 10, 2).alias("a"), structure.period_chunks("t", 10, 2).alias("b")).collect():
+        assert r.a == r.b
 
 
 def test_parents_and_children(spark):
@@ -276,9 +285,59 @@ def test_faithfulness_with_scorer(spark):
 
 
 def test_events(spark):
-    a = spark.createDataFrame([(0, "generated", "um dois")], "query_id long, outcome string, answer string")
-    got = [json.loads(r.event) for r in answer.events(a).orderBy("seq").collect()]
-    assert got == [{"type": "metadata", "outcome": "generated"}, {"type": "token", "text": "um "}, {"type": "token", "text": "dois"}]
+    rows = [
+        (1, "generated", "P", "uma resposta", None, True, ["a (p. 1)"]), (2, "no_solution", "P", None, None, None, []), (3, "no_evidence_with_sources", "P", None, None, None, ["b (p. 2)"]),
+        (4, "generated", "P", "inicio", "caiu", None, []), (5, "generated", "P", "outra", None, False, []),
+    ]
+    a = spark.createDataFrame(rows, "query_id long, outcome string, prompt string, answer string, error string, faithful boolean, sources array<string>")
+    a = a.selectExpr("*", "'melhor assim' as fallback", "'nao confere' as reason", "query_id = 2 as diagnostic")
+    for check in (False, True):
+        got = {}
+        for r in answer.events(a, check).orderBy("query_id", "seq").collect():
+            got.setdefault(r.query_id, []).append(json.loads(r.event))
+        assert all(e[0]["type"] == "metadata" and [x["type"] for x in e].count("metadata") == 1 for e in got.values())
+        text = {q: "".join(x["token"] for x in e if x["type"] == "token") for q, e in got.items()}
+        assert text == {1: "uma resposta", 2: answer.NO_SOLUTION, 3: answer.NO_EVIDENCE, 4: "inicio", 5: "outra"}
+        assert got[1][0] == {"type": "metadata", "fontes": ["a (p. 1)"], "prompt": "P", "diagnostic_mode": False} and got[2][0]["prompt"] is None and got[2][0]["diagnostic_mode"] and got[3][0]["fontes"] == ["b (p. 2)"]
+        assert got[4][-1] == {"type": "error", "message": "caiu"}
+        last = got[1][-1], got[5][-1]
+        assert (last[0]["type"] == "faithfulness") == check
+        if check:
+            assert last[0]["faithful"] and last[0]["fallback_response"] is None and last[1] == {"type": "faithfulness", "faithfulness_checked": True, "faithful": False, "reason": "nao confere", "fallback_response": "melhor assim"}
+            assert [x["type"] for x in got[2]].count("faithfulness") == 0
+
+
+def test_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(0)
+    rows = [("a", float(x)) for x in rng.normal(size=500)] + [("b", 7.0)] * 300 + [("c", 1.0), ("c", 2.0), ("d", 5.0), ("e", None)] + [("f", 1e9)] + [("f", float(x)) for x in rng.integers(0, 5, 400)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for most, bins in ((100_000, 1024), (3, 4)):
+        got = {r.g: (r.p0, r.p1, r.p2, r.p3, r.n) for r in evaluation.percentiles(df, ["g"], "v", (0, 0.1, 0.5, 1), bins, most).collect()}
+        assert got.keys() == set("abcdf")
+        for g, found in got.items():
+            v = [x for k, x in rows if k == g]
+            assert np.allclose(found[:4], [np.quantile(v, p) for p in (0, 0.1, 0.5, 1)]) and found[4] == len(v)
+    whole = evaluation.percentiles(df, [], "v", (0.25,)).first()
+    assert abs(whole.p0 - np.quantile([x for _, x in rows if x is not None], 0.25)) < 1e-9
+    assert evaluation.percentiles(df.limit(0), ["g"], "v", (0.5,)).collect() == []
+
+
+def test_enrichment_keeps_specific_areas(spark):
+    meta = spark.createDataFrame([(i, a, "outro", "outro", ["x"], ["y"]) for i, a in enumerate(("geral", "juridico", "juridico", "ia"))], "id int, area_tematica string, tipo_documento string, metodologia string, assuntos array<string>, palavras_chave array<string>")
+    said = [(0, 'ok {"area_tematica": "Saude", "assuntos": ["A", " "]}'), (1, '{"area_tematica": "geral", "assuntos": ["geral"]}'), (2, '{"area_tematica": "nada", "tipo_documento": "MANUAL"}'), (3, "sem json")]
+    got = {r.id: r for r in classify.enriched(meta, spark.createDataFrame(said, "id int, answer string")).collect()}
+    assert (got[0].area_tematica, got[0].assuntos, got[0].qualidade_extracao) == ("saude", ["a"], "alta")
+    assert (got[1].area_tematica, got[1].assuntos) == ("juridico", ["x"]) and (got[2].area_tematica, got[2].tipo_documento) == ("juridico", "manual")
+    assert (got[3].area_tematica, got[3].qualidade_extracao) == ("ia", "baixa")
+
+
+def test_abstract_is_of_one_page(spark):
+    rows = [("a", 1, 0, "Título", True), ("a", 1, 1, "texto", False), ("a", 2, 0, "RESUMO:", True), ("a", 2, 1, "Uma linha.", False), ("a", 2, 2, "Duas.", True), ("a", 2, 3, "fora", False), ("a", 3, 0, "mais", False)]
+    rows += [("b", 1, 0, "abstract", False), ("b", 2, 0, "não é dela", False), ("c", 6, 0, "resumo", False), ("c", 6, 1, "tarde demais", False)]
+    rows += [("d", 1, 0, "summary", False)] + [("d", 1, 1 + i, "x" * 600, False) for i in range(6)]
+    rows += [("e", 1, 0, "abstract", False), ("e", 1, 1, "uma linha em negrito com seis", True), ("e", 1, 2, "fim.", False), ("e", 1, 3, "Introdução", True)]
+    got = {r.documento: r.resumo for r in structure.abstracts(spark.createDataFrame(rows, "documento string, page int, pos int, texto string, is_bold boolean")).collect()}
+    assert got == {"a": "Uma linha.", "d": " ".join(["x" * 600] * 3)[:2000], "e": "uma linha em negrito com seis fim."}
 
 
 def test_calibration_fixture(spark):

@@ -9,7 +9,8 @@ from garimpo.plans import tables as T
 from garimpo.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
-IN_PYTHON = {"q22_period_chunks", "q23_parent_blocks", "q52_rate_limit"}
+#: Sequential by nature, a matrix product by batches, or a reader that the caller brings.
+IN_PYTHON = {"q05_hybrid_search", "q06_dense_topk", "q07_dense_filtered", "q08_rrf_fusion", "q52_rate_limit", "q62_extracted_elements", "q63_extraction_summary"}
 
 
 def plan(df):
@@ -28,10 +29,17 @@ def test_filters_reach_the_scan(spark):
 
 def test_ranks_are_limited_before_the_shuffle(spark):
     v = T.vectors(spark, SF)
-    assert "WindowGroupLimit" in plan(dense.dense_top(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 10))
+    near = dense.dense_top(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 10)
+    assert "WindowGroupLimit" in plan(near) and "Generate" not in plan(near)
     assert "WindowGroupLimit" in plan(sparse.bm25_top(T.chunks(spark, SF), T.queries(spark, SF), 5))
 
 
+def test_bm25_splits_chunks_twice_and_shuffles_postings_once(spark):
+    executed = plan(sparse.scores(T.chunks(spark, SF), T.queries(spark, SF)))
+    physical = executed[executed.index("== Physical Plan =="):]
+    assert len(re.findall(r"Exchange hashpartitioning\(id#\d+L", physical)) <= 2  # for the scores, and the same one for the frequencies
+
+
 def test_small_tables_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan(T.library(spark, SF)) and "CartesianProduct" not in plan(library.facets(T.library(spark, SF)))
 
