@@ -189,4 +189,4 @@ def op7_rank_order_language(spark, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from three quarters of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = predict(docs.select("doc_id", "text"), train(docs.where(~held_out())))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))

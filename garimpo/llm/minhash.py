@@ -293,7 +293,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: floa
     rows = sketched.where("twin is not null").groupBy("doc_id", "mark").agg(F.first("twin").alias("twin"), F.count("*").alias("n"))
     rows = common.staged(rows.join(groups.select("twin", "group"), "twin"), "near-rows")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")
-    judged = rows.join(rows.groupBy("group").agg(F.min(place).alias("best")), "group").withColumn("stays", place == F.col("best"))
+    # Only groups of several rows need a decision; written, so that a group of very many rows isn't dealt to one task.
+    best = common.staged(rows.groupBy("group").agg(F.min(place).alias("best"), F.sum("n").alias("total")).where("total > 1").select("group", "best"), "near-best")
+    judged = rows.join(common.checked_broadcast(best), "group").withColumn("stays", place == F.col("best"))
     judged = common.staged(judged.select("doc_id", "mark", "stays", "n").where("not stays or n > 1"), "near-judged")
     key = lambda other: F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (mark("d.text") == F.col(f"{other}.mark"))
     left = docs.alias("d").join(common.checked_broadcast(judged.where("not stays")).alias("x"), key("x"), "left_anti")

@@ -57,6 +57,24 @@ s AS (SELECT doc_id, string_agg(t, ' ' ORDER BY j) AS kept FROM k ANTI JOIN g US
 n AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
+#: crc32 of a number's decimal digits, bit by bit.
+CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT)"
+
+OP7 = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce({CRC32.format("doc_id")} % 4 = 2, FALSE) AS held_out, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g'), ' ') AS t FROM documents),
+p AS (SELECT doc_id, lang, held_out, ' ' || t || ' ' AS t FROM d WHERE t <> ''),
+u AS (SELECT doc_id, lang, held_out, unnest(string_split(t, '')) AS a, generate_subscripts(string_split(t, ''), 1) AS i FROM p),
+w AS (SELECT *, lead(a) OVER s AS b, lead(a, 2) OVER s AS c FROM u WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, lang, held_out, a AS g FROM w WHERE a <> ' ' UNION ALL SELECT doc_id, lang, held_out, a || b FROM w WHERE b IS NOT NULL UNION ALL SELECT doc_id, lang, held_out, a || b || c FROM w WHERE c IS NOT NULL),
+own AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, length(g), g) - 1 AS r FROM g GROUP BY doc_id, g),
+mine AS (SELECT * FROM own WHERE r < 400),
+ranked AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, length(g), g) - 1 AS r FROM g WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, g),
+prof AS (SELECT * FROM ranked WHERE r < 400), langs AS (SELECT DISTINCT lang FROM prof),
+cost AS (SELECT doc_id, l.lang, sum(coalesce(abs(p.r - m.r), 400)) / (count(*) * 400)::DOUBLE AS c FROM mine m CROSS JOIN langs l LEFT JOIN prof p ON p.lang = l.lang AND p.g = m.g GROUP BY ALL),
+best AS (SELECT doc_id, arg_min(lang, {{'c': c, 'l': lang}}) AS lang_pred, min(c) AS m FROM cost GROUP BY 1),
+soft AS (SELECT doc_id, 1 / sum(exp(-25 * (c - m))) AS score FROM cost JOIN best USING (doc_id) GROUP BY 1)
+SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, round(coalesce(score, 0), 6) AS score FROM d LEFT JOIN best USING (doc_id) LEFT JOIN soft USING (doc_id)"""
+
 OP9 = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.9),

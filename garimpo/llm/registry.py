@@ -33,6 +33,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_schema_fingerprint_chat": oracle.OP3,
     "chat_mixed_layouts": oracle.CHAT_MIXED,
     "op5_superkmer_dedup": oracle.OP5,
+    "op7_rank_order_language": oracle.OP7,
     "op9_pca_tiles": oracle.OP9,
     "op10_fast_similarity_sketch": oracle.OP10,
 }
