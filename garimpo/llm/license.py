@@ -226,9 +226,10 @@ NEGATIVES = (
     "The gnu is an antelope.",
     "Dogs are prohibited in the garden.",
 )
-# Words that say nothing of licences by themselves.
+# Words that say nothing of licences by themselves, in one language or another ("mit" is German for with,
+# "sa" French for its; "nc" and "nd" stand for much); names like "under mit" or "cc by nc" hold another marker.
 COMMON = frozenset(
-    "a above alle an and any all are as available at bajo beschrieben ce cette commercial common deal development diese dieses disposition except express fee forms granted included later law met non obra only open package portions possible pouvez prior programa programme provided publication related se sob strictly style substantial suivant todos tous una universal use v à œuvre be by can da das de der des die du e ein einer el en er es est est esta está este et for form free from has have in into is ist it its kind la le les los may must no not o of of on one or os os out own part par "
+    "a above alle an and any all are as available at bajo beschrieben ce cette commercial common deal development diese dieses disposition except express fee forms granted included later law met mit nc nd non obra only open package portions possible pouvez prior programa programme provided publication related sa se sob strictly style substantial suivant todos tous una universal use v à œuvre be by can da das de der des die du e ein einer el en er es est est esta está este et for form free from has have in into is ist it its kind la le les los may must no not o of of on one or os os out own part par "
     "selon sein shall should so sous steht sur that the their these they this those to un und une unter upon und vous which who will with without work works works you your "
     "address author code copies copy conditions data date details die file files following for general green international library made mise name new other own person persons program project public purpose section see source subject text version where written wird".split()
 )
