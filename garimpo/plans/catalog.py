@@ -136,17 +136,28 @@ def q08(spark, d):
     return fused.where("fused_rank <= 20").select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"), F.col("fused_rank").cast("long").alias("fused_rank"))
 
 
+def _found_sql(where: str) -> str:
+    """Hybrid search over a part of the documents and vectors, with that part's own statistics."""
+    sql = f"""{HYBRID_SQL}, b AS (SELECT p.*, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY fr, p.id) AS k FROM p JOIN chunks USING (id) WHERE fr <= 15),
+e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fr, id) AS final_rank FROM b WHERE k = 1)
+SELECT query_id, id, rrf, final_rank FROM e WHERE final_rank <= 5"""
+    return sql.replace("FROM documents)", f"FROM documents WHERE doc_id {where})").replace("AS v FROM embeddings)", f"AS v FROM embeddings WHERE vec_id {where})")
+
+
 @query(
     "q09_multi_collection",
-    f"""WITH {BM25_SQL}, u AS (SELECT query_id, id, s, id % 2 AS coll, row_number() OVER (PARTITION BY query_id, id % 2 ORDER BY round(s, 9) DESC, id) AS r FROM bm WHERE s > 0),
-m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, coll, r, id) AS merged_rank FROM u WHERE r <= 5)
-SELECT query_id, id, CASE coll WHEN 0 THEN 'documentos' ELSE 'solucoes' END AS collection, round(s, 6) AS score, merged_rank FROM m WHERE merged_rank <= 5""",
+    f"""WITH a AS (SELECT *, 0 AS coll FROM ({_found_sql("% 2 = 0")})), b AS (SELECT *, 1 AS coll FROM ({_found_sql("% 2 = 1")})),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 6) DESC, coll, final_rank, id) AS merged_rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
+SELECT query_id, id, CASE coll WHEN 0 THEN 'documentos' ELSE 'solucoes' END AS collection, round(rrf, 6) AS score, merged_rank FROM m WHERE merged_rank <= 5""",
 )
 def q09(spark, d):
-    scored = sparse.scores(T.chunks(spark, d), T.queries(spark, d)).where("sparse_score > 0").withColumn("collection", F.when(F.col("id") % 2 == 0, "documentos").otherwise("solucoes"))
-    w = W.partitionBy("query_id", "collection").orderBy(F.round("sparse_score", 9).desc(), "id")
-    each = scored.withColumn("rank", F.row_number().over(w)).where("rank <= 5").withColumn("score", F.round("sparse_score", 6))
-    return search.merge_collections(each, 5).select("query_id", "id", "collection", "score", F.col("merged_rank").cast("long").alias("merged_rank"))
+    """Two collections searched by themselves, each with its own statistics, and their hits merged."""
+    c, v, q = T.chunks(spark, d), T.vectors(spark, d), T.queries(spark, d)
+    found = []
+    for k, name in enumerate(search.COLLECTIONS):
+        best = search.search(c.where(F.col("id") % 2 == k), v.where(F.col("id") % 2 == k), q)
+        found.append(best.select("query_id", "id", F.lit(name).alias("collection"), F.round("score", 6).alias("score"), F.col("final_rank").alias("rank")))
+    return search.merge_collections(found[0].unionByName(found[1]), 5).select("query_id", "id", "collection", "score", F.col("merged_rank").cast("long").alias("merged_rank"))
 
 
 @query("q10_dedupe_by_parent", f"SELECT * FROM (WITH {CHUNKS_SQL}, r AS (SELECT area AS query_id, id, parent_id, row_number() OVER (PARTITION BY area ORDER BY length(texto) DESC, id) AS rank FROM chunks), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM r WHERE rank <= 500) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final_rank FROM k WHERE n = 1) WHERE final_rank <= 50")
