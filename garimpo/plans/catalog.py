@@ -416,12 +416,28 @@ def q32(spark, d):
     return T.read(spark, d, "pages").select("page_id", classify.injection_findings(text).alias("findings")).select("page_id", joined("findings"))
 
 
-@query("q33_document_type", f"WITH {LIBRARY_SQL} SELECT id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 4 = 0 THEN 'artigo_cientifico' WHEN CAST(substr(id, 2) AS BIGINT) % 4 = 1 THEN 'manual' WHEN CAST(substr(id, 2) AS BIGINT) % 4 = 2 THEN 'apresentacao' ELSE 'relatorio_tecnico' END AS kind FROM lib")
+SECTION_LISTS = (("Resumo", "Metodologia", "Resultados"), ("Outra",), ("Introdução",), ("resumo", "REFERÊNCIAS"), (), ("Abstract", "abstract", "Outra"), ("Conclusão", "Método", "Resumo", "Anexo"))
+TITLE_LIST = ("Guia de uso", "Oficina de IA", "Sem nome", "Relatório da fase 2", "Um framework", "TUTORIAL e dinâmica")
+
+
+def _list_sql(values) -> str:
+    return "([" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[])"
+
+
+_type_cases = " ".join(f"WHEN {' OR '.join(f"contains(low, '{w}')" for w in words)} THEN '{kind}'" for kind, words in classify.TITLE_TYPES)
+
+
+@query(
+    "q33_document_type",
+    f"""WITH x AS (SELECT 'd' || c_custkey AS id, [{", ".join(map(_list_sql, SECTION_LISTS))}][c_custkey % {len(SECTION_LISTS)} + 1] AS sections, lower({_list_sql(TITLE_LIST)}[(c_custkey // 7) % {len(TITLE_LIST)} + 1]) AS low FROM customer),
+n AS (SELECT id, low, len(list_intersect(list_transform(sections, lambda s: lower(s)), {_list_sql(classify.ARTICLE_SECTIONS)})) AS n FROM x)
+SELECT id, CASE WHEN n >= 3 THEN 'artigo_cientifico' {_type_cases} WHEN n >= 1 THEN 'artigo_cientifico' ELSE 'relatorio_tecnico' END AS kind FROM n""",
+)
 def q33(spark, d):
-    k = F.substring("id", 2, 20).cast("long") % 4
-    sections = F.when(k == 0, F.array(*map(F.lit, ("Resumo", "Metodologia", "Resultados")))).otherwise(F.array(F.lit("Outra")))
-    title = F.when(k == 1, "Guia de uso").when(k == 2, "Oficina de IA").otherwise("Sem nome")
-    return T.library(spark, d).select("id", classify.document_type(sections, title).alias("kind"))
+    k = F.col("c_custkey")
+    sections = F.element_at(F.array(*[F.array(*map(F.lit, v)).cast("array<string>") for v in SECTION_LISTS]), (k % len(SECTION_LISTS) + 1).cast("int"))
+    title = F.element_at(F.array(*map(F.lit, TITLE_LIST)), (F.floor(k / 7) % len(TITLE_LIST) + 1).cast("int"))
+    return T.read(spark, d, "customer").select(F.concat(F.lit("d"), k.cast("string")).alias("id"), classify.document_type(sections, title).alias("kind"))
 
 
 # ---------------------------------------------------------------- validation
