@@ -125,6 +125,13 @@ def index_health(chunks: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
     return c.select("chunks", v.select("points").scalar().alias("points"), v.select("dims_ok").scalar().alias("dims_ok")).withColumn("consistent", F.col("chunks") == F.col("points"))
 
 
+def index_diagnosis(chunks: DataFrame, vectors: DataFrame, dims: int, manifest: DataFrame, probe: DataFrame) -> DataFrame:
+    """``index_health`` with what the manifest says (``total_chunks``) and whether a probe's hits (``dense_score``) are any good."""
+    said = manifest.agg(F.max("total_chunks")).scalar()
+    best = probe.agg(F.coalesce(F.max("dense_score"), F.lit(0.0))).scalar()
+    return index_health(chunks, vectors, dims).withColumn("manifest_agrees", F.coalesce(F.col("points") == said, F.lit(False))).withColumn("dense_probe_ok", best > 0)
+
+
 def bounded_request(query: Column, top_k: Column, most: int = 20) -> Column:
     """Why a request is refused; null if it isn't."""
     return F.when(F.trim(F.coalesce(query, F.lit(""))) == "", "blank query").when(~top_k.between(1, most), f"top_k outside 1..{most}")

@@ -20,6 +20,24 @@ BOUNDS = {
 TRUE_WORDS = ("1", "true", "yes", "on", "sim", "s")
 
 
+def env_file(path: str, env=None) -> dict[str, str]:
+    """Variables of a file of ``KEY=VALUE`` lines added to the environment; those that are set stay as they are.
+
+    Blank lines, comments and lines without an equals sign are skipped; quotes
+    around a value go.  No file adds nothing.
+    """
+    env, added = os.environ if env is None else env, {}
+    if not os.path.exists(path):
+        return added
+    with open(path, encoding="utf-8") as f:
+        for key, found, value in (line.strip().partition("=") for line in f if not line.lstrip().startswith("#")):
+            key, value = key.strip(), value.strip()
+            if found and key and key not in env:
+                quoted = len(value) >= 2 and value[0] == value[-1] and value[0] in "'\""
+                env[key] = added[key] = value[1:-1] if quoted else value
+    return added
+
+
 @dataclass(frozen=True)
 class Options:
     top_k: int = 5

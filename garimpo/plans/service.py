@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import answer, classify, evaluation, library, search, structure, validation
 from ..sources import extraction
+from ..streaming import limits
 from . import tables as T
 from .catalog import CHUNKS_SQL, CITE_SQL, LINES_SQL, RUNS_SQL, CLEAN_SQL, chunker_sql, joined, query
 
@@ -454,3 +455,21 @@ def q92(spark, d):
         F.struct(F.lit("nao").alias("dados_pessoais"), F.lit("b").alias("base_legal_lgpd"), F.lit("local").alias("hospedagem"), F.lit("m").alias("modelo"), F.lit("l").alias("licenca_modelo"), many("spark").alias("dependencias_open_source")).alias("conformidade"),
     )
     return c.select("s_suppkey", validation.solution_text().alias("t")).select("s_suppkey", _md5("t"))
+
+
+PATHS, KEYS = ("/search", "/", "/admin/quarantine", "/upload", "/web/app.js", "/biblioteca"), ("r", "", "a", None, "x")
+
+
+@query(
+    "q93_access",
+    f"""WITH RECURSIVE q AS (SELECT event_id AS request_id, ts, event_type AS client, {_pick_sql(PATHS, "event_id")} AS path, coalesce({_pick_sql(KEYS, "(event_id // 6)")}, '') AS key, event_id % 29 = 0 AS options FROM events),
+j AS (SELECT *, CASE WHEN options OR path IN ('/') OR starts_with(path, '/web') THEN 200 WHEN path IN ('/upload') OR starts_with(path, '/admin/') THEN CASE WHEN key = 'a' THEN NULL WHEN key <> '' THEN 403 ELSE 401 END WHEN key NOT IN ('r', 'a') THEN 401 END AS code FROM q),
+e AS (SELECT client, request_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY client ORDER BY ts, request_id) AS n FROM j WHERE code IS NULL),
+s AS (SELECT client, request_id, n, TRUE AS accepted, [t] AS held FROM e WHERE n = 1
+ UNION ALL SELECT e.client, e.request_id, e.n, len(list_filter(s.held, lambda x: e.t - x <= 600)) < 3, CASE WHEN len(list_filter(s.held, lambda x: e.t - x <= 600)) < 3 THEN list_append(list_filter(s.held, lambda x: e.t - x <= 600), e.t) ELSE list_filter(s.held, lambda x: e.t - x <= 600) END FROM s JOIN e ON e.client = s.client AND e.n = s.n + 1)
+SELECT request_id, CAST(code AS INTEGER) AS code FROM j WHERE code IS NOT NULL UNION ALL SELECT request_id, CAST(CASE WHEN accepted THEN 200 ELSE 429 END AS INTEGER) FROM s""",
+)
+def q93(spark, d):
+    k = F.col("event_id")
+    requests = T.read(spark, d, "events").select(k.alias("request_id"), "ts", F.col("event_type").alias("client"), _pick(PATHS, k).alias("path"), _pick(KEYS, F.floor(k / 6)).alias("key"), F.when(k % 29 == 0, "OPTIONS").otherwise("GET").alias("method"))
+    return limits.access(requests, "r", "a", 600.0, 3)

@@ -74,6 +74,21 @@ def generated(prompts: DataFrame, model: Callable[[list[str]], list[str | None]]
     return prompts.select(F.col("query_id").cast("long").alias("query_id"), "prompt").mapInPandas(run, "query_id long, answer string")
 
 
+def evaluation_rows(chunks: DataFrame, model: Callable[[list[str]], list[str | None]], ask: str, n: int, seed: int = 0) -> DataFrame:
+    """(question, ground_truth, context, documento, pagina, chunk_id): a question and its answer made from each of n sampled chunks.
+
+    ``ask`` is the prompt's text before a chunk's.  The model's JSON may stand in
+    code fences; answers that can't be read, or lack a question, drop out.
+    """
+    from ..functions.text import json_fenced_in
+    from ..operators.library import useful_chunks
+
+    some = useful_chunks(chunks, n, seed)
+    said = generated(some.select(F.col("id").alias("query_id"), F.concat(F.lit(ask), "texto").alias("prompt")), model)
+    read = said.select(F.col("query_id").alias("id"), json_fenced_in(F.col("answer"), "question string, ground_truth string").alias("a")).where("a.question is not null")
+    return some.join(read, "id").select("a.question", "a.ground_truth", F.array("texto").alias("context"), "documento", "pagina", F.col("id").alias("chunk_id"))
+
+
 def embedded(texts: DataFrame, model: Callable[[list[str]], list[list[float]]], dims: int, prefix: str = PASSAGE_PREFIX, batch: int = 32) -> DataFrame:
     """(id, vector) of ``texts(id, texto)``: unit vectors of the model's; another length fails."""
 

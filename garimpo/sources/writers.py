@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import logging
+import secrets
+import shutil
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +51,35 @@ def json_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
 
 
+def quarantined_name() -> str:
+    """A random name for an upload, whatever it was called."""
+    return f"{secrets.token_hex(16)}.pdf"
+
+
+def approve_file(name: str, quarantine: str, approved: str) -> str:
+    """Move a file out of quarantine on the driver's file system; its new path.  Names that lead elsewhere are refused."""
+    clean = Path((name or "").strip()).name
+    if Path(clean).suffix.lower() != ".pdf":
+        raise ValueError("not the name of an approved file")
+    source, target = (Path(root).resolve() / clean for root in (quarantine, approved))
+    for path, root in ((source, quarantine), (target, approved)):
+        if path.resolve().parent != Path(root).resolve():
+            raise ValueError("path outside its folder")
+    if not source.is_file():
+        raise FileNotFoundError(clean)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    shutil.move(str(source), str(target))
+    return str(target)
+
+
+def record_event(spark, path: str, event: str, client_ip: str = "desconhecido", method: str | None = None, place: str | None = None, **details) -> None:
+    """One audit event, appended to the audit table and logged."""
+    facts = {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str) for k, v in details.items()}
+    row = spark.createDataFrame([(event, client_ip, method, place, facts)], "event string, client_ip string, method string, path string, details map<string,string>")
+    audit_append(row.select(F.current_timestamp().alias("ts"), "*"), path)
+    logging.getLogger("garimpo.audit").info("event=%s %s", event, " ".join(f"{k}={v}" for k, v in facts.items()))
+
+
 def result_table(rows: DataFrame, path: str) -> None:
     """Per-question results (few rows) as one CSV file with a header, nested values as JSON."""
     flat = [F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"`{f.name}`") for f in rows.schema.fields]

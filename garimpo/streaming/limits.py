@@ -49,6 +49,34 @@ def rate_limit(requests: DataFrame, window: float = 60.0, limit: int = 120) -> D
     return ordered.mapInPandas(lambda batches: _rows(batches, window, limit), DECISION)
 
 
+# Paths that need no key, and those that need the administrators'.
+PUBLIC_PATHS = ("/", "/status", "/docs", "/redoc", "/openapi.json")
+ADMIN_PATHS = ("/upload", "/upload-metadata", "/upload-legacy-disabled", "/reprocessar", "/recarregar")
+
+
+def access(requests: DataFrame, read_key: str = "", admin_key: str = "", window: float = 60.0, limit: int = 120) -> DataFrame:
+    """(request_id, code) of ``requests(client, ts, request_id, method, path, key)``.
+
+    Public paths, the web pages and OPTIONS pass uncounted.  Administrators'
+    paths take the admin key alone (403 for another one, or where only a read
+    key is set), all others either key; 401 for a missing or wrong one.  Where no
+    key is set, none is asked for.  What passes is counted by client: 429 over
+    the limit.
+    """
+    path, key = F.col("path"), F.coalesce("key", F.lit(""))
+    public = (F.col("method") == "OPTIONS") | path.isin(*PUBLIC_PATHS) | path.startswith("/web")
+    admin = path.isin(*ADMIN_PATHS) | path.startswith("/admin/")
+    is_admin = key == admin_key if admin_key else F.lit(False)
+    is_any = key.isin(*[k for k in (read_key, admin_key) if k]) if read_key or admin_key else F.lit(True)
+    if admin_key:
+        code = F.when(admin & ~is_admin, F.when(key != "", 403).otherwise(401)).when(~admin & ~is_any, 401)
+    else:
+        code = F.when(admin & F.lit(bool(read_key)), 403).when(~admin & ~is_any, 401)
+    judged = requests.select(F.coalesce(F.nullif("client", F.lit("")), F.lit("desconhecido")).alias("client"), "ts", "request_id", F.when(public, 200).otherwise(code).alias("code"))
+    limited = rate_limit(judged.where("code is null"), window, limit).select("request_id", F.when(F.col("accepted"), 200).otherwise(429).alias("code"))
+    return judged.where("code is not null").select("request_id", "code").unionByName(limited)
+
+
 def rate_limit_stream(requests: DataFrame, window: float = 60.0, limit: int = 120) -> DataFrame:
     """The same over a stream: state by client carries the accepted times from batch to batch."""
 

@@ -10,7 +10,7 @@ from garimpo.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Sequential by nature, a matrix product by batches, or a reader that the caller brings.
-IN_PYTHON = {"q05_hybrid_search", "q06_dense_topk", "q07_dense_filtered", "q08_rrf_fusion", "q09_multi_collection", "q52_rate_limit", "q62_extracted_elements", "q63_extraction_summary"}
+IN_PYTHON = {"q05_hybrid_search", "q06_dense_topk", "q07_dense_filtered", "q08_rrf_fusion", "q09_multi_collection", "q52_rate_limit", "q62_extracted_elements", "q63_extraction_summary", "q93_access"}
 
 
 def plan(df):
