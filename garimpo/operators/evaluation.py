@@ -24,9 +24,11 @@ def calibration(cases: DataFrame) -> DataFrame:
     inside = F.when(F.col("expected_hit") & F.col("dense").isNotNull(), F.col("dense"))
     outside = F.when(~F.col("expected_hit"), F.coalesce("dense", F.lit(0.0)))
     a = cases.agg(
-        F.count(inside).alias("in_scope"), F.count(outside).alias("out_of_scope"), F.coalesce(F.min(inside), F.lit(0.0)).alias("dense_min"), percentile(inside, 0.10).alias("p10"), percentile(inside, 0.25).alias("p25"),
-        percentile(inside, 0.5).alias("median"), F.coalesce(F.avg(inside), F.lit(0.0)).alias("mean"), F.coalesce(F.max(inside), F.lit(0.0)).alias("dense_max"), F.coalesce(F.max(outside), F.lit(0.0)).alias("out_max"),
+        F.count(inside).alias("in_scope"), F.count(outside).alias("out_of_scope"), F.coalesce(F.min(inside), F.lit(0.0)).alias("dense_min"),
+        F.coalesce(F.avg(inside), F.lit(0.0)).alias("mean"), F.coalesce(F.max(inside), F.lit(0.0)).alias("dense_max"), F.coalesce(F.max(outside), F.lit(0.0)).alias("out_max"),
     )
+    found = percentiles(cases.where(inside.isNotNull()), [], "dense", (0.10, 0.25, 0.5)).select(F.struct("p0", "p1", "p2")).scalar()
+    a = a.select("*", *[F.coalesce(found[p], F.lit(0.0)).alias(name) for p, name in (("p0", "p10"), ("p1", "p25"), ("p2", "median"))])
     between = F.when(F.col("out_max") < F.col("p25"), F.greatest("p10", (F.col("out_max") + F.col("p25")) / 2)).otherwise(F.col("p25"))
     return a.withColumn("suggested_percent", F.least(F.lit(100), F.greatest(F.lit(1), F.bround(between * 100).cast("int")))).withColumn("actionable", F.col("dense_max") > 0)
 
@@ -34,14 +36,15 @@ def calibration(cases: DataFrame) -> DataFrame:
 def percentiles(rows: DataFrame, by: list[str], value: str, ps: tuple[float, ...], bins: int = 1024, most: int = 100_000) -> DataFrame:
     """Exact percentiles with linear interpolation of each group: ``by``, ``p0``, ``p1``, ... and ``n``.
 
-    No task ever holds a group's values: equal values are counted first, the
-    counts fall into ``bins`` of the group's range, and only the bins that hold
-    the ranks asked for are looked at more closely, again and again where one
-    holds more than ``most`` distinct values.
+    No task ever holds a group's values: rows are counted in ``bins`` of the
+    group's range (before they shuffle), and only the bins that hold the ranks
+    asked for are looked at more closely, again and again where one holds more
+    than ``most`` rows that differ.  Two passes over the rows do for most data,
+    a third takes the few values that are left.
     """
     v = F.col(value).cast("double")
-    counts = rows.where(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count("*").alias("c"))
-    ends = counts.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    values = rows.where(v.isNotNull()).select(*by, v.alias("v"))
+    ends = values.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
     want = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(*[f((F.col("n") - 1) * p).cast("long") for f in (F.floor, F.ceil)]) for p in ps]))))
     asked = ends.select(*by, "lo", "hi", "n", want.alias("rank"), F.lit(0).cast("long").alias("before"))
     keys = [*by, "rank"]
@@ -49,18 +52,18 @@ def percentiles(rows: DataFrame, by: list[str], value: str, ps: tuple[float, ...
         # Values of each asked rank's range, with how many lie before it.
         span = F.greatest(F.col("hi") - F.col("lo"), F.lit(0.0))
         bin_ = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span * bins), F.lit(bins - 1))).otherwise(0)
-        near = counts.join(F.broadcast(asked), by) if by else counts.join(F.broadcast(asked))
+        near = values.join(F.broadcast(asked), by) if by else values.join(F.broadcast(asked))
         near = near.where(F.col("v").between(F.col("lo"), F.col("hi"))).withColumn("bin", bin_)
-        filled = near.groupBy(*keys, "before", "bin").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("d"))
+        filled = near.groupBy(*keys, "before", "bin").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         w = W.partitionBy(*keys).orderBy("bin")
         placed = filled.withColumn("upto", F.col("before") + F.sum("c").over(w)).withColumn("first", F.col("upto") - F.col("c"))
-        asked = placed.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("upto"))).select(*keys, "lo", "hi", F.col("first").alias("before"), "d")
+        asked = placed.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("upto"))).select(*keys, "lo", "hi", F.col("first").alias("before"), "c")
         held = asked.collect()  # a row for each group and rank
-        if not held or max(r.d for r in held) <= most:
+        asked = rows.sparkSession.createDataFrame(held, asked.schema).drop("c")
+        if all(r.c <= most or r.lo == r.hi for r in held):
             break
-        asked = rows.sparkSession.createDataFrame(held, asked.schema).drop("d")
-    asked = rows.sparkSession.createDataFrame(held, asked.schema).drop("d")
-    near = (counts.join(F.broadcast(asked), by) if by else counts.join(F.broadcast(asked))).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    near = (values.join(F.broadcast(asked), by) if by else values.join(F.broadcast(asked))).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    near = near.groupBy(*keys, "before", "v").agg(F.count("*").alias("c"))
     w = W.partitionBy(*keys).orderBy("v")
     at = near.withColumn("upto", F.col("before") + F.sum("c").over(w)).where(F.col("rank") < F.col("upto")).groupBy(*keys).agg(F.min("v").alias("v"))
     per = at.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
