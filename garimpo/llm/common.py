@@ -53,7 +53,7 @@ def staged_path(spark: SparkSession, name: str) -> str:
 
 
 def clear(spark: SparkSession) -> int:
-    """Delete the staged tables of this application and put its Arrow batch size back; how many tables went.
+    """Delete the staged tables of this application and put its Arrow batch sizes back; how many tables went.
 
     Results that were not written or collected yet can't be read afterwards.
     """
@@ -61,9 +61,9 @@ def clear(spark: SparkSession) -> int:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if _batches:
-        spark.conf.set(_BATCH_KEY, _batches.pop())
-        _batches.clear()
+    while _batches:
+        key, old = _batches.popitem()
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
     return len(paths)
 
 
@@ -84,20 +84,23 @@ def checked_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: The session's own setting, once it was lowered.
-_batches: list[str] = []
+#: Bytes of such a batch (one row at least).
+BATCH_BYTES = 1 << 25
+_ROWS_KEY, _BYTES_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: The session's own settings, once they were lowered.
+_batches: dict[str, str | None] = {}
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that go to Python by rows; keeps a lower setting.
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches that go to Python by rows and bytes; keeps lower settings.
 
     It holds until ``clear``: results are computed after the call that made them.
     """
-    now = spark.conf.get(_BATCH_KEY, "10000")
-    if int(now) <= 0 or int(now) > rows:
-        _batches.append(now)
-        spark.conf.set(_BATCH_KEY, str(rows))
+    for key, most in ((_ROWS_KEY, rows), (_BYTES_KEY, size)):
+        now = re.match(r"-?\d+", spark.conf.get(key, None) or "0")
+        if now is None or int(now[0]) <= 0 or int(now[0]) > most:
+            _batches.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, str(most))
 
 
 def byte_lists(column: pa.Array) -> list[bytes]:
