@@ -9,6 +9,7 @@ picture.  What becomes of it is columns: ``elements_of_pages``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import structure
 
+#: Bytes of files that a worker is sent at a time.
+BATCH_BYTES = 1 << 26
 SPAN = "struct<text:string,size:double,font:string>"
 RAW = f"documento string, pagina int, blocks array<array<array<{SPAN}>>>, tables array<array<array<string>>>, text string, elements array<struct<tipo:string,texto:string>>, ocr string, error string"
 _span = pa.struct([("text", pa.string()), ("size", pa.float64()), ("font", pa.string())])
@@ -61,8 +64,14 @@ def pages_of_pdf(files: DataFrame, *readers: Callable[[bytes], Iterable[dict]],
     """Raw pages of ``files(documento, content)`` (see ``readers.pdf_files``), one file at a time in a task.
 
     Readers are tried in order until one has pages.  A file that none can read
-    gives one row with its ``error`` and no page; other files go on.
+    gives one row with its ``error`` and no page; other files go on.  Files go
+    to Python in batches of ``BATCH_BYTES`` (one file at least), a setting that
+    the session keeps unless it has a lower one.
     """
+    conf, key = files.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"\d+", conf.get(key, None) or "")
+    if now is None or int(now[0]) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
