@@ -91,3 +91,18 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+OP11 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w, {CRC32.format("doc_id")} AS h FROM documents),
+a AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS edited, (h // 10) % len(w) AS a, 3 + (h // 10) % 8 AS k FROM d),
+p AS (SELECT doc_id, CASE WHEN edited THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // k) + 1] END) ELSE w END AS w FROM a),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS i FROM p),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.t = y.t AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+s AS (SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM g GROUP BY doc_id, q, island HAVING count(*) >= greatest(6, 4 * q) - q),
+r AS (SELECT doc_id, s, e - s AS n, min(q) AS q FROM s GROUP BY ALL),
+x AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS kept FROM u ANTI JOIN x USING (doc_id, i) GROUP BY 1),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS runs, min({{'a': -n, 'b': s, 'c': q}}) AS top FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.b AS BIGINT) AS start, CAST(-top.a AS BIGINT) AS length, CAST(top.c AS BIGINT) AS period, CAST(1000 * -top.a // top.c AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""

@@ -11,6 +11,7 @@ from .langid import op7_rank_order_language
 from .license import op8_license_paragraphs
 from .minhash import op10_fast_similarity_sketch
 from .packing import op1_nnls_packing
+from .periodic import op11_harmonic_runs
 from .quality import op4_compression_quality
 from .superkmer import op5_superkmer_dedup
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_license_paragraphs": op8_license_paragraphs,
     "op9_pca_tiles": op9_pca_tiles,
     "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
+    "op11_harmonic_runs": op11_harmonic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_rank_order_language": oracle.OP7,
     "op9_pca_tiles": oracle.OP9,
     "op10_fast_similarity_sketch": oracle.OP10,
+    "op11_harmonic_runs": oracle.OP11,
 }
