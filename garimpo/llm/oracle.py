@@ -106,3 +106,14 @@ k AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS kept FROM u ANTI JOIN x US
 b AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS runs, min({{'a': -n, 'b': s, 'c': q}}) AS top FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.b AS BIGINT) AS start, CAST(-top.a AS BIGINT) AS length, CAST(top.c AS BIGINT) AS period, CAST(1000 * -top.a // top.c AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({ASCII_LOWER}, '{TERM}') AS w FROM documents),
+c AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+t AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY r, term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({ASCII_LOWER}, '{TERM}')) AS term FROM benchmark),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * c.n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, c GROUP BY term, c.n),
+s AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + CAST((50 * t.n * c.n) // c.l AS BIGINT))))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN f USING (term), c GROUP BY item_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""

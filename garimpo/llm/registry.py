@@ -7,6 +7,7 @@ from .bitplane import op6_token_bitplanes
 from .chat import chat_mixed_layouts, op3_schema_fingerprint_chat
 from .embeddings import op9_pca_tiles
 from .fmindex import op2_fm_index_decontamination
+from .impact import op12_impact_ordered_search
 from .langid import op7_rank_order_language
 from .license import op8_license_paragraphs
 from .minhash import op10_fast_similarity_sketch
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_pca_tiles": op9_pca_tiles,
     "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
     "op11_harmonic_runs": op11_harmonic_runs,
+    "op12_impact_ordered_search": op12_impact_ordered_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -39,4 +41,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_pca_tiles": oracle.OP9,
     "op10_fast_similarity_sketch": oracle.OP10,
     "op11_harmonic_runs": oracle.OP11,
+    "op12_impact_ordered_search": oracle.OP12,
 }
