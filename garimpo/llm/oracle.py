@@ -117,3 +117,10 @@ q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({ASCII_LOWER}, '{TERM}'
 f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * c.n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, c GROUP BY term, c.n),
 s AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + CAST((50 * t.n * c.n) // c.l AS BIGINT))))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN f USING (term), c GROUP BY item_id, r)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+MIX_TARGETS = rf"""
+WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '{SPACED}'))) AS BIGINT) AS n FROM documents GROUP BY 1),
+w AS (SELECT source, n AS source_size, 3 * n AS most, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight FROM s),
+c AS (SELECT *, row_number() OVER o AS k, sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM w WINDOW o AS (ORDER BY most / weight, source)),
+l AS (SELECT arg_min(CAST(words AS DOUBLE) / free, k) AS share FROM c WHERE CAST(words AS DOUBLE) / free * weight <= most)
+SELECT source, source_size, weight, round(least(weight * share, most), 3) AS target, CAST(round(least(weight * share, most)) AS BIGINT) AS taken FROM w, l"""

@@ -11,6 +11,7 @@ from .impact import op12_impact_ordered_search
 from .langid import op7_rank_order_language
 from .license import op8_license_paragraphs
 from .minhash import op10_fast_similarity_sketch
+from .mixing import mix_targets, op13_splitting_tree_mix
 from .packing import op1_nnls_packing
 from .periodic import op11_harmonic_runs
 from .quality import op4_compression_quality
@@ -30,6 +31,8 @@ QUERIES = {
     "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
     "op11_harmonic_runs": op11_harmonic_runs,
     "op12_impact_ordered_search": op12_impact_ordered_search,
+    "op13_splitting_tree_mix": op13_splitting_tree_mix,
+    "mix_targets": mix_targets,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -42,4 +45,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_fast_similarity_sketch": oracle.OP10,
     "op11_harmonic_runs": oracle.OP11,
     "op12_impact_ordered_search": oracle.OP12,
+    "mix_targets": oracle.MIX_TARGETS,
 }
