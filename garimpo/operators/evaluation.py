@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
+from ..staging import checked_broadcast, staged
 
 
 def percentile(value: Column | str, p: float) -> Column:
@@ -40,30 +41,38 @@ def percentiles(rows: DataFrame, by: list[str], value: str, ps: tuple[float, ...
     group's range (before they shuffle), and only the bins that hold the ranks
     asked for are looked at more closely, again and again where one holds more
     than ``most`` rows that differ.  Two passes over the rows do for most data,
-    a third takes the few values that are left.
+    a third takes the few values that are left.  Each round's ranges lie
+    strictly inside those before, so rounds end.
+
+    Nulls don't count.  Infinite values and NaN (the greatest of all) are ranked
+    in bins of their own; between an infinite value and another one the
+    interpolation is what arithmetic makes of it.  Null groups are left out.
     """
-    v = F.col(value).cast("double")
-    values = rows.where(v.isNotNull()).select(*by, v.alias("v"))
-    ends = values.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    v, infinite = F.col("v"), F.lit(float("inf"))
+    values = staged(rows.select(*by, F.col(value).cast("double").alias("v")).where(v.isNotNull()), "values")
+    finite = F.when(~F.isnan(v) & (F.abs(v) < infinite), v)
+    ends = values.groupBy(*by).agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count("*").alias("n"))
     want = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(*[f((F.col("n") - 1) * p).cast("long") for f in (F.floor, F.ceil)]) for p in ps]))))
-    asked = ends.select(*by, "lo", "hi", "n", want.alias("rank"), F.lit(0).cast("long").alias("before"))
     keys = [*by, "rank"]
+    asked = staged(ends.select(*by, "lo", "hi", want.alias("rank"), F.lit(0).cast("long").alias("before")), "asked")
+    met = lambda table: values.join(checked_broadcast(table), by) if by else values.join(F.broadcast(table))  # noqa: E731  without groups it holds a row for each rank asked for
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    own = F.when(F.isnan(v), F.lit(bins + 1)).when(v == infinite, F.lit(bins)).when(v == -infinite, F.lit(-1))
+    near_enough = inside | own.isNotNull()
     while True:
-        # Values of each asked rank's range, with how many lie before it.
-        span = F.greatest(F.col("hi") - F.col("lo"), F.lit(0.0))
-        bin_ = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span * bins), F.lit(bins - 1))).otherwise(0)
-        near = values.join(F.broadcast(asked), by) if by else values.join(F.broadcast(asked))
-        near = near.where(F.col("v").between(F.col("lo"), F.col("hi"))).withColumn("bin", bin_)
+        # Values of each asked rank's range, with how many lie before it.  Halves, as a range may be longer than the largest number.
+        span = F.col("hi") / 2 - F.col("lo") / 2
+        bin_ = F.when(span > 0, F.least(F.floor((v / 2 - F.col("lo") / 2) / span * bins), F.lit(bins - 1))).otherwise((v > F.col("lo")).cast("long"))
+        near = met(asked).where(near_enough).withColumn("bin", F.coalesce(own.cast("long"), bin_))
         filled = near.groupBy(*keys, "before", "bin").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         w = W.partitionBy(*keys).orderBy("bin")
         placed = filled.withColumn("upto", F.col("before") + F.sum("c").over(w)).withColumn("first", F.col("upto") - F.col("c"))
-        asked = placed.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("upto"))).select(*keys, "lo", "hi", F.col("first").alias("before"), "c")
-        held = asked.collect()  # a row for each group and rank
-        asked = rows.sparkSession.createDataFrame(held, asked.schema).drop("c")
-        if all(r.c <= most or r.lo == r.hi for r in held):
+        asked = staged(placed.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("upto"))).select(*keys, "lo", "hi", F.col("first").alias("before"), "c"), "asked")
+        if asked.where((F.col("c") > most) & (F.col("lo") < F.col("hi"))).isEmpty():
             break
-    near = (values.join(F.broadcast(asked), by) if by else values.join(F.broadcast(asked))).where(F.col("v").between(F.col("lo"), F.col("hi")))
-    near = near.groupBy(*keys, "before", "v").agg(F.count("*").alias("c"))
+        near_enough = inside
+        asked = asked.drop("c")
+    near = met(asked.drop("c")).where(inside).groupBy(*keys, "before", "v").agg(F.count("*").alias("c"))
     w = W.partitionBy(*keys).orderBy("v")
     at = near.withColumn("upto", F.col("before") + F.sum("c").over(w)).where(F.col("rank") < F.col("upto")).groupBy(*keys).agg(F.min("v").alias("v"))
     per = at.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
@@ -72,8 +81,10 @@ def percentiles(rows: DataFrame, by: list[str], value: str, ps: tuple[float, ...
     out = []
     for i, p in enumerate(ps):
         rank = (F.col("n") - 1) * F.lit(float(p))
-        low, part = value_at(F.floor(rank)), rank - F.floor(rank)
-        out.append((low + (value_at(F.ceil(rank)) - low) * part).alias(f"p{i}"))
+        low, high, part = value_at(F.floor(rank)), value_at(F.ceil(rank)), rank - F.floor(rank)
+        step = high - low
+        between = F.when(F.abs(step) < infinite, low + step * part).otherwise(low * (1 - part) + high * part)
+        out.append(F.when((part == 0) | (low == high), low).otherwise(between).alias(f"p{i}"))
     return j.select(*by, *out, "n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from ..staging import checked_broadcast, staged
 
 _PLACE = "_place"
 
@@ -29,5 +29,17 @@ def numbered(df: DataFrame, *order: Column, column: str = "id", first: int = 0)
     counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("part", F.coalesce(before, F.lit(0)).alias("_before"))
-    at = rows.withColumn("_part", part).join(F.broadcast(offsets), F.col("_part") == F.col("part"))
+    at = rows.withColumn("_part", part).join(checked_broadcast(offsets), F.col("_part") == F.col("part"))
     return at.select(*[F.col(f"`{c}`") for c in df.columns if c != column], (F.col("_before") + place + first).alias(column))
+
+
+def ranked(df: DataFrame, by: list[str], *order: Column, column: str = "rank") -> DataFrame:
+    """``df`` with ranks from 1 within the groups of ``by``, in the given order, whatever the size of a group.
+
+    Rows are numbered through, group after group; a group's least number is
+    taken off.  Unlike a window, no task holds a group.  Null groups are groups.
+    """
+    rows = numbered(df, *[F.asc_nulls_first(c) for c in by], *order, column=column)
+    first = staged(rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min(column).alias("_first")), "groups")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return rows.join(checked_broadcast(first), same).select(*[F.col(f"`{c}`") for c in df.columns if c != column], (F.col(column) - F.col("_first") + 1).alias(column))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..options import Options
-from . import classify, dense, sparse
+from . import classify, dense, numbering, sparse
 
 # Defaults of a hit's fields.
 HIT_DEFAULTS = {"documento": "desconhecido", "area": "geral", "content_type": "text"}
@@ -35,9 +35,15 @@ def fuse(dense_ranked: DataFrame, sparse_ranked: DataFrame, k: int = 60) -> Data
     return both.withColumn("fused_rank", F.row_number().over(order))
 
 
-def dedupe_by_parent(ranked: DataFrame, k: int, rank: str, by: str = "query_id", parent: str = "parent_id") -> DataFrame:
-    """Of each parent its best-ranked chunk (a chunk without one stands for itself); the k best, ranked from 1 as ``final_rank``."""
+def dedupe_by_parent(ranked: DataFrame, k: int | None, rank: str, by: str = "query_id", parent: str = "parent_id") -> DataFrame:
+    """Of each parent its best-ranked chunk (a chunk without one stands for itself); the k best, ranked from 1 as ``final_rank``.
+
+    Without a ``k`` all are kept and ranked, of groups of any size.
+    """
     key = F.coalesce(F.when(F.col(parent) != "", F.col(parent)), F.concat(F.lit("chunk-"), F.col("id").cast("string")))
+    if k is None:
+        best = ranked.groupBy(F.col(by).alias("_by"), key.alias("_key")).agg(F.min_by(F.struct(*ranked.columns), F.struct(rank, "id")).alias("_x")).select("_x.*")
+        return numbering.ranked(best, [by], F.col(rank), F.col("id"), column="final_rank")
     first = ranked.withColumn("_key", key).withColumn("_n", F.row_number().over(W.partitionBy(by, "_key").orderBy(rank, "id"))).where("_n = 1").drop("_n", "_key")
     return first.withColumn("final_rank", F.row_number().over(W.partitionBy(by).orderBy(rank, "id"))).where(F.col("final_rank") <= k)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import answer, classify, dense, evaluation, library, search, sparse, structure, validation
+from ..operators import answer, classify, dense, evaluation, library, numbering, search, sparse, structure, validation
 from ..options import Options
 from ..sources import readers
 from ..streaming import limits
@@ -160,12 +160,11 @@ def q09(spark, d):
     return search.merge_collections(found[0].unionByName(found[1]), 5).select("query_id", "id", "collection", "score", F.col("merged_rank").cast("long").alias("merged_rank"))
 
 
-@query("q10_dedupe_by_parent", f"SELECT * FROM (WITH {CHUNKS_SQL}, r AS (SELECT area AS query_id, id, parent_id, row_number() OVER (PARTITION BY area ORDER BY length(texto) DESC, id) AS rank FROM chunks), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM r WHERE rank <= 500) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final_rank FROM k WHERE n = 1) WHERE final_rank <= 50")
+@query("q10_dedupe_by_parent", f"WITH {CHUNKS_SQL}, r AS (SELECT area AS query_id, id, parent_id, row_number() OVER (PARTITION BY area ORDER BY length(texto) DESC, id) AS rank FROM chunks), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM r) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final_rank FROM k WHERE n = 1")
 def q10(spark, d):
-    """The pool of a query (its 500 best, by length here), then its 50 best of different parents."""
-    r = T.chunks(spark, d).select(F.col("area").alias("query_id"), "id", "parent_id", F.length("texto").alias("n"))
-    r = r.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("n"), "id"))).where("rank <= 500")
-    return search.dedupe_by_parent(r, 50, "rank").select("query_id", "id", F.col("final_rank").cast("long").alias("final_rank"))
+    """All chunks of an area, longest first, as one ranking: the best of each parent, all of them."""
+    r = T.chunks(spark, d).select(F.col("area").alias("query_id"), "id", "parent_id", (-F.length("texto")).alias("less"))
+    return search.dedupe_by_parent(r, None, "less").select("query_id", "id", "final_rank")
 
 
 # ---------------------------------------------------------------- facets, library, metadata
@@ -505,20 +504,15 @@ def q38(spark, d):
     return T.chunks(spark, d).select("id", X.source_label(c("doc_autores"), c("doc_ano"), c("doc_titulo"), c("documento")).alias("source_label"), X.citation_label(c("doc_autores"), c("doc_ano"), c("documento")).alias("citation_label"))
 
 
-#: Hits of a query at most.
-MOST_HITS = 50
-
-
-def _ranked_by_area(spark, d, most: int = MOST_HITS):
-    """Each source's longest chunks as hits: ranked by ids and lengths alone, texts joined to the few that are left."""
+def _ranked_by_area(spark, d):
+    """Each source's chunks as hits, longest first: ranked by ids and lengths alone, then joined to their texts."""
     chunks = T.chunks(spark, d)
-    w = W.partitionBy("query_id").orderBy(F.desc("n"), "id")
     sized = chunks.select(F.element_at("assuntos", 1).alias("query_id"), "id", F.length("texto").alias("n"))
-    first = sized.withColumn("final_rank", F.row_number().over(w)).where(F.col("final_rank") <= most).drop("n")
+    first = numbering.ranked(sized, ["query_id"], F.desc("n"), F.col("id"), column="final_rank").drop("n")
     return chunks.join(first, "id").withColumn("parent_text", F.lit(None).cast("string"))
 
 
-RANKED_SQL = f"WITH {CHUNKS_SQL}, rk AS (SELECT * FROM (SELECT *, assuntos[1] AS query_id, row_number() OVER (PARTITION BY assuntos[1] ORDER BY length(texto) DESC, id) AS r FROM chunks) WHERE r <= {MOST_HITS})"
+RANKED_SQL = f"WITH {CHUNKS_SQL}, rk AS (SELECT *, assuntos[1] AS query_id, row_number() OVER (PARTITION BY assuntos[1] ORDER BY length(texto) DESC, id) AS r FROM chunks)"
 
 
 @query("q39_unique_sources", RANKED_SQL + f", l AS (SELECT query_id, {LABEL_SQL} || ' (p. ' || pagina || ')' AS label, min(r) AS r FROM rk GROUP BY ALL) SELECT query_id, string_agg(label, '|' ORDER BY r, label) AS sources FROM l GROUP BY 1")
@@ -535,7 +529,7 @@ CUT_SQL = "CASE WHEN length(texto) > {n} THEN rtrim(left(texto, {n}), ' ') || '.
     + f""" SELECT query_id, md5(string_agg('Fonte ' || r || ': ' || {LABEL_SQL} || ' (p. ' || pagina || ')' || chr(10) || 'Citacao obrigatoria: (' || {CITE_SQL} || ')' || chr(10) || 'Documento: ' || documento || chr(10) || 'Pagina: ' || pagina || chr(10) || 'Secao: ' || coalesce(section_heading, 'nao informado') || chr(10) || 'Tipo: ' || content_type || chr(10) || 'Area: ' || area || chr(10) || 'Assuntos: ' || array_to_string(assuntos, ', ') || chr(10) || 'Trecho: ' || {CUT_SQL.format(n=700)}, chr(10) || chr(10) ORDER BY r)) AS context_md5 FROM rk WHERE r <= 6 GROUP BY 1""",
 )
 def q40(spark, d):
-    return answer.build_context(_ranked_by_area(spark, d, 6)).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+    return answer.build_context(_ranked_by_area(spark, d).where("final_rank <= 6")).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
 ONE_LINE_SQL = "trim(replace(trim(texto), chr(10), ' '))"

@@ -88,6 +88,12 @@ def test_dedupe_by_parent(spark):
     assert best(r, 3) == [0, 2, 3] and best(r, 9) == [0, 2, 3, 4, 5]
     again = search.dedupe_by_parent(r, 9, "rank").drop("final_rank")
     assert best(again, 9) == [0, 2, 3, 4, 5]
+    assert best(r, None) == [0, 2, 3, 4, 5]
+    many = spark.range(900).selectExpr("id % 2 as query_id", "id", "concat('p', id div 4) as parent_id", "id as rank")
+    whole = search.dedupe_by_parent(many, None, "rank")
+    assert sorted(map(tuple, whole.select("query_id", "id", "final_rank").collect())) == sorted((i % 2, i, i // 4 + 1) for i in range(900) if i % 4 < 2)
+    limited = search.dedupe_by_parent(many, 20, "rank")  # the most a request may ask for
+    assert sorted((r.query_id, r.id, r.final_rank) for r in limited.collect()) == sorted((i % 2, i, i // 4 + 1) for i in range(80) if i % 4 < 2)
 
 
 def test_search_with_reranker_and_hits(spark):
@@ -307,6 +313,24 @@ def test_events(spark):
             assert [x["type"] for x in got[2]].count("faithfulness") == 0
 
 
+@pytest.mark.parametrize("bins,most", [(1024, 100_000), (4, 2)])
+def test_percentiles_of_infinite_values_and_wide_ranges(spark, bins, most):
+    inf, nan = float("inf"), float("nan")
+    groups = {"up": [1, 2, 3, 4, 5, inf], "down": [-inf, -inf, 1, 2, 9, 10], "both": [-inf, 0, 0.5, 1, inf, inf], "nan": [1, 2, nan, nan, 3], "none": [inf, -inf, nan], "wide": [-1.7e308, -1e308, 0, 1, 1e308, 1.7e308, 5e-324], "tiny": [0, 5e-324, 5e-324, 1e-323, 0, 0], "one": [inf]}
+    df = spark.createDataFrame([(g, float(x)) for g, vs in groups.items() for x in vs] + [("up", None)], "g string, v double").repartition(3)
+    got = {r.g: r for r in evaluation.percentiles(df, ["g"], "v", (0, 0.4, 0.5, 1), bins, most).collect()}
+    order = lambda x: (x != x, x)
+    for g, vs in groups.items():
+        vs = sorted(map(float, vs), key=order)
+        assert got[g].n == len(vs)
+        for name, p in (("p0", 0), ("p1", 0.4), ("p2", 0.5), ("p3", 1)):
+            at = (len(vs) - 1) * p
+            low, high, part = vs[int(at)], vs[-(-int(at * 1000) // 1000) if at % 1 == 0 else int(at) + 1], at - int(at)
+            want = low if part == 0 or low == high else low * (1 - part) + high * part
+            found = got[g][name]
+            assert (found != found and want != want) or found == want or abs(found - want) <= 1e-12 * abs(want), (g, name, found, want)
+
+
 def test_percentiles_equal_numpy(spark):
     rng = np.random.default_rng(0)
     rows = [("a", float(x)) for x in rng.normal(size=500)] + [("b", 7.0)] * 300 + [("c", 1.0), ("c", 2.0), ("d", 5.0), ("e", None)] + [("f", 1e9)] + [("f", float(x)) for x in rng.integers(0, 5, 400)]

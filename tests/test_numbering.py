@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from garimpo import staging
-from garimpo.operators.numbering import numbered
+from garimpo.operators.numbering import numbered, ranked
 
 
 def test_numbers_follow_the_order(spark):
@@ -30,3 +30,13 @@ def test_nulls_ties_and_empty_tables(spark):
 def test_staged_tables_are_cleared(spark):
     before = staging.staged(spark.range(3), "test")
     assert before.count() == 3 and staging.clear(spark) >= 1 and staging.clear(spark) == 0
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 < 7, "big").when(F.col("id") % 10 == 7, F.col("id").cast("string")).alias("g"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("v"), "id").repartition(5)
+    got = ranked(rows, ["g"], F.desc("v"), F.col("id"))
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r.g, []).append((-r.v, r.id))
+    want = {(g, i): n for g, found in groups.items() for n, (_, i) in enumerate(sorted(found), 1)}
+    assert {(r.g, r.id): r["rank"] for r in got.collect()} == want
