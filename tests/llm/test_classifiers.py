@@ -84,12 +84,8 @@ def test_quality_equals_scores_by_hand(spark):
     def parts(data):
         return [data[i : i + 512] for i in range(0, len(data), 512)]
 
-    def sampled(data):
-        all_ = parts(data)
-        return all_ if len(all_) <= 32 else [all_[i * (len(all_) - 1) // 31] for i in range(32)]
-
     def compressor(texts):
-        trained = zstandard.train_dictionary(32_768, [p for t in texts for p in sampled(t)]).as_bytes()
+        trained = zstandard.train_dictionary(32_768, [p for t in texts for p in parts(t)]).as_bytes()
         return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(trained), level=3, write_content_size=False)
 
     def measure(some, pair):
@@ -99,7 +95,7 @@ def test_quality_equals_scores_by_hand(spark):
     texts = {y: [t.encode() for i, t, z in sorted(rows) if z == y] for y in (1, 0)}
     assert max(map(len, texts[1] + texts[0])) > 40_000
     halves = [[compressor(texts[y][k::2]) for y in (1, 0)] for k in (0, 1)]
-    x, y = zip(*[(measure(sampled(t), halves[1 - k]), label) for k in (0, 1) for label in (1, 0) for t in texts[label][k::2]], strict=True)
+    x, y = zip(*[(measure(parts(t), halves[1 - k]), label) for k in (0, 1) for label in (1, 0) for t in texts[label][k::2]], strict=True)
     x, y = np.array(x), np.array(y)
     w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())  # half of all labels are good
     z = (x - (w * x).sum()) / x.std()
@@ -116,11 +112,27 @@ def test_quality_equals_scores_by_hand(spark):
         assert abs(got[i] - 1 / (1 + np.exp(-(model.slope * measure(parts(t.encode()), final) + model.intercept)))) < 1e-12
 
 
-def test_spread_takes_whole_texts():
-    data = bytes(range(256)) * 400
-    some = quality.spread(data, 32)
-    assert len(some) == 32 and some[0] == data[:512] and some[-1] == data[-512 * (len(data) % 512 == 0) or -(len(data) % 512) :]
-    assert quality.spread(b"") == [b""] and quality.spread(b"abc") == [b"abc"]
+def test_rounds_of_dictionaries_agree_with_one(spark):
+    """Buckets of a few pieces: several rounds, whole texts, the same rows whatever the partitions, and as good a model."""
+    rng = random.Random(5)
+    words = {1: [f"good{i}" for i in range(60)], 0: [f"bad{i}" for i in range(60)]}
+    rows = [(i, " ".join(rng.choice(words[i % 2] + ["and", "the"]) for _ in range(4000 if i < 2 else 60))) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    models = [quality.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels, bucket=bucket) for n, bucket in ((3, 4096), (7, 4096), (2, quality.BUCKET))]
+    assert (models[0].good, models[0].bad, models[0].slope) == (models[1].good, models[1].bad, models[1].slope)
+    for m in models:
+        assert all((m.score(t.encode()) > 0.5) == (i % 2 == 1) for i, t in rows)
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    """An id in a thousand rows of either table is one row of the sample, with the text of the least hash."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "two"), (3, None)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1)] * 300 + [(1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    sample, share = quality.sampled(docs, labels, 10)
+    got = sorted((r.doc_id, r.quality) for r in sample.collect())
+    assert got == [(1, 0), (1, 1), (2, 0)] and abs(share - 301 / 303) < 1e-12
+    assert len({r.text for r in sample.where("doc_id = 1").collect()}) == 1
+    assert quality.sampled(docs, labels, 1)[0].count() <= 2
 
 
 def test_language_by_an_independent_count(spark):
