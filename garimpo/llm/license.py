@@ -379,7 +379,7 @@ def likeness(grams: set[str], family: str) -> float:
 
 
 def score(text: str, model: Model) -> tuple[str, float, float]:
-    """(class, probability, likeness) by hand: see ``score_paragraphs``."""
+    """(class, probability, likeness) by hand: see ``score_texts``."""
     grams = ngrams(text)
     known = [model.weights[model.vocabulary[g]] for g in grams if g in model.vocabulary]
     z = model.bias + sum(known, np.zeros(len(model.bias))) / math.sqrt(max(1, len(known)))
@@ -405,13 +405,10 @@ def judge(paragraph: str, model: Model) -> tuple[dict[str, float], bool, float]:
                 found.append((-alike, -size, i, f, q))
             elif f != NONE and size >= UNSURE_WORDS and len(w) > LONGEST:
                 unsure = True
-    kept = []
-    for x in sorted(found):
-        if all(x[2] >= y[2] - y[1] or y[2] >= x[2] - x[1] for y in kept):
-            kept.append(x)
     out = {}
-    for *_, f, q in kept:
-        out[f] = max(q, out.get(f, 0.0))
+    for x in found:
+        if all(x[:4] <= y[:4] or x[2] >= y[2] - y[1] or y[2] >= x[2] - x[1] for y in found):
+            out[x[3]] = max(x[4], out.get(x[3], 0.0))
     return out, unsure and not out, p
 
 
@@ -458,73 +455,83 @@ def _tables(spark: SparkSession, m: Model) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(weights, "gram string, weights array<double>"), spark.createDataFrame(templates, "gram string, template int, family string, template_grams int")
 
 
-def score_paragraphs(paragraphs: DataFrame, model: Model) -> DataFrame:
-    """Distinct ``paragraphs(paragraph)`` -> ``(paragraph, family, probability, alike)``.
+def score_texts(texts: DataFrame, model: Model, key: str = "key") -> DataFrame:
+    """``texts(key, text)`` -> ``(key, family, probability, alike)``; keys are distinct.
 
-    ``alike`` is the greatest share of n-grams, of those of the paragraph and of
-    a template of the family together, that both have.
+    ``alike`` is the greatest share of n-grams, of those of the text and of a
+    template of the family together, that both have.  Texts are cut into n-grams
+    where they are; only their keys travel.
     """
-    weights, templates = (F.broadcast(t) for t in _tables(paragraphs.sparkSession, model))
-    grams = paragraphs.distinct().withColumn("grams", _gram_array(F.col("paragraph"))).withColumn("n", F.size("grams"))
-    each = grams.select("paragraph", "n", F.explode_outer("grams").alias("gram"))
+    weights, templates = (F.broadcast(t) for t in _tables(texts.sparkSession, model))
+    grams = texts.select(key, _gram_array(F.col("text")).alias("grams")).withColumn("n", F.size("grams"))
+    each = grams.select(key, "n", F.explode_outer("grams").alias("gram"))
     k = len(model.classes)
-    sums = each.join(weights, "gram", "left").groupBy("paragraph").agg(F.count("weights").alias("known"), *[F.coalesce(F.sum(F.col("weights")[i]), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
+    sums = each.join(weights, "gram", "left").groupBy(key).agg(F.count("weights").alias("known"), *[F.coalesce(F.sum(F.col("weights")[i]), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
     z = F.array(*[(F.col(f"z{i}") / F.sqrt(F.greatest("known", F.lit(1)).cast("double")) + F.lit(float(model.bias[i]))) / F.lit(model.temperature) for i in range(k)])
-    p = sums.select("paragraph", z.alias("z")).withColumn("top", F.array_max("z"))
-    p = p.select("paragraph", F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))).alias("probability"))
-    both = each.join(templates, "gram").groupBy("paragraph", "n", "template", "family", "template_grams").agg(F.count("*").alias("c"))
-    alike = both.groupBy("paragraph", "family").agg(F.max(2 * F.col("c") / (F.col("n") + F.col("template_grams"))).alias("alike"))
-    return p.join(alike, ["paragraph", "family"], "left").select("paragraph", "family", "probability", F.coalesce("alike", F.lit(0.0)).alias("alike"))
+    p = sums.select(key, z.alias("z")).withColumn("top", F.array_max("z"))
+    p = p.select(key, F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))).alias("probability"))
+    both = each.join(templates, "gram").groupBy(key, "n", "template", "family", "template_grams").agg(F.count("*").alias("c"))
+    alike = both.groupBy(key, "family").agg(F.max(2 * F.col("c") / (F.col("n") + F.col("template_grams"))).alias("alike"))
+    return p.join(alike, [key, "family"], "left").select(key, "family", "probability", F.coalesce("alike", F.lit(0.0)).alias("alike"))
 
 
 def _holds_marker(w, model: Model):
     return F.arrays_overlap(w, F.array(*map(F.lit, model.markers)))
 
 
-def _windows(n):
-    """(start, size) of a paragraph's windows, from its number of words."""
+def _windows(text, model: Model):
+    """(start, size, window) of a paragraph's windows that hold a marker, cut around the markers: their bytes are linear in the markers."""
+    markers = F.array(*map(F.lit, model.markers))
 
-    def of(size: int, step: int):
-        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), n - size, F.lit(step)), F.array(n - size)))
-        return F.when(n > size, F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(size).alias("size")))).otherwise(F.array().cast("array<struct<start:int,size:int>>"))
+    def around(s):
+        w, n, at = s["w"], F.size(s["w"]), s["at"]
 
-    return F.concat(*[of(*w) for w in WINDOWS])
+        def of(size: int, step: int):
+            def starts(m):
+                lo = F.greatest(F.lit(0), F.ceil((m - size + 1) / step).cast("int") * step)
+                hi = F.least(m, n - size)
+                return F.concat(F.when(lo <= hi, F.sequence(lo, hi, F.lit(step))).otherwise(F.array().cast("array<int>")), F.when(m >= n - size, F.array(n - size)).otherwise(F.array().cast("array<int>")))
+
+            some = F.array_distinct(F.flatten(F.transform(at, starts)))
+            return F.when(n > size, F.transform(some, lambda i: F.struct(i.alias("start"), F.lit(size).alias("size"), F.array_join(F.slice(w, i + 1, size), " ").alias("window")))).otherwise(F.array().cast("array<struct<start:int,size:int,window:string>>"))
+
+        return F.concat(*[of(*x) for x in WINDOWS])
+
+    def placed(w):
+        spots = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.struct(w.alias("w"), F.filter(spots, lambda i: F.array_contains(markers, F.get(w, i))).alias("at"))
+
+    return F.get(F.transform(F.transform(F.array(_words(text)), placed), around), F.lit(0))
 
 
 def judge_paragraphs(paragraphs: DataFrame, model: Model) -> DataFrame:
     """Distinct ``paragraphs(paragraph)`` -> ``(paragraph, notices, unknown)``; notices are ``(probability, family)``, one of each family.
 
-    Confirmed windows are taken from the one most like a template down; those
-    that overlap one already taken are parts of it, not notices.
+    Of confirmed windows that overlap, only the one most like a template is a
+    notice; the others are parts of it.  Paragraphs go by a number: neither
+    n-grams nor windows carry the text that they are from.
     """
     sure = ~F.col("family").isin(NONE, OTHER) & (F.col("probability") >= model.sure) & (F.col("alike") >= SHARED)
-    w = _words(F.col("paragraph"))
-    whole = common.staged(score_paragraphs(paragraphs, model).withColumn("n", F.size(w)).withColumn("sure", sure), "licence-paragraphs")
+    numbers = common.staged(paragraphs.distinct().withColumn("key", F.monotonically_increasing_id()).withColumn("n", F.size(_words(F.col("paragraph")))), "licence-paragraphs")
+    whole = common.staged(score_texts(numbers.select("key", F.col("paragraph").alias("text")), model).join(numbers.select("key", "n"), "key").withColumn("sure", sure), "licence-whole")
     settled = F.col("sure") & (F.col("n") <= LONGEST)
-    spans = whole.where(~settled).select("paragraph", "n", w.alias("w")).select("paragraph", "n", "w", F.explode(_windows(F.col("n"))).alias("s"))
-    spans = spans.select("paragraph", "n", "s.start", "s.size", F.slice("w", F.col("s.start") + 1, F.col("s.size")).alias("window")).where(_holds_marker(F.col("window"), model))
-    spans = spans.withColumn("window", F.array_join("window", " "))
+    spans = numbers.join(whole.where(~settled).select("key"), "key").select("key", "n", F.explode(_windows(F.col("paragraph"), model)).alias("s")).select("key", "n", "s.*")
     spans = common.staged(spans, "licence-windows")
-    scored = score_paragraphs(spans.select(F.col("window").alias("paragraph")), model).withColumnRenamed("paragraph", "window")
+    scored = score_texts(spans.select("window", F.col("window").alias("text")).distinct(), model, "window")
     judged = spans.join(scored, "window").where(F.col("family") != NONE).withColumn("sure", sure)
-    judged = judged.select("paragraph", "n", "start", "size", "family", "probability", "alike", "sure")
-    judged = common.staged(judged.unionByName(whole.where(F.col("sure") & ~settled).select("paragraph", "n", F.lit(0).alias("start"), F.col("n").alias("size"), "family", "probability", "alike", "sure")), "licence-windows")
-    # Windows that overlap, directly or through others, are an island; only within one do they compete.
-    by_start = W.partitionBy("paragraph").orderBy("start", "size")
-    before = F.max(F.col("start") + F.col("size")).over(by_start.rowsBetween(W.unboundedPreceding, -1))
-    islands = judged.where("sure").withColumn("first", F.when(F.col("start") < before, 0).otherwise(1))
-    islands = islands.withColumn("island", F.sum("first").over(by_start.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    item = F.struct((-F.col("alike")).alias("a"), (-F.col("size")).alias("b"), F.col("start").alias("start"), F.col("family").alias("family"), F.col("probability").alias("probability"))
-    sorted_ = islands.groupBy("paragraph", "island").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    none = F.slice(F.col("items"), 1, 0)
-    apart = lambda x, y: (x["start"] >= y["start"] - y["b"]) | (y["start"] >= x["start"] - x["b"])
-    kept = F.aggregate("items", none, lambda kept, x: F.when(F.forall(kept, lambda y: apart(x, y)), F.concat(kept, F.array(x))).otherwise(kept))
-    parts = sorted_.select("paragraph", F.explode(kept).alias("k")).select("paragraph", "k.family", "k.probability")
-    parts = parts.unionByName(whole.where(settled).select("paragraph", "family", "probability"))
-    notices = parts.groupBy("paragraph", "family").agg(F.max("probability").alias("probability")).groupBy("paragraph").agg(F.collect_list(F.struct("probability", "family")).alias("notices"))
-    unsure = judged.where(~F.col("sure") & (F.col("size") >= UNSURE_WORDS) & (F.col("n") > LONGEST)).select("paragraph")
-    unsure = unsure.unionByName(whole.where(F.col("family") != NONE).select("paragraph")).distinct().withColumn("unsure", F.lit(True))
-    return notices.join(unsure, "paragraph", "full").select("paragraph", "notices", F.col("notices").isNull().alias("unknown"))
+    judged = judged.select("key", "n", "start", "size", "family", "probability", "alike", "sure")
+    judged = common.staged(judged.unionByName(whole.where(F.col("sure") & ~settled).select("key", "n", F.lit(0).alias("start"), F.col("n").alias("size"), "family", "probability", "alike", "sure")), "licence-judged-windows")
+    # A confirmed window is a notice if at each of its words no other one that holds the word is more like a template.
+    item = F.struct((-F.col("alike")).alias("a"), (-F.col("size")).alias("b"), "start", "family")
+    held = judged.where("sure").select("key", "probability", item.alias("item"), F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("word"))
+    held = held.withColumn("best", F.min("item").over(W.partitionBy("key", "word")) == F.col("item"))
+    parts = held.groupBy("key", "item").agg(F.bool_and("best").alias("best"), F.max("probability").alias("probability")).where("best").select("key", "item.family", "probability")
+    parts = parts.unionByName(whole.where(settled).select("key", "family", "probability"))
+    notices = parts.groupBy("key", "family").agg(F.max("probability").alias("probability")).groupBy("key").agg(F.collect_list(F.struct("probability", "family")).alias("notices"))
+    unsure = judged.where(~F.col("sure") & (F.col("size") >= UNSURE_WORDS) & (F.col("n") > LONGEST)).select("key")
+    unsure = unsure.unionByName(whole.where(F.col("family") != NONE).select("key")).distinct().withColumn("unsure", F.lit(True))
+    found = notices.join(unsure, "key", "full").select("key", "notices", F.col("notices").isNull().alias("unknown"))
+    return numbers.select("key", "paragraph").join(found, "key").select("paragraph", "notices", "unknown")
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
