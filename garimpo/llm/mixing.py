@@ -251,7 +251,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEIL
     drawn = draws.select("rank", "number", "shard", F.col("round").alias("times"), (F.col("number") * F.col("block")).alias("_lo"), end.alias("_hi"), place.alias("place"))
     blocks = F.sequence(F.floor(F.col("at") / F.col("block")).cast("long"), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")).cast("long"))
     lying = documents.where("size > 0").join(about.select("rank", "block"), "rank").select("rank", "at", "size", F.explode(blocks).alias("number"))
-    met = lying.join(drawn, ["rank", "number"]).withColumn("_from", F.greatest("at", "_lo")).withColumn("_to", F.least(F.col("at") + F.col("size"), F.col("_hi"))).where("_from < _to")
+    # Spark takes the draws for as few as the shards that they come from, and would broadcast them.
+    met = lying.join(drawn.hint("merge"), ["rank", "number"]).withColumn("_from", F.greatest("at", "_lo")).withColumn("_to", F.least(F.col("at") + F.col("size"), F.col("_hi"))).where("_from < _to")
     pieces = met.select("rank", "at", (F.col("_from") - F.col("at")).alias("first"), (F.col("_to") - F.col("_from")).alias("length"), "times", "shard", "place")
     return Mix(documents, pieces, sources)
 

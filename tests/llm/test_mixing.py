@@ -173,6 +173,12 @@ def test_main_path_is_native(spark):
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoop", "ExistingRDD"))
 
 
+def test_draws_are_never_broadcast(spark):
+    pieces = mixing.mix(frame(spark, corpus(2))).pieces
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [rank" in plan
+
+
 def test_bad_parameters(spark):
     for bad in ({"weights": ()}, {"weights": (1, 0)}, {"ceiling": 0}):
         with pytest.raises(ValueError):
