@@ -753,4 +753,4 @@ def q61(spark, d):
     return structure.carry_sections(e).select("documento", "pagina", "pos", "tipo", "section_heading")
 
 
-from . import service  # noqa: E402, F401  registers its queries
+from . import indexed, service  # noqa: E402, F401  register their queries
