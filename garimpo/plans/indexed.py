@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import postings, search
+from ..operators import cells, postings, search
 from ..staging import staged_path
 from . import tables as T
 from .catalog import ORACLE_SQL, query
@@ -29,3 +29,15 @@ def q95(spark, d):
     """The same index with small slices, restricted to chunks of an area."""
     c = T.chunks(spark, d)
     return _ranked(postings.search(_index(spark, c, slice_rows=512), T.queries(spark, d), 5, search.eligible(c, " EN ").select("id")))
+
+
+def _near(found):
+    return found.hits.select("query_id", "id", F.round("dense_score", 6).alias("score"), F.col("dense_rank").cast("long").alias("dense_rank"))
+
+
+@query("q96_stored_vectors", ORACLE_SQL["q06_dense_topk"])
+def q96(spark, d):
+    """All vectors written by cells; every fiftieth one looks for its nearest."""
+    held = cells.build(T.vectors(spark, d), staged_path(spark, "vectors"))
+    asked = T.vectors(spark, d).where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return _near(cells.search(held, asked, 10))
