@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, postings, search
+from ..operators import cells, containment, postings, search
 from ..staging import staged_path
 from . import tables as T
-from .catalog import ORACLE_SQL, query
+from .catalog import CHUNKS_SQL, ORACLE_SQL, query
 
 
 def _index(spark, chunks, **options):
@@ -41,3 +41,31 @@ def q96(spark, d):
     held = cells.build(T.vectors(spark, d), staged_path(spark, "vectors"))
     asked = T.vectors(spark, d).where("id % 50 = 0").withColumnRenamed("id", "query_id")
     return _near(cells.search(held, asked, 10))
+
+
+EXPECTED_SQL = """expected AS (SELECT item_id AS query_id, unnest(['doc' || item_id, 'SRC' || (item_id % 20) || '/DOC' || item_id || '.pdf', 'uploads/src' || (item_id % 20) || '/doc' || item_id || '.pdf', text]) AS documento FROM benchmark)"""
+
+
+def _expected(spark, d):
+    """Names that benchmark items expect: short ones, whole ones in upper case, ones with a folder, and whole texts."""
+    k = F.col("item_id").cast("string")
+    folder = (F.col("item_id") % 20).cast("string")
+    names = F.array(F.concat(F.lit("doc"), k), F.concat(F.lit("SRC"), folder, F.lit("/DOC"), k, F.lit(".pdf")), F.concat(F.lit("uploads/src"), folder, F.lit("/doc"), k, F.lit(".pdf")), F.col("text"))
+    return T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(names).alias("documento"))
+
+
+@query("q97_matching_documents", f"WITH {CHUNKS_SQL}, {EXPECTED_SQL}, r AS (SELECT DISTINCT documento AS d FROM chunks) SELECT DISTINCT documento AS expected, d AS returned FROM expected, r WHERE contains(lower(documento), lower(d)) OR contains(lower(d), lower(documento))")
+def q97(spark, d):
+    """All expected names against all documents' names, either within the other."""
+    found = containment.either_contains(_expected(spark, d).select(F.col("documento").alias("left")), T.chunks(spark, d).select(F.col("documento").alias("right")))
+    return found.select(F.col("left").alias("expected"), F.col("right").alias("returned"))
+
+
+@query(
+    "q98_expected_documents",
+    f"WITH {CHUNKS_SQL}, {EXPECTED_SQL}, r AS (SELECT item_id AS query_id, documento FROM benchmark JOIN chunks ON id % 40 = item_id % 40) SELECT query_id, max(CASE WHEN contains(lower(e.documento), lower(r.documento)) OR contains(lower(r.documento), lower(e.documento)) THEN 1 ELSE 0 END) = 1 AS doc_ok FROM expected e LEFT JOIN r USING (query_id) GROUP BY 1",
+)
+def q98(spark, d):
+    """Expected against returned documents query by query, both as tables."""
+    returned = T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("k")).join(T.chunks(spark, d).select((F.col("id") % 40).alias("k"), "documento"), "k").select("query_id", "documento")
+    return containment.documents_ok(_expected(spark, d), returned)
