@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DECISION = "client string, ts timestamp, request_id long, accepted boolean"
 
@@ -77,14 +79,55 @@ def access(requests: DataFrame, read_key: str = "", admin_key: str = "", window:
     return judged.where("code is not null").select("request_id", "code").unionByName(limited)
 
 
-def rate_limit_stream(requests: DataFrame, window: float = 60.0, limit: int = 120) -> DataFrame:
-    """The same over a stream: state by client carries the accepted times from batch to batch."""
+class Limiter(StatefulProcessor):
+    """A client's accepted times as list state; a timer clears it once the watermark has passed the last one's window."""
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        accepted, held = decide((rows["ts"].astype("int64") / 1e9).tolist(), window, limit, held)
-        state.update((list(held),))
-        yield rows.assign(client=key[0], accepted=accepted)[["client", "ts", "request_id", "accepted"]]
+    def __init__(self, window: float, limit: int):
+        self.window, self.limit = window, limit
 
-    return requests.groupBy("client").applyInPandasWithState(step, DECISION, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getListState("held", "t double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = [(f["ts"].astype("datetime64[ns]").to_numpy(), f["request_id"].to_numpy()) for f in rows]
+        ts, ids = (np.concatenate(x) for x in zip(*frames, strict=True))
+        order = np.lexsort((ids, ts))
+        ts, ids = ts[order], ids[order]
+        held = deque(t for (t,) in self.held.get()) if self.held.exists() else deque()
+        for at in range(0, len(ts), SENT_ROWS):  # decisions leave as they are made
+            some = slice(at, at + SENT_ROWS)
+            accepted, held = decide((ts[some].astype("int64") / 1e9).tolist(), self.window, self.limit, held)
+            yield pd.DataFrame({"client": key[0], "ts": ts[some], "request_id": ids[some], "accepted": accepted})
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if held:
+            self.held.put([(t,) for t in held])
+            self.handle.registerTimer(math.ceil((held[-1] + self.window) * 1000) + 1)
+        else:
+            self.held.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+#: Decisions of a client that leave together.
+SENT_ROWS = 10_000
+
+
+def rate_limit_stream(requests: DataFrame, window: float = 60.0, limit: int = 120, late: str = "1 minute") -> DataFrame:
+    """The same over a stream of ``requests(client, ts, request_id)``.
+
+    State by client carries the accepted times from batch to batch.  Requests
+    may come ``late``; later ones are dropped, as their window is closed.  When
+    the watermark passes the end of a client's last window, nothing that can
+    still come depends on its state, and a timer deletes it: clients that stay
+    away cost nothing.  The session's state store is set to RocksDB, which
+    this kind of state needs; a null client is a client.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = requests.select(F.col("client").cast("string").alias("client"), F.col("ts").cast("timestamp").alias("ts"), F.col("request_id").cast("long").alias("request_id"))
+    return rows.withWatermark("ts", late).groupBy("client").transformWithStateInPandas(Limiter(window, limit), DECISION, "append", "EventTime")

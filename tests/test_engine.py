@@ -397,16 +397,26 @@ def test_rate_limit(spark):
 
 
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
+    """Requests in and out of order, over several runs of the stream; the state of a client that stays away goes."""
     rng = random.Random(4)
-    rows = sorted((f"c{rng.randrange(3)}", datetime(2024, 1, 1) + timedelta(milliseconds=rng.randrange(200_000)), i) for i in range(200))
-    rows.sort(key=lambda r: r[1])
-    for k in range(4):
-        spark.createDataFrame(rows[50 * k : 50 * k + 50], "client string, ts timestamp, request_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        s = spark.readStream.schema("client string, ts timestamp, request_id long").parquet(str(tmp_path / "in"))
-        limits.rate_limit_stream(s, 60.0, 5).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(60)
+    schema = "client string, ts timestamp, request_id long"
+    start = datetime(2024, 1, 1)
+    rows = sorted(((f"c{rng.randrange(3)}", start + timedelta(milliseconds=rng.randrange(200_000)), i) for i in range(200)), key=lambda r: r[1])
+    rows += [("idle", start + timedelta(seconds=1), 500), (None, start + timedelta(seconds=2), 501)]
+    batches = [rows[:50] + rows[200:], rows[50:100], rows[100:150], rows[150:200], [("c0", start + timedelta(hours=1), 900)], [("c0", start + timedelta(hours=1, seconds=1), 901)], [("c0", start + timedelta(hours=1, seconds=2), 902)]]
+    held = lambda: {r.key["client"] for r in spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "ck")).select("key").distinct().collect()}
+    for k, some in enumerate(batches):
+        rng.shuffle(some)
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        limits.rate_limit_stream(s, 60.0, 5).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+        if k == 3:
+            assert {"c0", "c1", "c2"} <= held()
+    assert held() == {"c0"}
+    every = [r for some in batches for r in some]
     got = {r.request_id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {r.request_id: r.accepted for r in limits.rate_limit(spark.createDataFrame(rows, "client string, ts timestamp, request_id long"), 60.0, 5).collect()}
-    assert got == want and len(got) == 200
+    want = {r.request_id: r.accepted for r in limits.rate_limit(spark.createDataFrame(every, schema), 60.0, 5).collect()}
+    assert got == want and len(got) == 205 and False in got.values()
 
 
 def test_audit_stream_and_memory(spark, tmp_path):
