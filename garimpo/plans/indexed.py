@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import cells, containment, postings, search
 from ..staging import staged_path
 from . import tables as T
-from .catalog import CHUNKS_SQL, ORACLE_SQL, query
+from .versioned import VersionedTable
+from .catalog import CHUNKS_SQL, LIBRARY_SQL, ORACLE_SQL, query
 
 
 def _index(spark, chunks, **options):
@@ -69,3 +70,33 @@ def q98(spark, d):
     """Expected against returned documents query by query, both as tables."""
     returned = T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("k")).join(T.chunks(spark, d).select((F.col("id") % 40).alias("k"), "documento"), "k").select("query_id", "documento")
     return containment.documents_ok(_expected(spark, d), returned)
+
+
+@query(
+    "q99_stored_upserts",
+    f"""WITH {LIBRARY_SQL},
+n1 AS (SELECT 'd' || s_suppkey AS id, 'uploads/' || s_suppkey || '.pdf' AS documento_original, 'um' AS area FROM supplier WHERE s_suppkey % 2 = 0),
+n2 AS (SELECT 'new' || s_suppkey AS id, 'docs/Customer#' || lpad(CAST(s_suppkey * 3 AS VARCHAR), 9, '0') || '.pdf' AS documento_original, 'dois' AS area FROM supplier),
+n3 AS (SELECT 'new' || s_suppkey AS id, 'uploads/' || (s_suppkey + 1) || '.pdf' AS documento_original, 'tres' AS area FROM supplier WHERE s_suppkey % 4 = 1),
+g AS (SELECT 'd' || s_suppkey AS id FROM supplier WHERE s_suppkey % 5 = 0),
+t1 AS (SELECT id, documento_original, area FROM lib WHERE id NOT IN (SELECT id FROM n1) AND documento_original NOT IN (SELECT documento_original FROM n1) UNION ALL FROM n1),
+t2 AS (SELECT * FROM t1 WHERE id NOT IN (SELECT id FROM n2) AND documento_original NOT IN (SELECT documento_original FROM n2) UNION ALL FROM n2),
+t3 AS (SELECT * FROM t2 WHERE id NOT IN (SELECT id FROM g)),
+t4 AS (SELECT * FROM t3 WHERE id NOT IN (SELECT id FROM n3) AND documento_original NOT IN (SELECT documento_original FROM n3) UNION ALL FROM n3)
+SELECT id, documento_original, area FROM t4""",
+)
+def q99(spark, d):
+    """The library as a stored table: two upserts, a deletion, a compaction, another upsert, then read."""
+    k = F.col("s_suppkey")
+    s = T.read(spark, d, "supplier")
+    row = lambda rows, id, name, area: rows.select(id.alias("id"), name.alias("documento_original"), F.lit(area).alias("area"))
+    old, new = F.concat(F.lit("d"), k.cast("string")), F.concat(F.lit("new"), k.cast("string"))
+    upload = lambda n: F.concat(F.lit("uploads/"), n.cast("string"), F.lit(".pdf"))
+    table = VersionedTable(spark, staged_path(spark, "library"), ["id", "documento_original"])
+    table.replace(T.library(spark, d).select("id", "documento_original", "area"))
+    table.upsert(row(s.where("s_suppkey % 2 = 0"), old, upload(k), "um"))
+    table.upsert(row(s, new, F.concat(F.lit("docs/Customer#"), F.lpad((k * 3).cast("string"), 9, "0"), F.lit(".pdf")), "dois"))
+    table.upsert(s.where("s_suppkey % 5 = 0").select(old.alias("id")), gone=True)
+    table.compact()
+    table.upsert(row(s.where("s_suppkey % 4 = 1"), new, upload(k + 1), "tres"))
+    return table.read()
