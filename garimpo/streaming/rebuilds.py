@@ -37,7 +37,7 @@ class Rebuilds:
 
     def pending(self) -> list[str]:
         """Runs that are asked for and not finished, oldest first."""
-        done = {n for n in self.files.names("ledger") if self.files.exists(f"ledger/{n}/_end.json")}
+        done = {n for n in self.files.names("ledger") if self.files.exists(f"ledger/{n}/end.json")}
         return [n.removesuffix(".json") for n in self.files.names("requests") if n.removesuffix(".json") not in done]
 
     def work(self, timeout: float | None = None) -> None:
@@ -50,7 +50,7 @@ class Rebuilds:
 
     def _batch(self, requests: DataFrame, batch: int) -> None:
         for r in requests.orderBy("run").collect():  # one row a request
-            if not self.files.exists(f"ledger/{r.run}/_end.json"):
+            if not self.files.exists(f"ledger/{r.run}/end.json"):
                 self._run(r.run, batch)
 
     def _run(self, run: str, batch: int) -> None:
@@ -66,7 +66,7 @@ class Rebuilds:
                 error = f"{name}: {e}"
                 break
             self.files.create(marker, json.dumps({"run": run, "stage": name, "batch": batch, "event": "complete", "seconds": time.monotonic() - began}))
-        self.files.create(f"ledger/{run}/_end.json", json.dumps({"run": run, "batch": batch, "event": "fail" if error else "complete", "error": error}))
+        self.files.create(f"ledger/{run}/end.json", json.dumps({"run": run, "batch": batch, "event": "fail" if error else "complete", "error": error}))
 
     def events(self) -> DataFrame:
         """(run, stage, batch, event, error, seconds) of all finished stages and runs (those without a stage)."""
