@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import answer, classify, dense, evaluation, library, numbering, search, sparse, structure, validation
+from ..operators import answer, chunker, classify, dense, evaluation, library, numbering, search, sparse, structure, validation
 from ..options import Options
 from ..sources import readers
 from ..streaming import limits
@@ -283,8 +283,8 @@ kids AS (SELECT {key}, i AS chunk_index, c FROM kids0 WHERE i >= 0)"""
 SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(len(string_split(c, ' ')) AS INTEGER) AS n_words, md5(c) AS chunk_md5 FROM kids""",
 )
 def q22(spark, d):
-    c = T.read(spark, d, "documents").select("doc_id", F.posexplode(structure.period_chunks("text", 60, 8)).alias("chunk_index", "c"))
-    return c.select("doc_id", "chunk_index", X.word_count("c").alias("n_words"), F.md5(F.col("c").cast("binary")).alias("chunk_md5"))
+    c = chunker.period_chunk_rows(T.read(spark, d, "documents").select("doc_id", "text"), "text", 60, 8)
+    return c.select("doc_id", "chunk_index", X.word_count("texto").alias("n_words"), F.md5(F.col("texto").cast("binary")).alias("chunk_md5"))
 
 
 CLEAN_SQL = r"trim(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split({0}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '### SECAO:')), ' '), '\s+[0-9]{{1,2}}\s+', ' ', 'g'), '\s{{2,}}', ' ', 'g'))"

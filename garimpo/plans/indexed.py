@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, containment, postings, search
+from ..operators import cells, containment, postings, search, structure
 from ..staging import staged_path
+from ..options import Options
 from . import tables as T
 from .versioned import VersionedTable
-from .catalog import CHUNKS_SQL, LIBRARY_SQL, ORACLE_SQL, query
+from .catalog import CHUNKS_SQL, CLEAN_SQL, LIBRARY_SQL, ORACLE_SQL, RUNS_SQL, chunker_sql, query
 
 
 def _index(spark, chunks, **options):
@@ -100,3 +101,17 @@ def q99(spark, d):
     table.compact()
     table.upsert(row(s.where("s_suppkey % 4 = 1"), new, upload(k + 1), "tres"))
     return table.read()
+
+
+@query(
+    "q100_counted_chunks",
+    rf"""WITH RECURSIVE {RUNS_SQL}, g AS (SELECT documento, page, run, arg_min(tipo, pos) AS kind, string_agg(texto, chr(10) ORDER BY pos) AS raw FROM r WHERE tipo <> 'section' GROUP BY documento, page, run),
+t AS (SELECT documento, page, run, kind, CASE WHEN kind = 'table' THEN trim(raw) ELSE {CLEAN_SQL.format("raw")} END AS texto FROM g),
+w AS (SELECT documento, page, run, list_filter(regexp_split_to_array(texto, '\s+'), lambda x: x <> '') AS w, kind FROM t), p AS (SELECT *, row_number() OVER (ORDER BY documento, page, run) - 1 AS parent FROM w WHERE len(w) >= CASE WHEN kind = 'table' THEN 3 ELSE 20 END),
+{chunker_sql("p", "parent", 60, 8)}
+SELECT row_number() OVER (ORDER BY parent, chunk_index) - 1 AS id, 'parent-' || parent AS parent_id, CAST(chunk_index AS INTEGER) AS chunk_index, md5(c) AS texto_md5 FROM kids WHERE len(string_split(c, ' ')) >= 3""",
+)
+def q100(spark, d):
+    """Chunks and parents numbered through, without gaps, over the whole collection."""
+    chunks, _ = structure.materialise(structure.parents(T.elements(spark, d)), Options(child_words=60, child_overlap=8), counters=True)
+    return chunks.select("id", "parent_id", "chunk_index", F.md5(F.col("texto").cast("binary")).alias("texto_md5"))

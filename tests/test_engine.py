@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from garimpo.functions import text as X
-from garimpo.operators import answer, classify, dense, evaluation, library, search, sparse, structure, validation
+from garimpo.operators import answer, chunker, classify, dense, evaluation, library, search, sparse, structure, validation
 from garimpo.options import Options
 from garimpo.sources import readers, writers
 from garimpo.streaming import conversations, limits
@@ -396,6 +396,39 @@ def test_rate_limit(spark):
     assert [got[i] for i in range(8)] == accepted and got[99]
 
 
+def test_chunk_rows_equal_the_chunk_column(spark):
+    """The table function and the column give the same windows; other columns come along, long texts are whole."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 7))) + rng.choice(("", "", "", ".", ".x"))
+    rows = [(i, rng.choice((" ", "\n ", "\t")).join(word() for _ in range(rng.choice((0, 1, 9, 10, 11, 60))))) for i in range(80)] + [(90, None), (91, "  "), (92, " ".join(word() for _ in range(50_000))), (92, "again.")]
+    df = spark.createDataFrame([(k, t, f"c{k}") for k, t in rows], "k long, t string, chunk string")
+    for size, overlap in ((10, 3), (5, 9), (1, 0)):
+        some = df if size > 1 else df.where("k < 90")
+        got = chunker.period_chunk_rows(some, "t", size, overlap)
+        assert got.columns == ["k", "chunk", "chunk_index", "texto"]
+        plain = some.where("length(t) < 5000 or t is null")
+        want = plain.select("k", "chunk", F.posexplode(structure.period_chunks("t", size, overlap)).alias("chunk_index", "texto"))
+        assert sorted(map(tuple, got.where("k <> 92 or length(texto) < 8 and texto = 'again.'").collect())) == sorted(map(tuple, want.collect()))
+    whole = [r.texto for r in chunker.period_chunk_rows(df.where("k = 92 and length(t) > 99"), "t", 10, 0).orderBy("chunk_index").collect()]
+    assert whole[0].split()[0] == rows[-2][1].split()[0] and whole[-1].split()[-1] == rows[-2][1].split()[-1] and len(whole) > 5000
+    assert "Exchange" not in chunker.period_chunk_rows(df, "t", 10, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted_ids(spark):
+    """Ids as one pass over all documents would count them."""
+    blocks = spark.createDataFrame([(f"d{i % 7}", i % 3, i, None, "text", " ".join(f"w{j}" for j in range(i % 5 * 6 + 1))) for i in range(60)], "documento string, pagina int, run long, section_heading string, content_type string, texto string").repartition(5)
+    chunks, parents = structure.materialise(blocks, Options(child_words=10, child_overlap=2), counters=True)
+    want, ids, n = [], {}, 0
+    for number, b in enumerate(sorted(blocks.collect(), key=lambda r: (r.documento, r.pagina, r.run))):
+        ids[f"parent-{number}"] = b.texto
+        for i, c in enumerate(chunker.windows(b.texto.split(), 10, 2)):
+            if len(c.split()) >= 3:
+                want.append((n, f"parent-{number}", i, c))
+                n += 1
+    assert sorted((r.id, r.parent_id, r.chunk_index, r.texto) for r in chunks.collect()) == want
+    assert {r.parent_id: r.parent_text for r in parents.collect()} == ids
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
     """Requests in and out of order, over several runs of the stream; the state of a client that stays away goes."""
     rng = random.Random(4)
