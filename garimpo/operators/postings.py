@@ -17,11 +17,15 @@ Results are those of ``sparse.bm25_top``, exactly.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
 from ..staging import checked_broadcast, staged
@@ -29,6 +33,8 @@ from . import sparse
 
 #: Chunks of a slice, about; bounds a block.
 SLICE_ROWS = 4096
+#: Postings that a task gathers before it sends them off.
+HELD = 500_000
 #: Folders of postings.
 PARTS = 64
 #: Slices of a query that are scored for its threshold.
@@ -60,12 +66,50 @@ def _part(token: Column, parts) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(parts)).cast("int")
 
 
+def _grouper(id: pa.DataType):
+    """Chunks' tokens counted, and their postings gathered by slice and token, a bounded number at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], tuple[list, list, list]] = {}
+        size = 0
+
+        def flush():
+            ends, ids, tfs, lengths = [0], [], [], []
+            for found in held.values():
+                for all_, some in zip((ids, tfs, lengths), found, strict=True):
+                    all_ += some
+                ends.append(len(ids))
+            values = pa.StructArray.from_arrays([pa.array(ids, id), pa.array(tfs, pa.int64()), pa.array(lengths, pa.int64())], ["id", "tf", "dl"])
+            keys = list(held)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["slice", "token", "postings"])
+
+        for b in batches:
+            for name, dl, slice_, words in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                counted = Counter(words)
+                size += len(counted)
+                for token, tf in counted.items():
+                    found = held.get((slice_, token))
+                    if found is None:
+                        found = held[slice_, token] = ([], [], [])
+                    found[0].append(name)
+                    found[1].append(tf)
+                    found[2].append(dl)
+                if size >= HELD:
+                    yield flush()
+                    held.clear()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
 def build(chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, slice_rows: int = SLICE_ROWS, parts: int = PARTS) -> Index:
     """Write the index of ``chunks(id, texto)`` below ``path`` (which must be new) and open it.
 
     Chunks without tokens count in the average length and are in no block.  A
-    chunk's tokens are counted where the chunk is; its counts travel twice, to
-    their chunk and to their block.  Ids are distinct.
+    chunk's tokens are counted where the chunk is, and its postings travel once,
+    gathered by block.  Ids are distinct.
     """
     split = chunks.select("id", tokens("texto").alias("t"))
     dl = F.size("t").cast("long")
@@ -77,12 +121,15 @@ def build(chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, slice_
     stats = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words") / F.sum("n"), F.lit(0.0)).alias("average")).select("n", "average", F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(parts).alias("parts"))
     stats.coalesce(1).write.parquet(f"{path}/stats")
     each = split.withColumn("dl", dl).withColumn("class", kind).join(F.broadcast(placed), "class")
-    each = each.select("id", "dl", (F.col("base") + F.pmod(F.xxhash64("id"), "slices")).alias("slice"), F.explode("t").alias("token"))
-    counted = each.groupBy("id", "dl", "slice", "token").agg(F.count("*").alias("tf")).withColumn("part", _part(F.col("token"), parts))
+    each = each.where("dl > 0").select("id", "dl", (F.col("base") + F.pmod(F.xxhash64("id"), "slices")).alias("slice"), "t")
+    kind_of_id = chunks.schema["id"].dataType
+    posting = f"postings array<struct<id: {kind_of_id.simpleString()}, tf: bigint, dl: bigint>>"
+    grouped = each.mapInArrow(_grouper(to_arrow_type(kind_of_id)), f"slice long, token string, {posting}").withColumn("part", _part(F.col("token"), parts))
     average = chunks.sparkSession.read.schema(stats.schema).parquet(f"{path}/stats").select("average").scalar()
-    posting = F.struct("id", "tf", "dl")
-    blocks = counted.repartition("part", "slice").groupBy("part", "slice", "token").agg(F.array_sort(F.collect_list(posting)).alias("postings"), F.max(_gain(F.col("tf"), F.col("dl"), F.lit(k1), F.lit(b), average)).alias("gain"))
-    blocks.select("part", "token", "slice", F.size("postings").cast("long").alias("n"), "gain", "postings").sortWithinPartitions("part", "token", "slice").write.partitionBy("part").parquet(f"{path}/postings")
+    blocks = grouped.repartition("part", "slice").groupBy("part", "slice", "token").agg(F.array_sort(F.flatten(F.collect_list("postings"))).alias("postings"))
+    gain = F.array_max(F.transform("postings", lambda p: _gain(p["tf"], p["dl"], F.lit(k1), F.lit(b), F.col("_average"))))
+    blocks = blocks.withColumn("_average", average).select("part", "token", "slice", F.size("postings").cast("long").alias("n"), gain.alias("gain"), "postings")
+    blocks.sortWithinPartitions("part", "token", "slice").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/postings")
     written = _blocks(chunks.sparkSession, path, chunks.schema["id"].dataType.simpleString())
     written.groupBy("token").agg(F.sum("n").alias("df")).write.parquet(f"{path}/frequency")
     return open_index(chunks.sparkSession, path, chunks.schema["id"].dataType.simpleString())
