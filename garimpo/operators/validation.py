@@ -61,6 +61,16 @@ def catalog_violations(catalog: DataFrame) -> DataFrame:
     return catalog.join(again, "id", "left").select("id", F.array_sort(F.array_compact(F.array(*rules))).alias("violations"))
 
 
+def catalog_schema() -> dict:
+    """The catalog's rules as a JSON Schema, for ``schemas.findings``; a file with the same keywords does as well."""
+    text = lambda least, most: {"type": "string", "minLength": least} | ({"maxLength": most} if most else {})
+    many = lambda items, unique, least, most: {"type": "array", "minItems": items, "uniqueItems": unique, "items": text(least, most) if least else {"type": "string"}}
+    one = lambda strings, enums, arrays: {n: text(*r) for n, r in strings.items()} | {n: {"type": "string", "enum": list(v)} for n, v in enums.items()} | {n: many(*r) for n, r in arrays.items()}
+    inner = one(COMPLIANCE_STRINGS, COMPLIANCE_ENUMS, COMPLIANCE_ARRAYS)
+    outer = {"id": {"type": "string", "pattern": ID_PATTERN}} | one(STRINGS, ENUMS, ARRAYS) | {"conformidade": {"type": "object", "additionalProperties": False, "required": list(inner), "properties": inner}}
+    return {"type": "object", "additionalProperties": False, "required": list(outer), "properties": outer}
+
+
 def unknown_keys(raw: Column) -> Column:
     """Keys of a JSON row that the catalog doesn't know."""
     return F.array_sort(F.array_except(F.json_object_keys(raw), F.array(*[F.lit(f.name) for f in CATALOG])))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, containment, postings, search, structure
+from ..operators import cells, containment, postings, schemas, search, structure
 from ..staging import staged_path
 from ..options import Options
 from . import tables as T
@@ -115,3 +115,36 @@ def q100(spark, d):
     """Chunks and parents numbered through, without gaps, over the whole collection."""
     chunks, _ = structure.materialise(structure.parents(T.elements(spark, d)), Options(child_words=60, child_overlap=8), counters=True)
     return chunks.select("id", "parent_id", "chunk_index", F.md5(F.col("texto").cast("binary")).alias("texto_md5"))
+
+
+#: A smaller schema than the catalog's, for rows made of documents.
+DOCUMENT_SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["id", "nome", "area", "n", "tags", "conformidade"],
+    "properties": {
+        "id": {"type": "string", "pattern": "^[a-z]+-[0-9]+$"}, "nome": {"type": "string", "minLength": 3, "maxLength": 5}, "area": {"type": "string", "enum": ["en", "de"]}, "n": {"type": "integer", "minimum": 300},
+        "tags": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"type": "string", "maxLength": 4}},
+        "conformidade": {"type": "object", "additionalProperties": False, "required": ["modelo"], "properties": {"modelo": {"type": "string", "minLength": 5}}},
+    },
+}
+
+
+@query(
+    "q101_schema_findings",
+    """WITH j AS (SELECT doc_id, json_object('id', CASE WHEN doc_id % 9 = 0 THEN 'SOL' ELSE 'sol-' END || doc_id, 'nome', left(text, CAST(doc_id % 8 AS INTEGER)), 'area', lang,
+  'n', CASE WHEN doc_id % 7 = 0 THEN to_json(CAST(n_chars AS VARCHAR)) ELSE to_json(n_chars) END, 'tags', CASE WHEN doc_id % 11 = 0 THEN to_json([]::VARCHAR[]) WHEN doc_id % 5 = 0 THEN to_json([source, source]) ELSE to_json([source, lang]) END,
+  'conformidade', CASE WHEN doc_id % 13 = 0 THEN json_object('modelo', source, 'outro', 1) ELSE json_object('modelo', source) END) AS j FROM documents),
+f AS (SELECT doc_id, list_filter([
+  CASE WHEN j->>'$.area' IS NULL THEN '<raiz>' END, CASE WHEN j->>'$.area' NOT IN ('en', 'de') THEN 'area' END, CASE WHEN len(list_filter(json_keys(j, '$.conformidade'), lambda k: k <> 'modelo')) > 0 THEN 'conformidade' END, CASE WHEN length(j->>'$.conformidade.modelo') < 5 THEN 'conformidade.modelo' END,
+  CASE WHEN NOT regexp_matches(j->>'$.id', '^[a-z]+-[0-9]+$') THEN 'id' END, CASE WHEN json_type(j, '$.n') NOT IN ('BIGINT', 'UBIGINT') THEN 'n' WHEN CAST(j->>'$.n' AS BIGINT) < 300 THEN 'n' END, CASE WHEN length(j->>'$.nome') NOT BETWEEN 3 AND 5 THEN 'nome' END,
+  CASE WHEN json_array_length(j, '$.tags') = 0 THEN 'tags' END, CASE WHEN len(list_distinct(CAST(j->'$.tags' AS VARCHAR[]))) < json_array_length(j, '$.tags') THEN 'tags' END, CASE WHEN length(j->>'$.tags[0]') > 4 THEN 'tags.0' END, CASE WHEN length(j->>'$.tags[1]') > 4 THEN 'tags.1' END], lambda x: x IS NOT NULL) AS p FROM j)
+SELECT doc_id, CAST(len(p) AS INTEGER) AS n_findings, coalesce(array_to_string(p, '|'), '') AS paths FROM f""",
+)
+def q101(spark, d):
+    """Rows as JSON against a schema: types, nested keys, items; all paths in order, the first one is what is reported."""
+    k = F.col("doc_id")
+    n = F.when(k % 7 == 0, F.to_json(F.array(F.col("n_chars").cast("string")))).otherwise(F.to_json(F.array("n_chars")))
+    tags = F.when(k % 11 == 0, F.array().cast("array<string>")).when(k % 5 == 0, F.array("source", "source")).otherwise(F.array("source", "lang"))
+    rest = F.to_json(F.struct(F.concat(F.when(k % 9 == 0, "SOL").otherwise("sol-"), k.cast("string")).alias("id"), F.substring("text", F.lit(1), (k % 8).cast("int")).alias("nome"), F.col("lang").alias("area"), tags.alias("tags"), F.struct(F.col("source").alias("modelo"), F.when(k % 13 == 0, 1).alias("outro")).alias("conformidade")))
+    text = F.concat(F.lit('{"n":'), F.substring(n, F.lit(2), F.length(n) - 2), F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
+    found = schemas.findings(T.read(spark, d, "documents").select("doc_id", text.alias("j")), DOCUMENT_SCHEMA, "j")
+    return found.select("doc_id", F.size("findings").alias("n_findings"), F.array_join(F.transform("findings", lambda f: f["path"]), "|").alias("paths"))
