@@ -158,27 +158,33 @@ def entailed(logits: Column, entailment: int = 1) -> Column:
 def events(answered: DataFrame, check: bool = False) -> DataFrame:
     """Answers as streams of JSON lines ``(query_id, seq, event)``.
 
-    ``answered(query_id, outcome, diagnostic, sources, prompt, answer, error,
-    faithful, reason, fallback)``; columns that are absent count as null.  First
-    the metadata; then the answer token by token (a canned one for outcomes
-    without a prompt); then, with ``check``, whether it is faithful and the
-    answer to show instead if it isn't; an error ends the stream instead.
+    ``answered(query_id, outcome, diagnostic, sources, results, prompt, answer,
+    tokens, error, faithful, reason, fallback)``; columns that are absent count
+    as null, ``tokens`` then is the answer cut after each blank.  First the
+    metadata with sources, results and prompt; then the answer token by token, or
+    the whole of a canned one (outcomes without evidence or solution, which have
+    no prompt) as one token; then, with ``check``, whether it is faithful and,
+    only if it isn't, the answer to show instead; an error ends the stream.
+    Every row gives its own lines, in order: nothing shuffles.
     """
     have = lambda c, kind: F.col(c).cast(kind) if c in answered.columns else F.lit(None).cast(kind)
-    a = answered.select("query_id", have("outcome", "string").alias("outcome"), F.coalesce(have("diagnostic", "boolean"), F.lit(False)).alias("diagnostic"), F.coalesce(have("sources", "array<string>"), F.array().cast("array<string>")).alias("sources"), *[have(c, "string").alias(c) for c in ("prompt", "answer", "error", "reason", "fallback")], have("faithful", "boolean").alias("faithful"))
-    canned = F.when(F.col("outcome") == "no_solution", NO_SOLUTION).when(F.col("outcome").isin("no_evidence", "no_evidence_with_sources"), NO_EVIDENCE)
-    a = a.withColumn("canned", canned).withColumn("tokens", F.filter(F.split(F.coalesce("canned", "answer", F.lit("")), "(?<= )"), lambda t: t != ""))
+    none = F.array().cast("array<string>")
+    results = F.col("results") if "results" in answered.columns else none
+    made = F.filter(F.split(F.coalesce(have("answer", "string"), F.lit("")), "(?<= )"), lambda t: t != "")
+    a = answered.select("query_id", have("outcome", "string").alias("outcome"), F.coalesce(have("diagnostic", "boolean"), F.lit(False)).alias("diagnostic"), F.coalesce(have("sources", "array<string>"), none).alias("sources"), results.alias("results"), F.coalesce(have("tokens", "array<string>"), made).alias("tokens"), *[have(c, "string").alias(c) for c in ("prompt", "error", "reason", "fallback")], have("faithful", "boolean").alias("faithful"))
+    unsolved = F.coalesce(F.col("outcome") == "no_solution", F.lit(False))
+    canned = F.when(unsolved, NO_SOLUTION).when(F.col("outcome").isin("no_evidence", "no_evidence_with_sources"), NO_EVIDENCE)
+    a = a.withColumn("canned", canned)
     line = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
     kind = lambda t: F.lit(t).alias("type")
-    meta = a.select("query_id", F.lit(0).alias("seq"), line(kind("metadata"), F.col("sources").alias("fontes"), F.when(F.col("canned").isNull(), F.col("prompt")).alias("prompt"), F.col("diagnostic").alias("diagnostic_mode")).alias("event"))
-    token = a.select("query_id", F.posexplode("tokens").alias("i", "t")).select("query_id", (F.col("i") + 1).alias("seq"), line(kind("token"), F.col("t").alias("token")).alias("event"))
-    last = (F.size("tokens") + 1).alias("seq")
-    out = meta.unionByName(token)
-    generated = a.where("canned is null")
+    meta = line(kind("metadata"), F.col("sources").alias("fontes"), F.col("results").alias("resultados"), F.when(F.col("canned").isNull(), F.col("prompt")).alias("prompt"), (F.col("diagnostic") | unsolved).alias("diagnostic_mode"))
+    said = F.transform(F.when(F.col("canned").isNotNull(), F.array("canned")).otherwise(F.col("tokens")), lambda t: line(kind("token"), t.alias("token")))
+    judged = line(kind("faithfulness"), F.lit(True).alias("faithfulness_checked"), "faithful", "reason")
+    replaced = line(kind("faithfulness"), F.lit(True).alias("faithfulness_checked"), "faithful", "reason", F.col("fallback").alias("fallback_response"))
+    end = F.when(F.col("canned").isNotNull(), none).when(F.col("error").isNotNull(), F.array(line(kind("error"), F.col("error").alias("message"))))
     if check:
-        shown = F.when(~F.col("faithful"), F.col("fallback")).alias("fallback_response")
-        out = out.unionByName(generated.where("error is null and faithful is not null").select("query_id", last, line(kind("faithfulness"), F.lit(True).alias("faithfulness_checked"), "faithful", "reason", shown).alias("event")))
-    return out.unionByName(generated.where("error is not null").select("query_id", last, line(kind("error"), F.col("error").alias("message")).alias("event")))
+        end = end.when(F.col("faithful"), F.array(judged)).when(~F.col("faithful"), F.array(replaced))
+    return a.select("query_id", F.posexplode(F.concat(F.array(meta), said, end.otherwise(none))).alias("seq", "event"))
 
 
 # How failures are told to clients.

@@ -413,19 +413,21 @@ OUTCOMES = ("generated", "no_solution", "no_evidence", "generated", "no_evidence
 @query(
     "q89_events",
     f"""WITH a AS (SELECT s_suppkey AS k, {_pick_sql(OUTCOMES, "s_suppkey")} AS o, s_suppkey % 2 = 0 AS f, s_suppkey % 15 = 0 AS err, s_name AS n FROM supplier),
-c AS (SELECT *, CASE WHEN o = 'no_solution' THEN '{answer.NO_SOLUTION}' WHEN starts_with(o, 'no_evidence') THEN '{answer.NO_EVIDENCE}' END AS canned FROM a), t AS (SELECT *, string_split(coalesce(canned, 'Uma resposta de ' || n), ' ') AS w FROM c),
-e AS (SELECT k, 0 AS seq, 'metadata' AS type, CASE WHEN canned IS NULL THEN 'P ' || n ELSE '' END AS text FROM t UNION ALL SELECT k, i, 'token', w[i] || CASE WHEN i < len(w) THEN ' ' ELSE '' END FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM t)
- UNION ALL SELECT k, len(w) + 1, 'faithfulness', CASE WHEN f THEN '' ELSE 'F' END FROM t WHERE canned IS NULL AND NOT err UNION ALL SELECT k, len(w) + 1, 'error', 'caiu' FROM t WHERE canned IS NULL AND err)
-SELECT k AS query_id, CAST(seq AS INTEGER) AS seq, type, text FROM e""",
+c AS (SELECT *, CASE WHEN o = 'no_solution' THEN '{answer.NO_SOLUTION}' WHEN starts_with(o, 'no_evidence') THEN '{answer.NO_EVIDENCE}' END AS canned FROM a), t AS (SELECT *, CASE WHEN canned IS NULL THEN string_split('Uma resposta de ' || n, ' ') ELSE [canned] END AS w FROM c),
+e AS (SELECT k, 0 AS seq, 'metadata' AS type, CASE WHEN canned IS NULL THEN 'P ' || n ELSE '' END AS text, k % 3 AS n_results, coalesce(o = 'no_solution', FALSE) AS diagnostic FROM t UNION ALL SELECT k, i, 'token', w[i] || CASE WHEN i < len(w) THEN ' ' ELSE '' END, NULL, NULL FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM t)
+ UNION ALL SELECT k, len(w) + 1, 'faithfulness', CASE WHEN f THEN '' ELSE 'F' END, NULL, NULL FROM t WHERE canned IS NULL AND NOT err UNION ALL SELECT k, len(w) + 1, 'error', 'caiu', NULL, NULL FROM t WHERE canned IS NULL AND err)
+SELECT k AS query_id, CAST(seq AS INTEGER) AS seq, type, text, CAST(n_results AS INTEGER) AS n_results, diagnostic FROM e""",
 )
 def q89(spark, d):
     k = F.col("s_suppkey")
+    results = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (k % 3).cast("int")), lambda i: F.struct(i.alias("id"), F.col("s_name").alias("documento"), F.lit(0.5).alias("score")))
     a = T.read(spark, d, "supplier").select(
-        k.alias("query_id"), _pick(OUTCOMES, k).alias("outcome"), F.concat(F.lit("P "), "s_name").alias("prompt"), F.concat(F.lit("Uma resposta de "), "s_name").alias("answer"), (k % 2 == 0).alias("faithful"), F.lit("F").alias("fallback"), F.when(k % 15 == 0, "caiu").alias("error")
+        k.alias("query_id"), _pick(OUTCOMES, k).alias("outcome"), results.alias("results"), F.concat(F.lit("P "), "s_name").alias("prompt"), F.concat(F.lit("Uma resposta de "), "s_name").alias("answer"), (k % 2 == 0).alias("faithful"), F.lit("F").alias("fallback"), F.when(k % 15 == 0, "caiu").alias("error")
     )
     e = answer.events(a, check=True)
-    v = F.from_json("event", "type string, prompt string, token string, fallback_response string, message string")
-    return e.select("query_id", "seq", v.alias("v")).select("query_id", "seq", "v.type", F.coalesce("v.prompt", "v.token", "v.fallback_response", "v.message", F.lit("")).alias("text"))
+    v = F.from_json("event", "type string, prompt string, token string, fallback_response string, message string, resultados array<struct<id: int>>, diagnostic_mode boolean")
+    shown = e.select("query_id", "seq", v.alias("v"))
+    return shown.select("query_id", "seq", "v.type", F.coalesce("v.prompt", "v.token", "v.fallback_response", "v.message", F.lit("")).alias("text"), F.when(F.col("v.type") == "metadata", F.size("v.resultados")).alias("n_results"), F.col("v.diagnostic_mode").alias("diagnostic"))
 
 
 # ---------------------------------------------------------------- evaluation and requests

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import merkle
+
 
 def chunk_tables(chunks: DataFrame, parents: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
@@ -19,13 +21,23 @@ def chunk_tables(chunks: DataFrame, parents: DataFrame, path: str) -> None:
 
 
 def index_tables(chunks: DataFrame, vectors: DataFrame, parents: DataFrame, path: str, model: str, dims: int) -> DataFrame:
-    """Chunks, vectors and parents as tables, and a one-row manifest with counts and a content checksum."""
+    """Chunks, vectors and parents as tables, and a one-row manifest with counts and checksums.
+
+    Each checksum is the root of a tree of SHA-256 digests over a table as it was
+    written (see ``operators.merkle``); the trees lie beside it, so that a
+    damaged copy can be traced to its rows.
+    """
     chunk_tables(chunks, parents, path)
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
     spark = chunks.sparkSession
+    roots = {}
+    for name, key in (("chunks", "id"), ("vectors", "id"), ("parents", "parent_id")):
+        nodes = merkle.tree(spark.read.parquet(f"{path}/{name}"), key)
+        nodes.write.mode("overwrite").parquet(f"{path}/trees/{name}")
+        roots[name] = merkle.root(spark.read.parquet(f"{path}/trees/{name}"))
     held = spark.read.parquet(f"{path}/chunks")
-    digest = F.sha2(F.coalesce(F.sum(F.xxhash64("id", "texto").cast("decimal(38,0)")), F.lit(0)).cast("string").cast("binary"), 256)
-    manifest = held.agg(F.count("*").alias("total_chunks"), digest.alias("checksum")).select("*", F.lit(model).alias("model_name"), F.lit(dims).alias("embedding_dim"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at_utc"))
+    names = {"chunks": "checksum", "vectors": "vectors_checksum", "parents": "parents_checksum"}
+    manifest = held.agg(F.count("*").alias("total_chunks")).select("*", *[F.lit(roots[t]).alias(c) for t, c in names.items()], F.lit(model).alias("model_name"), F.lit(dims).alias("embedding_dim"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at_utc"))
     manifest.write.mode("overwrite").json(f"{path}/manifest")
     return spark.read.json(f"{path}/manifest")
 
@@ -51,6 +63,22 @@ def json_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
 
 
+def ordered(questions: DataFrame, key: str = "query_id") -> DataFrame:
+    """Questions dealt out by ranges of their key and sorted within them: what is made of them row by row comes in order."""
+    return questions.repartitionByRange(F.asc_nulls_first(key)).sortWithinPartitions(F.asc_nulls_first(key))
+
+
+def deliver(events: DataFrame, column: str = "event"):
+    """The lines of ``events``, one after the other, partition by partition.
+
+    A partition is computed when the one before it is being read: the first
+    line leaves before the last answer is made, and the driver holds two
+    partitions at most.  Made of ``ordered`` questions, the lines are in order.
+    """
+    for row in events.select(column).toLocalIterator(prefetchPartitions=True):
+        yield row[0]
+
+
 def quarantined_name() -> str:
     """A random name for an upload, whatever it was called."""
     return f"{secrets.token_hex(16)}.pdf"

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from garimpo.functions import text as X
-from garimpo.operators import answer, chunker, classify, dense, evaluation, library, search, sparse, structure, validation
+from garimpo.operators import answer, chunker, classify, dense, evaluation, library, merkle, search, sparse, structure, validation
 from garimpo.options import Options
 from garimpo.sources import readers, writers
 from garimpo.streaming import conversations, limits
@@ -296,7 +296,7 @@ def test_events(spark):
         (4, "generated", "P", "inicio", "caiu", None, []), (5, "generated", "P", "outra", None, False, []),
     ]
     a = spark.createDataFrame(rows, "query_id long, outcome string, prompt string, answer string, error string, faithful boolean, sources array<string>")
-    a = a.selectExpr("*", "'melhor assim' as fallback", "'nao confere' as reason", "query_id = 2 as diagnostic")
+    a = a.selectExpr("*", "'melhor assim' as fallback", "'nao confere' as reason", "false as diagnostic", "array(named_struct('id', query_id, 'documento', cast(null as string))) as results")
     for check in (False, True):
         got = {}
         for r in answer.events(a, check).orderBy("query_id", "seq").collect():
@@ -304,12 +304,13 @@ def test_events(spark):
         assert all(e[0]["type"] == "metadata" and [x["type"] for x in e].count("metadata") == 1 for e in got.values())
         text = {q: "".join(x["token"] for x in e if x["type"] == "token") for q, e in got.items()}
         assert text == {1: "uma resposta", 2: answer.NO_SOLUTION, 3: answer.NO_EVIDENCE, 4: "inicio", 5: "outra"}
-        assert got[1][0] == {"type": "metadata", "fontes": ["a (p. 1)"], "prompt": "P", "diagnostic_mode": False} and got[2][0]["prompt"] is None and got[2][0]["diagnostic_mode"] and got[3][0]["fontes"] == ["b (p. 2)"]
+        assert got[1][0] == {"type": "metadata", "fontes": ["a (p. 1)"], "resultados": [{"id": 1, "documento": None}], "prompt": "P", "diagnostic_mode": False} and got[2][0]["prompt"] is None and got[2][0]["diagnostic_mode"] and got[3][0]["fontes"] == ["b (p. 2)"]
         assert got[4][-1] == {"type": "error", "message": "caiu"}
+        assert [len(got[q]) for q in (2, 3)] == [2, 2]  # a canned answer is one token
         last = got[1][-1], got[5][-1]
         assert (last[0]["type"] == "faithfulness") == check
         if check:
-            assert last[0]["faithful"] and last[0]["fallback_response"] is None and last[1] == {"type": "faithfulness", "faithfulness_checked": True, "faithful": False, "reason": "nao confere", "fallback_response": "melhor assim"}
+            assert last[0] == {"type": "faithfulness", "faithfulness_checked": True, "faithful": True, "reason": "nao confere"} and last[1] == {"type": "faithfulness", "faithfulness_checked": True, "faithful": False, "reason": "nao confere", "fallback_response": "melhor assim"}
             assert [x["type"] for x in got[2]].count("faithfulness") == 0
 
 
@@ -429,6 +430,52 @@ def test_counted_ids(spark):
     assert {r.parent_id: r.parent_text for r in parents.collect()} == ids
 
 
+def test_events_are_delivered_in_order_before_all_are_made(spark, tmp_path):
+    """The first line leaves while later partitions aren't computed; all lines come by query and sequence."""
+    seen = tmp_path / "made"
+    seen.mkdir()
+
+    def generate(batches):  # a model that leaves a mark for each answer
+        for b in batches:
+            for q in b["query_id"]:
+                (seen / str(q)).touch()
+            yield b.assign(answer=["uma resposta longa"] * len(b))
+
+    questions = writers.ordered(spark.range(40).select(F.pmod(F.col("id") * 7, F.lit(40)).alias("query_id"), F.lit("P").alias("prompt")).repartition(3))
+    questions = spark.createDataFrame(questions.collect(), questions.schema).repartitionByRange(8, "query_id").sortWithinPartitions("query_id")
+    answered = questions.mapInPandas(generate, "query_id long, prompt string, answer string").withColumn("outcome", F.lit("generated"))
+    events = answer.events(answered)
+    lines = writers.deliver(events.withColumn("event", F.concat_ws(" ", "query_id", "seq", "event")))
+    first = next(lines)
+    assert first.startswith("0 0 ") and len(list(seen.iterdir())) < 40
+    rest = [tuple(map(int, x.split(" ")[:2])) for x in (first, *lines)]
+    assert rest == [(q, i) for q in range(40) for i in range(4)] and len(list(seen.iterdir())) == 40
+    assert "Exchange" not in events._jdf.queryExecution().executedPlan().toString().split("mapInPandas")[0].split("MapInPandas")[0]
+
+
+def test_digest_trees_name_what_differs(spark):
+    rows = spark.range(6000).select("id", F.concat(F.lit("t"), "id").alias("texto"), F.when(F.col("id") % 2 == 0, 1.5).alias("x")).repartition(5)
+    whole = merkle.tree(rows, depth=4)
+    same = merkle.tree(rows.repartition(2).select("x", "texto", "id"), depth=4)
+    assert merkle.root(whole) == merkle.root(same) and merkle.differing(whole, same).isEmpty()
+    assert whole.where("level = 0").first().rows == 6000 and whole.where("level = 4").count() == 16
+    for name, other in {
+        "changed": rows.withColumn("x", F.when(F.col("id") == 77, 9.0).otherwise(F.col("x"))), "lost": rows.where("id <> 77"), "moved": rows.withColumn("id", F.when(F.col("id") == 77, 7777).otherwise(F.col("id"))),
+        "null": rows.withColumn("texto", F.when(F.col("id") != 77, F.col("texto"))), "twice": rows.unionByName(rows.where("id = 77")),
+    }.items():
+        changed = merkle.tree(other, depth=4)
+        leaves = merkle.differing(whole, changed)
+        assert merkle.root(changed) != merkle.root(whole), name
+        assert leaves.count() == (2 if name == "moved" else 1), name
+        assert 77 in {r.id for r in merkle.rows_of(rows, leaves).collect()} and merkle.rows_of(rows, leaves).count() < 1200, name
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    few = spark.createDataFrame([(2, "b"), (1, "a")], "id long, t string")
+    assert merkle.root(merkle.tree(few)) == sha(sha('{"id":1,"t":"a"}') + sha('{"id":2,"t":"b"}'))
+    assert merkle.root(merkle.tree(few.limit(0))) == hashlib.sha256(b"").hexdigest()
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
     """Requests in and out of order, over several runs of the stream; the state of a client that stays away goes."""
     rng = random.Random(4)
