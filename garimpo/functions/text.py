@@ -47,6 +47,11 @@ def squeezed(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(text), SPACE, " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end; null stays null."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def words(text: Column | str) -> Column:
     return F.filter(F.split(squeezed(F.coalesce(col(text), F.lit(""))), " "), lambda w: w != "")
 

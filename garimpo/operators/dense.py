@@ -92,3 +92,57 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 40, allowed: Data
         parts.append(unit.where(F.size("v") == dims).mapInArrow(_nearest(held, k), schema))
     found = reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
     return top(found, "dense_score", k, "dense_rank")
+
+
+def _nearest_planned(held, k: int):
+    """The k best of each query among the batch's rows that its plan allows; rows come with their area and subjects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, plans = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            areas, subjects = b.column(2).to_pylist(), b.column(3).to_pylist()
+            order_of = np.argsort(np.array(b.column(0).to_pylist(), object), kind="stable")  # ties go by id
+            rank = np.empty(len(order_of), np.int64)
+            rank[order_of] = np.arange(len(order_of))
+            rows, which, scores = [], [], []
+            for (area, subject), asked in plans.items():
+                mine = np.flatnonzero([(area is None or a == area) and (subject is None or subject in (s or ())) for a, s in zip(areas, subjects, strict=True)])
+                dots = v[mine] @ q[asked].T
+                for j, query in enumerate(asked.tolist()):
+                    s = np.round(dots[:, j], 9)
+                    near = np.arange(len(s))
+                    if len(s) > k:
+                        near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                        near = near[np.lexsort((rank[mine[near]], -s[near]))[:k]]
+                    rows.append(mine[near])
+                    which.append(np.full(len(near), query))
+                    scores.append(dots[near, j])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(which))), b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(scores))], ["query_id", "id", "dense_score"])
+
+    return run
+
+
+def planned_top(vectors: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 40, block: int = BLOCK) -> DataFrame:
+    """The k nearest of each of ``queries(query_id, vector, filtro_area, filtro_assunto)`` among the chunks that its plan allows.
+
+    ``chunks(id, area, assuntos)`` meet their vectors once; queries with one
+    plan are compared together, in one pass over the vectors, with no others
+    than the rows that the plan allows.
+    """
+    norm = lambda c: F.lower(F.trim(c))
+    about = chunks.select("id", norm(F.col("area")).alias("_a"), F.transform("assuntos", norm).alias("_s"))
+    unit, context, parts = _units(vectors, "id").join(about, "id"), vectors.sparkSession.sparkContext, []
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(queries, 'query_id')}, id {kind(vectors, 'id')}, dense_score double"
+    for dims, some in _blocks(queries.select("query_id", "vector"), block):
+        table = some.join(queries.select("query_id", "filtro_area", "filtro_assunto"), "query_id").toArrow().combine_chunks()
+        plans: dict[tuple, list[int]] = {}
+        for i, plan in enumerate(zip(table.column("filtro_area").to_pylist(), table.column("filtro_assunto").to_pylist(), strict=True)):
+            plans.setdefault(plan, []).append(i)
+        held = context.broadcast((table.column("query_id").combine_chunks(), table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, dims), {p: np.array(i) for p, i in plans.items()}))
+        parts.append(unit.where(F.size("v") == dims).select("id", "v", "_a", "_s").mapInArrow(_nearest_planned(held, k), schema))
+    found = reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
+    return top(found, "dense_score", k, "dense_rank")

@@ -108,7 +108,7 @@ def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, options: O
         plans = plans_of(live, areas, subjects)
         near = vectors.join(allowed, "id", "left_semi") if allowed is not None else vectors
         by_term = restricted(by_term, chunks, plans)
-        d = sparse.top(restricted(dense.scores(near, asked), chunks, plans), "dense_score", n_dense, "dense_rank")
+        d = dense.planned_top(near, chunks, asked.join(plans, "query_id"), n_dense)
     else:
         d = dense.dense_top(vectors, asked, n_dense, allowed)
     s = sparse.top(by_term, "sparse_score", n_sparse, "sparse_rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, containment, postings, schemas, search, structure
+from ..operators import cells, containment, payload, postings, schemas, search, structure
 from ..staging import staged_path
 from ..options import Options
 from . import tables as T
@@ -148,3 +148,51 @@ def q101(spark, d):
     text = F.concat(F.lit('{"n":'), F.substring(n, F.lit(2), F.length(n) - 2), F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
     found = schemas.findings(T.read(spark, d, "documents").select("doc_id", text.alias("j")), DOCUMENT_SCHEMA, "j")
     return found.select("doc_id", F.size("findings").alias("n_findings"), F.array_join(F.transform("findings", lambda f: f["path"]), "|").alias("paths"))
+
+
+PAYLOAD_SQL = """ln AS (SELECT CAST(doc_id AS VARCHAR) AS documento, unnest(string_split(text, chr(10))) AS texto, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+el AS (SELECT documento, CAST(pos // 20 + 1 AS INTEGER) AS page, pos, trim(CASE WHEN pos % 20 = 3 AND CAST(documento AS BIGINT) % 4 > 0 THEN 'Resumo:' ELSE texto END, ' ') AS texto,
+  CASE WHEN pos % 20 = 3 AND CAST(documento AS BIGINT) % 4 > 0 THEN 'section' WHEN length(texto) < 20 AND CAST(documento AS BIGINT) % 3 > 0 THEN 'section' WHEN pos % 7 = 6 THEN 'figure' WHEN contains(texto, ' | ') THEN 'table' ELSE 'text' END AS tipo FROM ln),
+ok AS (SELECT * FROM el WHERE texto <> '')"""
+
+
+def _payload(spark, d):
+    """Documents as structured payloads: pages of twenty elements; of most documents the fourth of a page opens an abstract."""
+    each = T.read(spark, d, "documents").select(F.col("doc_id").alias("k"), F.posexplode(F.split("text", "\n")).alias("pos", "t"))
+    mark = (F.col("pos") % 20 == 3) & (F.col("k") % 4 > 0)
+    kind = F.when(mark | ((F.length("t") < 20) & (F.col("k") % 3 > 0)), "section").when(F.col("pos") % 7 == 6, "figure").when(F.contains("t", F.lit(" | ")), "table").otherwise("text")
+    element = F.struct("pos", kind.alias("tipo"), F.when(mark, "Resumo:").otherwise(F.col("t")).alias("texto"))
+    page = each.groupBy("k", F.floor(F.col("pos") / 20).cast("int").alias("page")).agg(F.array_sort(F.collect_list(element)).alias("elementos"))
+    whole = F.struct("page", (F.col("page") + 1).alias("pagina"), F.lit("").alias("texto"), F.transform("elementos", lambda e: F.struct(e["tipo"].alias("tipo"), e["texto"].alias("texto"))).alias("elementos"))
+    return page.groupBy(F.col("k").cast("string").alias("documento")).agg(F.array_sort(F.collect_list(whole)).alias("paginas"))
+
+
+@query(
+    "q102_payload_abstracts",
+    f"""WITH {PAYLOAD_SQL}, o AS (SELECT *, tipo = 'section' AND lower(rtrim(texto, ':')) IN ('resumo', 'abstract', 'summary') AS opens FROM ok WHERE page <= 5),
+a AS (SELECT *, max(CAST(opens AS INTEGER)) OVER w AS open FROM o WINDOW w AS (PARTITION BY documento, page ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, max(CAST(tipo = 'section' AS INTEGER)) OVER w AS ended FROM a WHERE open = 1 AND NOT opens WINDOW w AS (PARTITION BY documento, page ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, coalesce(sum(length(texto) + 1) OVER (PARTITION BY documento, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS chars FROM b WHERE ended = 0 AND tipo IN ('text', 'ocr_text', 'table')),
+p AS (SELECT documento, page, left(string_agg(texto, ' ' ORDER BY pos), 2000) AS t FROM c WHERE chars <= 1500 GROUP BY ALL)
+SELECT documento, md5(arg_min(t, page)) AS resumo_md5 FROM p GROUP BY 1""",
+)
+def q102(spark, d):
+    """Abstracts from the elements of structured documents (those documents that have one there)."""
+    pages = payload.pages_of(_payload(spark, d))
+    found = payload.abstracts(pages, payload.lines(pages).limit(0))
+    return found.select("documento", F.md5(F.col("resumo").cast("binary")).alias("resumo_md5"))
+
+
+@query("q103_payload_sections", f"WITH {PAYLOAD_SQL}, f AS (SELECT documento, lower(texto) AS k, min({{'page': page, 'pos': pos, 't': texto}}) AS f FROM ok WHERE tipo = 'section' GROUP BY ALL) SELECT documento, string_agg(f.t, '|' ORDER BY f.page, f.pos) AS secoes FROM f GROUP BY 1")
+def q103(spark, d):
+    """Section elements of structured documents, once each, in order (those documents that have some)."""
+    pages = payload.pages_of(_payload(spark, d))
+    return payload.sections(pages, payload.lines(pages).limit(0)).select("documento", F.array_join("secoes", "|").alias("secoes"))
+
+
+@query("q104_payload_metadata")
+def q104(spark, d):
+    """All metadata of structured documents, elements first, lines where those say nothing."""
+    m = payload.metadata(_payload(spark, d))
+    flat = lambda c: F.array_join(c, "|").alias(c)
+    return m.select("id", "documento_original", "titulo", flat("autores"), "ano", F.md5(F.col("resumo").cast("binary")).alias("resumo_md5"), flat("secoes_detectadas"), "tipo", "area", flat("assuntos"), "paginas_total")

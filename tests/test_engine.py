@@ -476,6 +476,20 @@ def test_digest_trees_name_what_differs(spark):
     assert merkle.root(merkle.tree(few.limit(0))) == hashlib.sha256(b"").hexdigest()
 
 
+def test_planned_neighbours_equal_filtered_pairs(spark):
+    """Each query's plan restricts what it is compared with; the same rows as all pairs, filtered."""
+    rng = random.Random(6)
+    areas, subjects = ["ia", " IA", "saude", None], ["rag", " Rag ", "sql"]
+    c = spark.createDataFrame([(i, rng.choice(areas), rng.sample(subjects, rng.randrange(3)) if i % 9 else None) for i in range(200)], "id long, area string, assuntos array<string>")
+    v = spark.createDataFrame([(i, [rng.choice((-1.0, 1.0)) for _ in range(4)] if i % 17 else None) for i in range(220)], "id long, vector array<double>").repartition(3)
+    plans = spark.createDataFrame([(i, rng.choice(("ia", "saude", None)), rng.choice(("rag", "nada", None))) for i in range(12)], "query_id long, filtro_area string, filtro_assunto string")
+    q = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(12)], "query_id long, vector array<double>")
+    got = dense.planned_top(v, c, q.join(plans, "query_id"), 7, block=5)
+    want = sparse.top(search.restricted(dense.scores(v, q), c, plans), "dense_score", 7, "dense_rank")
+    rows = lambda df: sorted((r.query_id, r.dense_rank, r.id, round(r.dense_score, 8)) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 20
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
     """Requests in and out of order, over several runs of the stream; the state of a client that stays away goes."""
     rng = random.Random(4)
