@@ -218,19 +218,29 @@ def hot_minimisers(docs: DataFrame, k: int, m: int, shares: int) -> np.ndarray:
     return np.sort(np.array([r.gram for r in often], np.uint64))
 
 
+#: Windows of a group that are sorted together as strings; of larger groups windows are sorted by hash,
+#: so many at a time, and only those with equal hashes are compared as strings.
+FEW_WINDOWS, MOST_WINDOWS = 512, 1_000_000
+
+
 def repeated_windows(entries: list[tuple[bytes, int, int]], k: int) -> list[list[tuple[int, int]]]:
     """For super-k-mers of one minimiser, as (string, windows, repeated): which of each one's windows occur again.
 
     Windows are compared as strings; sorting brings equal ones together.
     Returns runs (first, end) of repeated windows, relative to the super-k-mer.
     """
+    total = sum(n for _, n, _ in entries)
+    hit: list[list[int]] = [[] for _ in entries]
+    if total > FEW_WINDOWS:
+        for slice_ in range(slices := -(-total // MOST_WINDOWS)):
+            _hashed_windows(entries, k, slice_, slices, hit)
+        return [_runs(sorted(h)) for h in hit]
     windows = []
     for i, (string, n, again) in enumerate(entries):
         words = string.split()
         for j in range(n):
             windows.append((b" ".join(words[j : j + k]), i, j, again))
     windows.sort()
-    hit: list[list[int]] = [[] for _ in entries]
     at = 0
     while at < len(windows):
         end = at + 1
@@ -243,6 +253,51 @@ def repeated_windows(entries: list[tuple[bytes, int, int]], k: int) -> list[list
     return [_runs(sorted(h)) for h in hit]
 
 
+#: Bytes of strings that are hashed together.
+HASHED_BYTES = 4_000_000
+
+
+def _hashed_windows(entries: list[tuple[bytes, int, int]], k: int, slice_: int, slices: int, hit: list[list[int]]) -> None:
+    """Add to ``hit`` the repeated windows whose hash falls into a slice; a window takes 24 bytes, never a copy."""
+    parts: list[list[np.ndarray]] = [[], [], [], [], []]
+    first = 0
+    while first < len(entries):
+        end, size = first, 0
+        while end < len(entries) and (end == first or size < HASHED_BYTES):
+            size += len(entries[end][0]) + 1
+            end += 1
+        some = entries[first:end]
+        hashes, starts, ends = common.hash_words(b" ".join(e[0] for e in some))
+        windows = np.array([e[1] for e in some], np.int64)
+        words = windows + k - 1
+        word, byte = np.cumsum(words) - words, np.cumsum([len(e[0]) + 1 for e in some]) - [len(e[0]) + 1 for e in some]
+        who = np.repeat(np.arange(len(some)), windows)
+        place = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = word[who] + place
+        h = common.rolling(hashes, k)[at]
+        mine = h % np.uint64(slices) == slice_
+        who, place, at = who[mine], place[mine], at[mine]
+        for out, x in zip(parts, (h[mine], (who + first).astype(np.uint32), place.astype(np.uint32), (starts[at] - byte[who]).astype(np.uint32), (ends[at + k - 1] - byte[who]).astype(np.uint32)), strict=True):
+            out.append(x)
+        first = end
+    h, who, place, lo, hi = (np.concatenate(p) for p in parts)
+    again = np.array([bool(e[2]) for e in entries])
+    order = np.argsort(h, kind="stable")
+    new = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])) if len(order) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(new, len(order)))
+    alone = order[new[sizes == 1]]
+    for x in alone[again[who[alone]]].tolist():
+        hit[who[x]].append(int(place[x]))
+    for a, n in zip(new[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        same: dict[bytes, list[int]] = {}
+        for x in order[a : a + n].tolist():
+            same.setdefault(entries[who[x]][0][lo[x] : hi[x]], []).append(x)
+        for members in same.values():
+            if len(members) > 1 or again[who[members[0]]]:
+                for x in members:
+                    hit[who[x]].append(int(place[x]))
+
+
 def _runs(sorted_ints: list[int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for x in sorted_ints:
@@ -327,12 +382,16 @@ def _counter(k: int):
     return common.tidied(run)
 
 
+#: Minimisers of less than one in so many super-k-mers are never frequent: bounds the broadcast list to 45 MB.
+SHARES = 1 << 22
+
+
 def repeated_spans(keyed: DataFrame, k: int = K, m: int = M, held: int = HELD_BYTES) -> DataFrame:
     """Rows ``(name, spans)``: runs of repeated windows of each of ``keyed(name, text)`` that has any."""
     spark = keyed.sparkSession
     m = min(m, k)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * keyed.rdd.getNumPartitions())
-    hot = spark.sparkContext.broadcast(hot_minimisers(keyed, k, m, min(16 * parts, 1 << 18)))
+    hot = spark.sparkContext.broadcast(hot_minimisers(keyed, k, m, min(16 * parts, SHARES)))
     sent = keyed.select("name", "text").mapInArrow(_sender(k, m, parts, held, hot), SENT)
     found = sent.repartitionById(parts, F.col("bucket")).mapInArrow(_counter(k), FOUND)
     return found.groupBy("name").agg(F.collect_list("spans").alias("spans"))  # one for each bucket, none longer than the row's windows

@@ -81,6 +81,28 @@ def test_texts_with_one_checksum_under_one_id(spark):
         assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str) == brute(rows, 5)
 
 
+@pytest.mark.parametrize("slices", [1, 7])
+def test_windows_by_hash_equal_windows_as_strings(monkeypatch, slices):
+    """Large groups: sorted by hash, some at a time, with and without clashes of hashes; as the strings themselves say."""
+    rng = random.Random(slices)
+    words = [b"a", b"b", b"cc", "é".encode()]
+    entries = []
+    for _ in range(300):
+        n = rng.randrange(1, 9)
+        entries.append((b" ".join(rng.choice(words) for _ in range(n + 4)), n, int(rng.random() < 0.1)))
+    want = superkmer.repeated_windows(entries[:20], 5), None
+    monkeypatch.setattr(superkmer, "FEW_WINDOWS", 10**9)
+    plain = superkmer.repeated_windows(entries, 5)
+    assert superkmer.repeated_windows(entries[:20], 5) == want[0]
+    monkeypatch.setattr(superkmer, "FEW_WINDOWS", 0)
+    monkeypatch.setattr(superkmer, "HASHED_BYTES", 100)
+    monkeypatch.setattr(superkmer, "MOST_WINDOWS", -(-sum(e[1] for e in entries) // slices))
+    assert superkmer.repeated_windows(entries, 5) == plain
+    real = common.rolling
+    monkeypatch.setattr(superkmer.common, "rolling", lambda h, n: real(h, n) % np.uint64(3))  # nearly all hashes clash
+    assert superkmer.repeated_windows(entries, 5) == plain
+
+
 def test_spans_unite():
     rng = random.Random(2)
     for _ in range(200):
