@@ -217,6 +217,18 @@ def _compare(basis, near, threshold: float):
     return common.tidied(run)
 
 
+def _reached(near):
+    """(cell, near): the cells that each cell reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cell in b.column(0).to_pylist():
+                found = np.flatnonzero(near.value[cell]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), cell, np.int32)), pa.array(found)], ["cell", "near"])
+
+    return common.tidied(run)
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``vectors(vec_id, embedding)`` -> ``(vec_id, n_links, component_id, kept)``, a row for each row.
 
@@ -279,22 +291,22 @@ def _links(classes: DataFrame, dims: int, n: int, threshold: float, tile: int, f
         radius[cell] = r
     meets = reachable(base.centres, radius, threshold)
     dealt = tiles_of({c: k for c, (k, _) in sizes.items()}, tile)
-    held: dict[int, list[int]] = {}  # tile -> its cells
-    for cell, first, parts, _ in dealt:
-        for t in range(first, first + parts):
-            held.setdefault(t, []).append(cell)
-    routes = [(cell, first + p, [t for t, cells in held.items() if t == first + p or meets[cell, cells].any()]) for cell, first, parts, _ in dealt for p in range(parts)]
-    small = sum(len(r[2]) for r in routes) <= ROUTES
-    table = spark.createDataFrame(routes, "cell int, tile int, others array<int>")
-    starts = spark.createDataFrame([(c, f, p) for c, f, p, _ in dealt], "cell int, first int, parts int")
+    near = spark.sparkContext.broadcast(meets)
+    starts = spark.createDataFrame([(c, f, p) for c, f, p, _ in dealt], "cell int, first int, parts int")  # a row a cell
+    # Which tiles a cell's part travels to, from the cells that it reaches: made by tasks, as many rows as it takes.
+    places = starts.select("cell", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("tile"))
+    reach = starts.select("cell").mapInArrow(_reached(near), "cell int, near int")
+    to = places.withColumnRenamed("tile", "other").withColumnRenamed("cell", "near")
+    pairs = places.join(reach, "cell").join(to, "near").select("cell", "tile", "other").unionByName(places.withColumn("other", F.col("tile"))).distinct()
+    table = common.staged(pairs.groupBy("cell", "tile").agg(F.collect_list("other").alias("others")), "routes")
+    small = (table.agg(F.sum(F.size("others"))).first()[0] or 0) <= ROUTES
     tiled = placed.join(F.broadcast(starts), "cell").withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))).cast("int"))
     sent = tiled.join(F.broadcast(table) if small else table, ["cell", "tile"]).select(F.col("node").alias("rep"), "copies", "cell", "embedding", "tile", F.explode("others").alias("other"))
     sent = sent.select(F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).alias("second"), "rep", "copies", "cell", "embedding")
-    tiles = max(held) + 1
+    tiles = max(f + p for _, f, p, _ in dealt)
     # Pairs of tiles by number, each its own partition while there are few.
     tasks = min(tiles * (tiles + 1) // 2, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 10_000))
     number = (F.col("high").cast("long") * (F.col("high") + 1) / 2).cast("long") + F.col("low")
-    near = spark.sparkContext.broadcast(meets)
     return sent.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).sortWithinPartitions("low", "high").mapInArrow(_compare(basis, near, threshold), "rep long, other long, n long")
 
 
