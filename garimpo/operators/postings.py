@@ -17,15 +17,14 @@ Results are those of ``sparse.bm25_top``, exactly.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
 from ..staging import checked_broadcast, staged
@@ -33,8 +32,8 @@ from . import sparse
 
 #: Chunks of a slice, about; bounds a block.
 SLICE_ROWS = 4096
-#: Postings that a task gathers before it sends them off.
-HELD = 500_000
+#: Words that a task gathers before it sends their postings off.
+HELD = 2_000_000
 #: Folders of postings.
 PARTS = 64
 #: Slices of a query that are scored for its threshold.
@@ -66,42 +65,35 @@ def _part(token: Column, parts) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(parts)).cast("int")
 
 
-def _grouper(id: pa.DataType):
-    """Chunks' tokens counted, and their postings gathered by slice and token, a bounded number at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, str], tuple[list, list, list]] = {}
-        size = 0
-
-        def flush():
-            ends, ids, tfs, lengths = [0], [], [], []
-            for found in held.values():
-                for all_, some in zip((ids, tfs, lengths), found, strict=True):
-                    all_ += some
-                ends.append(len(ids))
-            values = pa.StructArray.from_arrays([pa.array(ids, id), pa.array(tfs, pa.int64()), pa.array(lengths, pa.int64())], ["id", "tf", "dl"])
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["slice", "token", "postings"])
-
-        for b in batches:
-            for name, dl, slice_, words in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                counted = Counter(words)
-                size += len(counted)
-                for token, tf in counted.items():
-                    found = held.get((slice_, token))
-                    if found is None:
-                        found = held[slice_, token] = ([], [], [])
-                    found[0].append(name)
-                    found[1].append(tf)
-                    found[2].append(dl)
-                if size >= HELD:
-                    yield flush()
-                    held.clear()
-                    size = 0
-        if held:
+def _grouper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, dl, slice, t)``: chunks' tokens counted, and their postings gathered by slice and token, a bounded number at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush():
+        table = pa.Table.from_batches(held).combine_chunks()
+        lists = table.column("t").combine_chunks()
+        words = lists.flatten().dictionary_encode()
+        chunk = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        slices, place = np.unique(table.column("slice").to_numpy(), return_inverse=True)
+        token, n = words.indices.to_numpy().astype(np.int64), max(1, len(words.dictionary))
+        # One number for slice, token and chunk; equal ones are a token's repeats in a chunk.
+        key, tf = np.unique((place[chunk] * n + token) * len(lists) + chunk, return_counts=True)
+        block, chunk = key // len(lists), key % len(lists)
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        values = pa.StructArray.from_arrays([table.column("id").combine_chunks().take(pa.array(chunk)), pa.array(tf.astype(np.int64)), table.column("dl").combine_chunks().take(pa.array(chunk))], ["id", "tf", "dl"])
+        postings = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), values)
+        return pa.RecordBatch.from_arrays([pa.array(slices[block[first] // n]), words.dictionary.take(pa.array(block[first] % n)), postings], ["slice", "token", "postings"])
+
+    for b in batches:
+        held.append(b)
+        size += len(b.column(3).flatten())
+        if size >= HELD:
             yield flush()
-
-    return run
+            held.clear()
+            size = 0
+    if size:
+        yield flush()
 
 
 def build(chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, slice_rows: int = SLICE_ROWS, parts: int = PARTS) -> Index:
@@ -124,7 +116,7 @@ def build(chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, slice_
     each = each.where("dl > 0").select("id", "dl", (F.col("base") + F.pmod(F.xxhash64("id"), "slices")).alias("slice"), "t")
     kind_of_id = chunks.schema["id"].dataType
     posting = f"postings array<struct<id: {kind_of_id.simpleString()}, tf: bigint, dl: bigint>>"
-    grouped = each.mapInArrow(_grouper(to_arrow_type(kind_of_id)), f"slice long, token string, {posting}").withColumn("part", _part(F.col("token"), parts))
+    grouped = each.mapInArrow(_grouper, f"slice long, token string, {posting}").withColumn("part", _part(F.col("token"), parts))
     average = chunks.sparkSession.read.schema(stats.schema).parquet(f"{path}/stats").select("average").scalar()
     blocks = grouped.repartition("part", "slice").groupBy("part", "slice", "token").agg(F.array_sort(F.flatten(F.collect_list("postings"))).alias("postings"))
     gain = F.array_max(F.transform("postings", lambda p: _gain(p["tf"], p["dl"], F.lit(k1), F.lit(b), F.col("_average"))))
@@ -146,12 +138,15 @@ def open_index(spark: SparkSession, path: str, id: str = "bigint") -> Index:
 
 def _scored(wanted: DataFrame, blocks: DataFrame, about, allowed: DataFrame | None) -> DataFrame:
     """(query_id, id, sparse_score) from ``wanted(query_id, slice, token, weight, essential)``; chunks without an essential token are left out."""
-    rows = blocks.select("token", "slice", "postings").join(checked_broadcast(wanted), ["token", "slice"])
-    each = rows.select("query_id", "essential", "weight", F.explode("postings").alias("p")).select("query_id", "p.id", "essential", (F.col("weight") * _gain(F.col("p.tf"), F.col("p.dl"), about["k1"], about["b"], about["average"])).alias("w"))
+    wanted = checked_broadcast(wanted)
+    # The blocks that are wanted travel once, to their slice; what queries make of them is summed up there.
+    held = blocks.select("token", "slice", "postings").join(wanted.select("token", "slice").distinct(), ["token", "slice"], "left_semi").repartition("slice")
+    rows = held.join(wanted, ["token", "slice"])
+    each = rows.select("slice", "query_id", "essential", "weight", F.explode("postings").alias("p")).select("slice", "query_id", "p.id", "essential", (F.col("weight") * _gain(F.col("p.tf"), F.col("p.dl"), about["k1"], about["b"], about["average"])).alias("w"))
     if allowed is not None:
         each = each.join(allowed.select("id"), "id", "left_semi")
-    sums = each.groupBy("query_id", "id").agg(F.sum("w").alias("sparse_score"), F.bool_or("essential").alias("essential"))
-    return sums.where("essential and sparse_score > 0").drop("essential")
+    sums = each.groupBy("slice", "query_id", "id").agg(F.sum("w").alias("sparse_score"), F.bool_or("essential").alias("essential"))
+    return sums.where("essential and sparse_score > 0").drop("essential", "slice")
 
 
 def search(index: Index, queries: DataFrame, k: int = 5, allowed: DataFrame | None = None, first: int = FIRST) -> Found:

@@ -173,6 +173,29 @@ def api_hits(found: DataFrame) -> DataFrame:
     return found.select("query_id", "final_rank", *map(field, API_FIELDS))
 
 
+def responses(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, total, response): each query's answer to a search request, ``{query, total, resultados}`` as JSON.
+
+    ``found`` are hits as ``api_hits`` gives them, at most ``top_k`` a query; a
+    query without any is answered as well.
+    """
+    fields = F.struct(*[F.col(c) for c in API_FIELDS])
+    listed = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", fields.alias("hit")))), lambda x: x["hit"]).alias("resultados"))
+    j = queries.select("query_id", "query").join(listed, "query_id", "left")
+    total = F.coalesce(F.size("resultados"), F.lit(0))
+    body = F.struct("query", total.alias("total"), F.coalesce("resultados", F.array().cast(listed.schema["resultados"].dataType)).alias("resultados"))
+    return j.select("query_id", total.alias("total"), F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
+
+
+def search_domain(store, domain: str, queries: DataFrame, options: Options = Options(), **filters) -> DataFrame:
+    """Hits in the collection of a public domain; ``store`` (``plans.store.Store``) loads it on first use, unknown domains are refused."""
+    from ..plans.store import collection_of
+
+    held = store.get(collection_of(domain))
+    best = search(held["chunks"], held["vectors"], queries, options, **filters)
+    return hits(best, held["chunks"]).withColumn("retrieval_domain", F.lit(domain))
+
+
 def attach_parents(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     """``parent_text`` from ``parents(parent_id, parent_text)`` where a chunk has none."""
     p = parents.select("parent_id", F.col("parent_text").alias("_parent"))

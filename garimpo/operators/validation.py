@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +124,29 @@ def upload_status(files: DataFrame, most_bytes: int = 20_000_000, most_pages: in
     return files.select("*", found.alias("findings"), chars.alias("extracted_chars"), status.alias("status"))
 
 
+# What requests with a bad file are answered with.
+REJECTED = {"rejected_size": 413}
+REJECTED_CODE = 422
+
+
+def upload_requests(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, responses) of uploads of several files, ``checked(request_id, position, name, status, ...)`` by ``upload_status``.
+
+    The first bad file ends its request: files before it are kept, those after
+    it aren't looked at (``status`` null) and the request is answered with its
+    code.  ``responses(request_id, code, detail, saved)``.
+    """
+    w = W.partitionBy("request_id").orderBy("position")
+    bad = F.col("status").startswith("rejected_")
+    before = F.coalesce(F.max(bad.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = checked.withColumn("_late", before).withColumn("status", F.when(F.col("_late") == 0, F.col("status"))).drop("_late")
+    code = F.when(F.col("f.status").isNull(), 200)
+    for status, value in REJECTED.items():
+        code = code.when(F.col("f.status") == status, value)
+    first = files.groupBy("request_id").agg(F.min(F.when(F.col("status").startswith("rejected_"), F.struct("position", "status", "name"))).alias("f"), F.count(F.when(~F.col("status").startswith("rejected_"), 1)).alias("saved"))
+    return files, first.select("request_id", code.otherwise(REJECTED_CODE).alias("code"), F.when(F.col("f").isNotNull(), F.concat_ws(": ", F.col("f.status"), F.col("f.name"))).alias("detail"), "saved")
+
+
 def dims_agree(vectors: DataFrame, dims: int) -> DataFrame:
     """(dims, n, ok): the vector lengths of an index."""
     return vectors.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n")).withColumn("ok", F.col("dims") == dims)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, containment, payload, postings, schemas, search, structure
+from ..operators import cells, containment, payload, postings, schemas, search, sparse, structure, validation
 from ..staging import staged_path
 from ..options import Options
 from . import tables as T
@@ -196,3 +196,33 @@ def q104(spark, d):
     m = payload.metadata(_payload(spark, d))
     flat = lambda c: F.array_join(c, "|").alias(c)
     return m.select("id", "documento_original", "titulo", flat("autores"), "ano", F.md5(F.col("resumo").cast("binary")).alias("resumo_md5"), flat("secoes_detectadas"), "tipo", "area", flat("assuntos"), "paginas_total")
+
+
+@query(
+    "q105_search_responses",
+    "SELECT q.item_id AS query_id, CAST(count(id) AS INTEGER) AS total, coalesce(string_agg(id, '|' ORDER BY r), '') AS ids, any_value(text) AS query FROM benchmark q LEFT JOIN (SELECT query_id, CAST(id AS VARCHAR) AS id, sparse_rank AS r FROM (" + ORACLE_SQL["q03_bm25_topk"] + ")) ON item_id = query_id AND item_id % 7 > 0 GROUP BY 1",
+)
+def q105(spark, d):
+    """The answers to all searches, read back from their JSON; every seventh query finds nothing."""
+    chunks, asked = T.chunks(spark, d), T.queries(spark, d)
+    best = sparse.bm25_top(chunks, asked.where("query_id % 7 > 0"), 5).withColumnRenamed("sparse_rank", "final_rank").withColumn("score", F.col("sparse_score"))
+    made = search.responses(asked, search.api_hits(search.hits(best, chunks)))
+    v = F.from_json("response", "query string, total int, resultados array<struct<id: long>>")
+    return made.select("query_id", v.alias("v")).select("query_id", "v.total", F.array_join(F.transform("v.resultados", lambda r: r["id"].cast("string")), "|").alias("ids"), "v.query")
+
+
+@query(
+    "q106_upload_requests",
+    """WITH f AS (SELECT page_id // 4 AS request_id, page_id % 4 AS position, 'f' || page_id || CASE WHEN page_id % 11 = 0 THEN '.txt' ELSE '.PDF' END AS name,
+  CASE WHEN page_id % 11 = 0 THEN 'rejected_extension' WHEN length(html) > 4000 THEN 'rejected_size' WHEN NOT starts_with(html, '<') THEN 'rejected_magic' ELSE 'ok' END AS status FROM pages),
+b AS (SELECT request_id, arg_min(status, position) AS status, arg_min(name, position) AS name, min(position) AS first_bad FROM f WHERE status <> 'ok' GROUP BY 1)
+SELECT request_id, CAST(CASE WHEN b.status IS NULL THEN 200 WHEN b.status = 'rejected_size' THEN 413 ELSE 422 END AS INTEGER) AS code, b.status || ': ' || b.name AS detail, count(CASE WHEN f.status = 'ok' AND (first_bad IS NULL OR position < first_bad) THEN 1 END) AS saved FROM f LEFT JOIN b USING (request_id) GROUP BY ALL""",
+)
+def q106(spark, d):
+    """Uploads of four files each: the first bad one ends the request."""
+    k = F.col("page_id")
+    files = T.read(spark, d, "pages").select(
+        F.floor(k / 4).cast("long").alias("request_id"), (k % 4).alias("position"), F.concat(F.lit("f"), k.cast("string"), F.when(k % 11 == 0, ".txt").otherwise(".PDF")).alias("name"), F.length("html").alias("size_bytes"),
+        F.when(F.col("html").startswith("<"), "%PDF-").otherwise("PK").alias("magic"), F.lit(3).alias("page_count"), F.lit("um texto").alias("text"),
+    )
+    return validation.upload_requests(validation.upload_status(files, most_bytes=4000))[1]
