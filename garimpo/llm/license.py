@@ -13,8 +13,9 @@ isn't a common one.  A text without markers has no feature, and its class is
 A predicted family is confirmed when the n-grams of the text and of one of the
 family's templates agree, counted on both sides.  The least probability of a
 family is calibrated on families left out of training: notices of a family that
-the model has never seen must not pass for another one.  What looks like a
-notice but is unsure, unconfirmed or of another licence is ``unknown``.
+the model has never seen must not pass for another one.  What is a notice of any
+kind with a probability that tells left-out notices and left-out prose about
+software and law apart, but is unsure, unconfirmed or of another licence, is ``unknown``.
 
 The model is trained on the notices below, on the driver: a bounded set that
 doesn't depend on the data.  Its weights and the templates' n-grams are small
@@ -68,6 +69,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under GPL 3.",
         "GNU General Public License, version 3",
         "GPL-3.0",
+        "Licensed under the GNU GPL v2.",
+        "Licensed under the GNU GPL, version 3.",
     ),
     "LGPL": (
         "Licensed under the GNU Lesser General Public License, version 3.",
@@ -123,6 +126,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0": (
         "Released under CC0 1.0.",
         "CC0 1.0 Universal",
+        "Creative Commons Zero 1.0 Universal",
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0.",
         "This work is dedicated to the public domain under the CC0 1.0 Universal license.",
         "This is free and unencumbered software released into the public domain.",
@@ -187,6 +191,14 @@ OTHERS = (
     "Todos los derechos reservados.",
     "Este software está licenciado sob a licença MIT.",
     "Todos os direitos reservados.",
+    "Das Paket wurde unter der Apache-Lizenz veröffentlicht.",
+    "Das Werk ist unter einer BSD-Lizenz verfügbar.",
+    "Alle Rechte bleiben vorbehalten.",
+    "Copyright. Alle Rechte vorbehalten.",
+    "Alle Rechte vorbehalten, Nachdruck verboten.",
+    "Ce programme est distribué sous licence GPL.",
+    "Le code source est publié sous licence BSD.",
+    "Este paquete se publica bajo una licencia BSD.",
 )
 # Paragraphs that hold anchor words but grant nothing.
 NEGATIVES = (
@@ -225,6 +237,38 @@ NEGATIVES = (
     "Copyright law was changed by parliament.",
     "The gnu is an antelope.",
     "Dogs are prohibited in the garden.",
+    "Her open source software project grew quickly.",
+    "The license fee of the software was paid by the company.",
+    "They use the Apache web server at work.",
+    "A public license hearing was held in the town hall.",
+    "She reserved all rights to the film of the book.",
+    "He distributed the copies to the members of the choir.",
+    "The Mozilla foundation hired a new director.",
+    "Many programs are written in a free language.",
+    "The software foundation met in Berlin last year.",
+    "The agency granted the permission after two weeks.",
+    "The license agreement between the two firms ended in May.",
+    "A general license for boats is valid on all lakes.",
+    "The copyright holder of the picture lives in Rome.",
+    "The terms of the contract were discussed under the tree.",
+    "He studied the source code of the old program for months.",
+    "The project was released under great pressure.",
+    "The players were released under the terms of the transfer.",
+    "The creative attribution of the painting is unknown.",
+    "Commercial use of the road is charged by weight.",
+    "The affected persons were granted a pension.",
+    "The mail was distributed under the supervision of the chief.",
+    "All material is kept in the library under the roof.",
+    "The warranty of the car is void without service.",
+    "The proprietary recipe of the bakery is confidential.",
+    "The universal language of music needs no license.",
+    "Students redistribute the notes of the lecture.",
+    "The GNU tools were installed on the server.",
+    "The BSD conference took place in Ottawa.",
+    "The Apache server was restarted at night.",
+    "The Apache people lived in the desert.",
+    "The kernel and its modules are software.",
+    "Their software is provided by a small company.",
 )
 # Words that say nothing of licences by themselves, in one language or another ("mit" is German for with,
 # "sa" French for its; "nc" and "nd" stand for much); names like "under mit" or "cc by nc" hold another marker.
@@ -235,8 +279,10 @@ COMMON = frozenset(
 )
 #: The least share of n-grams that a text and a template must have in common, of those of both.
 SHARED = 0.55
-#: Of the notices of left-out families, the share that may pass for another family; bounds of the calibrated probability.
+#: Of the notices of left-out families, the share that may pass for another family; bounds of the calibrated probabilities.
 PASS, LEAST, MOST = 0.05, 0.5, 0.95
+#: How much worse than best notices and prose may be told apart where that finds more notices.
+NEARLY = 0.03
 GRAMS = 3
 #: What a training text of a single known n-gram (a marker alone) weighs.
 SINGLE = 0.2
@@ -266,24 +312,27 @@ def ngrams(text: str) -> set[str]:
 class Model:
     """Weights by n-gram, a bias for each class, the calibrated temperature and least probability, and the markers."""
 
-    def __init__(self, classes: list[str], vocabulary: dict[str, int], weights: np.ndarray, bias: np.ndarray, temperature: float, markers: list[str], sure: float = 1.0):
-        self.classes, self.vocabulary, self.weights, self.bias, self.temperature, self.markers, self.sure = classes, vocabulary, weights, bias, temperature, markers, sure
+    def __init__(self, classes: list[str], vocabulary: dict[str, int], weights: np.ndarray, bias: np.ndarray, temperature: float, markers: list[str], sure: float = 1.0, wary: float = 0.5):
+        self.classes, self.vocabulary, self.weights, self.bias, self.temperature, self.markers, self.sure, self.wary = classes, vocabulary, weights, bias, temperature, markers, sure, wary
 
 
 # Ways to open a short notice.
 OPENINGS = ("Licensed under", "Released under", "Distributed under", "Available under", "Published under", "This work is licensed under", "This package is released under", "The code is distributed under the terms of")
 
 
+def _variants(text: str) -> list[str]:
+    """A notice, and a short one with all other openings: what confirms is its verb and name."""
+    return [text, *([f"{o} {text.split(' under ', 1)[1]}" for o in OPENINGS] if text.startswith(OPENINGS[:2]) else [])]
+
+
 def _examples() -> list[tuple[str, str, int]]:
     """(class, paragraph, its notice's number): each notice, short ones with other openings, halves of long ones; each negative."""
     out, number = [], 0
     for family, texts in [*TEMPLATES.items(), (OTHER, OTHERS)]:
         for t in texts:
             number += 1
-            out.append((family, t, number))
+            out += [(family, v, number) for v in _variants(t)]
             w = t.split()
-            if t.startswith(OPENINGS[:2]):
-                out += [(family, f"{o} {t.split(' under ', 1)[1]}", number) for o in OPENINGS]
             if len(w) > 12:
                 out += [(family, " ".join(w[: len(w) // 2 + 2]), number), (family, " ".join(w[len(w) // 2 - 2 :]), number)]
     return out + [(NONE, t, number + 1 + i) for i, t in enumerate(NEGATIVES)]
@@ -350,7 +399,7 @@ def train(folds: int = 3) -> Model:
         return float(-(z[np.arange(len(y)), y] - z.max(1) - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1))).mean())
 
     temperature = min((t / 10 for t in range(3, 41)), key=loss)
-    passing = []
+    passing, unseen = [], []
     for k, family in enumerate(classes[:-2]):
         out = y == k
         w, b = _fit(x[~out], y[~out], len(classes), 80)
@@ -358,14 +407,24 @@ def train(folds: int = 3) -> Model:
         z[:, k] = -np.inf  # the family doesn't exist for this model
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
+        unseen += (1 - p[:, -1]).tolist()
         for (_, text, _), q in zip([e for e, o in zip(examples, out, strict=True) if o], p, strict=True):
             best = int(q.argmax())
             taken = best < len(classes) - 2 and likeness(ngrams(text), classes[best]) >= SHARED
             passing.append(float(q[best]) if taken else 0.0)
     passing.sort()
     sure = min(MOST, max(LEAST, passing[min(len(passing) - 1, math.ceil(len(passing) * (1 - PASS)))] + 1e-6))
+    # How likely left-out notices, and left-out prose that holds markers, are taken for a notice of any kind:
+    # the least probability that tells them apart nearly as well as the best one.
+    z = logits / temperature
+    notice = 1 - np.exp(z[:, -1] - z.max(1)) / np.exp(z - z.max(1, keepdims=True)).sum(1)
+    prose = np.array([c == NONE and " " in t for c, t, _ in examples])
+    wanted = np.concatenate([notice[y < len(classes) - 1], unseen])
+    gap = lambda t: float((wanted >= t).mean() - (notice[prose] >= t).mean())
+    steps = [t / 100 for t in range(int(100 * LEAST), int(100 * MOST) + 1)]
+    wary = min(t for t in steps if gap(t) >= max(map(gap, steps)) - NEARLY)
     w, b = _fit(x, y, len(classes))
-    return Model(classes, vocabulary, np.round(w, 6), np.round(b, 6), temperature, markers, round(sure, 6))
+    return Model(classes, vocabulary, np.round(w, 6), np.round(b, 6), temperature, markers, round(sure, 6), wary)
 
 
 _template_grams: dict[str, list[set[str]]] = {}
@@ -374,36 +433,36 @@ _template_grams: dict[str, list[set[str]]] = {}
 def likeness(grams: set[str], family: str) -> float:
     """The greatest share of n-grams, of a text's and a template's together, that a template of the family has in common with it."""
     if family not in _template_grams:
-        _template_grams[family] = [ngrams(t) for t in TEMPLATES.get(family, ())]
+        _template_grams[family] = [ngrams(v) for t in TEMPLATES.get(family, ()) for v in _variants(t)]
     return max((2 * len(grams & t) / (len(grams) + len(t)) for t in _template_grams[family]), default=0.0)
 
 
-def score(text: str, model: Model) -> tuple[str, float, float]:
-    """(class, probability, likeness) by hand: see ``score_texts``."""
+def score(text: str, model: Model) -> tuple[str, float, float, float]:
+    """(class, probability, likeness, probability of any notice) by hand: see ``score_texts``."""
     grams = ngrams(text)
     known = [model.weights[model.vocabulary[g]] for g in grams if g in model.vocabulary]
     z = model.bias + sum(known, np.zeros(len(model.bias))) / math.sqrt(max(1, len(known)))
     p = np.exp((z - z.max()) / model.temperature)
     p /= p.sum()
     k = int(np.argmax(p))
-    return model.classes[k], float(p[k]), likeness(grams, model.classes[k])
+    return model.classes[k], float(p[k]), likeness(grams, model.classes[k]), float(1 - p[-1])
 
 
 def judge(paragraph: str, model: Model) -> tuple[dict[str, float], bool, float]:
     """(probability of each confirmed family, whether the paragraph is unknown, the whole's probability) by hand."""
     w = words(paragraph)
-    family, p, alike = score(paragraph, model)
+    family, p, alike, notice = score(paragraph, model)
     known = lambda f: f not in (NONE, OTHER)
     sure = known(family) and p >= model.sure and alike >= SHARED
     if sure and len(w) <= LONGEST:
         return {family: p}, False, p
-    found, unsure = [(-alike, -len(w), 0, family, p)] if sure else [], family != NONE
+    found, unsure = [(-alike, -len(w), 0, family, p)] if sure else [], notice >= model.wary
     for size, step in WINDOWS:
         for i in sorted({*range(0, len(w) - size + 1, step), len(w) - size}) if size < len(w) else ():
-            f, q, alike = score(" ".join(w[i : i + size]), model)
+            f, q, alike, notice = score(" ".join(w[i : i + size]), model)
             if known(f) and q >= model.sure and alike >= SHARED:
                 found.append((-alike, -size, i, f, q))
-            elif f != NONE and size >= UNSURE_WORDS and len(w) > LONGEST:
+            elif notice >= model.wary and size >= UNSURE_WORDS and len(w) > LONGEST:
                 unsure = True
     out = {}
     for x in found:
@@ -451,15 +510,16 @@ def _gram_array(text):
 def _tables(spark: SparkSession, m: Model) -> tuple[DataFrame, DataFrame]:
     """(n-gram, weights) and (n-gram, template, family, template's n-grams): bounded by the templates above."""
     weights = [(g, [float(v) for v in m.weights[i]]) for g, i in m.vocabulary.items()]
-    templates = [(g, n, family, len(grams)) for n, (family, grams) in enumerate((f, ngrams(t)) for f, ts in TEMPLATES.items() for t in ts) for g in grams]
+    templates = [(g, n, family, len(grams)) for n, (family, grams) in enumerate((f, ngrams(v)) for f, ts in TEMPLATES.items() for t in ts for v in _variants(t)) for g in grams]
     return spark.createDataFrame(weights, "gram string, weights array<double>"), spark.createDataFrame(templates, "gram string, template int, family string, template_grams int")
 
 
 def score_texts(texts: DataFrame, model: Model, key: str = "key") -> DataFrame:
-    """``texts(key, text)`` -> ``(key, family, probability, alike)``; keys are distinct.
+    """``texts(key, text)`` -> ``(key, family, probability, alike, notice)``; keys are distinct.
 
     ``alike`` is the greatest share of n-grams, of those of the text and of a
-    template of the family together, that both have.  Texts are cut into n-grams
+    template of the family together, that both have; ``notice`` is the probability
+    of any class but none.  Texts are cut into n-grams
     where they are; only their keys travel.
     """
     weights, templates = (F.broadcast(t) for t in _tables(texts.sparkSession, model))
@@ -469,10 +529,11 @@ def score_texts(texts: DataFrame, model: Model, key: str = "key") -> DataFrame:
     sums = each.join(weights, "gram", "left").groupBy(key).agg(F.count("weights").alias("known"), *[F.coalesce(F.sum(F.col("weights")[i]), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
     z = F.array(*[(F.col(f"z{i}") / F.sqrt(F.greatest("known", F.lit(1)).cast("double")) + F.lit(float(model.bias[i]))) / F.lit(model.temperature) for i in range(k)])
     p = sums.select(key, z.alias("z")).withColumn("top", F.array_max("z"))
-    p = p.select(key, F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))).alias("probability"))
+    p = p.select(key, F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))).alias("probability"), (F.col("z")[k - 1] - F.col("top")).alias("_none"))
+    p = p.withColumn("notice", 1 - F.exp("_none") * F.col("probability")).drop("_none")
     both = each.join(templates, "gram").groupBy(key, "n", "template", "family", "template_grams").agg(F.count("*").alias("c"))
     alike = both.groupBy(key, "family").agg(F.max(2 * F.col("c") / (F.col("n") + F.col("template_grams"))).alias("alike"))
-    return p.join(alike, [key, "family"], "left").select(key, "family", "probability", F.coalesce("alike", F.lit(0.0)).alias("alike"))
+    return p.join(alike, [key, "family"], "left").select(key, "family", "probability", F.coalesce("alike", F.lit(0.0)).alias("alike"), "notice")
 
 
 def _holds_marker(w, model: Model):
@@ -518,7 +579,7 @@ def judge_paragraphs(paragraphs: DataFrame, model: Model) -> DataFrame:
     spans = numbers.join(whole.where(~settled).select("key"), "key").select("key", "n", F.explode(_windows(F.col("paragraph"), model)).alias("s")).select("key", "n", "s.*")
     spans = common.staged(spans, "licence-windows")
     scored = score_texts(spans.select("window", F.col("window").alias("text")).distinct(), model, "window")
-    judged = spans.join(scored, "window").where(F.col("family") != NONE).withColumn("sure", sure)
+    judged = spans.join(scored, "window").withColumn("sure", sure).where(F.col("sure") | (F.col("notice") >= model.wary))
     judged = judged.select("key", "n", "start", "size", "family", "probability", "alike", "sure")
     judged = common.staged(judged.unionByName(whole.where(F.col("sure") & ~settled).select("key", "n", F.lit(0).alias("start"), F.col("n").alias("size"), "family", "probability", "alike", "sure")), "licence-judged-windows")
     # A confirmed window is a notice if at each of its words no other one that holds the word is more like a template.
@@ -529,7 +590,7 @@ def judge_paragraphs(paragraphs: DataFrame, model: Model) -> DataFrame:
     parts = parts.unionByName(whole.where(settled).select("key", "family", "probability"))
     notices = parts.groupBy("key", "family").agg(F.max("probability").alias("probability")).groupBy("key").agg(F.collect_list(F.struct("probability", "family")).alias("notices"))
     unsure = judged.where(~F.col("sure") & (F.col("size") >= UNSURE_WORDS) & (F.col("n") > LONGEST)).select("key")
-    unsure = unsure.unionByName(whole.where(F.col("family") != NONE).select("key")).distinct().withColumn("unsure", F.lit(True))
+    unsure = unsure.unionByName(whole.where(F.col("notice") >= model.wary).select("key")).distinct().withColumn("unsure", F.lit(True))
     found = notices.join(unsure, "key", "full").select("key", "notices", F.col("notices").isNull().alias("unknown"))
     return numbers.select("key", "paragraph").join(found, "key").select("paragraph", "notices", "unknown")
 

@@ -1,9 +1,11 @@
 """Licence scans (8): Spark against the classifier by hand, held-out notices, odd rows."""
 
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from garimpo.llm import license as lic
 
@@ -133,6 +135,74 @@ def test_whole_table(spark, model):
     assert {r[0] for r in got if r[1]} == planted
 
 
+def apart(paragraph, model):
+    """What a paragraph holds, from the model's numbers alone: (probability of each family, unknown)."""
+    w = re.findall(r"[^\W_]+", paragraph.lower())
+    grams = lambda x: {" ".join(x[i : i + n]) for n in (1, 2, 3) for i in range(len(x) - n + 1)}
+    templates = {f: [grams(re.findall(r"[^\W_]+", v.lower())) for t in ts for v in [t, *([f"{o} {t.split(' under ', 1)[1]}" for o in lic.OPENINGS] if t.startswith(("Licensed under", "Released under")) else [])]] for f, ts in lic.TEMPLATES.items()}
+
+    def look(words):
+        own = grams(words)
+        rows = [model.weights[model.vocabulary[g]] for g in own if g in model.vocabulary]
+        z = [(b + sum(r[k] for r in rows) / math.sqrt(max(1, len(rows)))) / model.temperature for k, b in enumerate(model.bias)]
+        e = [math.exp(v - max(z)) for v in z]
+        family = model.classes[z.index(max(z))]
+        alike = max((2 * len(own & t) / (len(own) + len(t)) for t in templates.get(family, ())), default=0)
+        return family, max(e) / sum(e), alike, 1 - e[-1] / sum(e)
+
+    family, p, alike, notice = look(w)
+    good = lambda f, p, alike: f in lic.TEMPLATES and p >= model.sure and alike >= lic.SHARED
+    if good(family, p, alike) and len(w) <= lic.LONGEST:
+        return {family: round(p, 9)}, False
+    found, unknown = [((-alike, -len(w), 0, family), p)] if good(family, p, alike) else [], notice >= model.wary
+    for size, step in lic.WINDOWS:
+        for i in {*range(0, len(w) - size + 1, step), len(w) - size} if len(w) > size else ():
+            f, q, a, notice = look(w[i : i + size])
+            if good(f, q, a):
+                found.append(((-a, -size, i, f), q))
+            elif notice >= model.wary and size >= 16 and len(w) > lic.LONGEST:
+                unknown = True
+    best = {}
+    for key, _ in found:  # the best window at each word
+        for at in range(key[2], key[2] - key[1]):
+            best[at] = min(best.get(at, key), key)
+    out = {}
+    for key, q in found:
+        if all(best[at] == key for at in range(key[2], key[2] - key[1])):
+            out[key[3]] = max(out.get(key[3], 0), round(q, 9))
+    return out, unknown and not out
+
+
+def test_long_paragraphs_equal_a_plain_count(spark, model):
+    """Paragraphs without a sentence end, with markers and notices all over, against a count written apart from the module."""
+    rng = random.Random(11)
+    prose = lambda n: ["".join(rng.choice("abdefilmnorstu") for _ in range(rng.randrange(2, 9))) if i % 10 else "license" for i in range(n)]
+    rows = [(1, prose(700)), (2, prose(300) + "released under the mit license".split() + prose(200) + "licensed under cc by nc 4 0".split() + prose(100)), (3, "mit license".split() * 60), (4, "all rights reserved licensed under the apache license version 2 0".split() * 9)]
+    got = {r.doc_id: r for r in lic.scan(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), model).collect()}
+    for i, w in rows:
+        families, unknown = apart(" ".join(w), model)
+        assert (got[i].families, got[i].n_unknown) == (sorted(families), int(unknown)), i
+        assert got[i].best_probability is None or round(got[i].best_probability, 9) == max(families.values())
+    assert got[2].families == ["CC-BY-NC", "MIT"]
+
+
+def test_bytes_of_windows_are_linear(spark, model):
+    text = lambda n: " ".join("license" if i % 10 == 0 else f"w{i % 997}" for i in range(n))
+    df = spark.createDataFrame([(n, text(n)) for n in (2000, 20_000, 200_000)], "n long, t string")
+    held = {r.n: r.b for r in df.select("n", F.explode(lic._windows(F.col("t"), model)).alias("s")).groupBy("n").agg(F.sum(F.length("s.window")).alias("b")).collect()}
+    assert held[20_000] < 11 * held[2000] and held[200_000] < 11 * held[20_000]
+
+
+@pytest.mark.parametrize("text", ["The open source meeting grew quickly.", "The fee of the license was paid by the firm.", "They run an Apache server.", "He reserved all seats of the film.", "The software company provided the food.", "A hearing about the license was held."])
+def test_prose_with_markers_is_no_notice(model, text):
+    assert lic.classify(text, model)[0] == lic.NONE
+
+
+@pytest.mark.parametrize("text,family", [("Available under MIT.", "MIT"), ("Published under MIT.", "MIT"), ("Licensed under the GNU GPL v2", "GPL"), ("Distributed under the terms of the BSD license.", "BSD")])
+def test_other_openings_are_confirmed(model, text, family):
+    assert lic.classify(text, model)[0] == family
+
+
 def test_native_plan(spark):
     plan = lic.op8_license_paragraphs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
