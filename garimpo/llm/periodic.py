@@ -19,7 +19,6 @@ and ``PAIRS`` pairs at a time.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
