@@ -120,11 +120,16 @@ def document_key(path: Column | str) -> Column:
     return F.when(p == "", F.lit("uploads/desconhecido.pdf")).when(p.startswith("uploads/"), p).otherwise(F.concat(F.lit("uploads/"), base_name(p)))
 
 
-def document_id(path: Column | str, year: Column) -> Column:
-    """A stable id from the file name, the year in front unless it is there already."""
+def document_id(path: Column | str, year: Column, always: bool = False) -> Column:
+    """A stable id from the file name, the year in front unless it is there already; ``always``: even then.
+
+    A name may begin with the year's digits by chance (``19988.pdf`` of 1998); where names are numbers, ``always``
+    keeps the ids of one form.
+    """
     clean = F.regexp_replace(F.trim(F.regexp_replace(stem(path), r"[^\p{L}\p{N}_\s-]", "")), r"\s+", "_")
     y = year.cast("string")
-    return F.when(year.isNull() | clean.startswith(y), clean).otherwise(F.concat_ws("_", y, clean))
+    bare = year.isNull() if always else year.isNull() | clean.startswith(y)
+    return F.when(bare, clean).otherwise(F.concat_ws("_", y, clean))
 
 
 def year_in(text: Column) -> Column:
