@@ -136,7 +136,10 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def tidied(run):
-    """A batch function that gives its memory back when its task ends: idle workers keep none of it."""
+    """A batch function that gives its memory back when its task ends: idle workers keep none of it.
+
+    What encoders remember goes (tokenizers stay), and so does what Arrow's pool holds for later batches.
+    """
 
     def wrapped(batches):
         try:
@@ -145,7 +148,10 @@ def tidied(run):
             import ctypes
             import gc
 
+            for e in _encoders.values():
+                e.forget()
             gc.collect()
+            pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
             except (OSError, AttributeError):  # not every C library has it
@@ -219,7 +225,7 @@ class WordEncoder:
 
     #: Pre-tokens in each of two generations that are remembered; about 200 bytes each.  A full young
     #: generation becomes the old one; what is met again moves back to the young one.
-    MOST = 350_000
+    MOST = 150_000
     LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž"
     OTHER = f"[^\\t\\n\\r -~{LETTER}¡¢£¥§©«®°±¶·»¿×÷‐-‧‰-⁞€™]"
     BYTE_LEVEL = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTER}]+| ?[0-9]+| ?[^\\s{LETTER}0-9]+|\\s+(?!\\S)|\\s+")
@@ -232,6 +238,10 @@ class WordEncoder:
         self.odd = re.compile("|".join([self.OTHER, *(f"(?i:{t})" for t in added)])).search
         self.split = (self.BYTE_LEVEL if byte_level else self.WORD_LEVEL).findall
 
+    def forget(self) -> None:
+        """Drop the remembered pre-tokens."""
+        self.known = PreTokens(self.known.model)
+
     def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
         odd, split = self.odd, self.split
@@ -249,7 +259,7 @@ _encoders: dict[tuple[str, bool, bool], WordEncoder] = {}
 
 
 def encoder(path: str, byte_level: bool, literal: bool = False) -> WordEncoder:
-    """One encoder in each Python worker, kept between tasks."""
+    """One encoder in each Python worker, kept between tasks; what it remembers lasts for a task (``tidied``)."""
     key = path, byte_level, literal
     if key not in _encoders:
         _encoders[key] = WordEncoder(*key)

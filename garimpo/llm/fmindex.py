@@ -30,7 +30,7 @@ WINDOW = 10
 #: Benchmark words held by a worker at a time; more are searched block by block.
 BLOCK_WORDS = 2_000_000
 #: Words of a shard (before runs without a possible match are left out) and indexed words at most, but for one long document.
-SHARD_WORDS, INDEX_WORDS = 3_000_000, 1_000_000
+SHARD_WORDS, INDEX_WORDS = 1_500_000, 500_000
 SAMPLE = 16
 
 #: Bytes of words, A-Z lower-cased; all others become spaces.
